@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op7_byte_bpe
 from .mixing import OP2_SQL, op2_source_mix
 from .sharding import op5_uniform_shards
+from .topk import OP1_SQL, op1_exact_top_products
 
 QUERIES = {
+    "op1_exact_top_products": op1_exact_top_products,
     "op2_source_mix": op2_source_mix,
     "op5_uniform_shards": op5_uniform_shards,
+    "op7_byte_bpe": op7_byte_bpe,
 }
 
 SQL = {
+    "op1_exact_top_products": OP1_SQL,
     "op2_source_mix": OP2_SQL,
 }
