@@ -2,9 +2,9 @@
 
 A pre-token is a doubly linked list of parts. Every adjacent pair that the
 vocabulary can merge is filed under the merge's rank, in a bucket of list
-positions; the ranks whose buckets are in use are marked in a three-level
-bitmap of 64-bit words, where find-first-set on the top word leads to the
-smallest rank in three steps. Popping the leftmost position of that bucket,
+positions; the ranks whose buckets are in use are marked in a hierarchical
+bitmap, where find-first-set on the top word and then on the word it points to
+gives the smallest rank. Popping the leftmost position of that bucket,
 merging it and filing its two new pairs gives the order of merges that BPE
 defines (lowest rank first, leftmost first). A position whose pair has changed
 since it was filed is stale and skipped. Each merge costs a constant number of
@@ -31,83 +31,85 @@ from pyspark.sql import types as T
 
 from .common import table
 
-#: Pre-tokens whose codes a worker keeps, and the longest that it keeps.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens in a generation of a worker's cache, and the longest that it keeps.
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 40
 #: Code points handled before a batch of results is handed on.
 BATCH_CHARS = 4_000_000
 
 
+BIT = [1 << i for i in range(256)]
+
+
 class RankQueue:
-    """Positions by rank; pop() gives the smallest rank's smallest position."""
+    """Positions by rank: two levels of 256-bit words over the ranks in use, and a bucket of positions for each.
+
+    Empty after every pre-token, so one serves them all.
+    """
 
-    def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
+    def __init__(self, most: int):
+        self.words = [0] * ((most >> 8) + 1)
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            i, j = rank >> 6, rank >> 12
-            self.low[i] |= 1 << (rank & 63)
-            self.mid[j] |= 1 << (i & 63)
-            self.top |= 1 << j
+        if rank in self.buckets:
+            heapq.heappush(self.buckets[rank], at)
         else:
-            heapq.heappush(bucket, at)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        first = lambda x: (x & -x).bit_length() - 1  # noqa: E731  find first set
-        j = first(self.top)
-        i = (j << 6) + first(self.mid[j])
-        rank = (i << 6) + first(self.low[i])
+            self.buckets[rank] = [at]
+            word = rank >> 8
+            self.words[word] |= BIT[rank & 255]
+            self.top |= 1 << word
+
+    def pop(self) -> tuple[int, int]:
+        """Smallest rank, and its smallest position."""
+        top, words = self.top, self.words
+        word = (top & -top).bit_length() - 1  # find first set
+        bits = words[word]
+        rank = (word << 8) + (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
         at = heapq.heappop(bucket)
         if not bucket:
             del self.buckets[rank]
-            self.low[i] &= self.low[i] - 1
-            if not self.low[i]:
-                self.mid[j] &= self.mid[j] - 1
-                if not self.mid[j]:
-                    self.top &= self.top - 1
+            words[word] = bits = bits & (bits - 1)
+            if not bits:
+                self.top = top & (top - 1)
         return rank, at
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], most: int) -> list[int]:
-    """Ids of one pre-token; ``most`` is the largest rank."""
+def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
+    """Ids of one pre-token."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    end = list(range(1, n + 1))  # part at i is piece[i:end[i]]; 0 once it is merged into the part before
-    prev = list(range(-1, n - 1))
-    filed: list[int] = [-1] * n  # rank of the pair that starts at i, -1 for none
-    queue = RankQueue(most)
-
-    def file(i: int) -> None:
-        j = end[i]
-        rank = ranks.get(piece[i : end[j]]) if j < n else None
-        filed[i] = -1 if rank is None else rank
+    end = list(range(1, n + 2))  # part at i is piece[i:end[i]]; 0 once it is merged into the part before
+    prev = list(range(-1, n))
+    get, push, pop = ranks.get, queue.push, queue.pop
+    filed = [get(piece[i : i + 2]) for i in range(n)]  # rank of the pair that starts at i
+    filed[n - 1] = None
+    for i, rank in enumerate(filed):
         if rank is not None:
-            queue.push(rank, i)
-
-    for i in range(n - 1):
-        file(i)
-    while (got := queue.pop()) is not None:
-        rank, i = got
-        if not end[i] or filed[i] != rank:
+            push(rank, i)
+    while queue.top:
+        rank, i = pop()
+        if filed[i] != rank:
             continue  # stale
         j = end[i]
-        end[i], end[j] = end[j], 0
-        if end[i] < n:
-            prev[end[i]] = i
-        file(i)
-        if prev[i] >= 0:
-            file(prev[i])
+        k = end[i] = end[j]
+        filed[j] = None
+        if k < n:
+            prev[k] = i
+            filed[i] = new = get(piece[i : end[k]])
+            if new is not None:
+                push(new, i)
+        else:
+            filed[i] = None
+        h = prev[i]
+        if h >= 0:
+            filed[h] = new = get(piece[h:k])
+            if new is not None:
+                push(new, h)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -126,9 +128,10 @@ class Codec:
                     token, rank = line.split()
                     self.ranks[base64.b64decode(token)] = int(rank)
         self.find = regex.compile(pattern).findall
-        self.seen: dict[str, list[int]] = {}
-        self.most = max(self.ranks.values(), default=0)
-        size = self.most + 1
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        size = max(self.ranks.values(), default=0) + 1
+        self.queue = RankQueue(size - 1)
         tokens: list[bytes] = [b""] * size
         for token, rank in self.ranks.items():
             tokens[rank] = token
@@ -136,18 +139,27 @@ class Codec:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.pool = np.frombuffer(b"".join(tokens), np.uint8)
 
+    def codes(self, text: str) -> bytes:
+        """Ids of a text as 32-bit numbers, one after another."""
+        pieces = self.find(text)
+        try:
+            return b"".join([self.young[x] for x in pieces])
+        except KeyError:
+            return b"".join([self.young.get(x) or self.code(x) for x in pieces])
+
+    def code(self, piece: str) -> bytes:
+        """Ids of one pre-token; the cache has two generations, so that frequent ones stay."""
+        got = self.old.get(piece)
+        if got is None:
+            got = np.array(merge(piece.encode("utf-8"), self.ranks, self.queue), np.int32).tobytes()
+        if len(piece) <= CACHE_CHARS:
+            if len(self.young) >= CACHE_ENTRIES:
+                self.old, self.young = self.young, {}
+            self.young[piece] = got
+        return got
+
     def ids(self, text: str) -> list[int]:
-        seen, out = self.seen, []
-        for piece in self.find(text):
-            ids = seen.get(piece)
-            if ids is None:
-                ids = merge(piece.encode("utf-8"), self.ranks, self.most)
-                if len(piece) <= CACHE_CHARS:
-                    if len(seen) >= CACHE_ENTRIES:
-                        seen.clear()
-                    seen[piece] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.codes(text), np.int32).tolist()
 
     def bytes(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of many ids, one after another."""
@@ -197,13 +209,13 @@ def encoded(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | N
         lo, chars, parts, ends = 0, 0, [], [0]
         for i in range(len(column)):
             value = column[i].as_py() or ""
-            got = np.array(c.ids(value), np.int32)
+            got = c.codes(value)
             parts.append(got)
-            ends.append(ends[-1] + len(got))
+            ends.append(ends[-1] + len(got) // 4)
             chars += len(value)
             if chars >= BATCH_CHARS or i + 1 == len(column):
-                flat = np.concatenate(parts)
-                yield lo, i + 1, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
+                yield lo, i + 1, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 lo, chars, parts, ends = i + 1, 0, [], [0]
 
     return _mapped(docs, ids, T.ArrayType(T.IntegerType()), make)
