@@ -8,8 +8,9 @@ k-th best score. Against each further block it is dropped at once if
 
     |q| * (longest vector of the block) < bound,
 
-and within a block a candidate is dropped if its partial product over the
-leading rotated coordinates plus the Cauchy-Schwarz bound of the rest,
+and within a block a candidate is dropped if, after the first 16, half or all
+of the rotated coordinates, its partial product plus the Cauchy-Schwarz bound
+of the rest,
 
     <q', x'> + |q''| * |x''|,
 
@@ -88,7 +89,8 @@ def block_top(queries: pd.DataFrame, block: pd.DataFrame, basis: np.ndarray, k:
     qn, xn = np.linalg.norm(qr, axis=1), np.linalg.norm(xr, axis=1)
     order = np.lexsort((xid, -xn))
     x, xr, xn, xid = x[order], xr[order], xn[order], xid[order]
-    qt, xt = (np.sqrt(np.maximum(0, (a[:, HEAD:] ** 2).sum(axis=1))) for a in (qr, xr))
+    stages = sorted({min(HEAD, q.shape[1]), q.shape[1] // 2, q.shape[1]})
+    rest = [[np.sqrt((a[:, d:] ** 2).sum(axis=1)) for d in stages] for a in (qr, xr)]
     bound = queries["bound"].to_numpy(np.float64).copy()
     best = np.full((len(q), k), -np.inf)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -98,10 +100,17 @@ def block_top(queries: pd.DataFrame, block: pd.DataFrame, basis: np.ndarray, k:
         live = np.flatnonzero(qn * xn[lo] + slack >= bound)
         if not len(live):
             continue
-        top = qr[live, :HEAD] @ xr[lo:hi, :HEAD].T
-        top += np.outer(qt[live], xt[lo:hi])
-        a, b = np.nonzero(top >= (bound[live] - slack[live])[:, None])
-        a, b = live[a], b + lo
+        cols, part, done = np.arange(lo, hi), np.zeros((len(live), hi - lo)), 0
+        for j, d in enumerate(stages):
+            part += qr[live, done:d] @ xr[cols, done:d].T
+            done = d
+            most = part + np.outer(rest[0][j][live], rest[1][j][cols]) if d < q.shape[1] else part
+            alive = most >= (bound[live] - slack[live])[:, None]
+            if d < q.shape[1]:  # queries and candidates with nothing left leave
+                rows_left, cols_left = alive.any(axis=1), alive.any(axis=0)
+                live, cols, part = live[rows_left], cols[cols_left], part[np.ix_(rows_left, cols_left)]
+        a, b = np.nonzero(alive)
+        a, b = live[a], cols[b]
         other = ids[a] != xid[b]
         a, b = a[other], b[other]
         score = np.empty(len(a), np.int64)
