@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .langid import op8_language_mixture
 from .mixing import OP2_SQL, op2_source_mix
 from .sharding import op5_uniform_shards
 from .topk import OP1_SQL, op1_exact_top_products
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_exact_top_products": op1_exact_top_products,
     "op2_source_mix": op2_source_mix,
+    "op3_toxicity": op3_toxicity,
     "op5_uniform_shards": op5_uniform_shards,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_language_mixture": op8_language_mixture,
 }
 
 SQL = {
