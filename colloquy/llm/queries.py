@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .bpe import op7_byte_bpe
 from .langid import op8_language_mixture
+from .licenses import OP6_SQL, op6_licence_sentences
 from .mixing import OP2_SQL, op2_source_mix
+from .secrets import op10_secret_battery
 from .sharding import op5_uniform_shards
 from .topk import OP1_SQL, op1_exact_top_products
 from .toxicity import op3_toxicity
@@ -14,11 +16,14 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_toxicity": op3_toxicity,
     "op5_uniform_shards": op5_uniform_shards,
+    "op6_licence_sentences": op6_licence_sentences,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_mixture": op8_language_mixture,
+    "op10_secret_battery": op10_secret_battery,
 }
 
 SQL = {
     "op1_exact_top_products": OP1_SQL,
     "op2_source_mix": OP2_SQL,
+    "op6_licence_sentences": OP6_SQL,
 }
