@@ -10,10 +10,11 @@ the encoding inferred from its alphabet (hex, base32, base36, base62, base64):
 
 whose squared normal scores are summed into one test of "this is random" (three
 degrees of freedom). A token passes if that isn't rejected. Against it stands
-"this is written by a person": letters then repeat as in words, and the
-chi-squared statistic grows with the length, by (length - 1) * alphabet *
-REPEAT. How far a token falls short of that is its p-value as a discovery, so a
-longer token needs to look no more random than a shorter one to be as sure.
+"this is written by a person": letters then repeat as in words, so that the
+chi-squared statistic grows with the length, and small letters, capitals and
+digits come in runs. How far a token falls short of that statistic and exceeds
+those changes of kind, both in their spread at its length, is its p-value as a
+discovery: a longer token needs to look less random than a shorter one.
 Benjamini-Hochberg over all tokens of the corpus sets the cut-off, from a
 histogram of p-values in steps of a twentieth of a decade.
 
@@ -43,8 +44,10 @@ ENCODINGS = [
     ("hex", DIGITS + "abcdef"), ("HEX", DIGITS + "ABCDEF"), ("base32", UPPER + "234567"), ("base36", DIGITS + LOWER), ("BASE36", DIGITS + UPPER),
     ("base62", DIGITS + UPPER + LOWER), ("base64", UPPER + LOWER + DIGITS + "+/"), ("base64url", UPPER + LOWER + DIGITS + "-_"),
 ]
-#: Chance that two characters of written language agree.
+#: Of written language: chance that two characters agree, that three do less its square, and that the kind of character changes.
 REPEAT = 0.065
+CLUSTER = 0.0015
+CHANGE = 0.15
 RANDOM_LEVEL = 0.01
 FALSE_DISCOVERY = 0.01
 STEPS = 20
@@ -128,8 +131,11 @@ def _scores(token: Column, alphabet: str) -> Column:
         upper = F.greatest(z_chi, F.lit(0.0))
         random = chi3_tail(upper * upper + z_runs * z_runs + z_lag * z_lag)
         expected = size * (n - 1) * REPEAT + size - n
-        spread = F.sqrt(F.lit(2.0 * df) + 4 * size * size * REPEAT * REPEAT * n)
-        written = normal_tail((expected - chi) / spread)
+        spread = 2 * size / n * F.sqrt(n * (n - 1) / 2 * REPEAT + CLUSTER * n * n * n)
+        kinds = F.translate(token, DIGITS + LOWER + UPPER + "+/_-", "0" * 10 + "a" * 26 + "A" * 26 + "+" * 4)
+        changes = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1
+        z_change = (changes - CHANGE * (n - 1)) / F.sqrt(CHANGE * (1 - CHANGE) * (n - 1))
+        written = normal_tail(((expected - chi) / spread + z_change) / math.sqrt(2))
         return F.struct(random.alias("p_random"), written.alias("p_written"))
 
     return _let(codes, from_codes)
