@@ -8,6 +8,7 @@ from .licenses import OP6_SQL, op6_licence_sentences
 from .mixing import OP2_SQL, op2_source_mix
 from .secrets import op10_secret_battery
 from .sharding import op5_uniform_shards
+from .syncmers import op4_closed_syncmers
 from .topk import OP1_SQL, op1_exact_top_products
 from .toxicity import op3_toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_exact_top_products": op1_exact_top_products,
     "op2_source_mix": op2_source_mix,
     "op3_toxicity": op3_toxicity,
+    "op4_closed_syncmers": op4_closed_syncmers,
     "op5_uniform_shards": op5_uniform_shards,
     "op6_licence_sentences": op6_licence_sentences,
     "op7_byte_bpe": op7_byte_bpe,
