@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .jaccard import op9_jaccard_join
 from .langid import op8_language_mixture
 from .licenses import OP6_SQL, op6_licence_sentences
 from .mixing import OP2_SQL, op2_source_mix
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_licence_sentences": op6_licence_sentences,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_mixture": op8_language_mixture,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_battery": op10_secret_battery,
 }
 
