@@ -1,4 +1,7 @@
 """Every registered query of the library, with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import calls, lives, messages
+
+_MODULES = [calls, messages, lives]
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
