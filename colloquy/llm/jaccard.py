@@ -24,10 +24,13 @@ a common token are candidates; of a group, each member meets the next smaller
 one and the smallest. Candidates differ in at least as many shingles as their
 parity sketches (one bit for the parity of each cell) differ in bits, which
 drops almost all wrong pairs; the rest are verified on the whole texts. Linked
-representatives are contracted to components; in groups that still hold
-different components, every remaining pair across components is then tried, in
-blocks, so that no link is lost while a large group of near copies costs a
-number of pairs in proportion to its size.
+representatives are contracted to components. In groups that still hold
+different components, every pair across components is then held against the
+sketches, in blocks. Of the pairs that pass, a block hands on a spanning forest
+of its components, which is verified and contracted; that goes on until no block
+has a pair left that wasn't tried. So no link is lost, and a large group of near
+copies costs a number of pairs in proportion to its size: the members of its
+main component meet only those outside it.
 """
 
 from __future__ import annotations
@@ -47,8 +50,11 @@ COMMON_SHINGLES = 200_000
 COMMON_FROM = 3
 #: Classes of equal sets, or candidates, up to which they are broadcast; beyond, they are joined.
 BROADCAST_ROWS = 400_000
-#: Members of a group of which all pairs are tried in one piece; larger groups are cut into blocks.
-BLOCK = 64
+#: Groups of which all pairs across components are listed; the members of a block of larger ones.
+SMALL = 64
+BLOCK = 512
+#: Rounds in which blocks hand on spanning forests; one more hands on every pair that is left.
+FORESTS = 5
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -154,9 +160,9 @@ def costs(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of elements in each cell; as many cells as the set has elements, rounded up to a power of two."""
+    """Parity of the number of elements in each cell; four cells an element, rounded up to a power of two."""
     cells = 64
-    while cells < len(s):
+    while cells < 4 * len(s):
         cells *= 2
     counts = np.bincount((mixed(s, 30) % _U(cells)).astype(np.int64), minlength=cells)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -315,36 +321,65 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return result.select("node", F.col("root").alias("component"))
 
 
-def apart(groups: DataFrame, described_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of near enough sizes and different components within the groups of ``groups`` (sig, doc_id, n, size, component)."""
-    member = F.struct("doc_id", "n", "component")
-    small = groups.where(F.col("size") <= BLOCK).groupBy("sig").agg(F.collect_list(member).alias("m"))
+def pairs_of_small(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of near enough sizes across the components of groups (sig, doc_id, n, component) of at most SMALL members."""
+    small = groups.groupBy("sig").agg(F.collect_list(F.struct("doc_id", "n", "component")).alias("m"))
     other = lambda x: F.filter("m", lambda y: (y["doc_id"] > x["doc_id"]) & (y["component"] != x["component"]) & near_enough(x["n"], y["n"]))
     pairs = F.flatten(F.transform("m", lambda x: F.transform(other(x), lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")))))
-    few = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    return small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
-    side = 8 * BLOCK
-    large = groups.where(F.col("size") > BLOCK).join(described_.select("doc_id", "sketch"), "doc_id")
-    count = F.ceil(F.col("size") / side).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), count).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    blocks = large.withColumn("own", own).withColumn("at", F.explode(F.array_distinct(pieces))).select("sig", "at.i", "at.j", "own", "doc_id", "n", "component", "sketch")
+
+def pairs_of_large(groups: DataFrame, described_: DataFrame, tried: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) across components of larger groups that the sketches let pass and that aren't among ``tried``.
+
+    Members of a group's largest component are met by all others, the others
+    also by each other. With ``forest``, a block gives a spanning forest only.
+    """
+    sizes = groups.groupBy("sig", "component").count()
+    main = sizes.groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"))
+    rows = groups.join(main, "sig")
+    cut = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    inside = F.col("component") == F.col("main")
+    left, right = cut(F.col("most")), cut(F.col("size") - F.col("most"))
+    own = F.pmod(F.xxhash64("doc_id"), F.when(inside, left).otherwise(right)).cast("int")
+    blocks = lambda n: F.sequence(F.lit(0), n - 1)
+    key = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    places = F.when(inside, F.transform(blocks(right), lambda j: key(0, F.col("own"), j))).otherwise(F.concat(
+        F.transform(blocks(left), lambda i: key(0, i, F.col("own"))), F.transform(blocks(right), lambda j: key(1, F.least(F.col("own"), j), F.greatest(F.col("own"), j)))))
+    rows = rows.withColumn("own", own).withColumn("inside", inside).withColumn("at", F.explode(places))
+    failed = tried.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("other")))).alias("t")).select("t.*")
+    failed = failed.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("other").alias("tried"))
+    rows = rows.join(described_.select("doc_id", "sketch"), "doc_id").join(failed, "doc_id", "left")
+    rows = rows.select("sig", "at.kind", "at.i", "at.j", "own", "inside", "doc_id", "n", "component", "sketch", "tried")
 
     def cross(pdf):
         import pandas as pd
 
-        one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        x = pdf if one else pdf[pdf["own"] == pdf["i"]]
-        y = pdf if one else pdf[pdf["own"] == pdf["j"]]
-        out, right = [], list(zip(y["doc_id"], y["n"], y["component"], y["sketch"], strict=True))
-        for d, n, c, s in zip(x["doc_id"], x["n"], x["component"], x["sketch"], strict=True):
-            for e, m, f, t in right:
-                if (d < e if one else d != e) and c != f and 4 * n >= 3 * m and 4 * m >= 3 * n and parity_distance(s, t) <= (n + m) // 7:
+        kind, i, j = (pdf[x].iloc[0] for x in ("kind", "i", "j"))
+        pdf = pdf.sort_values("doc_id")
+        left, right = (pdf[pdf["inside"]], pdf[~pdf["inside"]]) if kind == 0 else (pdf[pdf["own"] == i], pdf[pdf["own"] == j])
+        listed = lambda x: list(zip(x["doc_id"], x["n"], x["component"], x["sketch"], (set() if t is None else set(t) for t in x["tried"]), strict=True))
+        root: dict[int, int] = {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        out, others = [], listed(right)
+        for d, n, c, s, t in listed(left):
+            for e, m, f, u, _ in others:
+                if d == e or kind == 1 and i == j and d > e or c == f or 4 * n < 3 * m or 4 * m < 3 * n or e in t:
+                    continue
+                if forest and find(c) == find(f):
+                    continue
+                if parity_distance(s, u) <= (n + m) // 7:
                     out.append((min(d, e), max(d, e)))
+                    if forest:
+                        root[find(c)] = find(f)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    many = blocks.groupBy("sig", "i", "j").applyInPandas(cross, "a long, b long").distinct()
-    return few.unionByName(many).distinct()
+    return rows.groupBy("sig", "kind", "i", "j").applyInPandas(cross, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, described_: DataFrame) -> DataFrame:
@@ -369,12 +404,21 @@ def similar_components(docs: DataFrame, described_: DataFrame) -> DataFrame:
     joined = kept(components(links), "jaccard-components")
 
     # Groups of two have been tried; in larger ones, what the links so far leave apart.
-    third = group.where("size > 2").select("sig", "doc_id", "n", "size")
-    third = third.join(joined, third["doc_id"] == joined["node"], "left").select("sig", "doc_id", "n", "size", F.coalesce("component", "doc_id").alias("component"))
-    mixed_groups = third.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    third = kept(third.join(mixed_groups, "sig", "left_semi"), "jaccard-apart")
-    more = kept(apart(third, described_).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
-    links = links.unionByName(verified(more, described_, docs, "jaccard-second"))
+    third, small, tried = group.where("size > 2").select("sig", "doc_id", "n", "size"), F.col("size") <= SMALL, pairs
+    for turn in range(FORESTS + 1):
+        rows = third.join(hinted(joined), third["doc_id"] == joined["node"], "left").select("sig", "doc_id", "n", "size", F.coalesce("component", "doc_id").alias("component"))
+        several = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+        rows = kept(rows.join(several, "sig", "left_semi"), "jaccard-apart")
+        more = pairs_of_large(rows.where(~small), described_, tried, turn < FORESTS)
+        if turn == 0:
+            more = more.unionByName(pairs_of_small(rows.where(small)).join(tried, ["a", "b"], "left_anti")).distinct()
+        more = kept(more, "jaccard-more")
+        if more.isEmpty():
+            break
+        links = kept(links.unionByName(verified(more, described_, docs, "jaccard-more")), "jaccard-links")
+        joined = kept(components(links), "jaccard-components")
+        tried = kept(tried.unionByName(more), "jaccard-tried")
+        third = rows.where(~small).select("sig", "doc_id", "n", "size")
     links = links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     return components(links).select(F.col("node").alias("doc_id"), "component")
 
