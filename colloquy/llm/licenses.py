@@ -86,6 +86,7 @@ CUT = r"[.!?;:]+[\x20\x09-\x0D]+|[.!?;:]+\z|[\x0A\x0D]+"
 def identifiers(text: Column) -> Column:
     """Identifiers of a text's licence sentences, in order."""
     lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lowered = F.replace(lowered, F.lit("license-identifier:"), F.lit("license-identifier"))  # a tag is one sentence
     sentences = F.transform(F.split(lowered, CUT, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, name)])
 
@@ -124,7 +125,7 @@ def _sql() -> str:
     steps = ["""
 WITH cut AS (
   SELECT doc_id, CASE WHEN regexp_matches(COALESCE(text, ''), %s) THEN
-      list_transform(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), %s),
+      list_transform(string_split_regex(replace(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'license-identifier:', 'license-identifier'), %s),
                      lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))) ELSE [] END AS ss
   FROM documents),
 s0 AS (

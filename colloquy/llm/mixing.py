@@ -87,19 +87,20 @@ def mix_plan(sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> Dat
     return kept(out, "mix-plan")
 
 
-def with_repetitions(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with source_size, target and repetitions; ``plan`` is from mix_plan()."""
+def with_repetitions(docs: DataFrame, plan: DataFrame, seed: int, names: tuple[str, str, str] = ("source_size", "target", "repetitions")) -> DataFrame:
+    """``docs`` with its source's size, its target and the repetitions, under ``names``; ``plan`` is from mix_plan()."""
+    size, target, repetitions = names
     cell = hash24(F.col("doc_id"), seed)
-    mine = plan.select(F.col("source").alias("_source"), "source_size", "target", F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
+    mine = plan.select(F.col("source").alias("_source"), F.col("source_size").alias(size), F.col("target").alias(target), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
     if mine.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         mine = F.broadcast(mine)
-    docs = docs.drop("source_size", "target", "repetitions")
+    docs = docs.drop(*names)
     out = docs.join(mine, docs["source"].eqNullSafe(mine["_source"]))
-    return out.withColumn("repetitions", (F.col("_whole") + (cell < F.col("_cut")).cast("long")).cast("long")).drop("_source", "_whole", "_cut")
+    return out.withColumn(repetitions, (F.col("_whole") + (cell < F.col("_cut")).cast("long")).cast("long")).drop("_source", "_whole", "_cut")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """``docs`` (doc_id, source, text, more) with size, source_size, target and repetitions.
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, names: tuple[str, str, str] = ("source_size", "target", "repetitions")) -> DataFrame:
+    """``docs`` (doc_id, source, text, more) with its source's size, its target and the repetitions.
 
     Size is the number of words (null text: 0). Sources go by code point with
     null last and take the weights in turn. Documents of size 0 follow their
@@ -108,7 +109,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int
     """
     sized = kept(docs.select("source", word_count(F.col("text")).alias("size"), hash24(F.col("doc_id"), seed).alias("cell")), "mix-sizes")
     plan = mix_plan(sized, weights, max_epochs)
-    return with_repetitions(docs, plan, seed)
+    return with_repetitions(docs, plan, seed, names)
 
 
 def mixture_report(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
@@ -121,8 +122,8 @@ def mixture_report(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_ep
 
 def repeated(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: every document as often as its repetitions say, in the columns of ``docs``."""
-    out = mixed(docs, **params)
-    return out.where(F.col("repetitions") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repetitions").cast("int")))).select(*docs.columns)
+    out = mixed(docs, names=("_mix_size", "_mix_target", "_mix_repetitions"), **params)
+    return out.where(F.col("_mix_repetitions") > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_repetitions").cast("int")))).select(*docs.columns)
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -178,10 +178,13 @@ def cut_off(tokens: DataFrame) -> int:
     return best
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` (spans of the base rules) and ``tokens`` (what the battery says of the others); null texts are empty."""
+def scanned(docs: DataFrame, base: str = "base", tokens: str = "tokens") -> DataFrame:
+    """``docs`` with ``base`` (spans of the base rules) and ``tokens`` (what the battery says of the others).
+
+    Null texts are empty; columns of these names are replaced.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("base", base_spans(text)).withColumn("tokens", tested(text, F.col("base")))
+    return docs.withColumn(base, base_spans(text)).withColumn(tokens, tested(text, F.col(base)))
 
 
 def added_spans(tokens: Column, cut: int) -> Column:
@@ -207,7 +210,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     Nulls stay null; overlapping spans become one mark; no row is dropped.
     """
     cut = corpus_cut_off(docs)
-    found = scanned(docs.drop("base", "tokens")).withColumn("_spans", F.array_sort(F.concat("base", added_spans(F.col("tokens"), cut))))
+    found = scanned(docs, "_base", "_tokens").withColumn("_spans", F.array_sort(F.concat("_base", added_spans(F.col("_tokens"), cut))))
     text = F.col("text")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 

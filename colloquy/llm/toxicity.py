@@ -132,8 +132,8 @@ def features(rows: np.ndarray, column: np.ndarray) -> np.ndarray:
     return out.reshape(len(rows), width)
 
 
-def landmarks(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Codes of the words whose presence best separates the classes; ties by the word."""
+def landmarks(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words whose presence best tells toxic texts and of the commonest clean ones, and how well each tells."""
     seen = {0: Counter(), 1: Counter()}
     for text, label in zip(texts, labels, strict=True):
         seen[int(label)].update(set(re.findall(r"[^\W\d_]{3,}", text.lower())))
@@ -145,12 +145,13 @@ def landmarks(texts: list[str], labels: np.ndarray) -> np.ndarray:
 
     words = sorted(seen[1].keys() | seen[0].keys(), key=lambda w: (-gain(w), w))
     chosen = words[: LANDMARKS * 3 // 4] + [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0]))][: LANDMARKS // 4]
+    chosen = list(dict.fromkeys(chosen))
     rows = np.zeros((len(chosen), WINDOW), np.uint8)
     for i, word in enumerate(chosen):
         codes, a, b = squeezed([word])
         row = codes[a[0] - 1 : b[0] + 1][:WINDOW]
         rows[i, WINDOW - len(row) :] = row
-    return rows
+    return rows, np.array([max(0.0, gain(w)) ** 2 for w in chosen])
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 0.5, passes: int = 40) -> tuple[np.ndarray, float]:
@@ -170,7 +171,8 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 0.5, passes: int = 40) -> tu
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and offset of P(y = 1 | x), by Newton steps with a little shrinkage on standardised columns."""
-    mean, sd = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd = np.maximum(sd, 0.25)  # what is nearly the same in all texts tells next to nothing
     z = np.concatenate([(x - mean) / sd, np.ones((len(x), 1))], axis=1)
     w, shrink = np.zeros(z.shape[1]), np.diag([0.5] * x.shape[1] + [1e-3])
     for _ in range(60):
@@ -209,7 +211,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     """The machine from labelled texts; with one class only, a constant score (that class; 0 if there are no texts)."""
     if not 0 < labels.sum() < len(labels):
         return Model(np.zeros(GRAMS, np.float32), np.zeros(5), 30.0 if labels.sum() else -30.0)
-    marks = landmarks(texts, labels)
+    marks, first = landmarks(texts, labels)
     used = np.unique(np.concatenate([index.ravel() for index, _ in grams(marks)]))
     used = used[used > 0]
     column = np.full(GRAMS, -1, np.int32)
@@ -225,8 +227,6 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     keep = values > 1e-4 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])  # K_mm^(-1/2)
-    first = np.zeros(len(base))
-    first[: LANDMARKS * 3 // 4] = 1.0
     weights = table_of(first @ base)
     toxic = [t for t, y in zip(texts, labels, strict=True) if y]
     clean = [t for t, y in zip(texts, labels, strict=True) if not y]
@@ -272,16 +272,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_TEXT
     return [t for _, t, _ in got], np.array([int(y) for *_, y in got], np.int64)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxicity`` from 0 to 1, from the whole text; a null text scores as an empty one. A column of that name is replaced."""
-    rest = docs.drop("toxicity")
+def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """``docs`` with a score from 0 to 1, from the whole text; a null text scores as an empty one. A column named as ``name`` is replaced."""
+    rest = docs.drop(name)
     names = rest.columns
-    schema = rest.withColumn("toxicity", F.lit(0.0)).schema
+    schema = rest.withColumn(name, F.lit(0.0)).schema
 
     def run(batches_):
         for batch in batches_:
             score = score_texts(batch.column(names.index("text")).to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*names, name])
 
     return rest.mapInArrow(run, schema)
 
@@ -289,7 +289,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score below ``threshold``, in the columns of ``docs``."""
     model = fit(*labelled_sample(docs, labels))
-    return scored(docs, model).where(F.col("toxicity") < threshold).select(*docs.columns)
+    return scored(docs, model, "_toxicity").where(F.col("_toxicity") < threshold).select(*docs.columns)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
