@@ -448,3 +448,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document's set size and component at a similarity of 0.75."""
     return clustered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The same by brute force: all pairs that share a shingle, then everything reachable.
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lists AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+sets AS (SELECT DISTINCT doc_id, md5_number(unnest(s)) AS e FROM lists),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x AS doc_id, y AS other FROM sides UNION SELECT r.doc_id, b.y FROM reach r JOIN sides b ON r.other = b.x)
+SELECT l.doc_id, COALESCE(n, 0) AS n_shingles, COALESCE(LEAST(l.doc_id, m), l.doc_id) AS component_id
+FROM lists l LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1) USING (doc_id)
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
-from .jaccard import op9_jaccard_join
+from .jaccard import OP9_SQL, op9_jaccard_join
 from .langid import op8_language_mixture
 from .licenses import OP6_SQL, op6_licence_sentences
 from .mixing import OP2_SQL, op2_source_mix
@@ -30,4 +30,5 @@ SQL = {
     "op1_exact_top_products": OP1_SQL,
     "op2_source_mix": OP2_SQL,
     "op6_licence_sentences": OP6_SQL,
+    "op9_jaccard_join": OP9_SQL,
 }
