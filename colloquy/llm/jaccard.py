@@ -27,8 +27,8 @@ drops almost all wrong pairs; the rest are verified on the whole texts. Linked
 representatives are contracted to components. In groups that still hold
 different components, every pair across components is then held against the
 sketches, in blocks. Of the pairs that pass, a block hands on a spanning forest
-of its components, which is verified and contracted; that goes on until no block
-has a pair left that wasn't tried. So no link is lost, and a large group of near
+of its components, which is verified and contracted, twice; what is left and
+wasn't tried is then verified in full. So no link is lost, and a large group of near
 copies costs a number of pairs in proportion to its size: the members of its
 main component meet only those outside it.
 """
@@ -54,7 +54,7 @@ BROADCAST_ROWS = 400_000
 SMALL = 64
 BLOCK = 512
 #: Rounds in which blocks hand on spanning forests; one more hands on every pair that is left.
-FORESTS = 5
+FORESTS = 2
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
