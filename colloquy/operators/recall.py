@@ -26,6 +26,13 @@ def _scored(queries: DataFrame, memories: DataFrame, region: bool) -> DataFrame:
     return rows.select("query", "memory_id", F.round(cosine(F.col("_q"), F.col("embedding")), 6).alias("score"))
 
 
+def _scored_pairs(pairs: DataFrame, queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """The similarity of given pairs (query, memory_id, more)."""
+    q = queries.select(F.col("memory_id").alias("query"), F.col("embedding").alias("_q"))
+    rows = pairs.where("query <> memory_id").join(q, "query").join(memories.select("memory_id", F.col("embedding").alias("_m")), "memory_id")
+    return rows.withColumn("score", F.round(cosine(F.col("_q"), F.col("_m")), 6)).drop("_q", "_m")
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query").orderBy(F.desc("score"), "memory_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -47,7 +54,7 @@ def recall_vector(queries: DataFrame, memories: DataFrame, k: int, region: bool
 def recall_anchored(queries: DataFrame, memories: DataFrame, edges: DataFrame, k: int, hops: int = 2) -> DataFrame:
     """As recall_vector(), among memories at most ``hops`` steps from the query's own node."""
     near = neighbourhood(edges, queries.select(F.col("memory_id").alias("query"), F.col("memory_id").alias("node")), hops).select("query", F.col("node").alias("memory_id"))
-    return top(_scored(queries, memories, False).join(near, ["query", "memory_id"], "left_semi"), k)
+    return top(_scored_pairs(near, queries, memories).select("query", "memory_id", "score"), k)
 
 
 def recall_fused(queries: DataFrame, memories: DataFrame, edges: DataFrame, k: int, rounds: int = 10, damping: float = 0.85, alpha: float = 0.7, cap: int = 100_000, hops: int = 2, tolerance: float = 1e-6) -> DataFrame:
@@ -59,8 +66,7 @@ def recall_fused(queries: DataFrame, memories: DataFrame, edges: DataFrame, k: i
     frontier exceeded ``cap``; termination_reason is term_cond if the last round
     changed less than ``tolerance``, else max_hops.
     """
-    scored = _scored(queries, memories, False)
-    seeds = top(scored, 2 * k).withColumn("w", F.greatest("score", F.lit(0.0)))
+    seeds = recall_vector(queries, memories, 2 * k).withColumn("w", F.greatest("score", F.lit(0.0)))
     seeds = seeds.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("query"))).select("query", F.col("memory_id").alias("node"), "w").checkpoint()
     area = neighbourhood(edges, seeds.select("query", "node"), hops, cap)
     nodes = area.select("query", "node").distinct()
@@ -80,5 +86,6 @@ def recall_fused(queries: DataFrame, memories: DataFrame, edges: DataFrame, k: i
     rank = rank.withColumn("r", F.col("r") / F.greatest(F.max("r").over(Window.partitionBy("query")), F.lit(1e-300)))
     flags = area.groupBy("query").agg(F.bool_or("censored").alias("graph_censored"))
     done = change.select("query", F.when(F.col("change") < tolerance, "term_cond").otherwise("max_hops").alias("termination_reason"))
-    fused = scored.join(rank.select("query", F.col("node").alias("memory_id"), "r"), ["query", "memory_id"]).withColumn("score", F.round(alpha * F.col("score") + (1 - alpha) * F.col("r"), 6)).drop("r")
+    pairs = _scored_pairs(rank.select("query", F.col("node").alias("memory_id"), "r"), queries, memories)
+    fused = pairs.select("query", "memory_id", F.round(alpha * F.col("score") + (1 - alpha) * F.col("r"), 6).alias("score"))
     return top(fused, k).join(flags, "query").join(done, "query")

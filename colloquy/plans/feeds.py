@@ -12,7 +12,7 @@ from colloquy.sources import io, validate
 from colloquy.streaming import feeds as S
 
 from .lives import DOCS, ROLES, SESS, USERS, documents_of_status
-from .messages import ALLOWED, LOG, OUT, channels, log, optout
+from .messages import ALLOWED, LOG, NORMAL, OUT, channels, log, normal, optout, raw
 from .views import NOW, duck, view
 
 
@@ -134,10 +134,40 @@ def purge(s, d):
     return io.apply_purge(io.apply_purge(index, L.expired(calls, NOW, 900), "audio"), L.expired(calls, NOW, 400, video=True), "video")
 
 
-QUERIES = {"scan_status": scan_status, "scan_calls": scan_calls, "write_call_artifacts": artifacts, "sink_events_idempotent": sink_twice, "stream_ingest": ingest, "stream_backfill": backfill, "stream_dedupe": dedupe, "stream_utterances": utterances, "stream_queue": queue, "stream_quarantine": quarantine, "stream_voice_sessions": sessions, "apply_purge": purge}
+def message_stream(s, d):
+    """Raw messages as a feed, normalised by the batch function."""
+    path, schema = laid_out(s, raw(s, d).repartition(3), "raw")
+    out = appended(s, M.normalize_messages(S.source(s, path, schema, 1)), "normal")
+    return out.select("message_id", "channel_id", "thread_id", "author_name", F.md5("content").alias("content_md5"))
+
+
+def consent(s, d):
+    """Consent as a JSON file of the channels and authors that occur, read back and applied."""
+    path = place(s, "consent")
+    rows = normal(s, d)
+    allowed = F.collect_set(F.when(F.substring("channel_id", 2, 9).cast("int") % 2 == 0, F.col("channel_id")))
+    out = F.collect_set(F.when(F.substring("author_id", 2, 9).cast("int") % 10 == 3, F.col("author_id")))
+    rows.agg(F.to_json(F.struct(allowed.alias("allowChannels"), out.alias("optOutMembers"))).alias("value")).write.text(path)
+    channels_, optout_, every = io.consent_source(s, path)
+    return M.gate_with_reason(rows, channels_, optout_, every).select("message_id", "skip_reason")
+
+
+def manifests(s, d):
+    """Manifests of calls, some without a guild, some with an end that isn't in UTC."""
+    iso = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    track = F.array(F.struct(F.lit("u1").alias("user_id"), F.lit("Ada").alias("display_name"), F.lit("a.wav").alias("path"), F.lit(0).cast("long").alias("start_offset_ms")))
+    video = F.when(F.col("has_video"), F.struct(F.when(F.col("o_orderkey") % 7 != 0, "v.mkv").alias("path"), iso.alias("started_at"), F.lit(-5).cast("long").alias("start_offset_ms")))
+    rows = view(s, d, "call_status").withColumns({"guild_id": F.when(F.col("o_orderkey") % 8 != 0, "g1"), "started_at": iso, "ended_at": F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.substring(iso, 1, 19), F.lit("+02:00"))), "tracks": track, "video": video})
+    return rows.select("call_id", validate.manifest_errors().alias("errors"))
+
+
+QUERIES = {"message_stream": message_stream, "consent_source": consent, "validate_manifest": manifests, "scan_status": scan_status, "scan_calls": scan_calls, "write_call_artifacts": artifacts, "sink_events_idempotent": sink_twice, "stream_ingest": ingest, "stream_backfill": backfill, "stream_dedupe": dedupe, "stream_utterances": utterances, "stream_queue": queue, "stream_quarantine": quarantine, "stream_voice_sessions": sessions, "apply_purge": purge}
 
 STORED = LOG + f", stored AS (SELECT event_key, kind FROM log WHERE kind = 'delete' OR (kind IN ('create', 'edit') AND {ALLOWED} AND NOT ({OUT})))\n"
 SQL = {
+    "message_stream": duck(NORMAL + "SELECT message_id, channel_id, thread_id, author_name, md5(content) AS content_md5 FROM normal", "raw_messages"),
+    "consent_source": duck(NORMAL + "SELECT message_id, skip_reason FROM gated", "raw_messages"),
+    "validate_manifest": duck("SELECT call_id, concat_ws('; ', CASE WHEN o_orderkey % 8 = 0 THEN 'guild_id: empty' END, CASE WHEN o_orderkey % 5 = 0 THEN 'ended_at: not an ISO time' END, CASE WHEN has_video AND o_orderkey % 7 = 0 THEN 'video: not valid' END) AS errors FROM call_status", "call_status"),
     "scan_status": duck(DOCS + "SELECT call_id, CASE WHEN status = 'lost' OR bad_time THEN 'rejected' ELSE 'valid' END AS state FROM docs", "call_status"),
     "scan_calls": duck("SELECT call_id, CASE WHEN o_orderkey % 9 = 0 THEN 'tracks: a track is not valid' ELSE '' END AS errors FROM call_status", "call_status"),
     "write_call_artifacts": duck("SELECT CASE WHEN started_at < TIMESTAMP '1995-01-01' THEN 2 ELSE 1 END AS version, count(*) AS n FROM call_status GROUP BY 1", "call_status"),
