@@ -101,44 +101,54 @@ def normal_tail(z: Column) -> Column:
 
 def chi3_tail(x: Column) -> Column:
     """P(chi-squared with three degrees of freedom > x), by the cube root's normal score."""
-    return normal_tail((F.cbrt(F.greatest(x, F.lit(0.0)) / 3) - (1 - 2 / 27)) / math.sqrt(2 / 27))
+    return _let((F.cbrt(F.greatest(x, F.lit(0.0)) / 3) - (1 - 2 / 27)) / math.sqrt(2 / 27), normal_tail)
 
 
-def _scores(token: Column, alphabet: str) -> Column:
+def _alphabet(token: Column) -> Column:
+    """The smallest alphabet that holds the token; null for plain numbers."""
+    out = F.lit(ENCODINGS[-1][1])
+    for _, alphabet in reversed(ENCODINGS[:-1]):
+        out = F.when(token.rlike("^[" + alphabet + "]+$"), alphabet).otherwise(out)
+    mixed = token.rlike("[+/]") & token.rlike("[-_]")
+    return F.when(token.rlike("^[0-9]+$") | mixed, F.lit(None).cast("string")).otherwise(out)
+
+
+def _scores(token: Column, alphabet: Column) -> Column:
     """struct(p_random, p_written) of a token over ``alphabet``."""
-    size = len(alphabet)
-    n = F.length(token).cast("double")
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    codes = F.filter(codes, lambda x: x > 0)
+    codes = F.filter(F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double")), lambda x: x > 0)
+    kinds = F.translate(token, DIGITS + LOWER + UPPER + "+/_-", "0" * 10 + "a" * 26 + "A" * 26 + "+" * 4)
+    changes = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    pairs = lambda a, f: total(F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a) - 1), f))
 
-    def from_codes(x):
-        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    def sums(x):
         counts = F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda w: w == v)).cast("double"))
-        chi = size / n * total(F.transform(counts, lambda c: c * c)) - n
-        df = size - 1
-        z_chi = (F.cbrt(F.greatest(chi, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-        high = F.transform(x, lambda v: (v > size / 2).cast("double"))
-        n1 = total(high)
-        turns = total(F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high) - 1), lambda a, b: (a != b).cast("double")))
-        mean = 2 * n1 * (n - n1) / n
-        var = mean * (mean - 1) / (n - 1)
-        z_runs = F.when(var > 0, (turns - mean) / F.sqrt(var)).otherwise(F.lit(9.0))
-        centre = total(x) / n
-        dev = F.transform(x, lambda v: v - centre)
-        power = total(F.transform(dev, lambda d: d * d))
-        lag = total(F.zip_with(F.slice(dev, 1, F.size(dev) - 1), F.slice(dev, 2, F.size(dev) - 1), lambda a, b: a * b))
-        z_lag = F.when(power > 0, (lag / power + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
-        upper = F.greatest(z_chi, F.lit(0.0))
-        random = chi3_tail(upper * upper + z_runs * z_runs + z_lag * z_lag)
+        high = F.transform(x, lambda v: (v > F.length(alphabet) / 2).cast("double"))
+        return F.struct(
+            F.length(alphabet).cast("double").alias("size"), F.length(token).cast("double").alias("n"), changes.cast("double").alias("changes"), total(F.transform(counts, lambda c: c * c)).alias("squares"),
+            total(high).alias("n1"), pairs(high, lambda a, b: (a != b).cast("double")).alias("turns"), total(x).alias("sum"), total(F.transform(x, lambda v: v * v)).alias("power"), pairs(x, lambda a, b: a * b).alias("products"),
+            (F.element_at(x, 1) + F.element_at(x, -1)).alias("ends"))
+
+    def statistics(m):
+        size, n, mean = m["size"], m["n"], m["sum"] / m["n"]
+        turns = 2 * m["n1"] * (n - m["n1"]) / n
+        return F.struct(
+            size.alias("size"), n.alias("n"), m["changes"].alias("changes"), (size / n * m["squares"] - n).alias("chi"), m["turns"].alias("turns"), turns.alias("expected"), (turns * (turns - 1) / (n - 1)).alias("var"),
+            (m["power"] - n * mean * mean).alias("power"), (m["products"] - mean * (2 * m["sum"] - m["ends"]) + (n - 1) * mean * mean).alias("lag"))
+
+    def verdict(m):
+        size, n, df = m["size"], m["n"], m["size"] - 1
+        z_chi = (F.cbrt(F.greatest(m["chi"], F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        z_runs = F.when(m["var"] > 0, (m["turns"] - m["expected"]) / F.sqrt(m["var"])).otherwise(F.lit(9.0))
+        z_lag = F.when(m["power"] > 1e-9, (m["lag"] / m["power"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
+        random = F.pow(F.greatest(z_chi, F.lit(0.0)), 2) + F.pow(z_runs, 2) + F.pow(z_lag, 2)
         expected = size * (n - 1) * REPEAT + size - n
         spread = 2 * size / n * F.sqrt(n * (n - 1) / 2 * REPEAT + CLUSTER * n * n * n)
-        kinds = F.translate(token, DIGITS + LOWER + UPPER + "+/_-", "0" * 10 + "a" * 26 + "A" * 26 + "+" * 4)
-        changes = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1
-        z_change = (changes - CHANGE * (n - 1)) / F.sqrt(CHANGE * (1 - CHANGE) * (n - 1))
-        written = normal_tail(((expected - chi) / spread + z_change) / math.sqrt(2))
-        return F.struct(random.alias("p_random"), written.alias("p_written"))
+        z_change = (m["changes"] - CHANGE * (n - 1)) / F.sqrt(CHANGE * (1 - CHANGE) * (n - 1))
+        z_written = ((expected - m["chi"]) / spread + z_change) / math.sqrt(2)
+        return F.struct(_let(random, chi3_tail).alias("p_random"), _let(z_written, normal_tail).alias("p_written"))
 
-    return _let(codes, from_codes)
+    return _let(_let(_let(codes, sums), statistics), verdict)
 
 
 def tested(text: Column, base: Column) -> Column:
@@ -147,14 +157,7 @@ def tested(text: Column, base: Column) -> Column:
 
     def judge(s):
         token = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-
-        def scores(t):
-            out = F.lit(None).cast("struct<p_random:double,p_written:double>")
-            for _, alphabet in reversed(ENCODINGS):
-                shape = "^[" + alphabet.replace("-", "\\-") + "]+$"
-                out = F.when(t.rlike(shape), _scores(t, alphabet)).otherwise(out)
-            return F.when(t.rlike("^[0-9]+$"), F.lit(None).cast("struct<p_random:double,p_written:double>")).otherwise(out)
-
+        scores = lambda t: _let(_alphabet(t), lambda a: _scores(t, a))
         return _let(_let(token, scores), lambda p: F.struct(s["start"].alias("start"), s["end"].alias("end"), p["p_random"].alias("p_random"), p["p_written"].alias("p_written")))
 
     free = F.filter(places, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
