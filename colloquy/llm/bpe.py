@@ -32,10 +32,11 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Pre-tokens in a generation of a worker's cache, and the longest that it keeps.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 40
-#: Code points handled before a batch of results is handed on.
-BATCH_CHARS = 4_000_000
+#: Code points encoded, and ids decoded, before a batch of results is handed on.
+BATCH_CHARS = 2_000_000
+BATCH_IDS = 250_000
 
 
 BIT = [1 << i for i in range(256)]
@@ -235,7 +236,7 @@ def decoded(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
             raise ValueError("an id outside the vocabulary")
         lo = 0
         while lo < len(column):
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BATCH_CHARS // 4, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BATCH_IDS, side="right")) - 1)
             mine = flat[ends[lo] : ends[hi]]
             sums = np.concatenate([[0], np.cumsum(c.lengths[mine])])
             offsets = sums[ends[lo : hi + 1] - ends[lo]].astype(np.int32)
