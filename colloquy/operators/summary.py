@@ -93,18 +93,18 @@ def scrub_speaker_sections(summaries: DataFrame, out_names: DataFrame) -> DataFr
 
 
 def facts(summaries: DataFrame) -> DataFrame:
-    """One row a topic, decision, question, action item and speaker section: call_id, kind, idx, owner, body."""
-    def one(kind, array, owner, body):
-        return summaries.select("call_id", F.lit(kind).alias("kind"), F.posexplode(array).alias("idx", "x")).select("call_id", "kind", "idx", owner.alias("owner"), body.alias("body"))
-
-    none, x = F.lit(None).cast("string"), F.col("x")
-    parts = [one(kind, f"summary.full_call.{name}", none, x) for kind, name in (("topic", "key_topics"), ("decision", "decisions"), ("question", "open_questions"))]
-    parts.append(one("action", "summary.full_call.action_items", F.col("x.owner"), F.col("x.item")))
-    parts.append(one("speaker", "summary.per_speaker", F.col("x.display_name"), F.array_join("x.contributions", "\n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """One row a topic, decision, question, action item and speaker section: call_id, kind, idx, owner, body. One pass over the summaries."""
+    none = F.lit(None).cast("string")
+    full = "summary.full_call."
+
+    def listed(kind, array, owner, body):
+        one = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("idx"), owner(x).alias("owner"), body(x).alias("body"))
+        return F.transform(array, one)
+
+    parts = [listed(kind, full + name, lambda x: none, lambda x: x) for kind, name in (("topic", "key_topics"), ("decision", "decisions"), ("question", "open_questions"))]
+    parts.append(listed("action", full + "action_items", lambda x: x["owner"], lambda x: x["item"]))
+    parts.append(listed("speaker", "summary.per_speaker", lambda x: x["display_name"], lambda x: F.array_join(x["contributions"], "\n")))
+    return summaries.select("call_id", F.explode(F.concat(*parts)).alias("f")).select("call_id", "f.*")
 
 
 def render_summary_md(call_id: Column, s: Column, video: Column) -> Column:
