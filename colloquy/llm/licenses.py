@@ -2,7 +2,9 @@
 
 A text is cut into sentences, which are normalised (ASCII lower case, anything
 but letters and digits as one space) and looked up among known licence
-sentences. What is left is a short sequence of identifiers, on which ordered
+sentences and families of them. A sentence may be wrapped over lines: it ends
+at a sentence end or a blank line, and a known one begins and ends where a line
+or sentence does. What isn't known counts line by line. What is left is a short sequence of identifiers, on which ordered
 rules are matched: the first rule that fits takes its identifiers out of the
 sequence and names a licence, then the next rule is tried on the rest.
 Sentences that speak of a licence without being known are marked unknown.
@@ -82,24 +84,88 @@ RULES = [
 ]
 CUT = r"[.!?;:]+[\x20\x09-\x0D]+|[.!?;:]+\z|[\x0A\x0D]+"
 
+# What follows goes beyond OP6_SQL, which has the sentences above in one line only.
+
+#: "this software is licensed under the terms of the" and its like.
+LEAD = r"(?:(?:this|the|these|all|our) (?:[a-z]+ ){1,4}?(?:is|are) )?(?:dual |hereby )?(?:licen[sc]ed|released|distributed|made available|available|provided|published|shared) under (?:the |an? )?(?:terms (?:and conditions )?of (?:the |an? )?)?"
+_V, _LATER = r"(?: version| v)? ?", r"(?: or(?: at your option)?(?: any)? (?:later|newer)(?: version)?| or above| or greater)"
+_GPL, _LGPL, _AGPL = r"(?:gnu )?(?:general public licen[sc]e|gpl)", r"(?:gnu )?(?:(?:lesser|library) general public licen[sc]e|lgpl)", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)"
+_CC = [("by-nc-sa", r"(?:attribution non ?commercial share ?alike|by nc sa)"), ("by-nc-nd", r"(?:attribution non ?commercial no ?deriv(?:ative)?s|by nc nd)"), ("by-nc", r"(?:attribution non ?commercial|by nc)"), ("by-sa", r"(?:attribution share ?alike|by sa)"), ("by-nd", r"(?:attribution no ?deriv(?:ative)?s|by nd)"), ("by", r"(?:attribution|by)")]
+
+
+def _families() -> list[tuple[str, str, str | None]]:
+    """(identifier, pattern of the whole normalised sentence, licence or None where RULES name it); the first that fits counts."""
+    under = [("mitlicensed", r"mit(?: x11)?(?: licen[sc]e)?", None), ("apache2grant", r"(?:apache(?: software)? licen[sc]e" + _V + r"2(?: 0)?|apache 2(?: 0)?(?: licen[sc]e)?)(?: the licen[sc]e)?", None)]
+    for n, name, words in (("3", "BSD-3-Clause", "new|modified|revised"), ("2", "BSD-2-Clause", "simplified|freebsd")):
+        under.append((f"bsd{n}licensed", rf"(?:{n} clause bsd|bsd {n} clause|(?:{words})(?: bsd)?)(?: licen[sc]e)?", name))
+    under.append(("bsdlicensed", r"bsd(?: style)?(?: licen[sc]e)?", None))
+    for name, words, versions in (("GPL", _GPL, "32"), ("LGPL", _LGPL, ("3", "2 1", "2")), ("AGPL", _AGPL, "3")):
+        for v in versions:
+            number, dotted, known = v + ("" if " " in v else "(?: 0)?"), v.replace(" ", ".") if " " in v else v + ".0", name == "GPL"
+            under.append((f"{name.lower()}{v.replace(' ', '')}later", words + _V + number + _LATER, None if known else f"{name}-{dotted}-or-later"))
+            under.append((f"{name.lower()}{v.replace(' ', '')}", words + _V + number + "(?: only| licen[sc]e)?", None if known else f"{name}-{dotted}"))
+        under.append(("lgplgrant" if name == "LGPL" else name.lower(), words + "(?: licen[sc]e)?", None if name == "LGPL" else name))
+    under += [("mpl2", r"(?:mozilla public licen[sc]e|mpl)" + _V + r"2(?: 0)?", None)]
+    under += [(f"epl{v}", rf"(?:eclipse public licen[sc]e|epl){_V}{v}(?: 0)?", f"EPL-{v}.0") for v in "12"]
+    under += [("isclicensed", r"isc(?: licen[sc]e)?", "ISC"), ("unlicensed", r"unlicen[sc]e(?: licen[sc]e)?", "Unlicense"), ("boostlicensed", r"boost software licen[sc]e" + _V + r"(?:1(?: 0)?)?", "BSL-1.0"), ("zliblicensed", r"zlib(?: libpng)?(?: licen[sc]e)?", "Zlib"), ("artistic2", r"artistic licen[sc]e" + _V + r"2(?: 0)?", "Artistic-2.0"), ("odbl", r"(?:open database licen[sc]e|odbl)(?: odbl)?" + _V + r"(?:1(?: 0)?)?", "ODbL-1.0")]
+    for kind, words in _CC:
+        for v in ("4 0", "3 0", "2 5", "2 0", "1 0", ""):
+            own = {("by", "4 0"): "ccby", ("by-sa", "4 0"): "ccbysa"}.get((kind, v))
+            number = _V + v + "(?: international| unported| generic)?" if v else ""
+            under.append((own or f"cc{kind}{v or 'any'}".replace("-", "").replace(" ", ""), rf"(?:creative commons|cc) {words}{number}(?: public)?(?: licen[sc]e)?(?: cc {kind.replace('-', ' ')}(?: {v})?)?", None if own else f"CC-{kind.upper()}" + (f"-{v.replace(' ', '.')}" if v else "")))
+    under.append(("cc0", r"(?:creative commons |cc )?(?:cc0|zero)" + _V + r"(?:1(?: 0)?)?(?: universal)?(?: public domain dedication)?(?: licen[sc]e)?", None))
+    out = [(i, LEAD + p, x) for i, p, x in under]
+    out.append(("mpl2grant", r"this source code form is subject to the terms of the mozilla public licen[sc]e v(?:ersion)? 2 0", None))
+    out.append(("cc0", r"(?:this|the|these) (?:[a-z]+ ){1,4}?(?:is|are|has been|have been) (?:hereby )?dedicated to the public domain", None))
+    out.append(("publicdomain", r"(?:this|the|these) (?:[a-z]+ ){1,4}?(?:is|are|has been|have been) (?:hereby )?(?:in|released into|released to|placed in|placed into) the public domain", None))
+    return out
+
+
+FAMILIES = _families()
+#: Licences of the identifiers that RULES don't name.
+MORE_RULES = sorted({(x, i) for i, _, x in FAMILIES if x})
+WIDE_HINT = HINT + r"|public\s+domain|rights\s+reserved|free\s+software|(?:licen[sc]ed|released|distributed|available|provided|published|shared)\s+under"
+#: An end of a sentence; "v." before a number is none.
+END = r"(?<![^a-z0-9]v)[.!?;:]+(?:[\x20\x09-\x0D]+|\z)"
+
+
+def _piece() -> str:
+    """Pattern of one known sentence, which may hold line breaks, or else of what is left of one line."""
+    under, other = [p.removeprefix(LEAD) for _, p, _ in FAMILIES if p.startswith(LEAD)], [p for _, p, _ in FAMILIES if not p.startswith(LEAD)]
+    known = "|".join([*sorted(SENTENCES.values(), key=len, reverse=True), LEAD + "(?:" + "|".join(under) + ")", *other])
+    return rf"(?<![^|\n])(?:{known.replace(' ', '[ ' + chr(92) + 'n]')})(?![^|\n])|(?<![^|\n])[^|\n]+"
+
+
+PIECE = _piece()
+
+
+def pieces(text: Column) -> Column:
+    """Normalised sentences of a text in order: known ones whole, others by line."""
+    plain = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ|\r", "abcdefghijklmnopqrstuvwxyz \n")
+    plain = F.replace(plain, F.lit("license-identifier:"), F.lit("license-identifier"))  # a tag is one sentence
+    for pattern, by in ((END, "|"), (r"[^a-z0-9|\n]+", " "), (r" *\n *(?:\n *)+", "|"), (r" *([|\n]) *", "$1"), (r"\A +| +\z", "")):
+        plain = F.regexp_replace(plain, pattern, by)
+    return F.transform(F.regexp_extract_all(plain, F.lit(PIECE), F.lit(0)), lambda x: F.translate(x, "\n", " "))
+
 
 def identifiers(text: Column) -> Column:
     """Identifiers of a text's licence sentences, in order."""
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lowered = F.replace(lowered, F.lit("license-identifier:"), F.lit("license-identifier"))  # a tag is one sentence
-    sentences = F.transform(F.split(lowered, CUT, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, name)])
 
     def name(s):
-        other = F.when(s.rlike(SPDX), F.concat(F.lit("spdx "), F.substring(s, 25, 80))).when(s.rlike(COPYRIGHT), F.lit("copyright"))
-        return F.coalesce(F.try_element_at(known, s), other, F.when(s.rlike(UNKNOWN), F.lit("unknown")))
+        other = F.when(s.rlike(SPDX), F.concat(F.lit("spdx "), F.replace(s, F.lit("spdx license identifier "), F.lit("")))).when(s.rlike(COPYRIGHT), F.lit("copyright"))
+        family = F.lit(None).cast("string")
+        for i, pattern, _ in reversed(FAMILIES):
+            family = F.when(s.rlike(f"^(?:{pattern})$"), F.lit(i)).otherwise(family)
+        family = F.when(s.rlike("(?: under | the public domain$|mozilla)"), family)
+        return F.coalesce(F.try_element_at(known, s), other, family, F.when(s.rlike(UNKNOWN), F.lit("unknown")))
 
-    found = F.filter(F.transform(sentences, name), lambda x: x.isNotNull())
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+    found = F.filter(F.transform(pieces(text), name), lambda x: x.isNotNull())
+    return F.when(text.rlike(WIDE_HINT), found).otherwise(F.array().cast("array<string>"))
 
 
 def licensed(docs: DataFrame) -> DataFrame:
-    """``docs`` with licence_sentences (identifiers in order) and licences (names in the order of the rules, then SPDX tags).
+    """``docs`` with licence_sentences (identifiers in order) and licences (names in the order of the rules, then of MORE_RULES, then SPDX tags).
 
     A null or empty text has neither. Each rule names its licence once, however
     often it fits. Columns of these names are replaced.
@@ -109,8 +175,9 @@ def licensed(docs: DataFrame) -> DataFrame:
     for name, pattern in RULES:
         fits = F.col("_rest").rlike(pattern)
         out = out.withColumns({"_names": F.when(fits, F.concat("_names", F.array(F.lit(name)))).otherwise(F.col("_names")), "_rest": F.when(fits, F.regexp_replace("_rest", pattern, ",")).otherwise(F.col("_rest"))})
-    tags = F.transform(F.filter("licence_sentences", lambda x: x.startswith("spdx ")), lambda x: F.translate(F.substring(x, 6, 80), " ", "-"))
-    return out.withColumn("licences", F.array_distinct(F.concat("_names", tags))).drop("_rest", "_names")
+    more = F.transform(F.filter(F.array(*(F.lit(i) for _, i in MORE_RULES)), lambda i: F.array_contains("licence_sentences", i)), lambda i: F.try_element_at(F.create_map(*[F.lit(v) for x, i in MORE_RULES for v in (i, x)]), i))
+    tags = F.transform(F.filter("licence_sentences", lambda x: x.startswith("spdx ")), lambda x: F.translate(F.replace(x, F.lit("spdx "), F.lit("")), " ", "-"))
+    return out.withColumn("licences", F.array_distinct(F.concat("_names", more, tags))).drop("_rest", "_names")
 
 
 def op6_licence_sentences(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -83,6 +84,41 @@ def test_licence_rules(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+BSD = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+
+
+@pytest.mark.parametrize("width", [30, 72, 10_000])
+def test_wrapped_licences(spark, width):
+    wrap = lambda t, mark: "\n".join(textwrap.wrap(t, width, initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False))
+    cases = {}
+    for mark in ("", "# ", " * "):
+        cases |= {wrap(MIT, mark): "MIT", "MIT License\n" + wrap(MIT, mark): "MIT", "\r\n".join(wrap(x, mark) for x in BSD).replace("\r\n" * 2, "\r\n"): "BSD-2-Clause", wrap(GPL, mark): "GPL-3.0-or-later", wrap(MPL, mark): "MPL-2.0"}
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: ",".join(r["licences"]) for r in licenses.licensed(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_licence_lines_and_families(spark):
+    cases = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This software is released under the MIT License.": "MIT", "The files are licensed under the Apache License, Version 2.0": "Apache-2.0",
+        "Distributed under the\nBoost Software License, Version 1.0.": "BSL-1.0", "Licensed under the GNU Affero General Public License v3.0 or later.": "AGPL-3.0-or-later", "Released under the 3-clause BSD license.": "BSD-3-Clause", "Licensed under the LGPL, version 2.1.": "LGPL-2.1",
+        "This text is available under the Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0", "Published under CC BY 4.0.": "CC-BY-4.0", "a\n\nReleased under GPL v2": "GPL-2.0", "Licensed under the MIT License\n\nby hand": "MIT", "licensed under the sea": "",
+        "SPDX-License-Identifier: " + " AND ".join(["GPL-2.0-only"] * 12): "-and-".join(["gpl-2-0-only"] * 12)}
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: ",".join(r["licences"]) for r in licenses.licensed(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+@need_tables
+def test_every_licence_line_of_the_tables_names_one(spark, texts):
+    lines = sorted({x for t in texts for x in re.split(r"\n|(?<=[.!?])\s", t or "") if re.match(r"[A-Z].{0,40}\b[Ll]icensed under|Licensed under", x)})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert lines and [lines[r["doc_id"]] for r in licenses.licensed(docs).collect() if not r["licences"]] == []
+
+
 def test_every_known_sentence_is_hinted():
     missing = [n for n, s in licenses.SENTENCES.items() if not re.search(licenses.HINT, s)]
     assert missing == []
