@@ -51,7 +51,7 @@ def stt(s, d):
 
 def call_output_events(s, d):
     kept = C.scrub_segments(merged(s, d), tracks(s, d), optout(s))
-    allowed = calls(s, d).join(channels(s), "channel_id", "left_semi")
+    allowed = calls(s, d).join(channels(calls(s, d)), "channel_id", "left_semi")
     transcript = C.render_transcript(kept).join(allowed, "call_id", "left_semi").select(F.lit("transcript").alias("event_type"), F.concat(F.lit("transcript|"), "call_id").alias("source_ref"), F.md5("transcript").alias("body_md5"))
     overview = F.when(F.col("conv_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("Overview "), "conv_id"))
     summary = C.render_transcript(merged(s, d)).select("call_id").join(allowed, "call_id").select(F.lit("summary").alias("event_type"), F.concat(F.lit("summary|"), "call_id").alias("source_ref"), F.md5(F.when(T.is_blank(overview), F.concat(F.lit("Call "), "call_id")).otherwise(overview)).alias("body_md5"))

@@ -66,21 +66,23 @@ def sink_twice(s, d):
 
 def ingest(s, d):
     """The log as a stream, run twice on one checkpoint."""
-    path, schema = laid_out(s, view(s, d, "message_log").repartition(4), "feed")
+    rows = view(s, d, "message_log")
+    path, schema = laid_out(s, rows.repartition(4), "feed")
     target, checkpoint = place(s, "store"), place(s, "offsets")
     for _ in range(2):
-        S.stream_ingest(S.source(s, path, schema, 1), channels(s), optout(s), target, checkpoint)
+        S.stream_ingest(S.source(s, path, schema, 1), channels(rows), optout(rows), target, checkpoint)
     return s.read.parquet(target).select("event_key", "kind")
 
 
 def backfill(s, d):
     """A history that grows between two runs of one checkpoint."""
-    first, rest = (view(s, d, "message_log").where(f"event_id % 2 = {i}") for i in (0, 1))
+    rows = view(s, d, "message_log")
+    first, rest = (rows.where(f"event_id % 2 = {i}") for i in (0, 1))
     path, schema = laid_out(s, first, "history")
     target, checkpoint = place(s, "store"), place(s, "offsets")
-    S.stream_ingest(S.source(s, path, schema), channels(s), optout(s), target, checkpoint)
+    S.stream_ingest(S.source(s, path, schema), channels(rows), optout(rows), target, checkpoint)
     rest.write.mode("append").parquet(path)
-    S.stream_ingest(S.source(s, path, schema), channels(s), optout(s), target, checkpoint)
+    S.stream_ingest(S.source(s, path, schema), channels(rows), optout(rows), target, checkpoint)
     return s.read.parquet(target).groupBy("kind").agg(F.count_distinct("event_key").alias("keys"))
 
 

@@ -65,7 +65,7 @@ QUERIES = {
     "should_join": lambda s, d: V.should_join(snap(s, d), F.col("channel_id") == "v1", True),
     "should_leave": lambda s, d: V.should_leave(snap(s, d), F.col("channel_id") != "v1"),
     "voice_sessions": lambda s, d: V.voice_sessions(voice(s, d), USERS, ROLES),
-    "armed_channels": lambda s, d: V.armed_channels(voice(s, d), channels(s).select(F.regexp_replace("channel_id", "c", "v").alias("channel_id"))),
+    "armed_channels": lambda s, d: V.armed_channels(voice(s, d), channels(voice(s, d))),
     "align_bursts": lambda s, d: V.align_bursts(bursts(s, d)).select("user_id", "burst_idx", "gap_ms", "written_ms"),
     "track_totals": lambda s, d: V.track_totals(bursts(s, d), F.lit(0).cast("long")),
     "burst_sessions": lambda s, d: V.burst_sessions(bursts(s, d), 7_200_000),

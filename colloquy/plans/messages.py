@@ -11,14 +11,19 @@ from colloquy.operators import messages as M
 from .views import AGENT, duck, view
 
 
-def channels(spark: SparkSession) -> DataFrame:
-    """Channels with even numbers are allowed."""
-    return spark.range(0, 1000, 2).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("channel_id"))
+def _numbered(rows: DataFrame, column: str, name: str, base: int, rest: int) -> DataFrame:
+    """The distinct ids of a column whose number leaves ``rest`` when divided by ``base``."""
+    return rows.select(F.col(column).alias(name)).where(F.substring(name, 2, 20).cast("bigint") % base == rest).distinct()
 
 
-def optout(spark: SparkSession, prefix: str = "u") -> DataFrame:
-    """Users with a number that ends in 3 opted out."""
-    return spark.range(3, 10_000, 10).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("user_id"))
+def channels(rows: DataFrame) -> DataFrame:
+    """Channels of ``rows`` with even numbers are allowed."""
+    return _numbered(rows, "channel_id", "channel_id", 2, 0)
+
+
+def optout(rows: DataFrame, column: str = "author_id") -> DataFrame:
+    """Users of ``rows`` with a number that ends in 3 opted out."""
+    return _numbered(rows, column, "user_id", 10, 3)
 
 
 def raw(spark, d):
@@ -35,7 +40,8 @@ def log(spark, d):
 
 
 def gated(spark, d):
-    return M.gate_with_reason(normal(spark, d), channels(spark), optout(spark))
+    rows = normal(spark, d)
+    return M.gate_with_reason(rows, channels(rows), optout(rows))
 
 
 ALLOWED = "CAST(substr(channel_id, 2) AS INT) % 2 = 0"
@@ -63,9 +69,9 @@ def _digest(df, *cols):
 
 def _events(spark, d):
     lg = log(spark, d)
-    message = M.gate_member(M.gate_channel(lg.where("kind in ('create', 'edit')"), channels(spark)), optout(spark)).select(F.lit("message").alias("event_type"), "source_ref", F.lit(M.REGION).alias("region"), "ts", "author_id")
-    member = M.member_events(M.first_seen_members(lg.where("kind = 'member'"), ["ts", "event_id"]), optout(spark))
-    allowed = M.gate_member(M.gate_channel(lg.where("kind = 'media'"), channels(spark)), optout(spark))
+    message = M.gate_member(M.gate_channel(lg.where("kind in ('create', 'edit')"), channels(lg)), optout(lg)).select(F.lit("message").alias("event_type"), "source_ref", F.lit(M.REGION).alias("region"), "ts", "author_id")
+    member = M.member_events(M.first_seen_members(lg.where("kind = 'member'"), ["ts", "event_id"]), optout(lg))
+    allowed = M.gate_member(M.gate_channel(lg.where("kind = 'media'"), channels(lg)), optout(lg))
     media = allowed.select(F.lit("media").alias("event_type"), F.concat(F.lit("media|"), F.col("event_id").cast("string")).alias("source_ref"), F.lit(M.REGION).alias("region"), "ts", "author_id")
     return M.union_events(message, member, media, M.tombstone_events(lg.where("kind = 'delete'")))
 
@@ -79,14 +85,14 @@ QUERIES = {
     "message_events": lambda s, d: _digest(M.message_events(normal(s, d)), "event_type", "source_ref", "region", "ts", "author_id", "edited"),
     "media_events": lambda s, d: M.media_events(view(s, d, "attachments")),
     "tombstone_events": lambda s, d: M.tombstone_events(view(s, d, "message_log").where("kind = 'delete'")),
-    "member_events": lambda s, d: M.member_events(M.first_seen_members(log(s, d), ["ts", "event_id"]), optout(s)),
+    "member_events": lambda s, d: M.member_events(M.first_seen_members(log(s, d), ["ts", "event_id"]), optout(log(s, d))),
     "route_inbound": lambda s, d: M.route_inbound(raw(s, d), AGENT).select("message_id", "author_id", F.col("guild_id").isNull().alias("is_dm")),
     "render_inbound": lambda s, d: view(s, d, "emails").select("uid", F.md5(M.render_inbound(F.when(F.col("uid") % 3 == 0, "email").when(F.col("uid") % 3 == 1, "channel").otherwise("dm"), F.col("from_name"), F.col("subject"), F.col("mailbox"))).alias("rendered_md5")),
     "display_names": lambda s, d: M.latest_names(raw(s, d).select(F.coalesce("parent_id", "raw_channel_id").alias("call_id"), F.col("author_id").alias("user_id"), F.coalesce("member_name", F.lit("")).alias("name"), "ts", F.col("seq").alias("event_id"))),
-    "gate_channel": lambda s, d: M.gate_channel(normal(s, d), channels(s)).select("message_id", "channel_id"),
-    "gate_member": lambda s, d: M.gate_member(normal(s, d), optout(s)).select("message_id", "author_id"),
+    "gate_channel": lambda s, d: M.gate_channel(normal(s, d), channels(normal(s, d))).select("message_id", "channel_id"),
+    "gate_member": lambda s, d: M.gate_member(normal(s, d), optout(normal(s, d))).select("message_id", "author_id"),
     "gate_with_reason": lambda s, d: gated(s, d).select("message_id", "channel_id", "author_id", "skip_reason"),
-    "scrub_mentions": lambda s, d: M.scrub_mentions(normal(s, d), optout(s)).select("message_id", F.array_join("mentions", ",").alias("mentions")),
+    "scrub_mentions": lambda s, d: M.scrub_mentions(normal(s, d), optout(normal(s, d).select(F.explode("mentions").alias("mention")), "mention")).select("message_id", F.array_join("mentions", ",").alias("mentions")),
     "dedupe_against_store": lambda s, d: M.dedupe_against_store(log(s, d), log(s, d).where("event_id % 3 = 0"), ["ts", "event_id"]).select("event_key", "event_id", "kind"),
     "reply_edges": lambda s, d: M.reply_edges(normal(s, d)),
     "skip_report": lambda s, d: M.skip_report(gated(s, d)),

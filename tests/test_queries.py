@@ -43,6 +43,26 @@ def test_query_equals_sql(spark, duck, name):
     assert table(got) == table(want)
 
 
+@pytest.fixture(scope="module")
+def late_users(spark, tmp_path_factory):
+    """The events with user ids from 10,000 on."""
+    import duckdb
+
+    path = str(tmp_path_factory.mktemp("late"))
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    rows.withColumn("user_id", (rows["user_id"] + 10_000).cast(rows.schema["user_id"].dataType)).coalesce(1).write.parquet(f"{path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+    return path, con
+
+
+@pytest.mark.parametrize("name", ["member_events", "union_events", "stream_ingest", "stream_backfill"])
+def test_consent_holds_for_every_user_id(spark, late_users, name):
+    path, con = late_users
+    got, want = registry.QUERIES[name](spark, path).toPandas(), con.sql(registry.SQL[name]).df()
+    assert len(want) and table(got) == table(want)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
