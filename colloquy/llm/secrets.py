@@ -1,7 +1,7 @@
 """Secret scans, on DataFrame functions alone.
 
 Base rules find assignments, access keys and long hex runs. Beyond these, every
-other run of 20 or more token characters is put to a randomness test battery in
+other run of 20 or more token characters (or what is left of it beside these) is put to a randomness test battery in
 the encoding inferred from its alphabet (hex, base32, base36, base62, base64):
 
 * a chi-squared test of the alphabet's uniformity,
@@ -37,7 +37,10 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ["assign", "access", "hex", "random"]
 
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+LEAST_RUN = 20
+CANDIDATE = f"[A-Za-z0-9+/_-]{{{LEAST_RUN},}}"
+#: A run with characters of both base64 alphabets is cut at those of one and at those of the other; parts of both are tested.
+PARTS = [f"[A-Za-z0-9_-]{{{LEAST_RUN},}}", f"[A-Za-z0-9+/]{{{LEAST_RUN},}}"]
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings, smallest alphabet first: a token is in the first that holds all its characters. Plain numbers are in none.
 ENCODINGS = [
@@ -151,17 +154,34 @@ def _scores(token: Column, alphabet: Column) -> Column:
     return _let(_let(_let(codes, sums), statistics), verdict)
 
 
+def candidates(text: Column, base: Column) -> Column:
+    """Spans to test: runs of token characters less the base spans, in parts where no single alphabet holds them."""
+    span = lambda a, b: F.array(F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end"))).cast(SPAN)
+    added = lambda spans, a, b: F.when(b - a >= LEAST_RUN, F.concat(spans, span(a, b))).otherwise(spans)
+
+    def free(s):
+        hit = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        start = F.struct(s["start"].alias("at"), _empty().alias("spans"))
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), added(acc["spans"], acc["at"], b["start"]).alias("spans"))
+        return _let(hit, lambda h: F.when(F.size(h) == 0, F.array(s)).otherwise(F.aggregate(h, start, step, lambda acc: added(acc["spans"], acc["at"], s["end"]))))
+
+    def parts(s):
+        token = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+        shifted = lambda x: F.struct((x["start"] + s["start"]).alias("start"), x["kind"].alias("kind"), (x["end"] + s["start"]).alias("end"))
+        cut = lambda t: F.transform(F.concat(*(located(t, p, 3) for p in PARTS)), shifted)
+        return _let(token, lambda t: F.when(t.rlike("[+/]") & t.rlike("[-_]"), F.array_distinct(cut(t)).cast(SPAN)).otherwise(F.array(s)))
+
+    return F.flatten(F.transform(F.flatten(F.transform(located(text, CANDIDATE, 3), free)), parts))
+
+
 def tested(text: Column, base: Column) -> Column:
     """Tokens outside the base spans with their encoding's test results: array of struct(start, end, p_random, p_written)."""
-    places = located(text, CANDIDATE, 3)
-
     def judge(s):
         token = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
         scores = lambda t: _let(_alphabet(t), lambda a: _scores(t, a))
         return _let(_let(token, scores), lambda p: F.struct(s["start"].alias("start"), s["end"].alias("end"), p["p_random"].alias("p_random"), p["p_written"].alias("p_written")))
 
-    free = F.filter(places, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    found = F.filter(F.transform(free, judge), lambda s: s["p_written"].isNotNull())
+    found = F.filter(F.transform(candidates(text, base), judge), lambda s: s["p_written"].isNotNull())
     return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,p_random:double,p_written:double>>"))
 
 

@@ -84,6 +84,18 @@ def test_licence_rules(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
+def test_runs_of_two_alphabets_and_beside_base_spans(spark):
+    hexes, plain = "deadbeef" * 4, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = [["".join(random.Random(f"{more}{i}").choices(plain + more, k=40)) for i in range(6)] for more in ("", "+/", "-_", "")]
+    forms = ["see /hooks/my-app/{} now", "see /hooks/my-app/{} é", "é😀 /hooks/my-app/{}", "{}_" + hexes]
+    words = "/a-long/path_of/several-words/that_are/only-words/in_it"
+    docs = spark.createDataFrame([*((10 * f + i, forms[f].format(k)) for f, ks in enumerate(keys) for i, k in enumerate(ks)), (99, words)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}
+    # the test of randomness may turn down one
+    assert all(sum(k[-25:] not in out[10 * f + i] for i, k in enumerate(ks)) >= 5 for f, ks in enumerate(keys))
+    assert out[99] == words and not any(hexes in x for x in out.values())
+
+
 MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
 BSD = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
 GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
