@@ -12,7 +12,8 @@ steps besides the heap of one bucket, so one very long pre-token takes time in
 proportion to its length, where scanning for the best pair would take its square.
 
 Texts stay in the partitions they are in: encoding and decoding are maps over
-Arrow batches. Each worker keeps the codes of the pre-tokens it has seen lately.
+Arrow batches. A task keeps the codes of the pre-tokens it has seen lately, up
+to a bound in bytes, and lets go of them when it ends.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ from pyspark.sql import types as T
 
 from .common import table
 
-#: Pre-tokens in a generation of a worker's cache, and the longest that it keeps.
-CACHE_ENTRIES = 200_000
+#: Bytes in a generation of a task's cache (about; an entry costs ENTRY_BYTES besides its own), and the longest pre-token that it keeps.
+CACHE_BYTES = 40_000_000
+ENTRY_BYTES = 180
 CACHE_CHARS = 40
 #: Code points encoded, and ids decoded, before a batch of results is handed on.
 BATCH_CHARS = 2_000_000
@@ -129,8 +131,7 @@ class Codec:
                     token, rank = line.split()
                     self.ranks[base64.b64decode(token)] = int(rank)
         self.find = regex.compile(pattern).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.forget()
         size = max(self.ranks.values(), default=0) + 1
         self.queue = RankQueue(size - 1)
         tokens: list[bytes] = [b""] * size
@@ -140,6 +141,12 @@ class Codec:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.pool = np.frombuffer(b"".join(tokens), np.uint8)
 
+    def forget(self) -> None:
+        """Let go of all pre-tokens."""
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
     def codes(self, text: str) -> bytes:
         """Ids of a text as 32-bit numbers, one after another."""
         pieces = self.find(text)
@@ -154,9 +161,10 @@ class Codec:
         if got is None:
             got = np.array(merge(piece.encode("utf-8"), self.ranks, self.queue), np.int32).tobytes()
         if len(piece) <= CACHE_CHARS:
-            if len(self.young) >= CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
+            if self.size >= CACHE_BYTES:
+                self.old, self.young, self.size = self.young, {}, 0
             self.young[piece] = got
+            self.size += ENTRY_BYTES + len(piece) + len(got)
         return got
 
     def ids(self, text: str) -> list[int]:
@@ -180,70 +188,92 @@ def vocabulary() -> tuple[str, str]:
     return os.fspath(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
-def _mapped(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` with one more column: ``make`` turns a record batch into an array of Arrow's type."""
-    rest = df.drop(name)
-    schema = T.StructType([*rest.schema.fields, T.StructField(name, kind)])
+def _mapped(df: DataFrame, added: dict[str, T.DataType], path: str | None, pattern: str | None, make) -> DataFrame:
+    """``df`` with more columns: ``make`` turns a codec and a record batch into (first, end, columns) of its slices."""
+    where = (path, pattern) if path and pattern else vocabulary()
+    rest = df.drop(*added)
+    schema = T.StructType([*rest.schema.fields, *(T.StructField(name, kind) for name, kind in added.items())])
     names = rest.columns
 
     def run(batches):
-        for batch in batches:
-            for part in make(batch):
-                lo, hi, column = part
-                piece = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i, n in enumerate(batch.schema.names) if n != name), column], names=[*names, name])
-
-    return df.select(*rest.columns, *([name] if name in df.columns else [])).mapInArrow(run, schema)
+        c = codec(*where)
+        try:
+            for batch in batches:
+                for lo, hi, columns in make(c, batch):
+                    piece = batch.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), *columns], names=[*names, *added])
+        finally:
+            c.forget()  # the worker goes on to other tasks
+
+    return df.select(*names, *(name for name in added if name in df.columns)).mapInArrow(run, schema)
+
+
+def _encoded(c: Codec, column: pa.Array):
+    """(first, end, list array of ids) of slices of about BATCH_CHARS code points."""
+    lo, chars, parts, ends = 0, 0, [], [0]
+    for i in range(len(column)):
+        value = column[i].as_py() or ""
+        got = c.codes(value)
+        parts.append(got)
+        ends.append(ends[-1] + len(got) // 4)
+        chars += len(value)
+        if chars >= BATCH_CHARS or i + 1 == len(column):
+            flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
+            yield lo, i + 1, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            lo, chars, parts, ends = i + 1, 0, [], [0]
+
+
+def _decoded(c: Codec, column: pa.Array):
+    """(first, end, binary array) of slices of about BATCH_IDS ids."""
+    counts = np.asarray(column.value_lengths().fill_null(0))
+    flat = np.asarray(column.flatten())
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    if len(flat) and (flat.min() < 0 or flat.max() >= len(c.lengths)):
+        raise ValueError("an id outside the vocabulary")
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BATCH_IDS, side="right")) - 1)
+        mine = flat[ends[lo] : ends[hi]]
+        sums = np.concatenate([[0], np.cumsum(c.lengths[mine])])
+        offsets = sums[ends[lo : hi + 1] - ends[lo]].astype(np.int32)
+        yield lo, hi, pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(c.bytes(mine).tobytes())])
+        lo = hi
+
+
+IDS, BYTES = T.ArrayType(T.IntegerType()), T.BinaryType()
 
 
 def encoded(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``docs`` with the ids of every whole text.
 
     A null or empty text has no ids. Special tokens are ordinary text. Other
-    columns pass unchanged; a column named as ``ids`` is replaced.
+    columns pass unchanged; a column named as ``ids`` is replaced. An empty
+    table gives an empty one.
     """
-    own_path, own_pattern = (path, pattern) if path and pattern else vocabulary()
-
-    def make(batch):
-        c = codec(own_path, own_pattern)
-        column = batch.column(batch.schema.names.index(text))
-        lo, chars, parts, ends = 0, 0, [], [0]
-        for i in range(len(column)):
-            value = column[i].as_py() or ""
-            got = c.codes(value)
-            parts.append(got)
-            ends.append(ends[-1] + len(got) // 4)
-            chars += len(value)
-            if chars >= BATCH_CHARS or i + 1 == len(column):
-                flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
-                yield lo, i + 1, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-                lo, chars, parts, ends = i + 1, 0, [], [0]
-
-    return _mapped(docs, ids, T.ArrayType(T.IntegerType()), make)
+    def make(c, batch):
+        for lo, hi, column in _encoded(c, batch.column(text)):
+            yield lo, hi, [column]
+
+    return _mapped(docs, {ids: IDS}, path, pattern, make)
 
 
 def decoded(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``rows`` with the bytes that its ids stand for; null ids give no bytes. An id outside the vocabulary is an error."""
-    own_path, own_pattern = (path, pattern) if path and pattern else vocabulary()
-
-    def make(batch):
-        c = codec(own_path, own_pattern)
-        column = batch.column(batch.schema.names.index(ids))
-        counts = np.asarray(column.value_lengths().fill_null(0))
-        flat = np.asarray(column.flatten())
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        if len(flat) and (flat.min() < 0 or flat.max() >= len(c.lengths)):
-            raise ValueError("an id outside the vocabulary")
-        lo = 0
-        while lo < len(column):
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BATCH_IDS, side="right")) - 1)
-            mine = flat[ends[lo] : ends[hi]]
-            sums = np.concatenate([[0], np.cumsum(c.lengths[mine])])
-            offsets = sums[ends[lo : hi + 1] - ends[lo]].astype(np.int32)
-            yield lo, hi, pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(c.bytes(mine).tobytes())])
-            lo = hi
-
-    return _mapped(rows, out, T.BinaryType(), make)
+    def make(c, batch):
+        for lo, hi, column in _decoded(c, batch.column(ids)):
+            yield lo, hi, [column]
+
+    return _mapped(rows, {out: BYTES}, path, pattern, make)
+
+
+def round_trip(docs: DataFrame, text: str = "text", ids: str = "ids", out: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """decoded(encoded(docs)) in one pass, so that a task keeps one Python worker and one vocabulary."""
+    def make(c, batch):
+        for lo, hi, codes in _encoded(c, batch.column(text)):
+            for a, b, column in _decoded(c, codes):
+                yield lo + a, lo + b, [codes.slice(a, b - a), column]
+
+    return _mapped(docs, {ids: IDS, out: BYTES}, path, pattern, make)
 
 
 def digest(ids: Column) -> Column:
@@ -252,6 +282,5 @@ def digest(ids: Column) -> Column:
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Ids of every document, and what they decode to, as digests."""
-    docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = docs.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"))
-    return decoded(rows).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
