@@ -4,42 +4,48 @@ A document's set holds its distinct five-word shingles, as 64-bit hashes. Two
 sets link if their Jaccard similarity is 0.75 or more; then they differ in at
 most H = (|r| + |s|) // 7 elements, and the larger is at most 4/3 the smaller.
 
-Sizes fall into bands, and each band has a scheme that covers pairs whose
-smaller set is in it. A scheme hashes the universe into disjoint segments; a
-set's part in a segment is a token. By the pigeonhole principle two linked sets
-agree on all but H of their non-empty segments, so if each lists its tokens in
-one order of all tokens, they share one among the first H + 1 of each. The order
-is by cost: a token is as common as its rarest shingle, and tokens of shingles
-that a bounded sample shows to be common come last, to be used only by sets that
-have too few others. Within a cost the order is by hash, the same for all sets.
-
-* Sets of 3 to 5 (H = 1): the whole universe is one segment that may differ by
-  one, and a set is filed under itself and each of its one-deletions.
-* Sets of 6 to 95: every shingle is its own segment.
-* Larger sets: segments hold up to 1.5 shingles on average, which leaves at
-  least H + 1 of them non-empty (n / 3 + 1 are needed; 0.5 n are expected).
-
-Texts with equal sets form a class that is represented once. Sets filed under
-a common token are candidates; of a group, each member meets the next smaller
-one and the smallest. Candidates differ in at least as many shingles as their
-parity sketches (one bit for the parity of each cell) differ in bits, which
-drops almost all wrong pairs; the rest are verified on the whole texts. Linked
-representatives are contracted to components. In groups that still hold
-different components, every pair across components is then held against the
-sketches, in blocks. Of the pairs that pass, a block hands on a spanning forest
-of its components, which is verified and contracted, twice; what is left and
-wasn't tried is then verified in full. So no link is lost, and a large group of near
-copies costs a number of pairs in proportion to its size: the members of its
-main component meet only those outside it.
+Sizes fall into bands, and each band hashes the universe into a number of
+segments that grows with its sizes. A set of the band is filed under its part
+in every non-empty segment (whole), and in a twelfth of the segments also under
+what is left of the part without each one of its elements (deletions).
+
+The larger set of a pair asks. In a segment it may spend nothing, one unit (ask
+for sets with the same part), or, where deletions are filed, two (ask for parts
+that differ by one element at most, by its whole part and its own deletions).
+By the pigeonhole principle a linked set is met if the units come to H + 1 at
+least: it can't differ by as much as was spent in every segment. Which units
+are spent is decided by their cost: a part is as common as its rarest shingle
+in a bounded sample, and asking for deletions costs as many look-ups as the
+part has elements. So parts of a passage that many documents share are asked for
+only by sets that have too little else. A set asks in its own band and, if
+three quarters of its size are below that, in the one below.
+
+* Sizes 3 to 5 (H = 1): the universe is one segment, of two units.
+* Sizes 6 to 23: every shingle is a segment of its own.
+* Larger sizes, in bands by twos: about an eighth more segments than units are
+  needed. A set that has too few non-empty ones nevertheless (about one in ten
+  million) is held against all documents, in blocks of such sets.
+
+Texts with equal sets form a class that is represented once. What is filed
+under one key is a group, of which somebody must ask. Each member meets the next
+smaller one and the smallest. Candidates differ in at least as many shingles as
+their parity sketches (one bit for the parity of each cell) differ in bits,
+which drops almost all wrong pairs; each document's likeliest partner is
+verified on the whole texts first, then all likely pairs that this leaves apart.
+Linked representatives are contracted to components. In groups that still hold
+different components, every pair across components of which one asks is then
+held against the sketches, in blocks: of each two components in a block the
+likeliest pair is verified, and last every likely pair that is left. So no link
+is lost, and a large group of near copies costs a number of rows in proportion
+to its size: the members of its main component meet only those outside it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import kept, table
 
@@ -50,11 +56,16 @@ COMMON_SHINGLES = 200_000
 COMMON_FROM = 3
 #: Classes of equal sets, or candidates, up to which they are broadcast; beyond, they are joined.
 BROADCAST_ROWS = 400_000
-#: Groups of which all pairs across components are listed; the members of a block of larger ones.
-SMALL = 64
-BLOCK = 512
-#: Rounds in which blocks hand on spanning forests; one more hands on every pair that is left.
-FORESTS = 2
+#: Members of a group that meet in one block; larger groups are cut up.
+BLOCK = 4096
+#: Pairs of sketches that are compared at once, in words.
+STEP_WORDS = 1 << 20
+#: Cells of the longest sketch; with fewer than four an element it lets more pairs through.
+MOST_CELLS = 1 << 16
+#: Sets that are held against all documents at once.
+SHORT_SETS = 500
+#: What a row under a key is: filed whole, asking for whole parts, asking for deletions, filed as a deletion.
+WHOLE, ASKS, ASKS_DELETIONS, DELETION = 1, 2, 4, 8
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -107,62 +118,126 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def band(n: int) -> int:
-    """0 for sizes 3 to 5, then 1 for 6 to 23, 2 for 24 to 95 and so on by fours."""
-    k, top = 0, 6
-    while n >= top:
-        k, top = k + 1, top * 4
-    return k
+def band(n: np.ndarray) -> np.ndarray:
+    """0 for sizes 3 to 5, 1 for 6 to 23, 2 for 24 to 47 and so on by twos; -1 for those below 3."""
+    return np.where(n < 3, -1, np.where(n < 6, 0, np.where(n < 24, 1, 2 + np.log2(np.maximum(n, 24) / 24).astype(np.int64))))
 
 
 def lowest(k: int) -> int:
-    return 3 if k == 0 else 6 * 4 ** (k - 1)
-
-
-def tokens(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Signatures under which a set is filed, in its own band's scheme and, near the band's lower end, in the one below."""
-    n = len(s)
-    if n < 3:
-        return s[:0]  # only an equal set is as near as 0.75
-    own = band(n)
-    out = [scheme_tokens(s, own, min(n * 4 // 3, lowest(own + 2) - 1), common)]
-    if own and 3 * n <= 4 * (lowest(own) - 1):
-        out.append(scheme_tokens(s, own - 1, lowest(own) - 1, common))
-    return np.concatenate(out)
-
-
-def scheme_tokens(s: np.ndarray, k: int, largest_partner: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    n = len(s)
-    if k == 0:
-        whole = mixed(s, 4)
-        total = whole.sum(dtype=_U)
-        return mixed(np.concatenate([[total], total - whole]), 5)
-    if k <= 2:
-        parts, cost = mixed(s, 6 + k), costs(s, common)
+    return (3, 6)[k] if k < 2 else 24 << (k - 2)
+
+
+def segments(k: int) -> tuple[int, int]:
+    """Segments of a band, 0 for one to each shingle, and how many of them have deletions filed."""
+    if k < 2:
+        return (1, 1) if k == 0 else (0, 0)
+    top = lowest(k + 1) - 1
+    units = (top + top * 4 // 3) // 7 + 1
+    count = units + units // 8 + 2
+    return count, max(2, count // 12)
+
+
+def per_set(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Wrapping sums of 64-bit values by owner."""
+    run = np.concatenate([np.zeros(1, _U), np.cumsum(values, dtype=_U)])
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    return run[ends] - run[np.concatenate([[0], ends[:-1]])]
+
+
+def keys(flat: np.ndarray, owner: np.ndarray, cost: np.ndarray, k: int, units: np.ndarray, files: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key) rows in the scheme of band k, and which sets have too few units.
+
+    ``flat`` are the shingles of all sets, ``owner`` the sets they are of, in
+    order; ``units`` are what each set has to spend. ``files``: the sets are of
+    this band, and are filed besides asking. The last four bits of a key are the
+    row's roles.
+    """
+    count, deletable = segments(k)
+    cost = np.minimum(cost, (1 << 20) - 1)
+    if count == 0:
+        part, first, size = mixed(flat, 6 + k), np.arange(len(flat)), np.ones(len(flat), np.int64)
+        who, total, inner, cheap, second, gone = owner, part, part, cost, cost, np.zeros(len(flat), bool)
+        order = first
     else:
-        segments = lowest(k + 1) * 8 // 9
-        where = mixed(s, 6 + k) % _U(segments)
-        order = np.argsort(where, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], where[order][1:] != where[order][:-1]]))
-        parts = mixed(np.add.reduceat(mixed(s[order], 4), first) + where[order][first], 6 + k)
-        cost = np.minimum.reduceat(costs(s[order], common), first)
-    wanted = (n + largest_partner) // 7 + 1
-    return parts[np.lexsort((parts, cost))[:wanted]]
+        where = (mixed(flat, 6 + k) % _U(count)).astype(np.int64)
+        order = np.argsort(((owner * count + where) << 20) | cost, kind="stable")
+        place = (owner * count + where)[order]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(place)))
+        who, segment = owner[order][first], where[order][first]
+        inner = mixed(flat, 4)[order]
+        total = np.add.reduceat(inner, first) if len(first) else inner
+        cheap = cost[order][first]
+        second = cost[order][np.minimum(first + 1, len(place) - 1)]
+        gone = segment < deletable
+        total = total + mixed(segment.astype(_U), 5)
+    # what each unit costs: the first of every part, the second where deletions are filed
+    both = np.flatnonzero(gone & (size > 1)) if k else np.flatnonzero(gone & (size > 0))
+    price = np.concatenate([cheap, (size * (1 + cheap) + second)[both]])
+    price = np.minimum(price, (1 << 21) - 1) * 8 + np.concatenate([7 - np.minimum(size, 7), np.full(len(both), 7)])
+    at = np.concatenate([np.arange(len(who)), both])
+    tie = (mixed(total, 3)[at] >> _U(44)).astype(np.int64)
+    by = np.lexsort(((price << 20) | tie, who[at]))
+    have = np.bincount(who[at], minlength=len(units))
+    begin = np.cumsum(have) - have
+    taken = np.zeros(len(at), bool)
+    taken[by] = np.arange(len(at)) - begin[who[at][by]] < units[who[at][by]]
+    spent = np.bincount(at[taken], minlength=len(who))
+    too_few = have < units
+    spent[too_few[who]] = 0
+    role = np.where(spent > 0, ASKS, 0) | np.where(spent > 1, ASKS_DELETIONS, 0) | (WHOLE if files else 0)
+    final = lambda x: mixed(x, 6 + k) & ~_U(15)
+    shown = role > 0
+    sets, out = [who[shown]], [final(total[shown]) | role[shown].astype(_U)]
+    # deletions: filed where the part has three or more elements (all of them in the only segment of the least band), asked for where two units are spent
+    filed = gone & (size >= (3 if k else 1)) if files else np.zeros(len(who), bool)
+    chosen = filed | (spent > 1)
+    if chosen.any():
+        spread = np.repeat(np.arange(len(who)), size)
+        inside = chosen[spread]
+        of = spread[inside]
+        role = np.where(filed[of], DELETION, 0) | np.where(spent[of] > 1, ASKS, 0)
+        sets.append(who[of])
+        out.append(final(total[of] - inner[inside]) | role.astype(_U))
+    return np.concatenate(sets), np.concatenate(out), too_few
+
+
+def filed_keys(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The keys of each set in its own band's scheme and, where its partners may be there, in the one below; which sets lack units."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    bands, short, rows = band(n), np.zeros(len(sets), bool), []
+    for k in range(int(bands.max(initial=-1)) + 1):
+        for files in (True, False):
+            least = lowest(k + 1)
+            mine = np.flatnonzero(bands == k) if files else np.flatnonzero((bands == k + 1) & (3 * n <= 4 * (least - 1)))
+            if not len(mine):
+                continue
+            flat = np.concatenate([sets[i] for i in mine])
+            owner = np.repeat(np.arange(len(mine)), n[mine])
+            largest = n[mine] if files else np.minimum(n[mine], least - 1)
+            who, key, few = keys(flat, owner, costs(flat, common), k, (n[mine] + largest) // 7 + 1, files)
+            rows.append((mine[who], key))
+            short[mine[few]] = True
+    if not rows:
+        return [np.zeros(0, _U)] * len(sets), short
+    who, key = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.argsort(who, kind="stable")
+    return np.split(key[order], np.cumsum(np.bincount(who, minlength=len(sets)))[:-1]), short
 
 
 def costs(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """How often each shingle was seen in the sample, 0 where it isn't common."""
-    keys, counts = common
-    if not len(keys):
+    shingles, counts = common
+    if not len(shingles):
         return np.zeros(len(s), np.int64)
-    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-    return np.where(keys[at] == s, counts[at], 0)
+    at = np.minimum(np.searchsorted(shingles, s), len(shingles) - 1)
+    return np.where(shingles[at] == s, counts[at], 0)
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of elements in each cell; four cells an element, rounded up to a power of two."""
+    """Parity of the number of elements in each cell; four cells an element, rounded up to a power of two, MOST_CELLS at most."""
     cells = 64
-    while cells < 4 * len(s):
+    while cells < min(MOST_CELLS, 4 * len(s)):
         cells *= 2
     counts = np.bincount((mixed(s, 30) % _U(cells)).astype(np.int64), minlength=cells)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -194,6 +269,14 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(_U).view(np.int64)
 
 
+def set_hashes(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two hashes of each set; null for an empty one."""
+    flat = np.concatenate([*sets, np.zeros(0, _U)])
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), n)
+    return [pa.array(signed(per_set(mixed(flat, salt), owner, len(sets))), mask=n == 0) for salt in (20, 21)]
+
+
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set (null for an empty one) and its parity sketch."""
     def run(batches):
@@ -201,10 +284,9 @@ def described(docs: DataFrame) -> DataFrame:
             ids, texts = batch.column(0), batch.column(1)
             for lo, part in slices(texts):
                 sets = shingle_sets(part)
-                n = [len(s) for s in sets]
-                h1 = [int(mixed(s, 20).sum(dtype=_U).view(np.int64)) if len(s) else None for s in sets]
-                h2 = [int(mixed(s, 21).sum(dtype=_U).view(np.int64)) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([parity_sketch(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, len(part)), pa.array([len(s) for s in sets], pa.int64()), *set_hashes(sets), pa.array([parity_sketch(s) for s in sets], pa.binary())],
+                    names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
 
@@ -230,23 +312,23 @@ def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
 
 
 def filed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, the set's hashes and the signatures of every document with a set of three or more."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(common)  # at most COMMON_SHINGLES pairs of numbers
+    """doc_id, n, the set's hashes, its keys and whether it has too few units, of every document with a set of three or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_SHINGLES pairs of numbers
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for lo, part in slices(texts):
                 sets = shingle_sets(part)
-                lists = [signed(tokens(s, shared.value)) for s in sets]
+                lists, short = filed_keys(sets, shared.value)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                h = [[int(mixed(s, salt).sum(dtype=_U).view(np.int64)) if len(s) else None for s in sets] for salt in (20, 21)]
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), pa.array([len(s) for s in sets], pa.int32()), pa.array(h[0], pa.int64()), pa.array(h[1], pa.int64()), column], names=["doc_id", "n", "h1", "h2", "sigs"])
+                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(lists))))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, len(part)), pa.array([len(s) for s in sets], pa.int32()), *set_hashes(sets), column, pa.array(short)],
+                    names=["doc_id", "n", "h1", "h2", "keys", "short"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    return rows.mapInArrow(run, "doc_id long, n int, h1 long, h2 long, sigs array<long>")
+    return rows.mapInArrow(run, "doc_id long, n int, h1 long, h2 long, keys array<long>, short boolean")
 
 
 def hinted(df: DataFrame) -> DataFrame:
@@ -258,37 +340,87 @@ def near_enough(n: Column, m: Column) -> Column:
     return (4 * n >= 3 * m) & (4 * m >= 3 * n)
 
 
-def verified(pairs: DataFrame, described_: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link: first by parity sketches, then on the texts."""
+def likely(pairs: DataFrame, described_: DataFrame, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) that the sketches let pass, with the bits in which these differ; kept."""
     side = lambda x: described_.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
     def sift(batches):
         for batch in batches:
-            a, b, na, nb, sa, sb = (batch.column(batch.schema.names.index(x)).to_pylist() for x in ("a", "b", "na", "nb", "sa", "sb"))
-            keep = [parity_distance(x, y) <= (n + m) // 7 for x, y, n, m in zip(sa, sb, na, nb, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(v, keep, strict=True) if k], pa.int64()) for v in (a, b)], names=["a", "b"])
-
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(near_enough(F.col("na"), F.col("nb"))).mapInArrow(sift, "a long, b long")
-    likely = kept(likely, f"{name}-likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hinted(kept(wanted, f"{name}-wanted")), "doc_id", "left_semi")
+            a, b, na, nb, sa, sb = (batch.column(x).to_pylist() for x in ("a", "b", "na", "nb", "sa", "sb"))
+            bits = [parity_distance(x, y) for x, y in zip(sa, sb, strict=True)]
+            good = [i for i, (d, n, m) in enumerate(zip(bits, na, nb, strict=True)) if d <= (n + m) // 7]
+            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in good], pa.int64()) for v in (a, b, bits)], names=["a", "b", "bits"])
+
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(near_enough(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "sa", "sb")
+    return kept(near.mapInArrow(sift, "a long, b long, bits long"), name)
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """For each document in ``pairs`` (a, b, bits), the pair with the other that is most like it."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("bits"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("bits"), F.col("a").alias("other")))).alias("e"))
+    best = ends.select("e.*").groupBy("node").agg(F.min(F.struct("bits", "other")).alias("m"))
+    return best.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct()
+
+
+def linked(r: np.ndarray, s: np.ndarray) -> bool:
+    both = len(np.intersect1d(r, s, assume_unique=True))
+    return bool(both) and 100 * both >= 75 * (len(r) + len(s) - both)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link, by their whole texts; kept. Texts that no pair names aren't moved."""
+    pairs = kept(pairs.select("a", "b"), f"{name}-pairs")
+    wanted = hinted(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     texts = kept(texts, f"{name}-texts")
 
     def judge(batches):
         for batch in batches:
-            names = batch.schema.names
-            a, b = (batch.column(names.index(x)) for x in ("a", "b"))
-            ta, tb = (batch.column(names.index(x)) for x in ("ta", "tb"))
-            good = []
-            for i in range(len(a)):
-                r, s = shingle_sets([ta[i].as_py(), tb[i].as_py()])
-                both = len(np.intersect1d(r, s, assume_unique=True))
-                good.append(bool(both) and 100 * both >= 75 * (len(r) + len(s) - both))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
-
-    both = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return kept(both.mapInArrow(judge, "a long, b long").distinct(), f"{name}-links")
+            names = ("a", "b", "ta", "tb")
+            for lo in range(0, batch.num_rows, 256):
+                a, b, ta, tb = (batch.column(x).slice(lo, 256) for x in names)
+                at: dict[str, int] = {}
+                sides = [[at.setdefault(t or "", len(at)) for t in column.to_pylist()] for column in (ta, tb)]
+                sets = [x for _, part in slices(pa.array(list(at), pa.large_string())) for x in shingle_sets(part)]
+                mask = pa.array([linked(sets[i], sets[j]) for i, j in zip(*sides, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return kept(both.select("a", "b", "ta", "tb").mapInArrow(judge, "a long, b long").distinct(), f"{name}-links")
+
+
+def links_of_short(short: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links (a, b) of the documents ``short`` (doc_id), which are held against all of ``docs`` in blocks of SHORT_SETS; None if there are none."""
+    short = kept(short.distinct(), "jaccard-short")
+    blocks = -(-short.count() // SHORT_SETS)
+    out = None
+    for i in range(blocks):
+        mine = short.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == i)
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        held = [(r["doc_id"], shingle_sets([r["text"]])[0]) for r in rows.join(F.broadcast(mine), "doc_id").toLocalIterator()]  # a bounded block of sets
+        if not held:
+            continue
+        flat = np.concatenate([x for _, x in held])
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(held)), [len(x) for _, x in held])[order]
+        shared = docs.sparkSession.sparkContext.broadcast(([d for d, _ in held], np.array([len(x) for _, x in held]), flat[order], owner))
+
+        def meet(batches, shared=shared):
+            ids, n, shingles, owner = shared.value
+            for batch in batches:
+                docs_, pairs = batch.column(0).to_pylist(), []
+                for lo, part in slices(batch.column(1)):
+                    for j, r in enumerate(shingle_sets(part)):
+                        a, b = np.searchsorted(shingles, r), np.searchsorted(shingles, r, side="right")
+                        hit = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+                        both = np.bincount(owner[hit], minlength=len(ids))
+                        good = np.flatnonzero((both > 0) & (100 * both >= 75 * (n + len(r) - both)))
+                        pairs += [(ids[g], docs_[lo + j]) for g in good if docs_[lo + j] is not None and ids[g] != docs_[lo + j]]
+                yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], names=["a", "b"])
+
+        links = kept(rows.mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-short-links")
+        out = links if out is None else out.unionByName(links)
+    return out
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -321,65 +453,98 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return result.select("node", F.col("root").alias("component"))
 
 
-def pairs_of_small(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of near enough sizes across the components of groups (sig, doc_id, n, component) of at most SMALL members."""
-    small = groups.groupBy("sig").agg(F.collect_list(F.struct("doc_id", "n", "component")).alias("m"))
-    other = lambda x: F.filter("m", lambda y: (y["doc_id"] > x["doc_id"]) & (y["component"] != x["component"]) & near_enough(x["n"], y["n"]))
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(other(x), lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")))))
-    return small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+def folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches as rows of ``words`` 64-bit words each; longer ones are folded."""
+    out = np.zeros((len(sketches), words), _U)
+    lengths = np.array([len(x) // 8 for x in sketches])
+    for length in np.unique(lengths):
+        mine = np.flatnonzero(lengths == length)
+        rows = np.frombuffer(b"".join(sketches[i] for i in mine), _U).reshape(len(mine), length)
+        while rows.shape[1] > words:
+            rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+        if rows.shape[1] == words:
+            out[mine] = rows
+    return out
 
 
-def pairs_of_large(groups: DataFrame, described_: DataFrame, tried: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) across components of larger groups that the sketches let pass and that aren't among ``tried``.
+def crossing(ids: np.ndarray, n: np.ndarray, component: np.ndarray, role: np.ndarray, sketches: list[bytes], best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members (places in the arrays) across components of which one asks, of near enough sizes and likely by their sketches.
 
-    Members of a group's largest component are met by all others, the others
-    also by each other. With ``forest``, a block gives a spanning forest only.
+    ``best``: of each two components only the likeliest pair.
     """
-    sizes = groups.groupBy("sig", "component").count()
-    main = sizes.groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"))
-    rows = groups.join(main, "sig")
+    order = np.lexsort((ids, n))
+    ids, n, component, role, sketches = ids[order], n[order], component[order], role[order], [sketches[i] for i in order]
+    words = np.array([len(x) // 8 for x in sketches])
+    asks = lambda x, y: ((x & ASKS) > 0) & ((y & WHOLE) > 0) | ((x & ASKS_DELETIONS) > 0) & ((y & DELETION) > 0)
+    left, right, bits = [], [], []
+    for length in np.unique(words):
+        # the smaller set of a pair has a sketch of this length, and the other's is no shorter
+        mine = np.flatnonzero(words == length)
+        matrix = folded(sketches, int(length))
+        step = max(1, STEP_WORDS // (len(ids) * int(length)) + 1)
+        for lo in range(0, len(mine), step):
+            x = mine[lo : lo + step]
+            end = int(np.searchsorted(n, n[x[-1]] * 4 // 3, side="right"))
+            y = np.arange(x[0], end)
+            fits = (y[None, :] > x[:, None]) & (4 * n[x][:, None] >= 3 * n[y][None, :]) & (component[x][:, None] != component[y][None, :]) & (ids[x][:, None] != ids[y][None, :])
+            fits &= asks(role[y][None, :], role[x][:, None]) | asks(role[x][:, None], role[y][None, :])
+            i, j = np.nonzero(fits)
+            a, b = x[i], y[j]
+            some = STEP_WORDS // int(length)
+            for at in range(0, len(a), some):
+                p, q = a[at : at + some], b[at : at + some]
+                d = np.bitwise_count(matrix[p] ^ matrix[q]).sum(axis=1, dtype=np.int64)
+                good = d <= (n[p] + n[q]) // 7
+                left.append(p[good])
+                right.append(q[good])
+                bits.append(d[good])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b, d = (np.concatenate(x) for x in (left, right, bits))
+    if best and len(a):
+        lo, hi = np.minimum(component[a], component[b]), np.maximum(component[a], component[b])
+        by = np.lexsort((ids[b], ids[a], d, hi, lo))
+        first = np.concatenate([[True], (lo[by][1:] != lo[by][:-1]) | (hi[by][1:] != hi[by][:-1])])
+        a, b = a[by[first]], b[by[first]]
+    return order[a], order[b]
+
+
+def pairs_of_groups(rows: DataFrame, described_: DataFrame, best: bool) -> DataFrame:
+    """Likely pairs (a, b) across the components of groups: rows (key, doc_id, n, role, size, component).
+
+    A group of up to BLOCK members is one block. In a larger one, the members
+    of the largest component are met by all others, the others also by each
+    other, in blocks of about that many.
+    """
+    sizes = rows.where(F.col("size") > BLOCK).groupBy("key", "component").count()
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"))
+    rows = rows.join(described_.select("doc_id", F.col("n_shingles").cast("int").alias("n"), "sketch"), ["doc_id", "n"])
+    rows = rows.join(hinted(kept(main, "jaccard-main")), "key", "left")
     cut = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
     inside = F.col("component") == F.col("main")
     left, right = cut(F.col("most")), cut(F.col("size") - F.col("most"))
     own = F.pmod(F.xxhash64("doc_id"), F.when(inside, left).otherwise(right)).cast("int")
     blocks = lambda n: F.sequence(F.lit(0), n - 1)
-    key = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    places = F.when(inside, F.transform(blocks(right), lambda j: key(0, F.col("own"), j))).otherwise(F.concat(
-        F.transform(blocks(left), lambda i: key(0, i, F.col("own"))), F.transform(blocks(right), lambda j: key(1, F.least(F.col("own"), j), F.greatest(F.col("own"), j)))))
-    rows = rows.withColumn("own", own).withColumn("inside", inside).withColumn("at", F.explode(places))
-    failed = tried.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("other")))).alias("t")).select("t.*")
-    failed = failed.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("other").alias("tried"))
-    rows = rows.join(described_.select("doc_id", "sketch"), "doc_id").join(failed, "doc_id", "left")
-    rows = rows.select("sig", "at.kind", "at.i", "at.j", "own", "inside", "doc_id", "n", "component", "sketch", "tried")
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    cells = F.when(F.col("main").isNull(), F.array(place(2, F.lit(0), F.lit(0)))).when(inside, F.transform(blocks(right), lambda j: place(0, F.col("own"), j))).otherwise(F.concat(
+        F.transform(blocks(left), lambda i: place(0, i, F.col("own"))), F.transform(blocks(right), lambda j: place(1, F.least(F.col("own"), j), F.greatest(F.col("own"), j)))))
+    rows = rows.withColumn("own", own).withColumn("cell", F.explode(cells)).select("key", "cell.kind", "cell.i", "cell.j", "doc_id", "n", "role", "component", "sketch")
 
     def cross(pdf):
         import pandas as pd
 
-        kind, i, j = (pdf[x].iloc[0] for x in ("kind", "i", "j"))
-        pdf = pdf.sort_values("doc_id")
-        left, right = (pdf[pdf["inside"]], pdf[~pdf["inside"]]) if kind == 0 else (pdf[pdf["own"] == i], pdf[pdf["own"] == j])
-        listed = lambda x: list(zip(x["doc_id"], x["n"], x["component"], x["sketch"], (set() if t is None else set(t) for t in x["tried"]), strict=True))
-        root: dict[int, int] = {}
-
-        def find(c):
-            while root.get(c, c) != c:
-                c = root[c]
-            return c
-
-        out, others = [], listed(right)
-        for d, n, c, s, t in listed(left):
-            for e, m, f, u, _ in others:
-                if d == e or kind == 1 and i == j and d > e or c == f or 4 * n < 3 * m or 4 * m < 3 * n or e in t:
-                    continue
-                if forest and find(c) == find(f):
-                    continue
-                if parity_distance(s, u) <= (n + m) // 7:
-                    out.append((min(d, e), max(d, e)))
-                    if forest:
-                        root[find(c)] = find(f)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return rows.groupBy("sig", "kind", "i", "j").applyInPandas(cross, "a long, b long").distinct()
+        ids = pdf["doc_id"].to_numpy(np.int64)
+        a, b = crossing(ids, pdf["n"].to_numpy(np.int64), pdf["component"].to_numpy(np.int64), pdf["role"].to_numpy(np.int64), pdf["sketch"].tolist(), best)
+        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+
+    return rows.groupBy("key", "kind", "i", "j").applyInPandas(cross, "a long, b long").distinct()
+
+
+def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose two are in different components of ``joined`` (node, component)."""
+    to = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    both = pairs.join(hinted(to("a")), "a", "left").join(hinted(to("b")), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
 def similar_components(docs: DataFrame, described_: DataFrame) -> DataFrame:
@@ -390,35 +555,48 @@ def similar_components(docs: DataFrame, described_: DataFrame) -> DataFrame:
 
     common = common_shingles(docs, described_.count())
     rows = filed(docs, common).join(hinted(classes), ["h1", "h2"], "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
-    rows = rows.select("doc_id", "n", F.explode("sigs").alias("sig"))
-    by_size = Window.partitionBy("sig").orderBy("n", "doc_id")
+    rows = rows.select("doc_id", "n", F.explode(F.when(F.col("short"), F.concat("keys", F.array(F.lit(0).cast("long")))).otherwise(F.col("keys"))).alias("key"))
+    rows = rows.select(F.shiftrightunsigned("key", 4).alias("key"), "doc_id", "n", F.col("key").bitwiseAND(F.lit(15)).cast("int").alias("role"))
+    by_size = Window.partitionBy("key").orderBy("n", "doc_id")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     group = rows.select(
-        "sig", "doc_id", "n", F.count("*").over(Window.partitionBy("sig")).cast("int").alias("size"),
-        F.lag(F.struct("doc_id", "n")).over(by_size).alias("before"), F.first(F.struct("doc_id", "n")).over(by_size).alias("least"))
-    group = kept(group.where("size > 1"), "jaccard-groups")
+        "key", "doc_id", "n", "role", F.count("*").over(whole).cast("int").alias("size"), F.bit_or("role").over(whole).alias("roles"),
+        F.lag(F.struct("doc_id", "n")).over(by_size).alias("before"), F.first(F.struct("doc_id", "n")).over(whole).alias("least"))
+    has = lambda *bits: F.col("roles").bitwiseAND(F.lit(sum(bits))) == sum(bits)
+    asked = (F.col("size") > 1) & (has(ASKS, WHOLE) | has(ASKS_DELETIONS, DELETION))
+    group = kept(group.where(asked | (F.col("role") == 0)).drop("roles"), "jaccard-groups")
+    short, group = group.where(F.col("role") == 0).select("doc_id"), group.where(F.col("role") != 0)
+
     near = lambda x: F.col(x).isNotNull() & near_enough(F.col(f"{x}.n"), F.col("n")) & (F.col(f"{x}.doc_id") != F.col("doc_id"))
     met = F.filter(F.array(*(F.when(near(x), F.col(f"{x}.doc_id")) for x in ("before", "least"))), lambda x: x.isNotNull())
     pairs = group.select("doc_id", F.explode(F.array_distinct(met)).alias("other"))
-    pairs = kept(pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "jaccard-pairs")
-    links = verified(pairs, described_, docs, "jaccard-first")
+    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    tried = likely(pairs, described_, "jaccard-likely")
+    links = verified(nearest(tried), docs, "jaccard-nearest")
     joined = kept(components(links), "jaccard-components")
 
+    def more(links: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Links and components after ``pairs`` are verified as well."""
+        links = kept(links.unionByName(verified(pairs, docs, name)), f"{name}-all")
+        return links, kept(components(links), "jaccard-components")
+
+    rest = kept(apart(tried.select("a", "b"), joined), "jaccard-rest")
+    if not rest.isEmpty():
+        links, joined = more(links, rest, "jaccard-rest")
     # Groups of two have been tried; in larger ones, what the links so far leave apart.
-    third, small, tried = group.where("size > 2").select("sig", "doc_id", "n", "size"), F.col("size") <= SMALL, pairs
-    for turn in range(FORESTS + 1):
-        rows = third.join(hinted(joined), third["doc_id"] == joined["node"], "left").select("sig", "doc_id", "n", "size", F.coalesce("component", "doc_id").alias("component"))
-        several = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-        rows = kept(rows.join(several, "sig", "left_semi"), "jaccard-apart")
-        more = pairs_of_large(rows.where(~small), described_, tried, turn < FORESTS)
-        if turn == 0:
-            more = more.unionByName(pairs_of_small(rows.where(small)).join(tried, ["a", "b"], "left_anti")).distinct()
-        more = kept(more, "jaccard-more")
-        if more.isEmpty():
-            break
-        links = kept(links.unionByName(verified(more, described_, docs, "jaccard-more")), "jaccard-links")
-        joined = kept(components(links), "jaccard-components")
-        tried = kept(tried.unionByName(more), "jaccard-tried")
-        third = rows.where(~small).select("sig", "doc_id", "n", "size")
+    third = group.where("size > 2").select("key", "doc_id", "n", "role", "size")
+    for best in (True, False):
+        rows = third.join(hinted(joined), third["doc_id"] == joined["node"], "left").select("key", "doc_id", "n", "role", "size", F.coalesce("component", "doc_id").alias("component"))
+        several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        third = kept(rows.join(several, "key", "left_semi"), "jaccard-apart")
+        new = kept(pairs_of_groups(third, described_, best).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-more")
+        if not new.isEmpty():
+            links, joined = more(links, new, "jaccard-more")
+            tried = tried.select("a", "b").unionByName(new)
+        third = third.drop("component")
+    held = links_of_short(short, docs)
+    if held is not None:
+        links = links.unionByName(held)
     links = links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     return components(links).select(F.col("node").alias("doc_id"), "component")
 

@@ -214,10 +214,12 @@ def family(seed):
     return out
 
 
-@pytest.mark.parametrize(("seed", "small", "block"), [(1, 64, 512), (2, 3, 4)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, small, block):
-    monkeypatch.setattr(jaccard, "SMALL", small)
+@pytest.mark.parametrize(("seed", "block", "segments"), [(1, 4096, None), (2, 4, None), (3, 64, lambda k: (1, 1) if k == 0 else (0, 0) if k == 1 else (5, 2))])
+def test_components_equal_brute_force(spark, monkeypatch, seed, block, segments):
+    """The last has so few segments that many sets lack units and are held against all documents."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    if segments:
+        monkeypatch.setattr(jaccard, "segments", segments)
     texts = family(seed)
     want, sizes = components(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("component", F.lit("x"))
@@ -225,6 +227,55 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, small, block):
     assert all(got[i] == (want[i], sizes[i]) for i in range(len(texts)))
 
 
+def test_linked_sets_meet_at_every_size():
+    """Whoever links is met under some key that the larger set asks for, whatever its shingles cost."""
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    common = (pool[:2500], rng.integers(3, 5000, 2500))
+    lacking, asked_deletions = 0, 0
+    for n in [*range(3, 130), 191, 192, 193, 300, 383, 500, 767, 1000, 1900]:
+        for _ in range(6):
+            s = np.unique(rng.choice(pool, n, replace=False))
+            shared = int(rng.integers(-(-3 * n // 4), n + 1))
+            extra = int(rng.integers(0, max(0, 4 * shared // 3 - n) + 1))  # 4 * shared >= 3 * (n + extra)
+            r = np.unique(np.concatenate([rng.choice(s, shared, replace=False), rng.integers(0, 2**64, extra, dtype=np.uint64)]))
+            if len(r) < 3 or not jaccard.linked(r, s):
+                continue
+            small, large = sorted((r, s), key=len)
+            (a, b), short = jaccard.filed_keys([small, large], common)
+            if short[1]:
+                lacking += 1
+                continue
+            filed = {int(k) >> 4: set() for k in a}
+            for k in a:
+                filed[int(k) >> 4].add(int(k) & 15)
+            met = False
+            for k in b:
+                for role in filed.get(int(k) >> 4, ()):
+                    met |= bool(int(k) & jaccard.ASKS and role & jaccard.WHOLE or int(k) & jaccard.ASKS_DELETIONS and role & jaccard.DELETION)
+                asked_deletions += bool(int(k) & jaccard.ASKS_DELETIONS)
+            assert met, n
+    assert lacking == 0 and asked_deletions > 100
+
+
+def test_a_hot_key_and_near_copies_in_every_band(spark):
+    """A passage that most documents share, and near copies from the smallest sizes to some hundreds of words."""
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(30)]
+    texts = [" ".join([*passage, *(rng.choice(words) for _ in range(rng.choice([4, 8, 20, 60])))]) for _ in range(120)]
+    for n in [7, 9, 10, 15, 20, 26, 28, 31, 50, 53, 90, 101, 110, 190, 202, 380, 400]:
+        base = [rng.choice(words) for _ in range(n)]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, n // 35))):
+                copy[rng.randrange(n)] = rng.choice(words)
+            texts.append(" ".join(copy[: n - rng.randint(0, n // 12)]))
+    want, _ = components(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.clustered(docs).collect()} == dict(enumerate(want))
+
+
 def test_jaccard_of_odd_tables(spark):
     schema = "doc_id long, text string, sig int"
     assert jaccard.clustered(spark.createDataFrame([], schema)).count() == 0
