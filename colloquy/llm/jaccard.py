@@ -44,21 +44,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, table
 
 WORDS = 5
 #: Sample that shingle costs come from: documents at most about, and shingles that are kept, seen in at least so many.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 10_000
 COMMON_SHINGLES = 200_000
 COMMON_FROM = 3
 #: Classes of equal sets, or candidates, up to which they are broadcast; beyond, they are joined.
 BROADCAST_ROWS = 400_000
-#: Members of a group that meet in one block; larger groups are cut up.
+#: Members of a block: small groups share one, larger ones are cut up.
 BLOCK = 4096
-#: Pairs of sketches that are compared at once, in words.
+#: Pairs of members that are looked at together, and words of their sketches.
+STEP_PAIRS = 1 << 19
 STEP_WORDS = 1 << 20
 #: Cells of the longest sketch; with fewer than four an element it lets more pairs through.
 MOST_CELLS = 1 << 16
@@ -336,6 +337,55 @@ def hinted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def neighbours(rows: DataFrame) -> DataFrame:
+    """The rows (key, doc_id, n, role) whose key isn't theirs alone, and those of role 0, with the next smaller (``before``) and the smallest (``least``) document of the key.
+
+    Both are null where the sizes are too far apart, neither row asks for the
+    other, or they are one and the same. Keys are sorted within partitions and
+    streamed: a task holds one batch, however many rows a key has.
+    """
+    def met(doc, n, role, other, m, roles):
+        good = (doc != other) & (4 * m >= 3 * n) & (asks(role, roles) | asks(roles, role))
+        return pa.array(other, mask=~good)
+
+    def run(batches):
+        carry = None  # the last row, which may have a neighbour in the next batch: key, doc, n, role, then those of the row before and of the first of its key
+        for batch in batches:
+            fresh = [np.asarray(batch.column(x)).astype(np.int64) for x in ("key", "doc_id", "n", "role")]
+            if not len(fresh[0]):
+                continue
+            key, doc, n, role = fresh if carry is None else (np.concatenate([[c], f]) for c, f in zip(carry[:4], fresh, strict=True))
+            at = np.arange(len(key))
+            same = np.concatenate([[carry is not None and carry[4] is not None], key[1:] == key[:-1]])
+            previous = np.maximum(at - 1, 0)
+            first = np.maximum.accumulate(np.where(same, 0, at))
+            before, least = ([x[i].copy() for x in (doc, n, role)] for i in (previous, first))
+            if same[0]:
+                for column, value in zip(before, carry[4], strict=True):
+                    column[0] = value
+                run_ = int(np.argmin(same)) if not same.all() else len(same)
+                for column, value in zip(least, carry[5], strict=True):
+                    column[:run_] = value
+            give = same.copy()
+            give[:-1] |= same[1:]
+            give |= role == 0
+            carry = (key[-1], doc[-1], n[-1], role[-1], [x[-1] for x in before] if same[-1] else None, [x[-1] for x in least])
+            give[-1] = False
+            yield given(key, doc, n, role, before, least, same, give)
+        if carry is not None and (carry[4] is not None or carry[3] == 0):
+            one = [np.array([x]) for x in carry[:4]]
+            before = [np.array([x]) for x in carry[4] or carry[1:4]]
+            yield given(*one, before, [np.array([x]) for x in carry[5]], np.array([carry[4] is not None]), np.array([True]))
+
+    def given(key, doc, n, role, before, least, same, give):
+        key, doc, n, role, same = (x[give] for x in (key, doc, n, role, same))
+        before, least = ([x[give] for x in part] for part in (before, least))
+        before[0] = np.where(same, before[0], doc)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(role.astype(np.int32)), met(doc, n, role, *before), met(doc, n, role, *least)], names=["key", "doc_id", "n", "role", "before", "least"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(run, "key long, doc_id long, n int, role int, before long, least long")
+
+
 def near_enough(n: Column, m: Column) -> Column:
     return (4 * n >= 3 * m) & (4 * m >= 3 * n)
 
@@ -457,42 +507,51 @@ def folded(sketches: list[bytes], words: int) -> np.ndarray:
     """Sketches as rows of ``words`` 64-bit words each; longer ones are folded."""
     out = np.zeros((len(sketches), words), _U)
     lengths = np.array([len(x) // 8 for x in sketches])
-    for length in np.unique(lengths):
+    for length in np.unique(lengths[lengths >= words]):
         mine = np.flatnonzero(lengths == length)
         rows = np.frombuffer(b"".join(sketches[i] for i in mine), _U).reshape(len(mine), length)
         while rows.shape[1] > words:
             rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
-        if rows.shape[1] == words:
-            out[mine] = rows
+        out[mine] = rows
     return out
 
 
-def crossing(ids: np.ndarray, n: np.ndarray, component: np.ndarray, role: np.ndarray, sketches: list[bytes], best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members (places in the arrays) across components of which one asks, of near enough sizes and likely by their sketches.
+def asks(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of role ``x`` ask for those of role ``y``."""
+    return ((x & ASKS) > 0) & ((y & WHOLE) > 0) | ((x & ASKS_DELETIONS) > 0) & ((y & DELETION) > 0)
+
+
+def crossing(group: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray, role: np.ndarray, sketches: list[bytes], best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of a group (places in the arrays) across components of which one asks, of near enough sizes and likely by their sketches.
 
     ``best``: of each two components only the likeliest pair.
     """
-    order = np.lexsort((ids, n))
-    ids, n, component, role, sketches = ids[order], n[order], component[order], role[order], [sketches[i] for i in order]
-    words = np.array([len(x) // 8 for x in sketches])
-    asks = lambda x, y: ((x & ASKS) > 0) & ((y & WHOLE) > 0) | ((x & ASKS_DELETIONS) > 0) & ((y & DELETION) > 0)
-    left, right, bits = [], [], []
-    for length in np.unique(words):
-        # the smaller set of a pair has a sketch of this length, and the other's is no shorter
-        mine = np.flatnonzero(words == length)
-        matrix = folded(sketches, int(length))
-        step = max(1, STEP_WORDS // (len(ids) * int(length)) + 1)
-        for lo in range(0, len(mine), step):
-            x = mine[lo : lo + step]
-            end = int(np.searchsorted(n, n[x[-1]] * 4 // 3, side="right"))
-            y = np.arange(x[0], end)
-            fits = (y[None, :] > x[:, None]) & (4 * n[x][:, None] >= 3 * n[y][None, :]) & (component[x][:, None] != component[y][None, :]) & (ids[x][:, None] != ids[y][None, :])
-            fits &= asks(role[y][None, :], role[x][:, None]) | asks(role[x][:, None], role[y][None, :])
-            i, j = np.nonzero(fits)
-            a, b = x[i], y[j]
-            some = STEP_WORDS // int(length)
-            for at in range(0, len(a), some):
-                p, q = a[at : at + some], b[at : at + some]
+    order = np.lexsort((ids, n, group))
+    group, ids, n, component, role = (x[order] for x in (group, ids, n, component, role))
+    group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+    words = np.array([len(sketches[i]) // 8 for i in order])
+    place = (group << 40) + n
+    last = np.searchsorted(place, (group << 40) + n * 4 // 3, side="right")
+    partners = last - np.arange(len(ids)) - 1  # the members after each that aren't too large
+    total = np.concatenate([[0], np.cumsum(partners)])
+    left, right, bits, at = [], [], [], 0
+    matrices = {}
+    while at < len(ids):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + STEP_PAIRS, side="right")) - 1)
+        count = partners[at:end]
+        a = np.repeat(np.arange(at, end), count)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+        at = end
+        fits = component[a] != component[b]
+        a, b = a[fits], b[fits]
+        fits = (ids[a] != ids[b]) & (asks(role[a], role[b]) | asks(role[b], role[a]))
+        a, b = a[fits], b[fits]
+        for length in np.unique(words[a]):  # the smaller set's sketch; the other is no shorter
+            if length not in matrices:
+                matrices[length] = folded([sketches[i] if length <= w <= 2 * length else b"" for i, w in zip(order, words, strict=True)], int(length))
+            mine, matrix = np.flatnonzero(words[a] == length), matrices[length]
+            for lo in range(0, len(mine), max(1, STEP_WORDS // int(length))):
+                p, q = (x[mine[lo : lo + max(1, STEP_WORDS // int(length))]] for x in (a, b))
                 d = np.bitwise_count(matrix[p] ^ matrix[q]).sum(axis=1, dtype=np.int64)
                 good = d <= (n[p] + n[q]) // 7
                 left.append(p[good])
@@ -512,10 +571,11 @@ def crossing(ids: np.ndarray, n: np.ndarray, component: np.ndarray, role: np.nda
 def pairs_of_groups(rows: DataFrame, described_: DataFrame, best: bool) -> DataFrame:
     """Likely pairs (a, b) across the components of groups: rows (key, doc_id, n, role, size, component).
 
-    A group of up to BLOCK members is one block. In a larger one, the members
+    Groups of up to BLOCK members share blocks of about that many. In a larger one, the members
     of the largest component are met by all others, the others also by each
     other, in blocks of about that many.
     """
+    rows_ = rows.count()
     sizes = rows.where(F.col("size") > BLOCK).groupBy("key", "component").count()
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"))
     rows = rows.join(described_.select("doc_id", F.col("n_shingles").cast("int").alias("n"), "sketch"), ["doc_id", "n"])
@@ -526,18 +586,20 @@ def pairs_of_groups(rows: DataFrame, described_: DataFrame, best: bool) -> DataF
     own = F.pmod(F.xxhash64("doc_id"), F.when(inside, left).otherwise(right)).cast("int")
     blocks = lambda n: F.sequence(F.lit(0), n - 1)
     place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
-    cells = F.when(F.col("main").isNull(), F.array(place(2, F.lit(0), F.lit(0)))).when(inside, F.transform(blocks(right), lambda j: place(0, F.col("own"), j))).otherwise(F.concat(
+    shared = max(1, rows_ // BLOCK)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(shared))
+    cells = F.when(F.col("main").isNull(), F.array(place(2, bucket, F.lit(0)))).when(inside, F.transform(blocks(right), lambda j: place(0, F.col("own"), j))).otherwise(F.concat(
         F.transform(blocks(left), lambda i: place(0, i, F.col("own"))), F.transform(blocks(right), lambda j: place(1, F.least(F.col("own"), j), F.greatest(F.col("own"), j)))))
-    rows = rows.withColumn("own", own).withColumn("cell", F.explode(cells)).select("key", "cell.kind", "cell.i", "cell.j", "doc_id", "n", "role", "component", "sketch")
+    rows = rows.withColumn("own", own).withColumn("cell", F.explode(cells)).withColumn("block", F.when(F.col("cell.kind") < 2, F.col("key")).otherwise(0)).select("block", "key", "cell.kind", "cell.i", "cell.j", "doc_id", "n", "role", "component", "sketch")
 
     def cross(pdf):
         import pandas as pd
 
         ids = pdf["doc_id"].to_numpy(np.int64)
-        a, b = crossing(ids, pdf["n"].to_numpy(np.int64), pdf["component"].to_numpy(np.int64), pdf["role"].to_numpy(np.int64), pdf["sketch"].tolist(), best)
+        a, b = crossing(pdf["key"].to_numpy(np.int64), ids, pdf["n"].to_numpy(np.int64), pdf["component"].to_numpy(np.int64), pdf["role"].to_numpy(np.int64), pdf["sketch"].tolist(), best)
         return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
-    return rows.groupBy("key", "kind", "i", "j").applyInPandas(cross, "a long, b long").distinct()
+    return rows.groupBy("block", "kind", "i", "j").applyInPandas(cross, "a long, b long").distinct()
 
 
 def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
@@ -557,19 +619,10 @@ def similar_components(docs: DataFrame, described_: DataFrame) -> DataFrame:
     rows = filed(docs, common).join(hinted(classes), ["h1", "h2"], "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
     rows = rows.select("doc_id", "n", F.explode(F.when(F.col("short"), F.concat("keys", F.array(F.lit(0).cast("long")))).otherwise(F.col("keys"))).alias("key"))
     rows = rows.select(F.shiftrightunsigned("key", 4).alias("key"), "doc_id", "n", F.col("key").bitwiseAND(F.lit(15)).cast("int").alias("role"))
-    by_size = Window.partitionBy("key").orderBy("n", "doc_id")
-    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    group = rows.select(
-        "key", "doc_id", "n", "role", F.count("*").over(whole).cast("int").alias("size"), F.bit_or("role").over(whole).alias("roles"),
-        F.lag(F.struct("doc_id", "n")).over(by_size).alias("before"), F.first(F.struct("doc_id", "n")).over(whole).alias("least"))
-    has = lambda *bits: F.col("roles").bitwiseAND(F.lit(sum(bits))) == sum(bits)
-    asked = (F.col("size") > 1) & (has(ASKS, WHOLE) | has(ASKS_DELETIONS, DELETION))
-    group = kept(group.where(asked | (F.col("role") == 0)).drop("roles"), "jaccard-groups")
+    group = kept(neighbours(rows), "jaccard-groups")
     short, group = group.where(F.col("role") == 0).select("doc_id"), group.where(F.col("role") != 0)
 
-    near = lambda x: F.col(x).isNotNull() & near_enough(F.col(f"{x}.n"), F.col("n")) & (F.col(f"{x}.doc_id") != F.col("doc_id"))
-    met = F.filter(F.array(*(F.when(near(x), F.col(f"{x}.doc_id")) for x in ("before", "least"))), lambda x: x.isNotNull())
-    pairs = group.select("doc_id", F.explode(F.array_distinct(met)).alias("other"))
+    pairs = group.select("doc_id", F.explode(F.array_compact(F.array("before", "least"))).alias("other"))
     pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
     tried = likely(pairs, described_, "jaccard-likely")
     links = verified(nearest(tried), docs, "jaccard-nearest")
@@ -583,17 +636,19 @@ def similar_components(docs: DataFrame, described_: DataFrame) -> DataFrame:
     rest = kept(apart(tried.select("a", "b"), joined), "jaccard-rest")
     if not rest.isEmpty():
         links, joined = more(links, rest, "jaccard-rest")
-    # Groups of two have been tried; in larger ones, what the links so far leave apart.
-    third = group.where("size > 2").select("key", "doc_id", "n", "role", "size")
+    # Groups of two have been tried; in larger ones that somebody asks for, what the links so far leave apart.
+    third = group.select("key", "doc_id", "n", "role")
+    has = lambda *bits: F.col("roles").bitwiseAND(F.lit(sum(bits))) == sum(bits)
     for best in (True, False):
-        rows = third.join(hinted(joined), third["doc_id"] == joined["node"], "left").select("key", "doc_id", "n", "role", "size", F.coalesce("component", "doc_id").alias("component"))
-        several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        third = kept(rows.join(several, "key", "left_semi"), "jaccard-apart")
+        rows = third.join(hinted(joined), third["doc_id"] == joined["node"], "left").select("key", "doc_id", "n", "role", F.coalesce("component", "doc_id").alias("component"))
+        several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.bit_or("role").alias("roles"))
+        several = several.where((F.col("lo") != F.col("hi")) & (F.col("size") > 2) & (has(ASKS, WHOLE) | has(ASKS_DELETIONS, DELETION))).select("key", "size")
+        third = kept(rows.join(several, "key"), "jaccard-apart")
         new = kept(pairs_of_groups(third, described_, best).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-more")
         if not new.isEmpty():
             links, joined = more(links, new, "jaccard-more")
             tried = tried.select("a", "b").unionByName(new)
-        third = third.drop("component")
+        third = third.select("key", "doc_id", "n", "role")
     held = links_of_short(short, docs)
     if held is not None:
         links = links.unionByName(held)

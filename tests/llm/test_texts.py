@@ -258,6 +258,28 @@ def test_linked_sets_meet_at_every_size():
     assert lacking == 0 and asked_deletions > 100
 
 
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_neighbours_equal_a_loop(spark, batch):
+    """Runs of a key that span Arrow batches."""
+    rng = random.Random(batch)
+    rows = sorted({(rng.choice([1, 2, 3, 4, *range(10, 60)]) * 7, rng.randint(1, 40), rng.choice([9, 10, 12])) for _ in range(150)})
+    rows = [(k, d, n, rng.choice([1, 3, 7, 8, 10])) for (k, d), n in {(k, d): n for k, d, n in rows}.items()] + [(0, 99, 5, 0)]
+    asks = lambda x, y: x & 2 and y & 1 or x & 4 and y & 8
+    want = set()
+    for key in {r[0] for r in rows}:
+        run = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1]))
+        for i, (_, d, n, role) in enumerate(run):
+            near = [o[1] if o[1] != d and 4 * o[2] >= 3 * n and (asks(role, o[3]) or asks(o[3], role)) else None for o in (run[max(i - 1, 0)], run[0])]
+            if len(run) > 1 or role == 0:
+                want.add((key, d, n, role, *near))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = jaccard.neighbours(spark.createDataFrame(rows, "key long, doc_id long, n int, role int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_a_hot_key_and_near_copies_in_every_band(spark):
     """A passage that most documents share, and near copies from the smallest sizes to some hundreds of words."""
     rng = random.Random(5)
