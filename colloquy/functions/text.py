@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# States of a call, endings of media files, lines and limits of what is posted.
 STATUSES = ["recording", "ready-to-process", "transcribing", "summarizing", "delivered", "failed"]
-MEDIA_FILE = r"(?i)\.(png|jpe?g|gif|webp|bmp|svg|mp4|mov|webm|mkv|avi)$"
+MEDIA_FILE = r"(?i)\.(mp4|mov|mkv|webm|avi|png|jpe?g|gif|webp)$"
 NONE_LINE = "_None._"
+NO_OVERVIEW, NO_SPEAKERS = "_No overview._", "_No per-speaker breakdown._"
+REPLY_CHARS, SNIPPET_CHARS, POST_CHARS = 1900, 400, 1900
 
 
 def ws_trim(text: Column) -> Column:
@@ -74,9 +77,9 @@ def message_source_ref(channel: Column, message: Column) -> Column:
 
 
 def is_media(content_type: Column, filename: Column) -> Column:
-    """By content type where there is one, else by the file's ending."""
+    """By content type where there is one (an empty one is none), else by the file's ending."""
     by_type = content_type.startswith("image/") | content_type.startswith("video/")
-    return F.when(content_type.isNotNull(), by_type).otherwise(F.coalesce(filename, F.lit("")).rlike(MEDIA_FILE))
+    return F.when(F.coalesce(content_type, F.lit("")) != "", by_type).otherwise(F.coalesce(filename, F.lit("")).rlike(MEDIA_FILE))
 
 
 def bullet_list(items: Column) -> Column:
@@ -94,17 +97,18 @@ def join_notes(notes: Column) -> Column:
 
 
 def honesty_footer(censored: Column, reason: Column) -> Column:
+    """How the answer was found, as small print; what isn't known is left out."""
     shown = F.when(censored.isNotNull(), F.concat(F.lit("graph_censored="), censored.cast("string")))
-    why = F.when(reason.isNotNull(), F.concat(F.lit("termination_reason="), reason))
-    return F.concat_ws(" | ", F.lit("mode=fused"), shown, why)
+    why = F.when(reason.isNotNull(), F.concat(F.lit("termination="), reason))
+    return F.concat(F.lit("-# "), F.concat_ws(" | ", F.lit("mode=fused"), shown, why))
 
 
 def render_reply(question: Column, snippets: Column, sources: Column, footer: Column) -> Column:
-    """Numbered snippets with their sources, each at most 400 long, the whole at most 1900."""
+    """Numbered snippets, trimmed and shortened, with their sources in small print and a blank line after each; the whole is shortened too."""
     source = lambda i: F.coalesce(F.get(sources, i), F.lit("unknown source"))
-    line = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), truncate_ellipsis(x, 400), F.lit("\n   "), source(i))
-    body = F.when(F.size(snippets) == 0, F.lit("No memories matched.")).otherwise(F.array_join(F.transform(snippets, line), "\n"))
-    return truncate_ellipsis(F.concat_ws("\n", F.concat(F.lit("**Q:** "), question), body, footer), 1900)
+    block = lambda x, i: F.concat(F.lit("**"), (i + 1).cast("string"), F.lit(".** "), truncate_ellipsis(ws_trim(x), SNIPPET_CHARS), F.lit("\n-# "), source(i), F.lit("\n"))
+    body = F.when(F.size(snippets) == 0, F.lit("No memories matched.")).otherwise(F.array_join(F.transform(snippets, block), "\n"))
+    return truncate_ellipsis(F.concat_ws("\n", F.concat(F.lit("**Q:** "), question, F.lit("\n")), body, footer), REPLY_CHARS)
 
 
 def thread_name(call_id: Column) -> Column:

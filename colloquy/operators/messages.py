@@ -57,10 +57,15 @@ def gate_with_reason(df: DataFrame, channels: DataFrame, optout: DataFrame, allo
 
 
 def scrub_mentions(df: DataFrame, optout: DataFrame) -> DataFrame:
-    """``df`` with opted-out ids taken out of mentions; the order and repetitions of the rest stay."""
-    one = df.select("message_id", F.posexplode("mentions").alias("_at", "user_id")).join(optout.select("user_id"), "user_id", "left_anti")
-    rest = one.groupBy("message_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "user_id"))), lambda x: x["user_id"]).alias("_kept"))
-    return df.join(rest, "message_id", "left").withColumn("mentions", F.coalesce("_kept", F.array().cast("array<string>"))).drop("_kept")
+    """``df`` with opted-out ids taken out of mentions; the order and repetitions of the rest stay, null becomes an empty list.
+
+    Only lists that name somebody who opted out are gathered, by the list
+    itself: rows that share a message_id keep their own lists.
+    """
+    named = df.select("mentions", F.explode("mentions").alias("user_id")).distinct().join(optout.select("user_id"), "user_id", "left_semi")
+    out = named.groupBy("mentions").agg(F.collect_set("user_id").alias("_out"))
+    kept = F.when(F.col("_out").isNull(), F.col("mentions")).otherwise(F.filter("mentions", lambda x: x.isNull() | ~F.array_contains("_out", x)))
+    return df.join(out, "mentions", "left").withColumn("mentions", F.coalesce(kept, F.array().cast("array<string>"))).select(*df.columns)
 
 
 def source_ref() -> Column:
@@ -152,10 +157,26 @@ def latest_names(seen: DataFrame) -> DataFrame:
     return seen.where(F.coalesce("name", F.lit("")) != "").groupBy("call_id", "user_id").agg(F.max_by("name", F.struct("ts", "event_id")).alias("name"))
 
 
-def keyset_page(messages: DataFrame, before: int, size: int = 100) -> DataFrame:
-    """The newest ``size`` messages of each channel below a cursor."""
+def keyset_page(messages: DataFrame, cursors: DataFrame, size: int = 100) -> DataFrame:
+    """The newest ``size`` messages of each channel below its own cursor: ``cursors`` has channel_id and before (null for the top)."""
+    return history_pages(messages, cursors, size).where(F.col("page") == 0).drop("page")
+
+
+def history_pages(messages: DataFrame, cursors: DataFrame | None = None, size: int = 100) -> DataFrame:
+    """Every page of a walk back through each channel: ``page`` from 0 and ``page_pos`` from 1, newest first.
+
+    With ``cursors`` (channel_id, before), only the channels listed, from below
+    their cursors (null: from the top); so a walk goes on where it stopped.
+    """
+    below = messages if cursors is None else messages.join(cursors.select("channel_id", "before"), "channel_id").where(F.col("before").isNull() | (F.col("seq") < F.col("before"))).drop("before")
     w = Window.partitionBy("channel_id").orderBy(F.desc("seq"))
-    return messages.where(F.col("seq") < before).withColumn("page_pos", F.row_number().over(w)).where(F.col("page_pos") <= size)
+    place = F.row_number().over(w) - 1
+    return below.withColumn("_at", place).withColumns({"page": F.floor(F.col("_at") / size).cast("int"), "page_pos": (F.col("_at") % size + 1).cast("int")}).drop("_at")
+
+
+def next_cursors(walked: DataFrame) -> DataFrame:
+    """Where the walk of each channel goes on: channel_id and before, the smallest seq that was walked."""
+    return walked.groupBy("channel_id").agg(F.min("seq").alias("before"))
 
 
 def skip_report(gated: DataFrame) -> DataFrame:

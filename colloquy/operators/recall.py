@@ -11,26 +11,35 @@ from .graph import neighbourhood
 QUERY_CHUNK = 2000
 
 
-def cosine(a: Column, b: Column) -> Column:
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    square = lambda v: total(F.transform(v, lambda x: x.cast("double") * x))
-    dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y))
-    return dot / F.sqrt(square(a) * square(b))
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+
+
+def square(v: Column) -> Column:
+    """A vector's squared length."""
+    return _total(F.transform(v, lambda x: x.cast("double") * x))
+
+
+def cosine(a: Column, b: Column, a2: Column, b2: Column) -> Column:
+    """Similarity of two vectors whose squared lengths are ``a2`` and ``b2``."""
+    return _total(F.zip_with(a, b, lambda x, y: x.cast("double") * y)) / F.sqrt(a2 * b2)
 
 
 def _scored(queries: DataFrame, memories: DataFrame, region: bool) -> DataFrame:
-    """Every query against every memory: the queries are a stated set of at most QUERY_CHUNK, sent to all tasks."""
-    q = F.broadcast(queries.select(F.col("memory_id").alias("query"), F.col("embedding").alias("_q"), F.col("region").alias("_region")))
+    """Every query against every memory: the queries are a stated set of at most QUERY_CHUNK, sent to all tasks. Lengths are computed once a vector."""
+    q = F.broadcast(queries.select(F.col("memory_id").alias("query"), F.col("embedding").alias("_q"), square(F.col("embedding")).alias("_q2"), F.col("region").alias("_region")))
+    memories = memories.withColumn("_m2", square(F.col("embedding")))
     near = (F.col("_region") == F.col("region")) if region else F.lit(True)
     rows = memories.join(q, near & (F.col("query") != F.col("memory_id")))
-    return rows.select("query", "memory_id", F.round(cosine(F.col("_q"), F.col("embedding")), 6).alias("score"))
+    return rows.select("query", "memory_id", F.round(cosine(F.col("_q"), F.col("embedding"), F.col("_q2"), F.col("_m2")), 6).alias("score"))
 
 
 def _scored_pairs(pairs: DataFrame, queries: DataFrame, memories: DataFrame) -> DataFrame:
     """The similarity of given pairs (query, memory_id, more)."""
-    q = queries.select(F.col("memory_id").alias("query"), F.col("embedding").alias("_q"))
-    rows = pairs.where("query <> memory_id").join(q, "query").join(memories.select("memory_id", F.col("embedding").alias("_m")), "memory_id")
-    return rows.withColumn("score", F.round(cosine(F.col("_q"), F.col("_m")), 6)).drop("_q", "_m")
+    q = queries.select(F.col("memory_id").alias("query"), F.col("embedding").alias("_q"), square(F.col("embedding")).alias("_q2"))
+    m = memories.select("memory_id", F.col("embedding").alias("_m"), square(F.col("embedding")).alias("_m2"))
+    rows = pairs.where("query <> memory_id").join(q, "query").join(m, "memory_id")
+    return rows.withColumn("score", F.round(cosine(F.col("_q"), F.col("_m"), F.col("_q2"), F.col("_m2")), 6)).drop("_q", "_m", "_q2", "_m2")
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

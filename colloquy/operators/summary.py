@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as T
 from colloquy.sources import validate
 
+from . import transcript as C
+
 ITEM = "struct<owner:string,item:string>"
 SUMMARY = f"struct<full_call:struct<overview:string,key_topics:array<string>,decisions:array<string>,open_questions:array<string>,action_items:array<{ITEM}>>,per_speaker:array<struct<display_name:string,contributions:array<string>,positions_concerns:array<string>,action_items:array<{ITEM}>>>>"
 LISTS = ["key_topics", "decisions", "open_questions"]
@@ -107,12 +109,45 @@ def facts(summaries: DataFrame) -> DataFrame:
     return summaries.select("call_id", F.explode(F.concat(*parts)).alias("f")).select("call_id", "f.*")
 
 
-def render_summary_md(call_id: Column, s: Column, video: Column) -> Column:
+def render_summary_md(s: Column, video: Column) -> Column:
     """The summary as Markdown; a video line only where there is a video."""
     full = s["full_call"]
-    section = lambda title, body: F.concat(F.lit(f"\n## {title}\n\n"), body)
-    each = lambda x: F.concat(F.lit("\n### "), x["display_name"], F.lit("\n\n"), T.bullet_list(x["contributions"]), F.lit("\n\n**Positions and concerns**\n\n"), T.bullet_list(x["positions_concerns"]), F.lit("\n\n**Action items**\n\n"), T.action_item_list(x["action_items"]))
+    section = lambda title, body: F.concat(F.lit(f"\n## {title}\n"), body)
+    each = lambda x: F.concat_ws(
+        "\n", F.concat(F.lit("\n### "), x["display_name"]), F.lit("**Contributions**"), T.bullet_list(x["contributions"]),
+        F.lit("**Positions / concerns**"), T.bullet_list(x["positions_concerns"]), F.lit("**Action items**"), T.action_item_list(x["action_items"]))
+    overview = T.ws_trim(F.coalesce(full["overview"], F.lit("")))
+    speakers = F.when(F.size(s["per_speaker"]) == 0, F.lit(T.NO_SPEAKERS)).otherwise(F.array_join(F.transform(s["per_speaker"], each), "\n"))
     return F.concat_ws(
-        "\n", F.concat(F.lit("# Call "), call_id), F.when(video.isNotNull(), F.concat(F.lit("\nVideo: "), video)),
-        section("Overview", F.when(T.is_blank(full["overview"]), "_No overview._").otherwise(full["overview"])), section("Key topics", T.bullet_list(full["key_topics"])), section("Decisions", T.bullet_list(full["decisions"])),
-        section("Open questions", T.bullet_list(full["open_questions"])), section("Action items", T.action_item_list(full["action_items"])), F.array_join(F.transform(s["per_speaker"], each), "\n"))
+        "\n", F.lit("# Call summary"), F.when(video.isNotNull(), F.concat(F.lit("\n📹 Video recorded (aligned) — "), video)),
+        section("Overview", F.when(overview == "", T.NO_OVERVIEW).otherwise(overview)), section("Key topics", T.bullet_list(full["key_topics"])), section("Decisions", T.bullet_list(full["decisions"])),
+        section("Open questions", T.bullet_list(full["open_questions"])), section("Action items", T.action_item_list(full["action_items"])), section("Per-speaker", speakers))
+
+
+def summary_parts(summaries: DataFrame, limit: int = T.POST_CHARS) -> DataFrame:
+    """call_id, part (from 0) and body of each summary as it is posted; ``summaries`` has call_id, summary and video (null for none)."""
+    text = render_summary_md(F.col("summary"), F.col("video"))
+    return summaries.select("call_id", F.posexplode(T.split_lines(text, limit)).alias("part", "body"))
+
+
+def output_events(merged: DataFrame, summaries: DataFrame, tracks: DataFrame, calls: DataFrame, channels: DataFrame, optout: DataFrame, region: str = "discord", allow_all: bool = False) -> DataFrame:
+    """The two events of each call in an allowed channel: event_type, call_id, channel_id (of transcripts), body (JSON) and region.
+
+    The transcript lists its segments, the summary is whole; an empty overview
+    becomes the call's name. Users who opted out lose their segments, their
+    speaker sections and the ownership of whole-call action items; a name that
+    no track has is nobody's. ``merged`` has pos, speaker, start_ms, end_ms and
+    text; ``summaries`` call_id and summary. A call without segments has an
+    empty list.
+    """
+    allowed = calls.select("call_id", "channel_id") if allow_all else calls.select("call_id", "channel_id").join(channels.select("channel_id").distinct(), "channel_id", "left_semi")
+    out = C.speakers(tracks).join(optout.select("user_id").distinct(), "user_id", "left_semi").groupBy("call_id").agg(F.collect_set("speaker").alias("names"))
+    segment = F.struct("pos", F.struct("speaker", "start_ms", "end_ms", "text").alias("s"))
+    spoken = C.scrub_segments(merged, tracks, optout).groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(segment)), lambda x: x["s"]).alias("segments"))
+    kind = spoken.schema["segments"].dataType
+    transcripts = allowed.join(spoken, "call_id", "left").select(
+        F.lit("transcript").alias("event_type"), "call_id", "channel_id", F.to_json(F.coalesce("segments", F.array().cast(kind))).alias("body"), F.lit(region).alias("region"))
+    scrubbed = scrub_speaker_sections(scrub_action_items(summaries.select("call_id", "summary"), out), out).join(allowed.select("call_id"), "call_id", "left_semi")
+    overview = F.col("summary.full_call.overview")
+    told = F.col("summary").withField("full_call.overview", F.when(T.is_blank(overview), F.concat(F.lit("Call "), "call_id")).otherwise(overview))
+    return transcripts.unionByName(scrubbed.select(F.lit("summary").alias("event_type"), "call_id", F.lit(None).cast("string").alias("channel_id"), F.to_json(told).alias("body"), F.lit(region).alias("region")))

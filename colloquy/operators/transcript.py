@@ -136,13 +136,14 @@ def scrub_segments(merged: DataFrame, tracks: DataFrame, optout: DataFrame) -> D
 
 def align_to_video(merged: DataFrame, calls: DataFrame) -> DataFrame:
     """Segments of calls with a video, on its clock."""
-    return merged.join(calls.where(F.col("video_offset_ms").isNotNull()).select("call_id", "video_offset_ms"), "call_id").withColumn("video_ms", T.video_time_ms(F.col("start_ms"), F.col("video_offset_ms").cast("long")))
+    more = ["video_path"] if "video_path" in calls.columns else []
+    return merged.join(calls.where(F.col("video_offset_ms").isNotNull()).select("call_id", "video_offset_ms", *more), "call_id").withColumn("video_ms", T.video_time_ms(F.col("start_ms"), F.col("video_offset_ms").cast("long")))
 
 
 def render_timecoded(aligned: DataFrame) -> DataFrame:
-    """A call's lines with the video's time before each."""
+    """A call's lines with the video's time before each, under the video's path; ``aligned`` has video_path."""
     row = F.concat(F.lit("["), T.format_timecode(F.col("video_ms")), F.lit("] "), line())
-    return aligned.groupBy("call_id").agg(F.concat(F.lit("# Transcript of "), F.col("call_id"), F.lit("\n\n"), joined_lines(row)).alias("timecoded"))
+    return aligned.groupBy("call_id").agg(F.concat(F.lit("# Timecoded transcript\n\nVideo: "), F.first("video_path"), F.lit("\n\n"), joined_lines(row)).alias("timecoded"))
 
 
 def silent_calls(calls: DataFrame, segments: DataFrame) -> DataFrame:

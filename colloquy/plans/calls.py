@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.functions import text as T
 from colloquy.operators import transcript as C
+from colloquy.sources import io
 
-from .messages import channels, optout as _optout
 from .views import CHUNK, SINGLE_PASS, duck, view
 
 V = ("raw_segments",)
@@ -22,7 +21,7 @@ def tracks(s, d):
 
 
 def calls(s, d):
-    return segments(s, d).groupBy("call_id").agg(F.first("video_offset_ms").alias("video_offset_ms"), F.first("channel_id").alias("channel_id"), F.first("conv_id").alias("conv_id"))
+    return segments(s, d).groupBy("call_id").agg(F.first("video_offset_ms").alias("video_offset_ms"), F.first("channel_id").alias("channel_id"), F.first("conv_id").alias("conv_id")).withColumn("video_path", F.concat("call_id", F.lit(".mkv")))
 
 
 def labelled(s, d):
@@ -49,25 +48,15 @@ def stt(s, d):
     return rows.select("call_id", "user_id", F.to_json(body).alias("stt"))
 
 
-def call_output_events(s, d):
-    kept = C.scrub_segments(merged(s, d), tracks(s, d), optout(s))
-    allowed = calls(s, d).join(channels(calls(s, d)), "channel_id", "left_semi")
-    transcript = C.render_transcript(kept).join(allowed, "call_id", "left_semi").select(F.lit("transcript").alias("event_type"), F.concat(F.lit("transcript|"), "call_id").alias("source_ref"), F.md5("transcript").alias("body_md5"))
-    overview = F.when(F.col("conv_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("Overview "), "conv_id"))
-    summary = C.render_transcript(merged(s, d)).select("call_id").join(allowed, "call_id").select(F.lit("summary").alias("event_type"), F.concat(F.lit("summary|"), "call_id").alias("source_ref"), F.md5(F.when(T.is_blank(overview), F.concat(F.lit("Call "), "call_id")).otherwise(overview)).alias("body_md5"))
-    return transcript.unionByName(summary)
-
-
 def notes(s, d):
-    """A note for each chunk: its first words."""
+    """A note for each chunk: its lines."""
     rows = merged(s, d)
     text = rows.join(C.chunked(rows, CHUNK).select("call_id", "pos", "chunk"), ["call_id", "pos"]).groupBy("call_id", "chunk").agg(C.joined_lines(C.line()).alias("t"))
-    return text.select("call_id", F.col("chunk").alias("note_idx"), F.substring("t", 1, 300).alias("note"))
+    return text.select("call_id", F.col("chunk").alias("note_idx"), F.col("t").alias("note"))
 
 
 def fold(s, d):
-    if not s.conf.get("spark.checkpoint.dir", None) and s.sparkContext.getCheckpointDir() is None:
-        s.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    io.checkpoints(s)
     return C.fold_notes(notes(s, d), 160).select("call_id", "n_notes", F.length("notes").alias("chars"), F.md5("notes").alias("notes_md5"))
 
 
@@ -90,8 +79,6 @@ QUERIES = {
     "render_timecoded": lambda s, d: C.render_timecoded(C.align_to_video(merged(s, d), calls(s, d))).select("call_id", F.md5("timecoded").alias("timecoded_md5")),
     "silent_calls": lambda s, d: C.silent_calls(calls(s, d), segments(s, d)).select("call_id"),
     "call_participants": lambda s, d: C.speakers(tracks(s, d)),
-    "call_output_events": call_output_events,
-    "write_summary_parts": lambda s, d: C.render_transcript(merged(s, d)).select("call_id", F.posexplode(T.split_lines(F.col("transcript"), 500)).alias("part", "body")).select("call_id", "part", F.length("body").alias("chars"), F.md5("body").alias("body_md5")),
     "validate_segments": lambda s, d: labelled(s, d).withColumn("end_ms", F.when(F.col("seg_idx") % 5 == 0, F.col("start_ms") - 1).otherwise(F.col("end_ms"))).select("call_id", "user_id", "seg_idx", _segment_errors().alias("errors")),
 }
 
@@ -117,7 +104,7 @@ PACK2 = _PACK.format(keys="call_id, speaker", skeys="s.call_id, s.speaker", on="
 TOKENS = "CAST(ceil((sum(length(line)) + count(*) - 1) / 4.0) AS BIGINT)"
 CLOCK = "lpad(CAST(video_ms // 60000 AS VARCHAR), CAST(greatest(2, length(CAST(video_ms // 60000 AS VARCHAR))) AS INT), '0') || ':' || lpad(CAST(video_ms // 1000 % 60 AS VARCHAR), 2, '0')"
 VIDEO = ", video AS (SELECT *, greatest(0, start_ms - video_offset_ms) AS video_ms FROM merged WHERE video_offset_ms IS NOT NULL)\n"
-NOTES = PACK + """, notes AS (SELECT m.call_id, p.chunk AS note_idx, substr(string_agg(m.line, chr(10) ORDER BY m.pos), 1, 300) AS note FROM merged m JOIN packs p USING (call_id, pos) GROUP BY 1, 2),
+NOTES = PACK + """, notes AS (SELECT m.call_id, p.chunk AS note_idx, string_agg(m.line, chr(10) ORDER BY m.pos) AS note FROM merged m JOIN packs p USING (call_id, pos) GROUP BY 1, 2),
 costed AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY note_idx) AS i FROM notes),
 batched AS (SELECT call_id, note_idx, i, 15 + length(note) AS chars, 1 AS k, 0 AS batch FROM costed WHERE i = 1
   UNION ALL SELECT c.call_id, c.note_idx, c.i, CASE WHEN over THEN 15 + length(c.note) ELSE more END, CASE WHEN over THEN 1 ELSE b.k + 1 END, CASE WHEN over THEN b.batch + 1 ELSE b.batch END
@@ -152,10 +139,8 @@ SELECT call_id, user_id, seg_idx, start_ms, end_ms, md5(regexp_replace(text, '^\
     "batch_notes": _sql(NOTES + "SELECT call_id, note_idx, batch FROM batched", True),
     "scrub_segments": _sql("SELECT call_id, pos, speaker FROM shown"),
     "align_to_video": _sql(VIDEO + "SELECT call_id, pos, video_ms FROM video"),
-    "render_timecoded": _sql(VIDEO + f"SELECT call_id, md5('# Transcript of ' || call_id || chr(10) || chr(10) || string_agg('[' || {CLOCK} || '] ' || line, chr(10) ORDER BY pos)) AS timecoded_md5 FROM video GROUP BY call_id"),
+    "render_timecoded": _sql(VIDEO + f"SELECT call_id, md5('# Timecoded transcript' || chr(10) || chr(10) || 'Video: ' || call_id || '.mkv' || chr(10) || chr(10) || string_agg('[' || {CLOCK} || '] ' || line, chr(10) ORDER BY pos)) AS timecoded_md5 FROM video GROUP BY call_id"),
     "silent_calls": _sql("SELECT DISTINCT call_id FROM raw_segments WHERE call_id NOT IN (SELECT call_id FROM merged)"),
     "call_participants": duck("SELECT call_id, display_name AS speaker, arg_max(user_id, track_idx) AS user_id FROM raw_segments GROUP BY 1, 2", *V),
-    "call_output_events": _sql("""SELECT 'transcript' AS event_type, 'transcript|' || call_id AS source_ref, md5(string_agg(line, chr(10) ORDER BY pos)) AS body_md5 FROM shown WHERE CAST(substr(channel_id, 2) AS INT) % 2 = 0 GROUP BY call_id
-UNION ALL SELECT DISTINCT 'summary', 'summary|' || call_id, md5(CASE WHEN conv_id % 3 = 0 THEN 'Call ' || call_id ELSE 'Overview ' || conv_id END) FROM merged WHERE CAST(substr(channel_id, 2) AS INT) % 2 = 0"""),
     "validate_segments": _sql("""SELECT call_id, user_id, seg_idx, CASE WHEN seg_idx % 5 = 0 THEN 'end_ms: before start_ms' || CASE WHEN start_ms - 1 < 0 THEN '; end_ms: negative' ELSE '' END ELSE '' END AS errors FROM labelled"""),
 }

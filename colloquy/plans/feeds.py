@@ -11,11 +11,15 @@ from colloquy.operators import messages as M
 from colloquy.sources import io, validate
 from colloquy.streaming import feeds as S
 
-from .lives import DOCS, ROLES, SESS, USERS, documents_of_status
+from .lives import BURST, DOCS, ROLES, SESS, USERS, documents_of_status
 from .messages import ALLOWED, LOG, NORMAL, OUT, channels, log, normal, optout, raw
 from .views import NOW, duck, view
 
 
+#: Slices of time in which the voice feed arrives, and files of each.
+SLICES, FILES = 6, 3
+
+
 def place(s, name):
     return f"{io.shared_dir(s)}/{name}-{uuid.uuid4().hex}"
 
@@ -31,8 +35,8 @@ def scan_status(s, d):
     """Status documents as JSON text files, read back and split."""
     path = place(s, "status")
     documents_of_status(s, d).select(F.to_json(F.struct("call_id", "status", "updated_at", "emailed_at")).alias("value")).write.text(path)
-    rows = s.read.schema(io.STATUS).json(path).withColumn("errors", validate.status_errors())
-    return rows.select("call_id", F.when(F.col("errors") == "", "valid").otherwise("rejected").alias("state"))
+    good, bad = io.scan_status(s, path, lines=True)
+    return good.select("call_id", F.lit("valid").alias("state")).unionByName(bad.select("call_id", F.lit("rejected").alias("state")))
 
 
 def scan_calls(s, d):
@@ -42,8 +46,8 @@ def scan_calls(s, d):
     track = F.array(F.struct(F.lit("u1").alias("user_id"), F.lit("Ada").alias("display_name"), F.lit("a.wav").alias("path"), F.when(F.col("o_orderkey") % 9 == 0, -1).otherwise(5).alias("start_offset_ms")))
     doc = F.struct("call_id", F.lit("g1").alias("guild_id"), "channel_id", iso.alias("started_at"), track.alias("tracks"))
     view(s, d, "call_status").select(F.to_json(doc).alias("value")).write.text(path)
-    rows = s.read.schema(io.CALL).json(path).withColumn("errors", validate.manifest_errors())
-    return rows.select("call_id", "errors")
+    good, bad = io.scan_calls(s, path, lines=True)
+    return good.select("call_id", F.lit("").alias("errors")).unionByName(bad.select("call_id", "errors"))
 
 
 def artifacts(s, d):
@@ -95,24 +99,27 @@ def appended(s, stream, name):
 
 
 def dedupe(s, d):
-    """Every event delivered twice."""
+    """Every event delivered twice or more; what a key is of tells creates and their like from edits and deletes."""
     rows = log(s, d).select("event_key", "kind", "event_id", "ts")
-    path, schema = laid_out(s, rows.union(rows).dropDuplicates(["event_key", "event_id"]).union(rows).where("kind = 'edit'"), "feed")
+    path, schema = laid_out(s, rows.union(rows).dropDuplicates(["event_key", "event_id"]).union(rows), "feed")
     out = appended(s, S.stream_dedupe(S.source(s, path, schema), "3650 days"), "deduped")
-    return out.groupBy("kind").agg(F.count("*").alias("n"))
+    kind = F.when(F.col("event_key").contains("|edit|"), "edit").when(F.col("event_key").endswith("|delete"), "delete").otherwise("message")
+    return out.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def utterances(s, d):
-    """Sessions of each user's bursts, all but those still open at the end of the feed."""
-    path, schema = laid_out(s, view(s, d, "bursts").drop("burst_idx"), "bursts")
-    return appended(s, S.stream_utterances(S.source(s, path, schema), "2 hours", "0 seconds"), "utterances").groupBy("user_id").agg(F.sum("n_bursts").alias("n_bursts"))
+    """Sessions of each user's bursts; a burst of nobody, long after the others, closes the last of them."""
+    rows = view(s, d, "bursts").drop("burst_idx")
+    end = rows.agg(F.max("ts").alias("ts")).select(F.lit("").alias("user_id"), (F.col("ts") + F.expr("INTERVAL '3650' DAY")).alias("ts"), F.lit(0).cast("long").alias("dur_ms"))
+    path, schema = laid_out(s, rows.unionByName(end), "bursts")
+    return appended(s, S.stream_utterances(S.source(s, path, schema), 7_200_000, "0 seconds"), "utterances").where("user_id <> ''")
 
 
 def queue(s, d):
     path, schema = laid_out(s, view(s, d, "call_status").repartition(3), "queue")
     target = place(s, "actions")
     S.stream_queue(S.source(s, path, schema, 1), target, place(s, "offsets"), NOW, 60 * 24 * 700, 900)
-    return s.read.parquet(target).select("call_id", "action")
+    return s.read.parquet(target).select("call_id", "action", "since")
 
 
 def quarantine(s, d):
@@ -125,9 +132,15 @@ def quarantine(s, d):
 
 
 def sessions(s, d):
-    """Closed calls, in one micro-batch in order of time."""
-    path, schema = laid_out(s, view(s, d, "voice_state").coalesce(1), "voice")
-    return appended(s, S.stream_voice_sessions(S.source(s, path, schema), USERS, ROLES), "sessions")
+    """Closed calls. The feed arrives in slices of time, three files and one micro-batch each."""
+    rows, path = view(s, d, "voice_state"), place(s, "voice")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = rows.select(at.cast("double").alias("at")).approxQuantile("at", [i / SLICES for i in range(1, SLICES)], 0.01)
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+        rows.where(inside).repartition(FILES).write.mode("append").parquet(path)
+    return appended(s, S.stream_voice_sessions(S.source(s, path, rows.schema, FILES), USERS, ROLES), "sessions")
 
 
 def purge(s, d):
@@ -137,10 +150,15 @@ def purge(s, d):
 
 
 def message_stream(s, d):
-    """Raw messages as a feed, normalised by the batch function."""
-    path, schema = laid_out(s, raw(s, d).repartition(3), "raw")
-    out = appended(s, M.normalize_messages(S.source(s, path, schema, 1)), "normal")
-    return out.select("message_id", "channel_id", "thread_id", "author_name", F.md5("content").alias("content_md5"))
+    """Raw messages as a feed of creates, edits and deletes, some without a time or of an unknown kind, delivered twice."""
+    kind = F.when(F.col("seq") % 43 == 0, "poke").when(F.col("seq") % 17 == 0, "delete").when(F.col("seq") % 11 == 0, "edit").otherwise("create")
+    rows = raw(s, d).withColumn("kind", kind).withColumn("ts", F.when(F.col("seq") % 41 != 0, F.col("ts")))
+    path, schema = laid_out(s, rows.union(rows.where("seq % 3 = 0")).repartition(3), "raw")
+    target, rejected = place(s, "messages"), place(s, "refused")
+    S.stream_messages(S.source(s, path, schema, 1), target, rejected, place(s, "offsets"))
+    good = s.read.parquet(target).select("message_id", "kind", "channel_id", "thread_id", "author_name", F.md5("content").alias("content_md5"), F.lit("").alias("errors"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(s.read.parquet(rejected).select("message_id", "kind", none.alias("channel_id"), none.alias("thread_id"), none.alias("author_name"), none.alias("content_md5"), "errors"))
 
 
 def consent(s, d):
@@ -167,7 +185,10 @@ QUERIES = {"message_stream": message_stream, "consent_source": consent, "validat
 
 STORED = LOG + f", stored AS (SELECT event_key, kind FROM log WHERE kind = 'delete' OR (kind IN ('create', 'edit') AND {ALLOWED} AND NOT ({OUT})))\n"
 SQL = {
-    "message_stream": duck(NORMAL + "SELECT message_id, channel_id, thread_id, author_name, md5(content) AS content_md5 FROM normal", "raw_messages"),
+    "message_stream": duck(NORMAL + """, kinds AS (SELECT *, CASE WHEN seq % 43 = 0 THEN 'poke' WHEN seq % 17 = 0 THEN 'delete' WHEN seq % 11 = 0 THEN 'edit' ELSE 'create' END AS kind, seq % 41 = 0 AS late FROM raw_messages)
+SELECT message_id, kind, n.channel_id, n.thread_id, n.author_name, md5(n.content) AS content_md5, '' AS errors FROM kinds JOIN normal n USING (message_id) WHERE NOT late AND kind IN ('create', 'edit')
+UNION ALL SELECT message_id, kind, COALESCE(parent_id, raw_channel_id), NULL, NULL, NULL, '' FROM kinds WHERE NOT late AND kind = 'delete' AND guild_id IS NOT NULL
+UNION ALL SELECT message_id, kind, NULL, NULL, NULL, NULL, concat_ws('; ', CASE WHEN late THEN 'ts: missing' END, CASE WHEN kind = 'poke' THEN 'kind: unknown' END) FROM kinds WHERE late OR kind = 'poke'""", "raw_messages"),
     "consent_source": duck(NORMAL + "SELECT message_id, skip_reason FROM gated", "raw_messages"),
     "validate_manifest": duck("SELECT call_id, concat_ws('; ', CASE WHEN o_orderkey % 8 = 0 THEN 'guild_id: empty' END, CASE WHEN o_orderkey % 5 = 0 THEN 'ended_at: not an ISO time' END, CASE WHEN has_video AND o_orderkey % 7 = 0 THEN 'video: not valid' END) AS errors FROM call_status", "call_status"),
     "scan_status": duck(DOCS + "SELECT call_id, CASE WHEN status = 'lost' OR bad_time THEN 'rejected' ELSE 'valid' END AS state FROM docs", "call_status"),
@@ -176,9 +197,12 @@ SQL = {
     "sink_events_idempotent": duck(LOG + "SELECT arg_min(kind, (ts, event_id)) AS kind, count(*) AS n, count(*) AS keys FROM (SELECT event_key, kind, ts, event_id, row_number() OVER (PARTITION BY event_key ORDER BY event_id % 3 = 2, ts, event_id) AS rn FROM log) WHERE rn = 1 GROUP BY kind", "message_log"),
     "stream_ingest": duck(STORED + "SELECT event_key, min(kind) AS kind FROM stored GROUP BY 1", "message_log"),
     "stream_backfill": duck(STORED + "SELECT kind, count(DISTINCT event_key) AS keys FROM stored GROUP BY 1", "message_log"),
-    "stream_dedupe": duck(LOG + "SELECT kind, count(DISTINCT event_key) AS n FROM log WHERE kind = 'edit' GROUP BY 1", "message_log"),
-    "stream_queue": duck(f"""SELECT call_id, 'reclaim' AS action FROM call_status WHERE status IN ('transcribing', 'summarizing') AND updated_at <= TIMESTAMP '{NOW}' - INTERVAL 1008000 MINUTE
-UNION ALL SELECT call_id, 'process' FROM call_status WHERE status = 'ready-to-process' UNION ALL SELECT call_id, 'purge' FROM call_status WHERE status = 'delivered' AND COALESCE(ended_at, started_at) <= TIMESTAMP '{NOW}' - INTERVAL 900 DAY""", "call_status"),
+    "stream_dedupe": duck(LOG + "SELECT CASE WHEN contains(event_key, '|edit|') THEN 'edit' WHEN ends_with(event_key, '|delete') THEN 'delete' ELSE 'message' END AS kind, count(DISTINCT event_key) AS n FROM log GROUP BY 1", "message_log"),
+    "stream_queue": duck(f"""SELECT call_id, 'reclaim' AS action, updated_at AS since FROM call_status WHERE status IN ('transcribing', 'summarizing') AND updated_at <= TIMESTAMP '{NOW}' - INTERVAL 1008000 MINUTE
+UNION ALL SELECT call_id, 'process', updated_at FROM call_status WHERE status = 'ready-to-process' UNION ALL SELECT call_id, 'purge', updated_at FROM call_status WHERE status = 'delivered' AND COALESCE(ended_at, started_at) <= TIMESTAMP '{NOW}' - INTERVAL 900 DAY""", "call_status"),
+    "stream_utterances": duck(BURST + """, e AS (SELECT *, max(at_ms + dur_ms) OVER (PARTITION BY user_id ORDER BY at_ms, burst_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM b),
+u AS (SELECT *, sum(CASE WHEN pe IS NULL OR at_ms - pe >= 7200000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at_ms, burst_idx ROWS UNBOUNDED PRECEDING) AS utterance FROM e)
+SELECT user_id, min(at_ms) AS start_ms, max(at_ms + dur_ms) AS end_ms, count(*) AS n_bursts FROM u GROUP BY user_id, utterance""", "bursts"),
     "stream_quarantine": duck("SELECT concat_ws('; ', CASE WHEN kind = 'media' THEN 'kind: not allowed' END, CASE WHEN value < 5 THEN 'value: too small' END) AS errors, count(*) AS n FROM message_log GROUP BY 1", "message_log"),
     "stream_voice_sessions": duck(SESS + "SELECT channel_id, ts AS started_at, e AS ended_at FROM (SELECT *, lead(ts) OVER (PARTITION BY channel_id ORDER BY ts, event_id) AS e FROM flips) WHERE r = 1 AND e IS NOT NULL", "voice_state"),
     "apply_purge": duck(f"SELECT call_id, kind FROM call_status, (SELECT unnest(['audio', 'video']) AS kind) WHERE NOT COALESCE(status = 'delivered' AND ((kind = 'audio' AND COALESCE(ended_at, started_at) <= TIMESTAMP '{NOW}' - INTERVAL 900 DAY) OR (kind = 'video' AND has_video AND COALESCE(ended_at, started_at) <= TIMESTAMP '{NOW}' - INTERVAL 400 DAY)), FALSE)", "call_status"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
@@ -9,17 +11,15 @@ from colloquy.operators import graph as G
 from colloquy.operators import messages as M
 from colloquy.operators import recall as R
 from colloquy.operators import summary as S
+from colloquy.sources import io
 
 from .calls import calls, merged, segments
-from .messages import FEW, LOG, NORMAL, REF, log, normal
+from .calls import MERGED, tracks
+from .calls import optout as silenced
+from .messages import LOG, NORMAL, REF, channels, log, normal
 from .views import duck, view
 
 
-def checkpoints(s):
-    if not s.conf.get("spark.checkpoint.dir", None) and s.sparkContext.getCheckpointDir() is None:
-        s.sparkContext.setCheckpointDir("/tmp/checkpoints")
-
-
 def names(s, d):
     """Speakers of each call, in order of their names."""
     return segments(s, d).groupBy("call_id", "conv_id").agg(F.array_sort(F.collect_set("display_name")).alias("names"), F.min_by("text", "seg_idx").alias("first_text"))
@@ -30,7 +30,7 @@ def model_output(s, d):
     name = lambda x: F.struct(F.when(F.col("conv_id") % 7 != 0, x).alias("owner"), F.concat(F.lit("do "), x).alias("item"))
     item = lambda x: F.struct(x.alias("owner"), F.concat(F.lit("do "), x).alias("item"))
     none = F.array().cast("array<string>")
-    full = F.struct(F.lit("An overview").alias("overview"), F.col("names").alias("key_topics"), F.array(F.substring("first_text", 1, 40)).alias("decisions"), none.alias("open_questions"), F.transform("names", name).alias("action_items"))
+    full = F.struct(F.when(F.col("conv_id") % 11 == 0, " ").otherwise("An overview").alias("overview"), F.col("names").alias("key_topics"), F.array(F.substring("first_text", 1, 40)).alias("decisions"), none.alias("open_questions"), F.transform("names", name).alias("action_items"))
     speaker = lambda x: F.struct(x.alias("display_name"), F.array(F.lit("spoke")).alias("contributions"), none.alias("positions_concerns"), F.array(item(x)).alias("action_items"))
     body = F.to_json(F.struct(full.alias("full_call"), F.transform("names", speaker).alias("per_speaker")))
     cut = F.when(F.col("conv_id") % 5 == 0, F.substring(body, F.lit(1), F.floor(F.length(body) / 2).cast("int"))).otherwise(body)
@@ -47,6 +47,24 @@ def out_names(s, d):
     return segments(s, d).where("user_id like '%-3'").groupBy("call_id").agg(F.collect_set("display_name").alias("names"))
 
 
+def shown(s, d):
+    """Valid summaries, every other one of a call with a video."""
+    return summaries(s, d).withColumn("video", F.when(F.col("conv_id") % 2 == 0, "v.mkv"))
+
+
+def output_events(s, d):
+    rows = S.output_events(merged(s, d), summaries(s, d), tracks(s, d), calls(s, d), channels(calls(s, d)), silenced(s))
+    return rows.select("event_type", "call_id", "channel_id", "region", F.md5("body").alias("body_md5"))
+
+
+def parts(s, d):
+    """Summaries as they are posted, at a limit that cuts these short ones, written to a table and read back."""
+    path = f"{io.shared_dir(s)}/parts-{uuid.uuid4().hex}"
+    rows = S.summary_parts(shown(s, d), 150)
+    rows.write.parquet(path)
+    return s.read.schema(rows.schema).parquet(path).select("call_id", "part", F.md5("body").alias("body_md5"))
+
+
 def repair(s, d):
     good, bad = S.validate_with_repair(model_output(s, d))
     return good.select("call_id", F.lit("valid").alias("state")).union(bad.select("call_id", F.lit("rejected").alias("state")))
@@ -63,17 +81,17 @@ def edges(s, d):
 
 
 def anchored(s, d):
-    checkpoints(s)
+    io.checkpoints(s)
     return R.recall_anchored(memories(s, d).where("is_query"), memories(s, d), edges(s, d), 5)
 
 
 def fused(s, d):
-    checkpoints(s)
+    io.checkpoints(s)
     return R.recall_fused(memories(s, d).where("is_query"), memories(s, d), edges(s, d), 5)
 
 
 def near(s, d):
-    checkpoints(s)
+    io.checkpoints(s)
     start = memories(s, d).where("is_query").select(F.col("memory_id").alias("query"), F.col("memory_id").alias("node"))
     return G.neighbourhood(edges(s, d), start, 2).select("query", "node", "hop")
 
@@ -84,7 +102,7 @@ def replies(s, d):
     lists = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "memory_id"))).alias("m"))
     snippets = F.transform("m", lambda x: F.concat(F.lit("memory "), x["memory_id"].cast("string")))
     sources = F.transform("m", lambda x: F.when(x["memory_id"] % 2 == 0, F.concat(F.lit("ref "), x["memory_id"].cast("string"))))
-    foot = T.honesty_footer(F.when(F.col("query") % 2 == 0, F.lit(False)), F.when(F.col("query") > 2, F.lit("max_hops")))
+    foot = T.honesty_footer(F.when(F.col("query") % 200 == 0, F.lit(False)), F.when(F.col("query") > 200, F.lit("max_hops")))
     return lists.select("query", T.render_reply(F.concat(F.lit("question "), F.col("query").cast("string")), snippets, sources, foot).alias("reply"))
 
 
@@ -95,7 +113,9 @@ QUERIES = {
     "scrub_action_items": lambda s, d: S.scrub_action_items(summaries(s, d), out_names(s, d)).select("call_id", F.posexplode("summary.full_call.action_items").alias("idx", "x")).select("call_id", "idx", F.col("x.owner").alias("owner")),
     "scrub_speaker_sections": lambda s, d: S.scrub_speaker_sections(summaries(s, d), out_names(s, d)).select("call_id", F.array_join(F.transform("summary.per_speaker", lambda x: x["display_name"]), ",").alias("speakers")),
     "topic_action_facts": lambda s, d: S.facts(summaries(s, d)).groupBy("kind", "owner").agg(F.count("*").alias("n"), F.count_distinct("call_id").alias("calls")),
-    "render_summary_md": lambda s, d: summaries(s, d).select("call_id", F.length(S.render_summary_md(F.col("call_id"), F.col("summary"), F.when(F.col("conv_id") % 2 == 0, "v.mkv"))).alias("chars")),
+    "render_summary_md": lambda s, d: shown(s, d).select("call_id", F.md5(S.render_summary_md(F.col("summary"), F.col("video"))).alias("markdown_md5")),
+    "write_summary_parts": parts,
+    "call_output_events": output_events,
     "memory_nodes": lambda s, d: G.memory_nodes(log(s, d)),
     "memory_edges": lambda s, d: G.memory_edges(log(s, d)),
     "call_edges": lambda s, d: G.call_edges(merged(s, d)),
@@ -110,6 +130,14 @@ QUERIES = {
 }
 
 NAMES = "names AS (SELECT call_id, conv_id, list_sort(list(DISTINCT display_name)) AS names FROM raw_segments GROUP BY 1, 2), good AS (SELECT * FROM names WHERE conv_id % 5 <> 0 AND conv_id % 7 <> 0), out AS (SELECT call_id, list(DISTINCT display_name) AS out_names FROM raw_segments WHERE user_id LIKE '%-3' GROUP BY 1)\n"
+GOOD = """names AS (SELECT call_id, conv_id, list_sort(list(DISTINCT display_name)) AS names, arg_min(text, seg_idx) AS first_text FROM raw_segments GROUP BY 1, 2),
+good AS (SELECT * FROM names WHERE conv_id % 5 <> 0 AND conv_id % 7 <> 0), out AS (SELECT call_id, list(DISTINCT display_name) AS out_names FROM raw_segments WHERE user_id LIKE '%-3' GROUP BY 1)
+"""
+MARKDOWN = GOOD + """, shown AS (SELECT call_id, array_to_string(list_concat(['# Call summary'], CASE WHEN conv_id % 2 = 0 THEN ['', '📹 Video recorded (aligned) — v.mkv'] ELSE [] END,
+  ['', '## Overview', CASE WHEN conv_id % 11 = 0 THEN '_No overview._' ELSE 'An overview' END, '', '## Key topics'], list_transform(names, lambda x: '- ' || x), ['', '## Decisions', '- ' || substr(first_text, 1, 40), '', '## Open questions', '_None._', '', '## Action items'],
+  list_transform(names, lambda x: '- **' || x || ':** do ' || x), ['', '## Per-speaker'],
+  flatten(list_transform(names, lambda x: ['', '### ' || x, '**Contributions**', '- spoke', '**Positions / concerns**', '_None._', '**Action items**', '- **' || x || ':** do ' || x]))), chr(10)) AS markdown FROM good)
+"""
 SIM = "sims AS (SELECT q.memory_id AS query, m.memory_id, round(list_cosine_similarity(q.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6) AS score, q.region = m.region AS same FROM memories q JOIN memories m ON q.is_query AND q.memory_id <> m.memory_id)\n"
 EDGES = "e0 AS (SELECT memory_id AS src, memory_id + 1 AS dst FROM memories UNION SELECT memory_id, memory_id // 2 FROM memories WHERE memory_id > 0), e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0), h0 AS (SELECT memory_id AS query, memory_id AS node FROM memories WHERE is_query), h1 AS (SELECT DISTINCT query, dst AS node FROM h0 JOIN e ON node = src EXCEPT SELECT * FROM h0), h2 AS (SELECT DISTINCT query, dst AS node FROM h1 JOIN e ON node = src EXCEPT SELECT * FROM h1 EXCEPT SELECT * FROM h0)\n"
 _RANK = "SELECT query, memory_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, memory_id) AS rank FROM {0}) WHERE rank <= {1}"
@@ -130,6 +158,19 @@ SELECT kind, owner, count(*) AS n, count(DISTINCT call_id) AS calls FROM f GROUP
     "recall_vector": duck(SIM + _RANK.format("sims", 10), "memories"),
     "recall_region": duck(SIM + _RANK.format("sims WHERE same", 10), "memories"),
     "recall_anchored": duck(SIM + "," + EDGES + ", near AS (SELECT s.* FROM sims s JOIN (FROM h1 UNION ALL FROM h2) h ON h.query = s.query AND h.node = s.memory_id) " + _RANK.format("near", 5), "memories"),
-    "render_reply": duck(SIM + ", r AS (" + _RANK.format("sims", 3) + """) SELECT query, '**Q:** question ' || query || chr(10) || string_agg(rank || '. memory ' || memory_id || chr(10) || '   ' || CASE WHEN memory_id % 2 = 0 THEN 'ref ' || memory_id ELSE 'unknown source' END, chr(10) ORDER BY rank) || chr(10)
-|| 'mode=fused' || CASE WHEN query % 2 = 0 THEN ' | graph_censored=false' ELSE '' END || CASE WHEN query > 2 THEN ' | termination_reason=max_hops' ELSE '' END AS reply FROM r GROUP BY query""", "memories"),
+    "render_reply": duck(SIM + ", r AS (" + _RANK.format("sims", 3) + """) SELECT query, '**Q:** question ' || query || chr(10) || chr(10) || string_agg('**' || rank || '.** memory ' || memory_id || chr(10) || '-# ' || CASE WHEN memory_id % 2 = 0 THEN 'ref ' || memory_id ELSE 'unknown source' END || chr(10), chr(10) ORDER BY rank) || chr(10)
+|| '-# mode=fused' || CASE WHEN query % 200 = 0 THEN ' | graph_censored=false' ELSE '' END || CASE WHEN query > 200 THEN ' | termination=max_hops' ELSE '' END AS reply FROM r GROUP BY query""", "memories"),
+    "render_summary_md": duck(MARKDOWN + "SELECT call_id, md5(markdown) AS markdown_md5 FROM shown", "raw_segments"),
+    "write_summary_parts": duck(MARKDOWN + """, lines AS (SELECT call_id, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS i FROM shown),
+packed AS (SELECT call_id, i, line AS cur, 0 AS part FROM lines WHERE i = 1
+  UNION ALL SELECT l.call_id, l.i, CASE WHEN p.cur = '' THEN l.line WHEN length(p.cur) + 1 + length(l.line) <= 150 THEN p.cur || chr(10) || l.line ELSE l.line END, CASE WHEN p.cur = '' OR length(p.cur) + 1 + length(l.line) <= 150 THEN p.part ELSE p.part + 1 END
+  FROM packed p JOIN lines l ON l.call_id = p.call_id AND l.i = p.i + 1)
+SELECT call_id, part, md5(arg_max(cur, i)) AS body_md5 FROM packed WHERE cur <> '' GROUP BY 1, 2""", "raw_segments", recursive=True),
+    "call_output_events": duck(MERGED + ", " + GOOD + """, allowed AS (SELECT DISTINCT call_id, channel_id FROM raw_segments WHERE CAST(substr(channel_id, 2) AS INT) % 2 = 0),
+said AS (SELECT call_id, to_json(list({'speaker': speaker, 'start_ms': start_ms, 'end_ms': end_ms, 'text': text} ORDER BY pos)) AS body FROM shown GROUP BY 1)
+SELECT 'transcript' AS event_type, call_id, channel_id, 'discord' AS region, md5(COALESCE(body, '[]')) AS body_md5 FROM allowed LEFT JOIN said USING (call_id)
+UNION ALL SELECT 'summary', call_id, NULL, 'discord', md5(to_json({'full_call': {'overview': CASE WHEN conv_id % 11 = 0 THEN 'Call ' || call_id ELSE 'An overview' END, 'key_topics': names, 'decisions': [substr(first_text, 1, 40)], 'open_questions': []::VARCHAR[],
+  'action_items': list_transform(names, lambda x: {'owner': CASE WHEN list_contains(gone, x) THEN 'unassigned' ELSE x END, 'item': 'do ' || x})},
+  'per_speaker': list_transform(list_filter(names, lambda x: NOT list_contains(gone, x)), lambda x: {'display_name': x, 'contributions': ['spoke'], 'positions_concerns': []::VARCHAR[], 'action_items': [{'owner': x, 'item': 'do ' || x}]})}))
+FROM (SELECT g.*, COALESCE(out_names, []) AS gone FROM good g LEFT JOIN out USING (call_id)) JOIN allowed USING (call_id)""", "raw_segments"),
 }

@@ -39,6 +39,21 @@ def log(spark, d):
     return out.withColumn("event_key", M.event_key(F.col("kind"), F.col("source_ref"), F.col("ts")))
 
 
+def cursors(spark, d):
+    """A cursor for each channel: the middle of its messages."""
+    return normal(spark, d).groupBy("channel_id").agg(F.floor(F.median("seq")).alias("before"))
+
+
+def backfilled(spark, d):
+    """The history in two walks: the first stops after three pages a channel, the second goes on from the cursors that it left."""
+    rows = normal(spark, d)
+    first = M.history_pages(rows).where("page < 3")
+    rest = M.history_pages(rows, M.next_cursors(first))
+    walked = first.unionByName(rest)
+    stored = M.gate_with_reason(walked, channels(rows), optout(rows)).where("skip_reason is null")
+    return M.message_events(stored).select("event_type", "source_ref", "ts", "author_id")
+
+
 def gated(spark, d):
     rows = normal(spark, d)
     return M.gate_with_reason(rows, channels(rows), optout(rows))
@@ -57,9 +72,9 @@ LOG = f"""log AS (
   SELECT *, {REF} AS source_ref,
          CASE kind WHEN 'edit' THEN {REF} || '|edit|' || epoch_us(ts) WHEN 'delete' THEN {REF} || '|delete' ELSE {REF} END AS event_key
   FROM message_log)"""
-LATEST = LOG + """, few AS (SELECT * FROM log WHERE kind <> 'delete' OR event_id % 40 = 0), newest AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_ref ORDER BY ts DESC, event_id DESC) AS rn FROM few WHERE kind IN ('create', 'edit')) WHERE rn = 1),
-latest AS (SELECT * FROM newest WHERE source_ref NOT IN (SELECT source_ref FROM few WHERE kind = 'delete'))"""
+LATEST = LOG + """, newest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_ref ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE kind IN ('create', 'edit')) WHERE rn = 1),
+latest AS (SELECT * FROM newest WHERE source_ref NOT IN (SELECT source_ref FROM log WHERE kind = 'delete'))"""
 
 
 def _digest(df, *cols):
@@ -76,9 +91,6 @@ def _events(spark, d):
     return M.union_events(message, member, media, M.tombstone_events(lg.where("kind = 'delete'")))
 
 
-#: Most messages of these tables see a delete; a fortieth of the deletes leaves some to look at.
-FEW = "kind <> 'delete' OR event_id % 40 = 0"
-
 QUERIES = {
     "normalize_messages": lambda s, d: _digest(normal(s, d), "message_id", "guild_id", "channel_id", "thread_id", "author_id", "author_name", "ts", "reply_to", F.array_join("mentions", ",").alias("mentions")),
     "normalize_deletes": lambda s, d: M.normalize_deletes(view(s, d, "message_log").where("kind = 'delete'").withColumn("guild_id", F.when(F.col("event_id") % 23 != 0, "g1"))),
@@ -97,13 +109,14 @@ QUERIES = {
     "reply_edges": lambda s, d: M.reply_edges(normal(s, d)),
     "skip_report": lambda s, d: M.skip_report(gated(s, d)),
     "backfill_progress": lambda s, d: M.backfill_progress(gated(s, d)),
-    "history_backfill": lambda s, d: M.message_events(gated(s, d).where("skip_reason is null")).select("event_type", "source_ref", "ts", "author_id"),
-    "keyset_page": lambda s, d: M.keyset_page(normal(s, d), 700, 20).select("message_id", "channel_id", "seq", "page_pos"),
+    "history_backfill": backfilled,
+    "keyset_page": lambda s, d: M.keyset_page(normal(s, d), cursors(s, d)).select("message_id", "channel_id", "seq", "page_pos"),
+    "history_pages": lambda s, d: M.history_pages(normal(s, d)).select("message_id", "channel_id", "seq", "page", "page_pos"),
     "walk_targets": lambda s, d: M.walk_targets(raw(s, d)),
     "first_seen_members": lambda s, d: M.first_seen_members(log(s, d), ["ts", "event_id"]).select("author_id", "event_id", "ts"),
-    "latest_version": lambda s, d: M.latest_version(log(s, d).where(FEW)).select("source_ref", "event_id", "kind", "ts", "value"),
+    "latest_version": lambda s, d: M.latest_version(log(s, d)).select("source_ref", "event_id", "kind", "ts", "value"),
     "union_events": lambda s, d: _events(s, d),
-    "live_union_history": lambda s, d: M.live_union_history(log(s, d).where(FEW).where("event_id % 5 < 3"), log(s, d).where(FEW).where("event_id % 5 >= 2")).select("source_ref", "event_id", "kind", "ts"),
+    "live_union_history": lambda s, d: M.live_union_history(log(s, d).where("event_id % 5 < 3"), log(s, d).where("event_id % 5 >= 2")).select("source_ref", "event_id", "kind", "ts"),
     "scalar_messages": lambda s, d: raw(s, d).select("message_id", T.estimate_tokens(F.col("content")).alias("tokens"), F.md5(T.truncate_tokens(F.col("content"), 10)).alias("cut_md5"), F.md5(T.truncate_ellipsis(F.col("content"), 50)).alias("short_md5"), F.md5(T.segment_line(F.col("username"), F.col("content"))).alias("line_md5"), T.message_source_ref(F.col("raw_channel_id"), F.col("message_id")).alias("source_ref"), F.md5(T.ws_trim(F.col("content"))).alias("trim_md5"), F.md5(T.thread_name(F.col("content"))).alias("thread_md5")),
 }
 
@@ -113,7 +126,7 @@ SQL = {
     "normalize_deletes": duck("SELECT 'g1' AS guild_id, channel_id, message_id, ts FROM message_log WHERE kind = 'delete' AND event_id % 23 <> 0", "message_log"),
     "message_events": duck(NORMAL + f"SELECT 'message' AS event_type, {REF} AS source_ref, 'discord' AS region, ts, author_id, FALSE AS edited, md5(content) AS content_md5 FROM normal", *N),
     "media_events": duck("""SELECT 'media' AS event_type, 'media|' || media_id AS source_ref, 'discord' AS region, message_id, url, filename FROM attachments
-WHERE CASE WHEN content_type IS NOT NULL THEN content_type LIKE 'image/%' OR content_type LIKE 'video/%' ELSE regexp_matches(filename, '(?i)\\.(png|jpe?g|gif|webp|bmp|svg|mp4|mov|webm|mkv|avi)$') END""", "attachments"),
+WHERE CASE WHEN content_type <> '' THEN content_type LIKE 'image/%' OR content_type LIKE 'video/%' ELSE regexp_matches(filename, '(?i)\\.(mp4|mov|mkv|webm|avi|png|jpe?g|gif|webp)$') END""", "attachments"),
     "tombstone_events": duck(f"SELECT 'tombstone-request' AS event_type, {REF} AS source_ref, 'discord' AS region, ts FROM message_log WHERE kind = 'delete'", "message_log"),
     "member_events": duck(f"SELECT 'member' AS event_type, 'member|' || author_id AS source_ref, 'discord' AS region, ts, author_id FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY ts, event_id) AS rn FROM message_log) WHERE rn = 1 AND NOT ({OUT})", "message_log"),
     "route_inbound": duck("SELECT message_id, author_id, guild_id IS NULL AS is_dm FROM raw_messages WHERE NOT author_is_bot AND NOT is_system AND (guild_id IS NULL OR mention_1 = 'u0' OR mention_2 = 'u0')", *N),
@@ -129,7 +142,8 @@ WHEN 1 THEN 'Channel message from ' || from_name || ':' || chr(10) || mailbox EL
     "skip_report": duck(NORMAL + "SELECT channel_id, count(*) FILTER (skip_reason IS NULL) AS emitted, count(*) FILTER (skip_reason = 'channel-not-allowed') AS denied, count(*) FILTER (skip_reason = 'author-opted-out') AS opted_out FROM gated GROUP BY 1", *N),
     "backfill_progress": duck(NORMAL + "SELECT channel_id, count(*) AS walked, count(*) FILTER (skip_reason IS NULL) AS stored, min(seq) AS oldest, TRUE AS done FROM gated WHERE seq >= 0 GROUP BY 1", *N),
     "history_backfill": duck(NORMAL + f"SELECT 'message' AS event_type, {REF} AS source_ref, ts, author_id FROM gated WHERE skip_reason IS NULL", *N),
-    "keyset_page": duck(NORMAL + "SELECT message_id, channel_id, seq, page_pos FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY seq DESC) AS page_pos FROM normal WHERE seq < 700) WHERE page_pos <= 20", *N),
+    "keyset_page": duck(NORMAL + ", cut AS (SELECT channel_id, CAST(floor(median(seq)) AS BIGINT) AS before FROM normal GROUP BY 1) SELECT message_id, channel_id, seq, CAST(page_pos AS INT) AS page_pos FROM (SELECT n.*, row_number() OVER (PARTITION BY channel_id ORDER BY seq DESC) AS page_pos FROM normal n JOIN cut USING (channel_id) WHERE seq < before) WHERE page_pos <= 100", *N),
+    "history_pages": duck(NORMAL + "SELECT message_id, channel_id, seq, CAST((n - 1) // 100 AS INT) AS page, CAST((n - 1) % 100 + 1 AS INT) AS page_pos FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY seq DESC) AS n FROM normal)", *N),
     "walk_targets": duck("SELECT DISTINCT raw_channel_id AS target_id, COALESCE(parent_id, raw_channel_id) AS channel_id, CASE WHEN parent_id IS NULL THEN 'channel' ELSE 'thread' END AS kind FROM raw_messages", *N),
     "first_seen_members": duck("SELECT author_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY ts, event_id) AS rn FROM message_log) WHERE rn = 1", "message_log"),
     "latest_version": duck(LATEST + "SELECT source_ref, event_id, kind, ts, value FROM latest", "message_log"),
@@ -137,7 +151,7 @@ WHEN 1 THEN 'Channel message from ' || from_name || ':' || chr(10) || mailbox EL
 UNION ALL SELECT 'member', 'member|' || author_id, 'discord', ts, author_id FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY ts, event_id) AS rn FROM log WHERE kind = 'member') WHERE rn = 1 AND NOT ({OUT})
 UNION ALL SELECT 'media', 'media|' || event_id, 'discord', ts, author_id FROM log WHERE kind = 'media' AND {ALLOWED} AND NOT ({OUT})
 UNION ALL SELECT 'tombstone-request', source_ref, 'discord', ts, NULL FROM log WHERE kind = 'delete'""", "message_log"),
-    "live_union_history": duck(LOG + """, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY ts, event_id) AS n FROM log WHERE kind <> 'delete' OR event_id % 40 = 0) WHERE n = 1),
+    "live_union_history": duck(LOG + """, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY ts, event_id) AS n FROM log) WHERE n = 1),
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_ref ORDER BY ts DESC, event_id DESC) AS rn FROM once WHERE kind IN ('create', 'edit')) WHERE rn = 1)
 SELECT source_ref, event_id, kind, ts FROM newest WHERE source_ref NOT IN (SELECT source_ref FROM once WHERE kind = 'delete')""", "message_log"),
     "scalar_messages": duck(f"""SELECT message_id, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, md5(substr(content, 1, 40)) AS cut_md5, md5(CASE WHEN length(content) <= 50 THEN content ELSE substr(content, 1, 49) || '…' END) AS short_md5,

@@ -75,12 +75,12 @@ SELECT CONCAT('u', CAST(user_id AS STRING)) AS user_id, event_id AS burst_idx, t
        CAST(floor(value) AS BIGINT) * 60000 AS dur_ms
 FROM events""",
     "memories": """
-SELECT vec_id AS memory_id, embedding, CONCAT('region', CAST(label % 3 AS STRING)) AS region, vec_id < 5 AS is_query
+SELECT vec_id AS memory_id, embedding, CONCAT('region', CAST(label % 3 AS STRING)) AS region, vec_id % 100 = 0 AS is_query
 FROM embeddings""",
     "attachments": """
 SELECT CONCAT('a', CAST(page_id AS STRING)) AS media_id, url, CONCAT('m', CAST(page_id * 2 AS STRING)) AS message_id,
        CASE page_id % 6 WHEN 0 THEN 'clip.MP4' WHEN 1 THEN 'notes.txt' WHEN 2 THEN 'photo.jpeg' WHEN 3 THEN 'movie.mp4' WHEN 4 THEN 'x.webp' ELSE 'noext' END AS filename,
-       CASE page_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/octet-stream' END AS content_type
+       CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/octet-stream' WHEN 3 THEN '' END AS content_type
 FROM pages""",
     "outbox": """
 SELECT event_id AS pos, CONCAT('p', CAST(user_id % 8 AS STRING)) AS producer,

@@ -20,13 +20,22 @@ STATUS = "call_id string, status string, updated_at string, error string, thread
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share: the session's, or, where all run on one machine, a local one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (path or "/tmp/checkpoints").rstrip("/")
 
 
-def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents under ``path``, whole files; an absent path is an empty table."""
-    reader = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True)
+def checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder, where the session has set no other."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """JSON documents under ``path``, one a file or, with ``lines``, one a line; an absent path is an empty table."""
+    reader = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True)
     try:
         return reader.json(path).withColumn("file", F.col("_metadata.file_path"))
     except AnalysisException as e:
@@ -35,17 +44,17 @@ def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema + ", file string")
 
 
-def scan_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_calls(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid manifests, rejected ones with errors); what isn't JSON is among the rejected."""
-    docs = _documents(spark, path, CALL)
+    docs = _documents(spark, path, CALL, lines)
     errors = F.when(F.col("_corrupt").isNotNull(), F.lit("$: not JSON")).otherwise(validate.manifest_errors())
     good, bad = validate.split(docs, errors)
     return good.drop("_corrupt"), bad
 
 
-def scan_status(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_status(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid status documents, rejected ones with errors)."""
-    docs = _documents(spark, path, STATUS)
+    docs = _documents(spark, path, STATUS, lines)
     errors = F.when(F.col("_corrupt").isNotNull(), F.lit("$: not JSON")).otherwise(validate.status_errors())
     good, bad = validate.split(docs, errors)
     return good.drop("_corrupt"), bad
@@ -77,20 +86,26 @@ def write_call_artifacts(df: DataFrame, path: str, partition: str = "call_date")
     df.write.partitionBy(partition).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def sink_events_idempotent(events: DataFrame, path: str, order: list[str], key: str = "event_key") -> None:
+def sink_events_idempotent(events: DataFrame, path: str, order: list[str], key: str = "event_key", within: str | None = None) -> None:
     """Appends the events whose key the table at ``path`` lacks, the first of each; running it again adds nothing.
 
-    One writer a table.
+    ``within`` names a column that is the same in every delivery of a key, such
+    as its day: the table is partitioned by it, and only the partitions that
+    ``events`` touch are looked into. One writer a table.
     """
     spark = events.sparkSession
     w = Window.partitionBy(key).orderBy(*order)
     fresh = events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     try:
-        fresh = fresh.join(spark.read.schema(events.schema).parquet(path).select(key), key, "left_anti").select(*events.columns)
+        stored = spark.read.schema(events.schema).parquet(path)
+        if within:
+            stored = stored.where(F.col(within).isin([r[0] for r in events.select(within).distinct().collect()]))  # one value a partition
+        fresh = fresh.join(stored.select(key), key, "left_anti").select(*events.columns)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    fresh.write.mode("append").parquet(path)
+    writer = fresh.write.mode("append")
+    (writer.partitionBy(within) if within else writer).parquet(path)
 
 
 def apply_purge(index: DataFrame, purge: DataFrame, kind: str) -> DataFrame:

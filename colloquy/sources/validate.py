@@ -12,8 +12,9 @@ ISO_Z = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
 
 
 def format_issues(issues: Column) -> Column:
-    """array of struct(path, message) on one line."""
-    return F.array_join(F.transform(issues, lambda x: F.concat(x["path"], F.lit(": "), x["message"])), "; ")
+    """array of struct(path, message) on one line; a message without a path stands alone."""
+    path = lambda x: F.when(x["path"] != "", F.concat(x["path"], F.lit(": "))).otherwise("")
+    return F.array_join(F.transform(issues, lambda x: F.concat(path(x), x["message"])), "; ")
 
 
 def issues(*checks: tuple[str, Column, str]) -> Column:

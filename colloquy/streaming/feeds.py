@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from colloquy.operators import lifecycle as L
 from colloquy.operators import messages as M
 from colloquy.sources.io import sink_events_idempotent
+from colloquy.sources.validate import format_issues, issues
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -42,11 +43,34 @@ def stream_ingest(stream: DataFrame, channels: DataFrame, optout: DataFrame, tar
 
 
 def stream_quarantine(stream: DataFrame, errors, target: str, rejected: str, checkpoint: str) -> None:
-    """Valid rows to one table, rejected ones with their errors to another; neither holds the other up. Rows are keyed by event_id."""
+    """Valid rows to one table, rejected ones with their errors to another; neither holds the other up. Rows are keyed by event_id and stored by day."""
+    def each(df: DataFrame, _: int) -> None:
+        marked = df.withColumn("errors", errors).withColumn("day", F.to_date("ts"))
+        sink_events_idempotent(marked.where("errors = ''").drop("errors"), target, ["ts"], "event_id", within="day")
+        sink_events_idempotent(marked.where("errors <> ''"), rejected, ["ts"], "event_id", within="day")
+
+    run(stream, checkpoint, each)
+
+
+def stream_messages(stream: DataFrame, target: str, rejected: str, checkpoint: str) -> None:
+    """A feed of raw messages with ``kind`` (create, edit or delete) to one table of creates, edits and deletes.
+
+    Rows without an id, a time or a known kind go to ``rejected`` with their
+    errors; what the batch functions leave out is left out. A repeated delivery
+    changes nothing.
+    """
+    lacks = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    errors = format_issues(issues(("message_id", lacks("message_id"), "missing"), ("ts", F.col("ts").isNull(), "missing"), ("kind", ~F.coalesce(F.col("kind").isin("create", "edit", "delete"), F.lit(False)), "unknown")))
+
     def each(df: DataFrame, _: int) -> None:
         marked = df.withColumn("errors", errors)
-        sink_events_idempotent(marked.where("errors = ''").drop("errors"), target, ["ts"], "event_id")
-        sink_events_idempotent(marked.where("errors <> ''"), rejected, ["ts"], "event_id")
+        good = marked.where("errors = ''").drop("errors")
+        spoken = [M.normalize_messages(good.where(F.col("kind") == kind)).drop("mentions").withColumn("kind", F.lit(kind)) for kind in ("create", "edit")]
+        gone = M.normalize_deletes(good.where("kind = 'delete'").withColumn("channel_id", F.col("raw_channel_id"))).withColumn("kind", F.lit("delete"))
+        rows = spoken[0].unionByName(spoken[1]).unionByName(gone, allowMissingColumns=True)
+        sink_events_idempotent(rows.withColumn("event_key", M.event_key(F.col("kind"), M.source_ref(), F.col("ts"))), target, ["ts", "message_id"])
+        bad = marked.where("errors <> ''").withColumn("event_key", F.xxhash64("message_id", "ts", "kind", "content").cast("string"))
+        sink_events_idempotent(bad, rejected, ["event_key"])
 
     run(stream, checkpoint, each)
 
@@ -57,19 +81,30 @@ def stream_dedupe(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["event_key"])
 
 
-def stream_utterances(stream: DataFrame, silence: str, delay: str) -> DataFrame:
-    """Bursts of a user with less than ``silence`` between them, as sessions. Bursts later than ``delay`` are dropped."""
+def stream_utterances(stream: DataFrame, silence_ms: int, delay: str) -> DataFrame:
+    """As operators.voice.burst_sessions(): a burst holds its session open for its own length and ``silence_ms`` more.
+
+    Bursts later than ``delay`` are dropped; a session is given when the
+    watermark has passed its end and the silence.
+    """
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return timed.groupBy("user_id", F.session_window("ts", silence)).agg(F.count("*").alias("n_bursts"), F.sum("dur_ms").alias("dur_ms")).select("user_id", F.col("session_window.start").alias("started_at"), F.col("session_window.end").alias("ended_at"), "n_bursts", "dur_ms")
+    open_for = F.concat((F.col("dur_ms") + silence_ms).cast("string"), F.lit(" milliseconds"))
+    sessions = timed.groupBy("user_id", F.session_window("ts", open_for)).agg(F.count("*").alias("n_bursts"))
+    return sessions.select("user_id", F.unix_millis("session_window.start").alias("start_ms"), (F.unix_millis("session_window.end") - silence_ms).alias("end_ms"), "n_bursts")
 
 
 def stream_queue(stream: DataFrame, target: str, checkpoint: str, now: str, lease_minutes: int, days: int) -> None:
-    """A poll cycle a micro-batch of statuses: what to reclaim, process and purge, as rows of (call_id, action)."""
+    """A poll cycle a micro-batch of statuses: what to reclaim, process and purge, as rows of (call_id, action, since).
+
+    ``since`` is the time of the status that called for the action: a call that
+    is stranded, or ready, once more is acted upon once more.
+    """
     def each(df: DataFrame, _: int) -> None:
-        reclaim = L.reclaim_stale(df, now, lease_minutes).select("call_id", F.lit("reclaim").alias("action"))
-        ready = df.where("status = 'ready-to-process'").select("call_id", F.lit("process").alias("action"))
-        purge = L.expired(df, now, days).select("call_id", F.lit("purge").alias("action"))
-        rows = reclaim.unionByName(ready).unionByName(purge).withColumn("event_key", F.concat_ws("|", "call_id", "action"))
+        df = df.withColumn("since", F.col("updated_at").cast("timestamp"))
+        stale = L.reclaim_stale(df, now, lease_minutes).select("call_id").join(df.select("call_id", "since"), "call_id")
+        parts = [(stale, "reclaim"), (df.where("status = 'ready-to-process'"), "process"), (L.expired(df, now, days), "purge")]
+        chosen = [rows.select("call_id", F.lit(action).alias("action"), "since") for rows, action in parts]
+        rows = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).withColumn("event_key", F.concat_ws("|", "call_id", "action", F.unix_micros("since").cast("string")))
         sink_events_idempotent(rows, target, ["call_id"])
 
     run(stream, checkpoint, each)
@@ -82,8 +117,9 @@ def stream_voice_sessions(stream: DataFrame, users: list[str], roles: list[str],
     """Closed calls of each channel: as operators.voice.voice_sessions(), by a state machine that is fed in order of time.
 
     The state of a channel is who is present, whether it is armed, and the open
-    call's start. Rows of a micro-batch are sorted by (ts, event_id); a row that
-    is older than one of an earlier batch acts when it arrives.
+    call's start. A micro-batch is as long as the source makes it (files a
+    trigger); its rows are sorted by (ts, event_id), and a row that is older than
+    one of an earlier batch acts when it arrives.
     """
     triggers, with_role = set(users), set(roles)
 

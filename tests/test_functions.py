@@ -27,7 +27,7 @@ def test_code_fence(spark):
     assert fenced["a"] == '{"a": 1}' and fenced["b"] == "{}"
 
 
-@pytest.mark.parametrize(("kind", "name", "expected"), [("image/png", "x.txt", True), ("application/octet-stream", "x.mp4", False), (None, "x.MP4", True), (None, "noext", False), (None, None, False)])
+@pytest.mark.parametrize(("kind", "name", "expected"), [("image/png", "x.txt", True), ("application/octet-stream", "x.mp4", False), (None, "x.MP4", True), (None, "noext", False), (None, None, False), ("", "x.webp", True), (None, "x.svg", False)])
 def test_content_type_overrides_the_ending(spark, kind, name, expected):
     assert one(spark, m=T.is_media(F.lit(kind).cast("string"), F.lit(name).cast("string")))["m"] is expected
 
@@ -83,9 +83,35 @@ def test_splitting_equals_a_loop(spark):
 def test_rendering(spark):
     items = F.array(F.struct(F.lit("Ada").alias("owner"), F.lit("write").alias("item")))
     got = one(spark, none=T.bullet_list(F.array().cast("array<string>")), items=T.action_item_list(items), notes=T.join_notes(F.array(F.lit("a"), F.lit("b"))), foot=T.honesty_footer(F.lit(None).cast("boolean"), F.lit("x")), cut=T.truncate_ellipsis(F.lit("abcdef"), 4))
-    assert got == {"none": "_None._", "items": "- **Ada:** write", "notes": "--- Notes 1 ---\na\n\n--- Notes 2 ---\nb", "foot": "mode=fused | termination_reason=x", "cut": "abc…"}
+    assert got == {"none": "_None._", "items": "- **Ada:** write", "notes": "--- Notes 1 ---\na\n\n--- Notes 2 ---\nb", "foot": "-# mode=fused | termination=x", "cut": "abc…"}
 
 
 def test_reply_without_memories(spark):
     empty = F.array().cast("array<string>")
-    assert "No memories matched." in one(spark, r=T.render_reply(F.lit("q"), empty, empty, F.lit("mode=fused")))["r"]
+    assert one(spark, r=T.render_reply(F.lit("q"), empty, empty, F.lit("-# mode=fused")))["r"] == "**Q:** q\n\nNo memories matched.\n-# mode=fused"
+
+
+def test_reply_with_memories(spark):
+    foot = T.honesty_footer(F.lit(False), F.lit("term_cond"))
+    got = one(spark, r=T.render_reply(F.lit("q"), F.array(F.lit(" one "), F.lit("y" * 500)), F.array(F.lit("ref")), foot))["r"]
+    assert got == "**Q:** q\n\n**1.** one\n-# ref\n\n**2.** " + "y" * 399 + "…\n-# unknown source\n\n-# mode=fused | graph_censored=false | termination=term_cond"
+
+
+def test_summary_markdown(spark):
+    from colloquy.operators import summary as S
+
+    item = '{"owner": "Ada", "item": "write"}'
+    speaker = '{"display_name": "Ada", "contributions": ["spoke"], "positions_concerns": [], "action_items": [%s]}' % item
+    body = '{"full_call": {"overview": " ", "key_topics": ["a", "b"], "decisions": [], "open_questions": [], "action_items": [%s]}, "per_speaker": [%s]}'
+    parsed = lambda s: F.from_json(F.lit(s), S.SUMMARY)
+    got = one(spark, full=S.render_summary_md(parsed(body % (item, speaker)), F.lit("v.mkv")), bare=S.render_summary_md(parsed(body % ("", "")), F.lit(None).cast("string")))
+    head = "\n\n## Overview\n_No overview._\n\n## Key topics\n- a\n- b\n\n## Decisions\n_None._\n\n## Open questions\n_None._\n\n## Action items\n"
+    assert got["full"] == "# Call summary\n\n📹 Video recorded (aligned) — v.mkv" + head + "- **Ada:** write\n\n## Per-speaker\n\n### Ada\n**Contributions**\n- spoke\n**Positions / concerns**\n_None._\n**Action items**\n- **Ada:** write"
+    assert got["bare"] == "# Call summary" + head + "_None._\n\n## Per-speaker\n_No per-speaker breakdown._"
+
+
+def test_issues_without_a_path(spark):
+    from colloquy.sources import validate
+
+    got = one(spark, e=validate.format_issues(validate.issues(("", F.lit(True), "not an object"), ("a.b", F.lit(True), "empty"), ("c", F.lit(False), "x"))))
+    assert got["e"] == "not an object; a.b: empty"
