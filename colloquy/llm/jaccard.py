@@ -27,8 +27,8 @@ three quarters of its size are below that, in the one below.
   million) is held against all documents, in blocks of such sets.
 
 Texts with equal sets form a class that is represented once. What is filed
-under one key is a group, of which somebody must ask. Each member meets the next
-smaller one and the smallest. Candidates differ in at least as many shingles as
+under one key is a group, of which somebody must ask. Each member meets the one
+before it, by size as a rule, and the first. Candidates differ in at least as many shingles as
 their parity sketches (one bit for the parity of each cell) differ in bits,
 which drops almost all wrong pairs; each document's likeliest partner is
 verified on the whole texts first, then all likely pairs that this leaves apart.
@@ -338,14 +338,15 @@ def hinted(df: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """The rows (key, doc_id, n, role) whose key isn't theirs alone, and those of role 0, with the next smaller (``before``) and the smallest (``least``) document of the key.
+    """The rows (key, doc_id, n, role) whose key isn't theirs alone, and those of role 0, with the document ``before`` them and the first one (``least``) of the key.
 
     Both are null where the sizes are too far apart, neither row asks for the
     other, or they are one and the same. Keys are sorted within partitions and
-    streamed: a task holds one batch, however many rows a key has.
+    streamed: a task holds one batch, however many rows a key has. Within a
+    batch the documents of a key go by size, smallest first.
     """
     def met(doc, n, role, other, m, roles):
-        good = (doc != other) & (4 * m >= 3 * n) & (asks(role, roles) | asks(roles, role))
+        good = (doc != other) & (4 * m >= 3 * n) & (4 * n >= 3 * m) & (asks(role, roles) | asks(roles, role))
         return pa.array(other, mask=~good)
 
     def run(batches):
@@ -354,6 +355,8 @@ def neighbours(rows: DataFrame) -> DataFrame:
             fresh = [np.asarray(batch.column(x)).astype(np.int64) for x in ("key", "doc_id", "n", "role")]
             if not len(fresh[0]):
                 continue
+            by = np.lexsort((fresh[1], fresh[2], fresh[0]))
+            fresh = [x[by] for x in fresh]
             key, doc, n, role = fresh if carry is None else (np.concatenate([[c], f]) for c, f in zip(carry[:4], fresh, strict=True))
             at = np.arange(len(key))
             same = np.concatenate([[carry is not None and carry[4] is not None], key[1:] == key[:-1]])
@@ -383,7 +386,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
         before[0] = np.where(same, before[0], doc)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(role.astype(np.int32)), met(doc, n, role, *before), met(doc, n, role, *least)], names=["key", "doc_id", "n", "role", "before", "least"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(run, "key long, doc_id long, n int, role int, before long, least long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, doc_id long, n int, role int, before long, least long")
 
 
 def near_enough(n: Column, m: Column) -> Column:
