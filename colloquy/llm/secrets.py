@@ -5,18 +5,19 @@ other run of 20 or more token characters (or what is left of it beside these) is
 the encoding inferred from its alphabet (hex, base32, base36, base62, base64):
 
 * a chi-squared test of the alphabet's uniformity,
-* a runs test on the lower and upper half of the alphabet,
-* a lag-one serial correlation test,
-
-whose squared normal scores are summed into one test of "this is random" (three
-degrees of freedom). A token passes if that isn't rejected. Against it stands
-"this is written by a person": letters then repeat as in words, so that the
-chi-squared statistic grows with the length, and small letters, capitals and
-digits come in runs. How far a token falls short of that statistic and exceeds
-those changes of kind, both in their spread at its length, is its p-value as a
-discovery: a longer token needs to look less random than a shorter one.
-Benjamini-Hochberg over all tokens of the corpus sets the cut-off, from a
-histogram of p-values in steps of a twentieth of a decade.
+* a runs test: how often neighbours are in different halves of the alphabet,
+* a lag-one serial correlation test of the places in the alphabet.
+
+Alphabets are in an order in which written language shows: letters by how common
+they are, digits and the other case last. Each statistic is held against two
+laws at the token's length. Against that of random text, the squared normal
+scores are summed (three degrees of freedom), and a token passes if this isn't
+rejected. Against that of what people write, where letters repeat, neighbours
+stay in one half and are alike, the three normal scores are added with weights
+by how far random text lies from written text at that length; the sum's tail is
+the token's p-value as a discovery: a longer token needs to look less random
+than a shorter one. Benjamini-Hochberg over all tokens of the corpus sets the
+cut-off, from a histogram of p-values in steps of a twentieth of a decade.
 
 Spans are in code points, end exclusive.
 """
@@ -41,20 +42,29 @@ LEAST_RUN = 20
 CANDIDATE = f"[A-Za-z0-9+/_-]{{{LEAST_RUN},}}"
 #: A run with characters of both base64 alphabets is cut at those of one and at those of the other; parts of both are tested.
 PARTS = [f"[A-Za-z0-9_-]{{{LEAST_RUN},}}", f"[A-Za-z0-9+/]{{{LEAST_RUN},}}"]
-DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+DIGITS = "0123456789"
+#: Letters from the commonest to the rarest in European languages.
+LOWER = "etaoinshrdlucmfwypvbgkjqxz"
+UPPER = LOWER.upper()
+#: Rare capitals fill the half of the small letters where an alphabet has both cases.
+RARE, OTHER = "KJQXZ", "".join(x for x in LOWER.upper() if x not in "KJQXZ")
 #: Encodings, smallest alphabet first: a token is in the first that holds all its characters. Plain numbers are in none.
 ENCODINGS = [
-    ("hex", DIGITS + "abcdef"), ("HEX", DIGITS + "ABCDEF"), ("base32", UPPER + "234567"), ("base36", DIGITS + LOWER), ("BASE36", DIGITS + UPPER),
-    ("base62", DIGITS + UPPER + LOWER), ("base64", UPPER + LOWER + DIGITS + "+/"), ("base64url", UPPER + LOWER + DIGITS + "-_"),
+    ("hex", "eadcfb" + DIGITS), ("HEX", "EADCFB" + DIGITS), ("base32", UPPER + "234567"), ("base36", LOWER + DIGITS), ("BASE36", UPPER + DIGITS),
+    ("base62", LOWER + RARE + OTHER + DIGITS), ("base64", LOWER + "+/" + RARE[1:] + "K" + OTHER + DIGITS), ("base64url", LOWER + "-_" + RARE[1:] + "K" + OTHER + DIGITS),
 ]
-#: Of written language: chance that two characters agree, that three do less its square, and that the kind of character changes.
-REPEAT = 0.065
+#: Of written language: chance that two characters agree, that three do less its square; that neighbours are in different halves, in alphabets of one
+#: case (up to 36 characters) and of two; correlation of neighbours, and its spread between texts besides that of chance.
+REPEAT = 0.07
 CLUSTER = 0.0015
-CHANGE = 0.15
+TURN_ONE_CASE, TURN_TWO_CASES = 0.15, 0.2
+LAG, LAG_SPREAD = 0.15, 0.14
 RANDOM_LEVEL = 0.01
 FALSE_DISCOVERY = 0.01
 STEPS = 20
 MOST_STEPS = 2000
+#: Matches of a text that are folded at once.
+PIECES = 64
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -70,7 +80,6 @@ def located(text: Column, pattern: str, kind: int, keep=None, group: int = 0) ->
     """
     whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     pieces = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("width"), part.alias("part"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), _empty().alias("spans"))
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
@@ -79,7 +88,16 @@ def located(text: Column, pattern: str, kind: int, keep=None, group: int = 0) ->
         span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).cast(SPAN)
         return F.struct(end.alias("at"), F.when(ok, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
+    fold = lambda x, at: F.aggregate(x, F.struct(at.cast("bigint").alias("at"), _empty().alias("spans")), step, lambda acc: acc["spans"])
+    width = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda n, y: n + y["gap"] + F.coalesce(y["width"], F.lit(0)))
+
+    def by_blocks(x):
+        # a fold copies its array at each step: many matches are folded block by block, each from where the blocks before it end
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PIECES).cast("int")), lambda i: F.slice(x, i * PIECES + 1, PIECES))
+        starts = lambda b: F.aggregate(b, F.array(F.lit(0).cast("bigint")), lambda acc, y: F.concat(acc, F.array(F.element_at(acc, -1) + width(y))))
+        return _let(blocks, lambda b: _let(starts(b), lambda at: F.flatten(F.zip_with(b, F.slice(at, 1, F.size(b)), fold))))
+
+    return _let(pieces, lambda x: F.when(F.size(x) <= PIECES, fold(x, F.lit(0))).otherwise(by_blocks(x)))
 
 
 def base_spans(text: Column) -> Column:
@@ -111,7 +129,7 @@ def _alphabet(token: Column) -> Column:
     """The smallest alphabet that holds the token; null for plain numbers."""
     out = F.lit(ENCODINGS[-1][1])
     for _, alphabet in reversed(ENCODINGS[:-1]):
-        out = F.when(token.rlike("^[" + alphabet + "]+$"), alphabet).otherwise(out)
+        out = F.when(F.translate(token, alphabet, "") == "", alphabet).otherwise(out)
     mixed = token.rlike("[+/]") & token.rlike("[-_]")
     return F.when(token.rlike("^[0-9]+$") | mixed, F.lit(None).cast("string")).otherwise(out)
 
@@ -119,8 +137,6 @@ def _alphabet(token: Column) -> Column:
 def _scores(token: Column, alphabet: Column) -> Column:
     """struct(p_random, p_written) of a token over ``alphabet``."""
     codes = F.filter(F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double")), lambda x: x > 0)
-    kinds = F.translate(token, DIGITS + LOWER + UPPER + "+/_-", "0" * 10 + "a" * 26 + "A" * 26 + "+" * 4)
-    changes = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     pairs = lambda a, f: total(F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a) - 1), f))
 
@@ -128,7 +144,7 @@ def _scores(token: Column, alphabet: Column) -> Column:
         counts = F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda w: w == v)).cast("double"))
         high = F.transform(x, lambda v: (v > F.length(alphabet) / 2).cast("double"))
         return F.struct(
-            F.length(alphabet).cast("double").alias("size"), F.length(token).cast("double").alias("n"), changes.cast("double").alias("changes"), total(F.transform(counts, lambda c: c * c)).alias("squares"),
+            F.length(alphabet).cast("double").alias("size"), F.length(token).cast("double").alias("n"), total(F.transform(counts, lambda c: c * c)).alias("squares"),
             total(high).alias("n1"), pairs(high, lambda a, b: (a != b).cast("double")).alias("turns"), total(x).alias("sum"), total(F.transform(x, lambda v: v * v)).alias("power"), pairs(x, lambda a, b: a * b).alias("products"),
             (F.element_at(x, 1) + F.element_at(x, -1)).alias("ends"))
 
@@ -136,19 +152,24 @@ def _scores(token: Column, alphabet: Column) -> Column:
         size, n, mean = m["size"], m["n"], m["sum"] / m["n"]
         turns = 2 * m["n1"] * (n - m["n1"]) / n
         return F.struct(
-            size.alias("size"), n.alias("n"), m["changes"].alias("changes"), (size / n * m["squares"] - n).alias("chi"), m["turns"].alias("turns"), turns.alias("expected"), (turns * (turns - 1) / (n - 1)).alias("var"),
+            size.alias("size"), n.alias("n"), (size / n * m["squares"] - n).alias("chi"), m["turns"].alias("turns"), turns.alias("expected"), (turns * (turns - 1) / (n - 1)).alias("var"),
             (m["power"] - n * mean * mean).alias("power"), (m["products"] - mean * (2 * m["sum"] - m["ends"]) + (n - 1) * mean * mean).alias("lag"))
 
     def verdict(m):
         size, n, df = m["size"], m["n"], m["size"] - 1
         z_chi = (F.cbrt(F.greatest(m["chi"], F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
         z_runs = F.when(m["var"] > 0, (m["turns"] - m["expected"]) / F.sqrt(m["var"])).otherwise(F.lit(9.0))
-        z_lag = F.when(m["power"] > 1e-9, (m["lag"] / m["power"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
+        correlation = F.when(m["power"] > 1e-9, m["lag"] / m["power"]).otherwise(F.lit(1.0))
+        z_lag = (correlation + 1 / n) * F.sqrt(n)
         random = F.pow(F.greatest(z_chi, F.lit(0.0)), 2) + F.pow(z_runs, 2) + F.pow(z_lag, 2)
         expected = size * (n - 1) * REPEAT + size - n
         spread = 2 * size / n * F.sqrt(n * (n - 1) / 2 * REPEAT + CLUSTER * n * n * n)
-        z_change = (m["changes"] - CHANGE * (n - 1)) / F.sqrt(CHANGE * (1 - CHANGE) * (n - 1))
-        z_written = ((expected - m["chi"]) / spread + z_change) / math.sqrt(2)
+        turn = F.when(size <= 36, TURN_ONE_CASE).otherwise(TURN_TWO_CASES)
+        turns, lags = F.sqrt(turn * (1 - turn) * (n - 1)), F.sqrt(1 / n + LAG_SPREAD**2)
+        # how far each statistic, and that of random text, is from written text
+        scores = [((expected - m["chi"]) / spread, (expected - df) / spread), ((m["turns"] - turn * (n - 1)) / turns, (0.5 - turn) * (n - 1) / turns), ((LAG - correlation) / lags, (LAG + 1 / n) / lags)]
+        scores = [(z, F.greatest(w, F.lit(0.0))) for z, w in scores]
+        z_written = sum((z * w for z, w in scores[1:]), scores[0][0] * scores[0][1]) / F.sqrt(sum((w * w for _, w in scores[1:]), scores[0][1] * scores[0][1]))
         return F.struct(_let(random, chi3_tail).alias("p_random"), _let(z_written, normal_tail).alias("p_written"))
 
     return _let(_let(_let(codes, sums), statistics), verdict)
@@ -204,7 +225,10 @@ def cut_off(tokens: DataFrame) -> int:
 def scanned(docs: DataFrame, base: str = "base", tokens: str = "tokens") -> DataFrame:
     """``docs`` with ``base`` (spans of the base rules) and ``tokens`` (what the battery says of the others).
 
-    Null texts are empty; columns of these names are replaced.
+    Null texts are empty; columns of these names are replaced; repeated rows are
+    each scanned; an empty table gives an empty one. A very long text takes time
+    in proportion to its length times the number of its matches, as its tokens
+    are cut out and held against its base spans one by one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumn(base, base_spans(text)).withColumn(tokens, tested(text, F.col(base)))
