@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.sources.io import shared_dir
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,14 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,3 +48,9 @@ def ranked(df: DataFrame, order: list[Column], name: str, rank: str = "rank") ->
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     return local.join(F.broadcast(offsets), "_part").withColumn(rank, (F.col("_offset") + F.col("_local") - 1).cast("long")).drop("_part", "_local", "_offset")
+
+
+def window(text: Column, key: Column, chars: int) -> Column:
+    """A stretch of ``chars`` code points of longer texts, at a place given by a hash of ``key``; shorter ones whole."""
+    start = F.pmod(F.xxhash64(F.lit(19), key), F.greatest(F.length(text) - chars + 1, F.lit(1))) + 1
+    return F.when(F.length(text) <= chars, text).otherwise(F.substring(text, start.cast("int"), F.lit(chars)))

@@ -3,20 +3,23 @@
 The kernel of two strings sums, over all subsequences of four letters that
 span at most SPAN characters, the product of their weights decay^span in each:
 an insult with letters inserted or gaps put in still shares most of them. The
-machine lives in the Nyström space of a few landmark strings (the words whose
-presence best tells the labels apart): f(s) = sum_l a_l K(s, l). As every
+machine lives in the Nyström space of a few landmark strings (the words and
+beginnings of words whose presence best tells the labels apart): f(s) = sum_l a_l K(s, l). As every
 K(s, l) is linear in the weighted subsequence counts of s, f collapses into one
 weight for each four letters, and a text is scored by table look-ups.
 
 What is classified is every window of WINDOW characters; the whole text counts.
 Labels are known for texts only, so training alternates: take the window of
 every toxic text that the present machine finds worst as positive, the worst
-and some arbitrary windows of clean texts as negative, fit, repeat. A logistic
-curve over the text's three worst blocks, the share of its blocks that have a
-window on the toxic side, and their number turns these into a score from 0 to 1.
-
-Training uses a bounded sample (SAMPLE_TEXTS a class, of at most SAMPLE_CHARS
-code points each); scoring is a map over all texts.
+and some arbitrary windows of clean texts as negative, fit, repeat. A text then
+has its three worst blocks and the numbers of its blocks that have a window
+beyond the machine's threshold, clearly beyond it and nearly so; a logistic
+curve turns these, with the number of blocks in which they were found, into a
+score from 0 to 1. In the curve a class that is k times rarer weighs sqrt(k).
+
+Training uses a bounded sample: SAMPLE_TEXTS a class, of longer texts a window
+of SAMPLE_CHARS code points; scoring is a map over all texts. Settings were
+chosen on a quarter of the rows that may be learned from, held back for that.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chars import batches, coded
-from .common import table
+from .common import table, window
 
 CODES = 32
 SPAN = 6
@@ -44,14 +47,21 @@ BLOCK = 24
 SAMPLE_TEXTS = 1500
 SAMPLE_CHARS = 20_000
 LANDMARKS = 128
+#: Lengths of beginnings of words that may be landmarks.
+PREFIXES = (5, 6, 7)
 ROUNDS = 3
+COST = 0.1
+#: What is added to the threshold in the three counts of blocks.
+STEPS = (0.0, 0.5, -0.5)
+SUMMARY = 4 + len(STEPS)
 
 
 @dataclass
 class Model:
-    """Weight of each four letters, and the logistic curve over summary()."""
+    """Weight of each four letters, the machine's threshold, and the logistic curve over summary()."""
 
     weights: np.ndarray
+    edge: float
     curve: np.ndarray
     offset: float
 
@@ -133,10 +143,11 @@ def features(rows: np.ndarray, column: np.ndarray) -> np.ndarray:
 
 
 def landmarks(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the words whose presence best tells toxic texts and of the commonest clean ones, and how well each tells."""
+    """Codes of the words, or beginnings of words, whose presence best tells toxic texts and of the commonest clean ones, and how well each tells."""
     seen = {0: Counter(), 1: Counter()}
     for text, label in zip(texts, labels, strict=True):
-        seen[int(label)].update(set(re.findall(r"[^\W\d_]{3,}", text.lower())))
+        words = set(re.findall(r"[^\W\d_]{3,}", text.lower()))
+        seen[int(label)].update(words | {w[:k] for w in words for k in PREFIXES if len(w) > k})
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
 
     def gain(word: str) -> float:
@@ -154,7 +165,7 @@ def landmarks(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows, np.array([max(0.0, gain(w)) ** 2 for w in chosen])
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 0.5, passes: int = 40) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, y: np.ndarray, cost: float = COST, passes: int = 40) -> tuple[np.ndarray, float]:
     """Linear support vector machine by dual coordinate descent; classes weigh alike. y is +1 or -1."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     upper = np.where(y > 0, cost * len(y) / max(1, 2 * (y > 0).sum()), cost * len(y) / max(1, 2 * (y < 0).sum()))
@@ -170,23 +181,25 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 0.5, passes: int = 40) -> tu
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and offset of P(y = 1 | x), by Newton steps with a little shrinkage on standardised columns."""
+    """Weights and offset of P(y = 1 | x), by Newton steps with a little shrinkage on standardised columns; the rarer class weighs more."""
+    n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
+    each = np.where(y > 0, max(1.0, n0 / n1) ** 0.5, max(1.0, n1 / n0) ** 0.5)
     mean, sd = x.mean(axis=0), x.std(axis=0)
     sd = np.maximum(sd, 0.25)  # what is nearly the same in all texts tells next to nothing
     z = np.concatenate([(x - mean) / sd, np.ones((len(x), 1))], axis=1)
     w, shrink = np.zeros(z.shape[1]), np.diag([0.5] * x.shape[1] + [1e-3])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + shrink, z.T @ (p - y) + shrink @ w)
+        step = np.linalg.solve((z * (each * p * (1 - p))[:, None]).T @ z + shrink, z.T @ (each * (p - y)) + shrink @ w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return w[:-1] / sd, float(w[-1] - (w[:-1] * mean / sd).sum())
 
 
-def summary(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
-    """Of each text: its three worst blocks, the share of blocks on the toxic side (times 10), and the log of their number."""
-    out = np.zeros((len(texts), 5))
+def summary(texts: list[str | None], weights: np.ndarray, edge: float) -> np.ndarray:
+    """Of each text: its three worst blocks, the logs of how many are beyond the threshold by each of STEPS, and the log of their number."""
+    out = np.zeros((len(texts), SUMMARY))
     for lo, part in batches(texts):
         codes, starts, ends = squeezed(part)
         scores = window_scores(codes, weights)
@@ -202,15 +215,16 @@ def summary(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
         for r in range(3):
             hit = rank == r
             out[lo + owner[order][hit], r] = worst[order][hit]
-        out[lo : lo + len(part), 3] = 10 * np.bincount(owner, worst > 0, len(part)) / np.maximum(blocks, 1)
-        out[lo : lo + len(part), 4] = np.log1p(blocks)
+        for j, step in enumerate(STEPS):
+            out[lo : lo + len(part), 3 + j] = np.log1p(np.bincount(owner, worst > edge + step, len(part)))
+        out[lo : lo + len(part), -1] = np.log1p(blocks)
     return out
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:
     """The machine from labelled texts; with one class only, a constant score (that class; 0 if there are no texts)."""
     if not 0 < labels.sum() < len(labels):
-        return Model(np.zeros(GRAMS, np.float32), np.zeros(5), 30.0 if labels.sum() else -30.0)
+        return Model(np.zeros(GRAMS, np.float32), 0.0, np.zeros(SUMMARY), 30.0 if labels.sum() else -30.0)
     marks, first = landmarks(texts, labels)
     used = np.unique(np.concatenate([index.ravel() for index, _ in grams(marks)]))
     used = used[used > 0]
@@ -244,14 +258,15 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         rows = np.concatenate([positives, negatives])
         kernel = np.concatenate([features(rows[i : i + 256], column) @ base.T for i in range(0, len(rows), 256)])  # K_nm
         y = np.where(np.arange(len(rows)) < len(positives), 1.0, -1.0)
-        w, _ = svm(kernel @ whiten, y)
+        w, offset = svm(kernel @ whiten, y)
+        edge = -offset
         weights = table_of((whiten @ w) @ base)
-    curve, offset = logistic(summary(texts, weights), labels.astype(float))
-    return Model(weights, curve, offset)
+    curve, offset = logistic(summary(texts, weights, edge), labels.astype(float))
+    return Model(weights, edge, curve, offset)
 
 
 def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(summary(texts, model.weights) @ model.curve + model.offset, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(summary(texts, model.weights, model.edge) @ model.curve + model.offset, -30, 30)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -260,20 +275,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_TEXTS) -> tuple[list[str], np.ndarray]:
-    """At most about ``bound`` texts a class, chosen by a hash of the id among those that may be learned from."""
+    """At most about ``bound`` texts a class, chosen by a hash of the id among those that may be learned from; of longer texts a window of SAMPLE_CHARS."""
     labels = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = dict(labels.groupBy("toxic").count().collect())
     part = F.lit(0.0)
     for label in (0, 1):
         part = F.when(F.col("toxic") == label, F.lit(min(1.0, bound / max(1, counts.get(label, 0))))).otherwise(part)
     chosen = labels.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < part * 1_000_000)
-    rows = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", window(F.col("text"), F.col("doc_id"), SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id")
     got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.select("doc_id", "text", "toxic").toLocalIterator())
     return [t for _, t, _ in got], np.array([int(y) for *_, y in got], np.int64)
 
 
 def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
-    """``docs`` with a score from 0 to 1, from the whole text; a null text scores as an empty one. A column named as ``name`` is replaced."""
+    """``docs`` with a score from 0 to 1, from the whole text; a null text scores as an empty one.
+
+    Repeated rows score alike; an empty table gives an empty one; a very long text
+    takes some twenty bytes a character while it is scored. A column named as
+    ``name`` is replaced.
+    """
     rest = docs.drop(name)
     names = rest.columns
     schema = rest.withColumn(name, F.lit(0.0)).schema

@@ -34,8 +34,8 @@ def machine():
 
 def test_insults_with_gaps_and_inserted_letters_are_on_the_toxic_side(machine):
     texts = ["the river of stone walks", "the idxiot of stone", "the mor-on of stone", "the i d i o t of stone"]
-    clean, *odd = toxicity.summary(texts, machine.weights)[:, 0]
-    assert clean < 0.5 and all(x > 1 for x in odd)
+    clean, *odd = toxicity.summary(texts, machine.weights, machine.edge)[:, 0]
+    assert clean < machine.edge < min(odd)
     clean, *odd = toxicity.score_texts(texts, machine)
     assert all(x > 5 * clean for x in odd)
 
