@@ -4,12 +4,14 @@ Every word of a text is taken as written in one of the known languages, and has
 a likelihood in each: the product of the chances of its letters after the two
 before (letter trigrams, with the start of the word). Expectation-maximisation
 finds the proportions of the languages under which the text's words are
-likeliest. The language set is the one among the k leading languages, k = 1,
-2, ..., whose log likelihood less (k - 1) * PENALTY * log(words) is largest; its
-leading language is the prediction and that language's proportion the score.
-
-The trigram tables come from a bounded sample (SAMPLE_TEXTS a language, of at
-most SAMPLE_CHARS code points each); prediction is a map over whole texts.
+likeliest. Candidates for the language set are the k leading languages, k = 1,
+2, ...; for each, the proportions are fitted anew within the set. The set is the
+one whose log likelihood less (k - 1) * PENALTY * log(words) is largest; the
+leading language of its own proportions is the prediction and that language's
+proportion the score.
+
+The trigram tables come from a bounded sample (SAMPLE_TEXTS a language, of longer
+texts a window of SAMPLE_CHARS); prediction is a map over whole texts.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chars import batches, coded
-from .common import table
+from .common import table, window
 
 CODES = 64
 SMOOTH = 0.05
@@ -67,7 +69,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def mixture(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Proportions of the languages in each text, how many of them its set has, and its words."""
+    """Proportions of the languages in each text's set (0 outside), how many there are in the set, and the text's words."""
     grams, first, owner, words = word_grams(texts)
     n, k = len(texts), len(model.languages)
     share, chosen = np.full((n, k), 1.0 / k), np.ones(n, np.int64)
@@ -77,22 +79,28 @@ def mixture(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.
     like = np.exp(like - like.max(axis=1, keepdims=True))  # up to a factor for each word, which no comparison needs
     have = np.flatnonzero(words)
     cuts = np.concatenate([[0], np.cumsum(words[have])[:-1]])
-    for _ in range(EM_ROUNDS):
-        part = like * share[owner]
-        part /= part.sum(axis=1, keepdims=True)
-        share[have] = np.add.reduceat(part, cuts, axis=0) / words[have][:, None]
-        share = np.maximum(share, 1e-12)
-    order = np.argsort(-share, axis=1, kind="stable")
+
+    def fitted(start: np.ndarray, rounds: int) -> np.ndarray:
+        """Proportions after rounds of expectation-maximisation; what starts at 0 stays there."""
+        for _ in range(rounds):
+            part = like * start[owner]
+            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
+            start[have] = np.add.reduceat(part, cuts, axis=0) / words[have][:, None]
+        return start
+
+    full = np.maximum(fitted(share.copy(), EM_ROUNDS), 1e-12)
+    order = np.argsort(-full, axis=1, kind="stable")
     best = np.full(n, -np.inf)
     for size in range(1, k + 1):
-        kept = np.zeros((n, k))
-        np.put_along_axis(kept, order[:, :size], np.take_along_axis(share, order[:, :size], axis=1), axis=1)
-        kept /= kept.sum(axis=1, keepdims=True)
-        each = np.log(np.maximum((like * kept[owner]).sum(axis=1), 1e-300))
+        start = np.zeros((n, k))
+        np.put_along_axis(start, order[:, :size], np.take_along_axis(full, order[:, :size], axis=1), axis=1)
+        start /= start.sum(axis=1, keepdims=True)
+        own = fitted(start, EM_ROUNDS if 1 < size < k else 0)  # one language has all; of all, these are the proportions
+        each = np.log(np.maximum((like * own[owner]).sum(axis=1), 1e-300))
         value = np.full(n, -np.inf)
         value[have] = np.add.reduceat(each, cuts) - (size - 1) * PENALTY * np.log(words[have] + 1.0)
-        chosen = np.where(value > best, size, chosen)
-        best = np.maximum(best, value)
+        better = value > best
+        chosen, share, best = np.where(better, size, chosen), np.where(better[:, None], own, share), np.maximum(best, value)
     return share, chosen, words
 
 
@@ -102,8 +110,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, bound: int = SAMPLE_TEXTS) -> tuple[list[str], list[str]]:
-    """At most about ``bound`` texts a language, chosen by a hash of the id, among rows with a language that may be learned from."""
-    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
+    """At most about ``bound`` texts a language, chosen by a hash of the id, among rows with a language that may be learned from; of longer texts a window of SAMPLE_CHARS."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("text", window(F.col("text"), F.col("doc_id"), SAMPLE_CHARS))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one number a language
     part = F.lit(0.0)
     for lang, n in counts.items():
@@ -118,7 +126,9 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0 and an empty
     set; so is every text if there was nothing to learn from. Ties go to the
-    first language by name. Columns of these names are replaced.
+    first language by name. Repeated rows are predicted alike; an empty table
+    gives an empty one. A very long text takes some numbers for each of its words
+    and languages while it is fitted. Columns of these names are replaced.
     """
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_set", T.ArrayType(T.StringType())), T.StructField("lang_shares", T.ArrayType(T.DoubleType()))]
     rest = docs.drop(*(f.name for f in added))
