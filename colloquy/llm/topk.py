@@ -17,8 +17,11 @@ of the rest,
 is below the bound. What survives is scored exactly on the integers.
 
 Queries and blocks meet as chunks keyed by (block, query chunk): both sides
-have a bounded number of rows, and only the pairs that the length bound leaves
-are sent. What passes the driver is one dim x dim matrix.
+have a bounded number of rows. After the first block queries are put into chunks
+by the length that a candidate needs to reach their bound, so that a chunk's
+queries part with short blocks together; a block is sent to those chunks only of
+which some query may still want it, and a query to those blocks that it may want.
+What passes the driver is one dim x dim matrix.
 """
 
 from __future__ import annotations
@@ -64,6 +67,8 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
                 total += x.T @ x
         yield pd.DataFrame({"i": np.arange(dim), "row": list(total)})
 
+    if not dim:
+        return np.zeros((0, 0))
     rows = vectors.select("v").mapInPandas(moments, "i int, row array<double>")
     sums = rows.groupBy("i").agg(*[F.sum(F.element_at("row", j + 1)).alias(f"c{j}") for j in range(dim)])
     gram = np.zeros((dim, dim))
@@ -186,19 +191,23 @@ def _top_products(rows: DataFrame, dim: int, k: int) -> DataFrame:
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return block_top(left, right, basis if dim else np.zeros((0, 0)), k)
+        return block_top(left, right, basis, k)
 
     def against(queries_: DataFrame, cand_: DataFrame) -> DataFrame:
         return queries_.groupBy("block", "chunk").cogroup(cand_.groupBy("block", "chunk")).applyInPandas(meet, schema)
 
-    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")  # one block
     head = against(q.withColumn("block", F.lit(first)).withColumn("bound", F.lit(-np.inf)), cand.where(F.col("block") == first).select("*", every))
     head = kept(head, f"topk-head-{width}")
     bounds = head.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
     q = q.join(bounds, q["vec_id"] == bounds["query_id"], "left").drop("query_id").withColumn("bound", F.coalesce(F.col("bound").cast("double"), F.lit(-np.inf)))
+    needed = F.when(F.col("length") > 0, F.col("bound") / F.col("length")).when(F.col("bound") > 0, F.lit(np.inf)).otherwise(F.lit(-np.inf))
+    q = q.drop("chunk").withColumn("needed", needed).repartitionByRange(chunks, "needed", "vec_id").withColumn("chunk", F.spark_partition_id())
+    q = kept(q, "topk-bounded")
     pairs = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.col("block") != first)
     pairs = pairs.join(longest, "block").where(F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("bound"))
-    rest = against(pairs.select("vec_id", "v", "chunk", "block", "bound"), cand.where(F.col("block") != first).select("*", every))
+    live = kept(pairs.select("block", "chunk").distinct(), "topk-live")
+    rest = against(pairs.select("vec_id", "v", "chunk", "block", "bound"), cand.join(live, "block"))
     return _top(head.unionByName(rest), k)
 
 
