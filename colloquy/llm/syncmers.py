@@ -1,17 +1,21 @@
 """Document fingerprints from closed syncmers, on DataFrame functions alone.
 
 A k-mer of a text's UTF-8 bytes is a closed syncmer if the smallest of its
-inner s-mers (by hash) is the first or the last of them. That depends on the
-k-mer alone, so the same passage yields the same anchors wherever it stands,
-and an edit disturbs only the k-mers that touch it. The anchors of a text put
-together from two are those of its parts and of the k - 1 bytes on either side
-of the seam.
-
-A fingerprint is the sketch of a text's anchors: their smallest distinct
-32-bit hashes, at most SKETCH of them. The likeness of two is the share of the
-smallest hashes of both together that are in each, which estimates the Jaccard
-similarity of the anchor sets. A text without a closed syncmer has its
-smallest k-mer as anchor, or, shorter than k, itself.
+inner s-mers (by CRC, the leftmost of equal ones) is the first or the last of
+them. That depends on the k-mer alone, so the same passage yields the same
+anchors wherever it stands, and an edit disturbs only the k-mers that touch it.
+The anchors of a text put together from two are those of its parts and of the
+k - 1 bytes on either side of the seam.
+
+A fingerprint is the sketch of a text's anchors: their SKETCH smallest distinct
+32-bit hashes, each with the place of its first anchor. It is a sample of the
+anchors that two texts draw alike; the method's output, not a limit on the work.
+Two fingerprints are matched by place: of the smallest hashes of both together,
+those in each are put in the order of the one text, and count where the other
+text has them in that order as well. Their share estimates the Jaccard similarity
+of the anchor sets for passages that keep their order, wherever they stand. A text
+without a closed syncmer has its smallest k-mer as anchor, or, shorter than k,
+itself.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ K = 12
 S = 7
 INNER = K - S + 1
 SKETCH = 96
+#: An anchor is one number: its hash above this many bits of its place.
+PLACE = 31
 #: Most ranges that documents are sorted in.
 MOST_RANGES = 16_384
 
@@ -36,58 +42,80 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _grams(data: Column, length: int) -> Column:
-    """Hashes of the byte runs of ``length`` at each place."""
-    return F.transform(F.sequence(F.lit(1), F.octet_length(data) - length + 1), lambda i: F.xxhash64(F.substring(data, i, F.lit(length))))
+def _places(data: Column, length: int) -> Column:
+    """First bytes, from 1, of the runs of ``length``."""
+    return F.sequence(F.lit(1), F.octet_length(data) - length + 1)
 
 
 def _anchors(data: Column) -> Column:
     """Places from 0 of the closed syncmers of bytes that are K or more."""
+    inner = F.transform(_places(data, S), lambda i: F.shiftleft(F.crc32(F.substring(data, i, F.lit(S))), PLACE) + (i - 1))
+
     def closed(h):
-        def is_closed(p):
-            at = lambda j: h[p + j]
-            first = reduce(lambda a, b: a & b, [at(0) <= at(j) for j in range(1, INNER)])
-            last = reduce(lambda a, b: a & b, [at(INNER - 1) <= at(j) for j in reversed(range(INNER - 1))])
+        def is_closed(x, p):  # beyond the end there is nothing to compare with, and the answer is null
+            at = lambda j: F.get(h, p + j)
+            first = reduce(lambda a, b: a & b, [x < at(j) for j in range(1, INNER)])
+            last = reduce(lambda a, b: a & b, [at(INNER - 1) < (at(j) if j else x) for j in reversed(range(INNER - 1))])
             return first | last
 
-        return F.filter(F.sequence(F.lit(0), F.size(h) - INNER), is_closed)
+        return F.transform(F.filter(h, is_closed), lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int"))
 
-    return _let(_grams(data, S), closed)
+    return _let(inner, closed)
 
 
-def anchors(text: Column) -> Column:
-    """Array of struct(at, hash) of a text's closed syncmers, by place in bytes; empty for texts shorter than K bytes."""
-    kind = "array<struct<at:int,hash:bigint>>"
+def _packed(data: Column, place: Column, at: Column) -> Column:
+    """The anchor of the k-mer at ``place`` of ``data``, as one at ``at`` of the text."""
+    return F.shiftleft(F.xxhash64(F.substring(data, place + 1, F.lit(K))).bitwiseAND(F.lit(0xFFFFFFFF)), PLACE) + at
+
+
+def hash_of(anchor: Column) -> Column:
+    return F.shiftright(anchor, PLACE)
+
 
+def place_of(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+
+
+def anchors(text: Column) -> Column:
+    """A text's closed syncmers as numbers (hash_of() and place_of() take them apart), in order of place in bytes; none for texts shorter than K bytes."""
     def found(data):
-        made = F.transform(_anchors(data), lambda p: F.struct(p.alias("at"), F.xxhash64(F.substring(data, p + 1, F.lit(K))).bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash")))
-        return F.when(F.octet_length(data) >= K, made.cast(kind)).otherwise(F.array().cast(kind))
+        return F.when(F.octet_length(data) >= K, F.transform(_anchors(data), lambda p: _packed(data, p, p))).otherwise(F.array().cast("array<bigint>"))
 
     return _let(F.encode(text, "UTF-8"), found)
 
 
-def sketch(hashes: Column) -> Column:
-    """The SKETCH smallest distinct hashes."""
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, SKETCH)
+def distinct(found: Column) -> Column:
+    """Anchors by hash, the first in place of each."""
+    return _let(F.array_sort(found), lambda a: F.filter(a, lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.get(a, i - 1)))))
 
 
 def fallback(text: Column) -> Column:
     """The sketch of a text that has no closed syncmer."""
-    cut = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
     def chosen(data):
-        return F.array(F.when(F.octet_length(data) >= K, F.array_min(F.transform(_grams(data, K), cut))).otherwise(cut(F.xxhash64(data))))
+        least = F.array_min(F.transform(_places(data, K), lambda i: _packed(data, i - 1, i - 1)))
+        return F.array(F.when(F.octet_length(data) >= K, least).otherwise(F.shiftleft(F.xxhash64(data).bitwiseAND(F.lit(0xFFFFFFFF)), PLACE)))
 
     return _let(F.encode(text, "UTF-8"), chosen)
 
 
-def written(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+def written(sketch: Column) -> Column:
+    """Sixteen hexadecimal digits an anchor: its hash and its place."""
+    digits = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.array_join(F.transform(sketch, lambda x: F.concat(digits(hash_of(x)), digits(place_of(x)))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of the anchor sets behind two sketches."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return _let(both, lambda u: F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u))
+    """Estimated Jaccard similarity of the anchor sets behind two sketches, in so far as their anchors are in the same order."""
+    hashes = lambda x: F.transform(x, hash_of)
+    mine = lambda x, shared: F.filter(x, lambda y: F.array_contains(shared, hash_of(y)))
+
+    def in_order(shared):
+        # both are sorted by hash, so that they agree in what is where
+        both = F.array_sort(F.zip_with(mine(a, shared), mine(b, shared), lambda x, y: F.struct(place_of(x).alias("a"), place_of(y).alias("b"))))
+        return F.when(F.size(shared) == 0, 0).otherwise(_let(both, lambda s: F.size(F.filter(s, lambda x, i: (i == 0) | (x["b"] > F.get(s, i - 1)["b"])))))
+
+    union = F.slice(F.array_sort(F.array_union(hashes(a), hashes(b))), 1, SKETCH)
+    return _let(union, lambda u: _let(F.array_intersect(F.array_intersect(hashes(a), hashes(b)), u), in_order) / F.size(u))
 
 
 def with_next(docs: DataFrame, order: list[str], carried: list[str], make) -> DataFrame:
@@ -127,7 +155,9 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     quarter (rounded down, in code points) replaced by as many of the next
     document's first, in the order of doc_id (nulls first, repeated ids by a
     hash of the text); the first document follows the last, so that a single
-    document follows itself. An empty table gives an empty result.
+    document follows itself. Repeated rows are fingerprinted alike. A very long
+    text takes some hundred bytes a character in the row that it is in. An empty
+    table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -136,8 +166,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         n = F.length("text").cast("long")
         df = df.withColumns({"n_chars": n, "head": F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 4)).cast("int"))})
         end = F.octet_length("head")
-        hashes = lambda a: F.transform(a, lambda x: x["hash"])
-        both = _let(anchors(F.col("text")), lambda a: F.struct(sketch(hashes(a)).alias("whole"), sketch(hashes(F.filter(a, lambda x: x["at"] + K <= end))).alias("head")))
+        both = _let(distinct(anchors(F.col("text"))), lambda a: F.struct(F.slice(a, 1, SKETCH).alias("whole"), F.slice(F.filter(a, lambda x: place_of(x) + K <= end), 1, SKETCH).alias("head")))
         df = df.withColumn("_both", both)
         whole = F.when(F.size("_both.whole") > 0, F.col("_both.whole")).otherwise(fallback(F.col("text")))
         return df.withColumns({"sketch": whole, "head_sketch": F.col("_both.head")}).drop("_both")
@@ -147,8 +176,10 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_added": added, "edited": F.concat("head", added)})
     head = F.encode("head", "UTF-8")
     seam = F.concat(F.substring(head, F.greatest(F.octet_length(head) - (K - 2), F.lit(1)), F.lit(K - 1)), F.encode("_added", "UTF-8"))
-    tail = _let(seam, lambda d: F.when(F.octet_length(d) >= K, F.transform(_anchors(d), lambda p: F.xxhash64(F.substring(d, p + 1, F.lit(K))).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_joined", sketch(F.concat("head_sketch", tail)))
+    before = F.greatest(F.octet_length(head) - (K - 1), F.lit(0))  # bytes ahead of the seam
+    tail = F.struct(seam.alias("data"), before.alias("at"))
+    tail = _let(tail, lambda t: F.when(F.octet_length(t["data"]) >= K, F.transform(_anchors(t["data"]), lambda p: _packed(t["data"], p, p + t["at"]))).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("_joined", F.slice(distinct(F.concat("head_sketch", tail)), 1, SKETCH))
     rows = rows.withColumn("edited_sketch", F.when(F.size("_joined") > 0, F.col("_joined")).otherwise(fallback(F.col("edited"))))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), written(F.col("sketch")).alias("fingerprint"), written(F.col("edited_sketch")).alias("edited_fingerprint"),

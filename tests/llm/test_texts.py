@@ -162,6 +162,41 @@ def test_fingerprints(spark, texts):
     assert np.mean([abs(out[i]["near_edited"] - x) for i, x in zip(long, true, strict=True)]) < 0.08
 
 
+def closed(data):
+    """(place, k-mer) of bytes by the definition: the smallest inner s-mer is at an edge."""
+    import zlib
+
+    out = []
+    for i in range(len(data) - syncmers.K + 1):
+        inner = [(zlib.crc32(data[j : j + syncmers.S]), j) for j in range(i, i + syncmers.INNER)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, data[i : i + syncmers.K]))
+    return out
+
+
+def test_anchors_equal_the_definition(spark, texts):
+    every = [*(t or "" for t in texts[:40]), *ODD, "abcdefghijkl", "abcdefghijk", "ab" * 30]
+    rows = spark.createDataFrame(list(enumerate(every)), "i int, text string").select("i", syncmers.anchors(F.col("text")).alias("a"))
+    got = {r["i"]: r["a"] for r in rows.collect()}
+    mask = (1 << syncmers.PLACE) - 1
+    for i, t in enumerate(every):
+        want = closed(t.encode())
+        assert [x & mask for x in got[i]] == [p for p, _ in want]
+        names = {}
+        for x, (_, kmer) in zip(got[i], want, strict=True):  # one hash a k-mer, wherever it stands
+            assert names.setdefault(kmer, x >> syncmers.PLACE) == x >> syncmers.PLACE
+
+
+def test_likeness_matches_places(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(400)]
+    base, other = " ".join(words[:150]), " ".join(words[200:350])
+    cases = {"same": base, "moved": other[:300] + " " + base, "inserted": base[:500] + " something new " + base[500:], "other": other, "shuffled": " ".join(rng.sample(words[:150], 150))}
+    sketch = lambda t: F.slice(syncmers.distinct(syncmers.anchors(F.lit(t))), 1, syncmers.SKETCH)
+    got = spark.range(1).select(*(syncmers.likeness(sketch(base), sketch(t)).alias(n) for n, t in cases.items())).first()
+    assert got["same"] == 1.0 and got["inserted"] > 0.85 and 0.5 < got["moved"] < 0.95 and got["other"] < 0.05 and got["shuffled"] < 0.35
+
+
 def test_fingerprints_of_odd_tables(spark):
     schema = "doc_id long, text string"
     one = syncmers.fingerprinted(spark.createDataFrame([(None, "same text, over and over")], schema)).first()
