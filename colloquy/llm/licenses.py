@@ -7,7 +7,8 @@ at a sentence end or a blank line, and a known one begins and ends where a line
 or sentence does. What isn't known counts line by line. What is left is a short sequence of identifiers, on which ordered
 rules are matched: the first rule that fits takes its identifiers out of the
 sequence and names a licence, then the next rule is tried on the rest.
-Sentences that speak of a licence without being known are marked unknown.
+Sentences that speak of a licence without being known are marked unknown. SPDX
+tags are kept as they are written, each licence of an expression by itself.
 
 All of it is column expressions on the row of the document: no shuffle.
 """
@@ -82,9 +83,9 @@ RULES = [
     ("public-domain", ",publicdomain,"),
     ("all-rights-reserved", ",(copyright,)*rights,"),
 ]
-CUT = r"[.!?;:]+[\x20\x09-\x0D]+|[.!?;:]+\z|[\x0A\x0D]+"
-
-# What follows goes beyond OP6_SQL, which has the sentences above in one line only.
+#: A tag and its expression, and what stands between its licences.
+TAG = r"(?i:spdx-license-identifier):[\x20\t]*(\(*[A-Za-z0-9.+-]*[A-Za-z0-9+]\)*(?:[\x20\t]+(?:AND|OR|WITH)[\x20\t]+\(*[A-Za-z0-9.+-]*[A-Za-z0-9+]\)*)*)"
+BETWEEN = r"[\x20\t]+(?:AND|OR)[\x20\t]+"
 
 #: "this software is licensed under the terms of the" and its like.
 LEAD = r"(?:(?:this|the|these|all|our) (?:[a-z]+ ){1,4}?(?:is|are) )?(?:dual |hereby )?(?:licen[sc]ed|released|distributed|made available|available|provided|published|shared) under (?:the |an? )?(?:terms (?:and conditions )?of (?:the |an? )?)?"
@@ -124,7 +125,7 @@ def _families() -> list[tuple[str, str, str | None]]:
 FAMILIES = _families()
 #: Licences of the identifiers that RULES don't name.
 MORE_RULES = sorted({(x, i) for i, _, x in FAMILIES if x})
-WIDE_HINT = HINT + r"|public\s+domain|rights\s+reserved|free\s+software|(?:licen[sc]ed|released|distributed|available|provided|published|shared)\s+under"
+WIDE_HINT = HINT + r"|public\s+domain|rights\s+reserved|free\s+software|(?:licen[sc]ed|released|distributed|available|provided|published|shared)\s+under|c[^a-z0-9]+[0-9]{4}"
 #: An end of a sentence; "v." before a number is none.
 END = r"(?<![^a-z0-9]v)[.!?;:]+(?:[\x20\x09-\x0D]+|\z)"
 
@@ -168,7 +169,9 @@ def licensed(docs: DataFrame) -> DataFrame:
     """``docs`` with licence_sentences (identifiers in order) and licences (names in the order of the rules, then of MORE_RULES, then SPDX tags).
 
     A null or empty text has neither. Each rule names its licence once, however
-    often it fits. Columns of these names are replaced.
+    often it fits. Repeated rows are scanned alike; an empty table gives an empty
+    one. A very long text takes time in proportion to its length times the number
+    of its licence sentences. Columns of these names are replaced.
     """
     out = docs.withColumn("licence_sentences", identifiers(F.coalesce("text", F.lit(""))))
     out = out.withColumn("_rest", F.concat(F.lit(","), F.array_join("licence_sentences", ","), F.lit(","))).withColumn("_names", F.array().cast("array<string>"))
@@ -176,7 +179,8 @@ def licensed(docs: DataFrame) -> DataFrame:
         fits = F.col("_rest").rlike(pattern)
         out = out.withColumns({"_names": F.when(fits, F.concat("_names", F.array(F.lit(name)))).otherwise(F.col("_names")), "_rest": F.when(fits, F.regexp_replace("_rest", pattern, ",")).otherwise(F.col("_rest"))})
     more = F.transform(F.filter(F.array(*(F.lit(i) for _, i in MORE_RULES)), lambda i: F.array_contains("licence_sentences", i)), lambda i: F.try_element_at(F.create_map(*[F.lit(v) for x, i in MORE_RULES for v in (i, x)]), i))
-    tags = F.transform(F.filter("licence_sentences", lambda x: x.startswith("spdx ")), lambda x: F.translate(F.replace(x, F.lit("spdx "), F.lit("")), " ", "-"))
+    written = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TAG), F.lit(1))
+    tags = F.flatten(F.transform(written, lambda x: F.split(F.translate(x, "()", ""), BETWEEN)))
     return out.withColumn("licences", F.array_distinct(F.concat("_names", more, tags))).drop("_rest", "_names")
 
 
@@ -187,24 +191,42 @@ def op6_licence_sentences(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The same by joining lines: at each line the longest known sentence that begins there, else the line."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    cases = " ".join(f"WHEN s = {quoted(s)} THEN {quoted(n)}" for n, s in SENTENCES.items())
+    cases = " ".join(f"WHEN t = {quoted(s)} THEN {quoted(n)}" for n, s in SENTENCES.items())
+    families = " ".join(f"WHEN regexp_full_match(t, {quoted(p)}) THEN {quoted(i)}" for i, p, _ in FAMILIES)
     steps = ["""
-WITH cut AS (
-  SELECT doc_id, CASE WHEN regexp_matches(COALESCE(text, ''), %s) THEN
-      list_transform(string_split_regex(replace(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'license-identifier:', 'license-identifier'), %s),
-                     lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))) ELSE [] END AS ss
-  FROM documents),
-s0 AS (
-  SELECT doc_id, list_filter(list_transform(ss, lambda s: CASE %s WHEN regexp_matches(s, %s) THEN 'spdx ' || substr(s, 25, 80) WHEN regexp_matches(s, %s) THEN 'copyright' WHEN regexp_matches(s, %s) THEN 'unknown' END), lambda x: x IS NOT NULL) AS ids
-  FROM cut),
-r0 AS (SELECT doc_id, ids, ',' || COALESCE(array_to_string(ids, ','), '') || ',' AS rest, []::VARCHAR[] AS names FROM s0)""" % (quoted(HINT), quoted(CUT), cases, quoted(SPDX), quoted(COPYRIGHT), quoted(UNKNOWN))]
+WITH RECURSIVE hinted AS (
+  SELECT doc_id, replace(replace(translate(replace(text, chr(13) || chr(10), chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ|' || chr(13), 'abcdefghijklmnopqrstuvwxyz ' || chr(10)), 'license-identifier:', 'license-identifier'), chr(0), ' ') AS t
+  FROM documents WHERE regexp_matches(text, %s)),
+ended AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([^a-z0-9]v)[.!?;:]+([\\x20\\x09-\\x0D]+|\\z)', '\\1 \\2', 'g'), '[.!?;:]+([\\x20\\x09-\\x0D]+|\\z)', '|', 'g') AS t FROM hinted),
+plain AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[^a-z0-9|\\n]+', ' ', 'g'), ' *\\n *(?:\\n *)+', '|', 'g'), ' *([|\\n]) *', '\\1', 'g'), '^ +| +$', '', 'g') AS t FROM ended),
+segs AS (SELECT doc_id, unnest(string_split(t, '|')) AS s, generate_subscripts(string_split(t, '|'), 1) AS seg FROM plain),
+lines AS (SELECT doc_id, seg, list_filter(string_split(s, chr(10)), lambda x: x <> '') AS ls FROM segs),
+starts AS (SELECT doc_id, seg, ls, unnest(range(1, len(ls) + 1)) AS i FROM lines),
+spans AS (SELECT doc_id, seg, i, unnest(range(i, least(len(ls), i + 99) + 1)) AS j, ls FROM starts),
+joined AS (SELECT doc_id, seg, i, j, array_to_string(ls[i:j], ' ') AS t FROM spans),
+named AS (
+  SELECT doc_id, seg, i, j, t, CASE %s END AS sentence, CASE WHEN regexp_matches(t, ' under | the public domain$|mozilla') THEN CASE %s END END AS family
+  FROM joined WHERE j = i OR length(t) <= 600),
+best AS (
+  SELECT doc_id, seg, i, COALESCE(max(j) FILTER (sentence IS NOT NULL), max(j) FILTER (family IS NOT NULL), i) AS j FROM named GROUP BY 1, 2, 3),
+walk AS (SELECT doc_id, seg, 1::BIGINT AS i FROM lines WHERE len(ls) > 0 UNION ALL SELECT w.doc_id, w.seg, b.j + 1 FROM walk w JOIN best b ON b.doc_id = w.doc_id AND b.seg = w.seg AND b.i = w.i),
+found AS (
+  SELECT n.doc_id, n.seg, n.i, COALESCE(sentence, CASE WHEN regexp_matches(t, %s) THEN 'spdx ' || substr(t, 25) WHEN regexp_matches(t, %s) THEN 'copyright' END, family, CASE WHEN regexp_matches(t, %s) THEN 'unknown' END) AS id
+  FROM walk JOIN best USING (doc_id, seg, i) JOIN named n ON n.doc_id = best.doc_id AND n.seg = best.seg AND n.i = best.i AND n.j = best.j),
+listed AS (SELECT doc_id, list(id ORDER BY seg, i) AS ids FROM found WHERE id IS NOT NULL GROUP BY 1),
+s0 AS (SELECT doc_id, text, COALESCE(ids, []) AS ids FROM documents LEFT JOIN listed USING (doc_id)),
+r0 AS (SELECT doc_id, text, ids, ',' || COALESCE(array_to_string(ids, ','), '') || ',' AS rest, []::VARCHAR[] AS names FROM s0)""" % (quoted(WIDE_HINT), cases, families, quoted(SPDX), quoted(COPYRIGHT), quoted(UNKNOWN))]
     for i, (name, pattern) in enumerate(RULES):
-        steps.append(f"r{i + 1} AS (SELECT doc_id, ids, regexp_replace(rest, {quoted(pattern)}, ',', 'g') AS rest, CASE WHEN regexp_matches(rest, {quoted(pattern)}) AND NOT list_contains(names, {quoted(name)}) THEN list_append(names, {quoted(name)}) ELSE names END AS names FROM r{i})")
-    return ",\n".join(steps) + f"""
+        steps.append(f"r{i + 1} AS (SELECT doc_id, text, ids, regexp_replace(rest, {quoted(pattern)}, ',', 'g') AS rest, CASE WHEN regexp_matches(rest, {quoted(pattern)}) AND NOT list_contains(names, {quoted(name)}) THEN list_append(names, {quoted(name)}) ELSE names END AS names FROM r{i})")
+    more = ", ".join(f"CASE WHEN list_contains(ids, {quoted(i)}) THEN {quoted(x)} END" for x, i in MORE_RULES)
+    tags = f"flatten(list_transform(regexp_extract_all(COALESCE(text, ''), {quoted(TAG)}, 1), lambda x: string_split_regex(translate(x, '()', ''), {quoted(BETWEEN)})))"
+    steps.append(f"every AS (SELECT doc_id, ids, list_concat(names, list_filter([{more}], lambda x: x IS NOT NULL), {tags}) AS names FROM r{len(RULES)})")
+    return ",\n".join(steps) + """
 SELECT doc_id, len(ids)::BIGINT AS n_sentences, COALESCE(array_to_string(ids, ','), '') AS sentences,
-       COALESCE(array_to_string(list_concat(names, list_transform(list_filter(ids, lambda x: starts_with(x, 'spdx ')), lambda x: replace(substr(x, 6, 80), ' ', '-'))), ','), '') AS licences
-FROM r{len(RULES)}
+       COALESCE(array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ','), '') AS licences
+FROM every
 """
 
 

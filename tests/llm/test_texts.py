@@ -78,7 +78,7 @@ def test_battery_adds_random_tokens_and_redaction(spark):
 
 def test_licence_rules(spark):
     apache = "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License."
-    cases = {apache: "Apache-2.0", "Foo. All rights reserved.": "all-rights-reserved", "SPDX-License-Identifier: BSD-2-Clause": "bsd-2-clause", "nothing here": "", None: "", "This is under some license.": "", "The MIT License\n(c) 2020 Ada": "MIT", "Licensed under the GPL version 3. " + apache: "Apache-2.0,GPL-3.0"}
+    cases = {apache: "Apache-2.0", "Foo. All rights reserved.": "all-rights-reserved", "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "// SPDX-License-Identifier: (GPL-2.0+ OR MIT) and so on": "GPL-2.0+,MIT", "x\nC 2021 Ada": "", "nothing here": "", None: "", "This is under some license.": "", "The MIT License\n(c) 2020 Ada": "MIT", "Licensed under the GPL version 3. " + apache: "Apache-2.0,GPL-3.0"}
     docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").withColumn("licences", F.lit(1))
     got = {r["doc_id"]: ",".join(r["licences"]) for r in licenses.licensed(docs).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
@@ -118,7 +118,7 @@ def test_licence_lines_and_families(spark):
         "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This software is released under the MIT License.": "MIT", "The files are licensed under the Apache License, Version 2.0": "Apache-2.0",
         "Distributed under the\nBoost Software License, Version 1.0.": "BSL-1.0", "Licensed under the GNU Affero General Public License v3.0 or later.": "AGPL-3.0-or-later", "Released under the 3-clause BSD license.": "BSD-3-Clause", "Licensed under the LGPL, version 2.1.": "LGPL-2.1",
         "This text is available under the Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0", "Published under CC BY 4.0.": "CC-BY-4.0", "a\n\nReleased under GPL v2": "GPL-2.0", "Licensed under the MIT License\n\nby hand": "MIT", "licensed under the sea": "",
-        "SPDX-License-Identifier: " + " AND ".join(["GPL-2.0-only"] * 12): "-and-".join(["gpl-2-0-only"] * 12)}
+        "SPDX-License-Identifier: " + " AND ".join(f"GPL-{i}.0-only" for i in range(12)): ",".join(f"GPL-{i}.0-only" for i in range(12))}
     docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = {r["doc_id"]: ",".join(r["licences"]) for r in licenses.licensed(docs).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
