@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Code points handled at once.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 
 
 @lru_cache(maxsize=4)

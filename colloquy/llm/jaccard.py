@@ -255,7 +255,7 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
-def slices(column: pa.Array, most: int = 1_000_000):
+def slices(column: pa.Array, most: int = 500_000):
     """(first, texts) of slices of about ``most`` characters."""
     lo, chars, part = 0, 0, []
     for i in range(len(column)):
