@@ -135,15 +135,23 @@ def video_offset_ms(video_start: Column, call_start: Column) -> Column:
 
 
 def packed(costs: Column, most: int) -> Column:
-    """Greedy packing: for each cost the number of its pack; a pack closes before an item that would overfill it."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("pack"), F.array().cast("array<int>").alias("packs"))
+    """Greedy packing: for each cost the number of its pack; a pack closes before an item that would overfill it.
+
+    The fold keeps where packs begin only.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc, cost):
-        fresh = (acc["pack"] < 0) | (acc["n"] + cost > most)
-        pack = acc["pack"] + fresh.cast("int")
-        return F.struct(F.when(fresh, cost).otherwise(acc["n"] + cost).alias("n"), pack.alias("pack"), F.concat(acc["packs"], F.array(pack)).alias("packs"))
+        fresh = (acc["at"] == 0) | (acc["n"] + cost > most)
+        return F.struct(F.when(fresh, cost).otherwise(acc["n"] + cost).alias("n"), (acc["at"] + 1).alias("at"), F.when(fresh, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"))
+
+    return numbered(costs, F.aggregate(costs, start, step, lambda acc: acc["starts"]))
+
 
-    return F.aggregate(costs, start, step, lambda acc: acc["packs"])
+def numbered(items: Column, starts: Column) -> Column:
+    """For each item the number of its pack, from 0, where packs begin at the places ``starts``."""
+    packs = F.transform(F.array(starts), lambda s: F.transform(items, lambda _, i: F.size(F.filter(s, lambda at: at <= i)) - 1))
+    return F.element_at(packs, 1)
 
 
 def split_lines(text: Column, limit: int) -> Column:

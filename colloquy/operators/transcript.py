@@ -84,16 +84,16 @@ def chunked(merged: DataFrame, most: int = 4000, keys: tuple[str, ...] = ("call_
 def batch_notes(notes: DataFrame, most: int, key: str = "call_id") -> DataFrame:
     """Notes with ``batch``: greedy packing where a batch costs the tokens of its notes joined under numbered headers."""
     rows = notes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("note_idx", F.length("note").alias("len")))).alias("m"))
-    start = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).alias("k"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).alias("k"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"))
 
     def step(acc, x):
         header = lambda i: F.length(i.cast("string")) + len("--- Notes  ---\n")
         more = acc["chars"] + x["len"] + header(acc["k"] + 1) + F.when(acc["k"] > 0, 2).otherwise(0)
         fresh = (acc["k"] > 0) & (T.tokens_of(more) > most)
-        batch = acc["batch"] + fresh.cast("int")
-        return F.struct(F.when(fresh, x["len"] + header(F.lit(1))).otherwise(more).cast("long").alias("chars"), F.when(fresh, 1).otherwise(acc["k"] + 1).alias("k"), batch.alias("batch"), F.concat(acc["out"], F.array(batch)).alias("out"))
+        starts = F.when(fresh, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
+        return F.struct(F.when(fresh, x["len"] + header(F.lit(1))).otherwise(more).cast("long").alias("chars"), F.when(fresh, 1).otherwise(acc["k"] + 1).alias("k"), (acc["at"] + 1).alias("at"), starts.alias("starts"))
 
-    packs = F.aggregate("m", start, step, lambda acc: acc["out"])
+    packs = T.numbered(F.col("m"), F.aggregate("m", start, step, lambda acc: acc["starts"]))
     flat = rows.withColumn("packs", packs).select(key, F.explode(F.arrays_zip("m", "packs")).alias("z")).select(key, F.col("z.m.note_idx").alias("note_idx"), F.col("z.packs").alias("batch"))
     return notes.join(flat, [key, "note_idx"])
 
