@@ -246,18 +246,15 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def corpus_cut_off(docs: DataFrame) -> int:
-    """cut_off() over all tokens of ``docs``."""
-    return cut_off(scanned(docs.select("text")).select(F.explode("tokens").alias("t")).select("t.p_written"))
-
-
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``, and n_chars (where there is one) as the new length.
 
-    Nulls stay null; overlapping spans become one mark; no row is dropped.
+    Nulls stay null; overlapping spans become one mark; no row is dropped. Texts
+    are scanned once: what was found is kept with them until the cut-off is known.
     """
-    cut = corpus_cut_off(docs)
-    found = scanned(docs, "_base", "_tokens").withColumn("_spans", F.array_sort(F.concat("_base", added_spans(F.col("_tokens"), cut))))
+    found = kept(scanned(docs, "_base", "_tokens"), "secrets-found")
+    cut = cut_off(found.select(F.explode("_tokens").alias("t")).select("t.p_written"))
+    found = found.withColumn("_spans", F.array_sort(F.concat("_base", added_spans(F.col("_tokens"), cut))))
     text = F.col("text")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 

@@ -22,6 +22,8 @@ from .common import kept, table
 
 BLOCK_ROWS = 1_000_000
 LEAST_BLOCKS = 256
+#: Up to this many blocks the matrix is broadcast; beyond, it is joined.
+BROADCAST_BLOCKS = 50_000
 
 
 def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.ndarray:
@@ -88,7 +90,7 @@ def sharded(docs: DataFrame, shards: int = 40, seed: int = 29) -> DataFrame:
     ``docs`` has doc_id and, to tell repeated ids apart, text_crc32 and size.
     Rows alike in all three are interchangeable. A null id is a key like any
     other; an empty table gives an empty one. Columns named shard or slot are
-    replaced.
+    replaced. Rows alike in all three go to one block.
     """
     docs = docs.drop("shard", "slot")
     ident = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
@@ -102,7 +104,7 @@ def sharded(docs: DataFrame, shards: int = 40, seed: int = 29) -> DataFrame:
         [(i, [int(x) for x in np.cumsum(m)]) for i, m in enumerate(matrix)], "_block int, _until array<long>")
 
     permuted = rows.withColumn("_block", block).withColumn("_at", F.row_number().over(Window.partitionBy("_block").orderBy("_h", *ident)))
-    sent = permuted.join(F.broadcast(plan), "_block")
+    sent = permuted.join(F.broadcast(plan) if blocks_wanted <= BROADCAST_BLOCKS else plan, "_block")
     shard = F.size(F.filter("_until", lambda x: x < F.col("_at"))).cast("int")
     second = F.xxhash64(F.lit(seed + 2), *ident)
     sent = sent.withColumn("shard", shard).withColumn("_h", second)
