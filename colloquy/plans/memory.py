@@ -141,6 +141,22 @@ MARKDOWN = GOOD + """, shown AS (SELECT call_id, array_to_string(list_concat(['#
 SIM = "sims AS (SELECT q.memory_id AS query, m.memory_id, round(list_cosine_similarity(q.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6) AS score, q.region = m.region AS same FROM memories q JOIN memories m ON q.is_query AND q.memory_id <> m.memory_id)\n"
 EDGES = "e0 AS (SELECT memory_id AS src, memory_id + 1 AS dst FROM memories UNION SELECT memory_id, memory_id // 2 FROM memories WHERE memory_id > 0), e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0), h0 AS (SELECT memory_id AS query, memory_id AS node FROM memories WHERE is_query), h1 AS (SELECT DISTINCT query, dst AS node FROM h0 JOIN e ON node = src EXCEPT SELECT * FROM h0), h2 AS (SELECT DISTINCT query, dst AS node FROM h1 JOIN e ON node = src EXCEPT SELECT * FROM h1 EXCEPT SELECT * FROM h0)\n"
 _RANK = "SELECT query, memory_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, memory_id) AS rank FROM {0}) WHERE rank <= {1}"
+
+
+def _fused(k=5, rounds=10, damping=0.85, alpha=0.7):
+    """SQL of recall_fused(): a common table for each round."""
+    steps = [f"""seeds AS MATERIALIZED (SELECT query, memory_id AS node, greatest(score, 0) / sum(greatest(score, 0)) OVER (PARTITION BY query) AS w FROM ({_RANK.format("sims", 2 * k)})),
+area AS MATERIALIZED (SELECT query, node FROM seeds UNION SELECT query, dst FROM seeds JOIN e ON src = node UNION SELECT query, f.dst FROM seeds JOIN e ON e.src = node JOIN e f ON f.src = e.dst),
+pairs AS MATERIALIZED (SELECT a.query, e.src, e.dst, count(*) OVER (PARTITION BY a.query, e.src) AS degree FROM area a JOIN e ON e.src = a.node JOIN area b ON b.query = a.query AND b.node = e.dst),
+r0 AS MATERIALIZED (SELECT query, node, COALESCE(w, 0) AS w, COALESCE(w, 0) AS r, NULL::DOUBLE AS old FROM area LEFT JOIN seeds USING (query, node))"""]
+    for i in range(rounds):
+        steps.append(f"""s{i} AS MATERIALIZED (SELECT p.query, p.dst AS node, sum(r / degree) AS got FROM r{i} JOIN pairs p ON p.query = r{i}.query AND p.src = r{i}.node GROUP BY 1, 2),
+r{i + 1} AS MATERIALIZED (SELECT query, node, w, {1 - damping} * w + {damping} * COALESCE(got, 0) AS r, r AS old FROM r{i} LEFT JOIN s{i} USING (query, node))""")
+    steps.append(f"""done AS (SELECT query, max(r) AS top, CASE WHEN sum(abs(r - old)) < 1e-6 THEN 'term_cond' ELSE 'max_hops' END AS termination_reason FROM r{rounds} GROUP BY 1),
+mixed AS (SELECT query, memory_id, round({alpha} * score + {1 - alpha} * r / greatest(top, 1e-300), 6) AS score FROM r{rounds} x JOIN done USING (query) JOIN sims USING (query) WHERE sims.memory_id = x.node)""")
+    return SIM + "," + EDGES + ", " + ",\n".join(steps) + f"\nSELECT t.*, FALSE AS graph_censored, termination_reason FROM ({_RANK.format('mixed', k)}) t JOIN done USING (query)"
+
+
 SQL = {
     "parse_model_json": duck("SELECT DISTINCT call_id, conv_id % 5 <> 0 AS parsed FROM raw_segments", "raw_segments"),
     "validate_summary": duck("SELECT DISTINCT call_id, CASE WHEN conv_id % 5 = 0 THEN '$: not JSON' WHEN conv_id % 7 = 0 THEN 'full_call.action_items: not action items' ELSE '' END AS errors FROM raw_segments", "raw_segments"),
@@ -160,6 +176,7 @@ SELECT kind, owner, count(*) AS n, count(DISTINCT call_id) AS calls FROM f GROUP
     "recall_anchored": duck(SIM + "," + EDGES + ", near AS (SELECT s.* FROM sims s JOIN (FROM h1 UNION ALL FROM h2) h ON h.query = s.query AND h.node = s.memory_id) " + _RANK.format("near", 5), "memories"),
     "render_reply": duck(SIM + ", r AS (" + _RANK.format("sims", 3) + """) SELECT query, '**Q:** question ' || query || chr(10) || chr(10) || string_agg('**' || rank || '.** memory ' || memory_id || chr(10) || '-# ' || CASE WHEN memory_id % 2 = 0 THEN 'ref ' || memory_id ELSE 'unknown source' END || chr(10), chr(10) ORDER BY rank) || chr(10)
 || '-# mode=fused' || CASE WHEN query % 200 = 0 THEN ' | graph_censored=false' ELSE '' END || CASE WHEN query > 200 THEN ' | termination=max_hops' ELSE '' END AS reply FROM r GROUP BY query""", "memories"),
+    "recall_fused": duck(_fused(), "memories"),
     "render_summary_md": duck(MARKDOWN + "SELECT call_id, md5(markdown) AS markdown_md5 FROM shown", "raw_segments"),
     "write_summary_parts": duck(MARKDOWN + """, lines AS (SELECT call_id, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS i FROM shown),
 packed AS (SELECT call_id, i, line AS cur, 0 AS part FROM lines WHERE i = 1
