@@ -11,9 +11,15 @@ since it was filed is stale and skipped. Each merge costs a constant number of
 steps besides the heap of one bucket, so one very long pre-token takes time in
 proportion to its length, where scanning for the best pair would take its square.
 
+Many short pre-tokens share one queue: they are so many linked lists side by
+side, and a bucket then holds the positions of one merge in all of them. Popping
+takes the leftmost position of each list at once, which is the same order of
+merges for every list, and works on arrays. Long pre-tokens have the queue to
+themselves, position by position.
+
 Texts stay in the partitions they are in: encoding and decoding are maps over
-Arrow batches. A task keeps the codes of the pre-tokens it has seen lately, up
-to a bound in bytes, and lets go of them when it ends.
+Arrow batches. The distinct pre-tokens of many texts are merged together first.
+A task keeps their codes, up to a bound in bytes, and lets go of them when it ends.
 """
 
 from __future__ import annotations
@@ -32,10 +38,13 @@ from pyspark.sql import types as T
 
 from .common import table
 
-#: Bytes in a generation of a task's cache (about; an entry costs ENTRY_BYTES besides its own), and the longest pre-token that it keeps.
-CACHE_BYTES = 40_000_000
+#: Bytes of known pre-tokens (about; one costs ENTRY_BYTES besides its own) beyond which a task forgets them before it goes on.
+CACHE_BYTES = 50_000_000
 ENTRY_BYTES = 180
-CACHE_CHARS = 40
+#: Pre-tokens of more code points are merged one by one and not kept.
+SHORT_CHARS = 40
+#: Distinct pre-tokens of the texts that are encoded together, at about; below FEW, they too are merged one by one.
+MANY, FEW = 250_000, 2_000
 #: Code points encoded, and ids decoded, before a batch of results is handed on.
 BATCH_CHARS = 1_000_000
 BATCH_IDS = 250_000
@@ -64,6 +73,26 @@ class RankQueue:
             self.words[word] |= BIT[rank & 255]
             self.top |= 1 << word
 
+    def file(self, rank: int, places: np.ndarray) -> None:
+        """As push(), of many positions."""
+        if rank in self.buckets:
+            self.buckets[rank].append(places)
+        else:
+            self.buckets[rank] = [places]
+            word = rank >> 8
+            self.words[word] |= BIT[rank & 255]
+            self.top |= 1 << word
+
+    def take(self) -> tuple[int, list[np.ndarray]]:
+        """Smallest rank, and all that file() put into its bucket."""
+        word = (self.top & -self.top).bit_length() - 1
+        bits = self.words[word]
+        rank = (word << 8) + (bits & -bits).bit_length() - 1
+        self.words[word] = bits = bits & (bits - 1)
+        if not bits:
+            self.top &= self.top - 1
+        return rank, self.buckets.pop(rank)
+
     def pop(self) -> tuple[int, int]:
         """Smallest rank, and its smallest position."""
         top, words = self.top, self.words
@@ -120,8 +149,84 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     return out
 
 
+class Pairs:
+    """Ranks of what pairs of tokens merge into, by the tokens' own ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = [(left << 32 | right, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None]
+        found.sort()
+        self.keys = np.array([k for k, _ in found] or [-1], np.int64)
+        self.into = np.array([r for _, r in found] or [-1], np.int32)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where there is no merge."""
+        key = (left.astype(np.int64) << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.into[at], -1)
+
+
+def merge_many(pieces: list[bytes], byte_ranks: np.ndarray, pairs: Pairs, queue: RankQueue) -> list[bytes]:
+    """Ids of pre-tokens, as 32-bit numbers one after another; as merge() of each."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(sizes)
+    token = byte_ranks[np.frombuffer(b"".join(pieces), np.uint8)]
+    n = len(token)
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    after[ends - 1], before[ends - sizes] = -1, -1
+    filed = np.full(n, -1, np.int32)  # rank of the pair that starts here
+
+    def file(ranks: np.ndarray, places: np.ndarray) -> None:
+        filed[places] = ranks
+        good = ranks >= 0
+        ranks, places = ranks[good], places[good]
+        if len(ranks) == 1:
+            queue.file(int(ranks[0]), places)
+        elif len(ranks):
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            lo = 0
+            for rank, hi in zip(ranks[np.append(0, cuts)].tolist(), [*cuts.tolist(), len(ranks)], strict=True):
+                queue.file(rank, places[lo:hi])
+                lo = hi
+
+    inner = np.flatnonzero(after >= 0)
+    file(pairs(token[inner], token[inner + 1]), inner)
+    while queue.top:
+        rank, parts = queue.take()
+        at = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        at = at[filed[at] == rank]  # others are stale
+        if len(at) > 1:
+            at = np.unique(at)
+            lists = owner[at]
+            leftmost = np.append(True, lists[1:] != lists[:-1])
+            if not leftmost.all():
+                queue.file(rank, at[~leftmost])
+                at = at[leftmost]
+        if not len(at):
+            continue
+        gone = after[at]
+        follow = after[gone]
+        token[at], token[gone], filed[gone] = rank, -1, -1
+        after[at] = follow
+        has = follow >= 0
+        before[follow[has]] = at[has]
+        ahead = before[at]
+        ahead = ahead[ahead >= 0]
+        filed[at] = -1
+        at, follow = at[has], follow[has]
+        left = np.concatenate([token[at], token[ahead]])
+        right = np.concatenate([token[follow], token[after[ahead]]])
+        file(pairs(left, right), np.concatenate([at, ahead]))
+    kept = token >= 0
+    codes = token[kept].tobytes()
+    cuts = [0, *(4 * np.cumsum(np.add.reduceat(kept, ends - sizes, dtype=np.int64))).tolist()]
+    return [codes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class Codec:
-    """Ranks, their bytes, and the pre-tokens seen lately."""
+    """Ranks, their bytes, and the pre-tokens that are known."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks: dict[bytes, int] = {}
@@ -131,6 +236,8 @@ class Codec:
                     token, rank = line.split()
                     self.ranks[base64.b64decode(token)] = int(rank)
         self.find = regex.compile(pattern).findall
+        self.pairs = Pairs(self.ranks)
+        self.byte_ranks = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.forget()
         size = max(self.ranks.values(), default=0) + 1
         self.queue = RankQueue(size - 1)
@@ -143,29 +250,45 @@ class Codec:
 
     def forget(self) -> None:
         """Let go of all pre-tokens."""
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.size = 0
 
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens, as codes(); short ones are known from then on."""
+        if self.size > CACHE_BYTES:
+            self.forget()
+        known, whole, out, fresh = self.known, self.ranks.get, [], []
+        for i, piece in enumerate(pieces):
+            got = known.get(piece)
+            if got is None:
+                data = piece.encode("utf-8")
+                rank = whole(data)
+                if rank is not None:
+                    got = rank.to_bytes(4, "little")
+                elif len(piece) > SHORT_CHARS:
+                    got = self.merged(data)
+                else:
+                    fresh.append((i, data))
+            out.append(got)
+        if len(fresh) < FEW or (self.byte_ranks < 0).any():
+            codes = [self.merged(data) for _, data in fresh]
+        else:
+            codes = merge_many([data for _, data in fresh], self.byte_ranks, self.pairs, self.queue)
+        for (i, _), got in zip(fresh, codes, strict=True):
+            out[i] = known[pieces[i]] = got
+            self.size += ENTRY_BYTES + len(pieces[i]) + len(got)
+        return out
+
+    def merged(self, piece: bytes) -> bytes:
+        return np.array(merge(piece, self.ranks, self.queue), np.int32).tobytes()
+
     def codes(self, text: str) -> bytes:
         """Ids of a text as 32-bit numbers, one after another."""
-        pieces = self.find(text)
+        pieces, known = self.find(text), self.known
         try:
-            return b"".join([self.young[x] for x in pieces])
+            return b"".join([known[x] for x in pieces])
         except KeyError:
-            return b"".join([self.young.get(x) or self.code(x) for x in pieces])
-
-    def code(self, piece: str) -> bytes:
-        """Ids of one pre-token; the cache has two generations, so that frequent ones stay."""
-        got = self.old.get(piece)
-        if got is None:
-            got = np.array(merge(piece.encode("utf-8"), self.ranks, self.queue), np.int32).tobytes()
-        if len(piece) <= CACHE_CHARS:
-            if self.size >= CACHE_BYTES:
-                self.old, self.young, self.size = self.young, {}, 0
-            self.young[piece] = got
-            self.size += ENTRY_BYTES + len(piece) + len(got)
-        return got
+            return b"".join([known.get(x) or self.merged(x.encode("utf-8")) for x in pieces])
 
     def ids(self, text: str) -> list[int]:
         return np.frombuffer(self.codes(text), np.int32).tolist()
@@ -208,19 +331,37 @@ def _mapped(df: DataFrame, added: dict[str, T.DataType], path: str | None, patte
     return df.select(*names, *(name for name in added if name in df.columns)).mapInArrow(run, schema)
 
 
+class Numbers(dict):
+    """Numbers of things in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
+
+
 def _encoded(c: Codec, column: pa.Array):
     """(first, end, list array of ids) of slices of about BATCH_CHARS code points."""
-    lo, chars, parts, ends = 0, 0, [], [0]
-    for i in range(len(column)):
-        value = column[i].as_py() or ""
-        got = c.codes(value)
-        parts.append(got)
-        ends.append(ends[-1] + len(got) // 4)
-        chars += len(value)
-        if chars >= BATCH_CHARS or i + 1 == len(column):
-            flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
-            yield lo, i + 1, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            lo, chars, parts, ends = i + 1, 0, [], [0]
+    at = 0
+    while at < len(column):
+        lo, numbers, texts, chars = at, Numbers(), [], []
+        while at < len(column) and len(numbers) < MANY:
+            text = column[at].as_py() or ""
+            texts.append(np.fromiter(map(numbers.__getitem__, c.find(text)), np.int32))
+            chars.append(len(text))
+            at += 1
+        codes = c.learn(list(numbers))
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        starts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(codes), np.int32)
+        first, slice_ = 0, np.cumsum(chars) // BATCH_CHARS
+        while first < len(texts):
+            end = int(np.searchsorted(slice_, slice_[first], side="right"))
+            which = np.concatenate(texts[first:end])
+            n = sizes[which]
+            run = np.concatenate([[0], np.cumsum(n)])
+            ids = pool[np.repeat(starts[which] - run[:-1], n) + np.arange(run[-1])]
+            ends = run[np.cumsum([0, *map(len, texts[first:end])])]
+            yield lo + first, lo + end, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
+            first = end
 
 
 def _decoded(c: Codec, column: pa.Array):
