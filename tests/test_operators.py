@@ -74,6 +74,57 @@ def test_note_batches_equal_a_loop_and_fold_ends(spark):
     assert {r["call_id"] for r in folded} == {"c", "d"}
 
 
+def joined(parts):
+    return "\n\n".join(f"--- Notes {i + 1} ---\n{p}" for i, p in enumerate(parts))
+
+
+def test_fold_equals_a_loop(spark):
+    rng = random.Random(5)
+    calls = {f"c{k}": ["".join(rng.choices("abc ", k=rng.randint(1, 200))) for _ in range(k)] for k in (1, 3, 12, 60)}
+    rows_ = [(c, i, n) for c, notes in calls.items() for i, n in enumerate(notes)]
+    got = {r["call_id"]: (r["notes"], r["n_notes"]) for r in C.fold_notes(spark.createDataFrame(rows_, "call_id string, note_idx int, note string"), 160).collect()}
+    for call, notes in calls.items():
+        while True:
+            batches = []
+            for n in notes:
+                if batches and cost([*batches[-1], n]) <= 160:
+                    batches[-1].append(n)
+                else:
+                    batches.append([n])
+            if not 1 < len(batches) < len(notes):
+                break
+            notes = [joined(b)[:800] for b in batches]
+        assert got[call] == (joined(notes), len(notes))
+
+
+def test_mentions_of_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([("m1", ["a", "b", "a"]), ("m1", ["b"]), ("m1", ["c"]), ("m2", None), ("m3", [])], "message_id string, mentions array<string>")
+    out = M.scrub_mentions(df, spark.createDataFrame([("b",), ("b",), ("z",)], "user_id string"))
+    assert sorted((r["message_id"], r["mentions"]) for r in out.collect()) == [("m1", []), ("m1", ["a", "a"]), ("m1", ["c"]), ("m2", []), ("m3", [])]
+
+
+def test_history_goes_on_from_its_cursors(spark):
+    df = spark.createDataFrame([(c, i) for c in ("a", "b") for i in range(25)], "channel_id string, seq int")
+    first = M.history_pages(df, size=10).where("page < 2")
+    cursors = M.next_cursors(first)
+    rest = M.history_pages(df, cursors, 10)
+    assert sorted((r["channel_id"], r["seq"], r["page"], r["page_pos"]) for r in rest.collect()) == [(c, i, 0, 5 - i) for c in ("a", "b") for i in range(5)]
+    assert M.history_pages(df, cursors.where("channel_id = 'a'"), 10).count() == 5
+    top = M.keyset_page(df, spark.createDataFrame([("a", None), ("b", 3)], "channel_id string, before int"), 2)
+    assert sorted((r["channel_id"], r["seq"]) for r in top.collect()) == [("a", 23), ("a", 24), ("b", 1), ("b", 2)]
+
+
+def test_a_second_reclaim_is_acted_upon(spark, tmp_path):
+    from colloquy.streaming import feeds
+
+    one = lambda at: spark.sql(f"SELECT 'x' AS call_id, 'transcribing' AS status, timestamp_ntz'{at}' AS updated_at, timestamp_ntz'{at}' AS started_at, CAST(NULL AS timestamp_ntz) AS ended_at, CAST(NULL AS string) AS thread_id, CAST(NULL AS timestamp_ntz) AS emailed_at, FALSE AS has_video")
+    path, target, offsets = (str(tmp_path / x) for x in ("in", "out", "offsets"))
+    for at in ("2024-01-01 00:00:00", "2024-01-01 02:00:00", "2024-01-01 02:00:00"):
+        one(at).write.mode("append").parquet(path)
+        feeds.stream_queue(feeds.source(spark, path, spark.read.parquet(path).schema), target, offsets, "2024-01-01 12:00:00", 15, 900)
+    assert spark.read.parquet(target).where("action = 'reclaim'").count() == 2
+
+
 def test_bursts_equal_a_loop(spark):
     rng = random.Random(4)
     data, at = [], 0
