@@ -6,6 +6,7 @@ Schemas are declared, never inferred; paths are read and written by Spark alone.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ STATUS = "call_id string, status string, updated_at string, error string, thread
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's, or, where all run on one machine, a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local["):
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (path or "/tmp/checkpoints").rstrip("/")
 
