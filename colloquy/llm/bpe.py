@@ -36,15 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
 #: Bytes of known pre-tokens (about; one costs ENTRY_BYTES besides its own) beyond which a task forgets them before it goes on.
-CACHE_BYTES = 50_000_000
+CACHE_BYTES = 40_000_000
 ENTRY_BYTES = 180
 #: Pre-tokens of more code points are merged one by one and not kept.
 SHORT_CHARS = 40
 #: Distinct pre-tokens of the texts that are encoded together, at about; below FEW, they too are merged one by one.
-MANY, FEW = 250_000, 2_000
+MANY, FEW = 120_000, 2_000
 #: Code points encoded, and ids decoded, before a batch of results is handed on.
 BATCH_CHARS = 1_000_000
 BATCH_IDS = 250_000
@@ -313,6 +313,7 @@ def vocabulary() -> tuple[str, str]:
 
 def _mapped(df: DataFrame, added: dict[str, T.DataType], path: str | None, pattern: str | None, make) -> DataFrame:
     """``df`` with more columns: ``make`` turns a codec and a record batch into (first, end, columns) of its slices."""
+    small_batches(df.sparkSession)
     where = (path, pattern) if path and pattern else vocabulary()
     rest = df.drop(*added)
     schema = T.StructType([*rest.schema.fields, *(T.StructField(name, kind) for name, kind in added.items())])

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, small_batches, table
 
 WORDS = 5
 #: Sample that shingle costs come from: documents at most about, and shingles that are kept, seen in at least so many.
@@ -668,6 +668,7 @@ def clustered(docs: DataFrame) -> DataFrame:
     document with all their texts' links; a null id links with nothing and has a
     null component. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     info = kept(described(docs), "jaccard-described")
     found = kept(similar_components(docs, info), "jaccard-found")
     out = info.select("doc_id", "n_shingles").join(found, "doc_id", "left")

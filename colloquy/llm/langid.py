@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chars import batches, coded
-from .common import table, window
+from .common import small_batches, table, window
 
 CODES = 64
 SMOOTH = 0.05
@@ -131,6 +131,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     and languages while it is fitted. Columns of these names are replaced.
     """
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_set", T.ArrayType(T.StringType())), T.StructField("lang_shares", T.ArrayType(T.DoubleType()))]
+    small_batches(docs.sparkSession)
     rest = docs.drop(*(f.name for f in added))
     names = rest.columns
     schema = T.StructType([*rest.schema.fields, *added])

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chars import batches, coded
-from .common import table, window
+from .common import small_batches, table, window
 
 CODES = 32
 SPAN = 6
@@ -294,6 +294,7 @@ def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     takes some twenty bytes a character while it is scored. A column named as
     ``name`` is replaced.
     """
+    small_batches(docs.sparkSession)
     rest = docs.drop(name)
     names = rest.columns
     schema = rest.withColumn(name, F.lit(0.0)).schema
