@@ -12,6 +12,7 @@ from .sharding import op5_uniform_shards
 from .syncmers import op4_closed_syncmers
 from .topk import OP1_SQL, op1_exact_top_products
 from .toxicity import op3_toxicity
+from .variants import op11_spelling_variants
 
 QUERIES = {
     "op1_exact_top_products": op1_exact_top_products,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_mixture": op8_language_mixture,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_battery": op10_secret_battery,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 SQL = {
