@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op13_tokenizer_alignment
 from .bpe import op7_byte_bpe
 from .jaccard import OP9_SQL, op9_jaccard_join
 from .langid import op8_language_mixture
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_battery": op10_secret_battery,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 SQL = {
