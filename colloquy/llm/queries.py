@@ -8,6 +8,7 @@ from .jaccard import OP9_SQL, op9_jaccard_join
 from .langid import op8_language_mixture
 from .licenses import OP6_SQL, op6_licence_sentences
 from .mixing import OP2_SQL, op2_source_mix
+from .pii import op12_weak_pii
 from .secrets import op10_secret_battery
 from .sharding import op5_uniform_shards
 from .syncmers import op4_closed_syncmers
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_battery": op10_secret_battery,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_weak_pii": op12_weak_pii,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
