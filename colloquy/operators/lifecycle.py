@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.sources import contracts as C
 
 
 def current_status(log: DataFrame, order: list[str]) -> DataFrame:
-    """The newest status of each call; thread_id and emailed_at are carried over later rows without them."""
-    last = lambda c: F.max_by(c, F.struct(*order))
+    """The newest status of each call, with its own error; thread_id and emailed_at are carried over later rows without them."""
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))
-    return log.groupBy("call_id").agg(last("status").alias("status"), last("updated_at").alias("updated_at"), known("thread_id").alias("thread_id"), known("emailed_at").alias("emailed_at"))
+    last = F.max_by(F.struct("status", "updated_at", "error"), F.struct(*order)).alias("last")
+    return log.groupBy("call_id").agg(last, known("thread_id").alias("thread_id"), known("emailed_at").alias("emailed_at")).select("call_id", "last.*", "thread_id", "emailed_at")
 
 
 def ready_queue(status: DataFrame) -> DataFrame:
@@ -60,10 +61,18 @@ def status_funnel(status: DataFrame) -> DataFrame:
 
 
 def build_manifests(calls: DataFrame, tracks: DataFrame, videos: DataFrame) -> DataFrame:
-    """One row a call with its usable tracks in order, and its video if there is one; calls without tracks keep their row."""
-    per = tracks.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("track_idx", "user_id"))).alias("tracks"))
-    none = F.array().cast(per.schema["tracks"].dataType)
-    return calls.join(per, "call_id", "left").join(videos, "call_id", "left").withColumn("tracks", F.coalesce("tracks", none))
+    """The manifest of each call, typed as sources.contracts.MANIFEST: its usable tracks in order, and its video if there is one.
+
+    ``calls`` has call_id, guild_id, channel_id, started_at and ended_at (null
+    while it runs); ``tracks`` call_id, track_idx and a track's fields; ``videos``
+    call_id and a video's fields. Calls without tracks keep their row.
+    """
+    fields = list(C.TRACK.fields)
+    per = tracks.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("track_idx", *fields))).alias("tracks"))
+    plain = F.transform("tracks", lambda t: F.struct(*(t[f].alias(f) for f in fields)))
+    none = F.array().cast(C.ddl(C.MANIFEST.fields["tracks"]))
+    seen = videos.select("call_id", F.struct(*C.VIDEO.fields).alias("video"))
+    return calls.join(per, "call_id", "left").join(seen, "call_id", "left").withColumn("tracks", F.coalesce(plain, none))
 
 
 def delivery_outcomes(outbox: DataFrame) -> DataFrame:
@@ -74,15 +83,22 @@ def delivery_outcomes(outbox: DataFrame) -> DataFrame:
     """
     good = F.col("http_status").between(200, 299)
     transient = ~good & ~T.is_permanent_rejection(F.col("http_status")) | F.col("http_status").isNull()
-    first = F.min(F.when(transient, F.col("pos"))).over(Window.partitionBy("producer"))
-    rows = outbox.withColumn("_first", first)
+    # a row a producer: no window holds a producer's events together
+    first = outbox.where(transient).groupBy("producer").agg(F.min("pos").alias("_first"))
+    rows = outbox.join(first, "producer", "left")
     reached = F.col("_first").isNull() | (F.col("pos") < F.col("_first"))
     return rows.withColumn("outcome", F.when(~reached, "pending").when(good, "delivered").otherwise("parked")).drop("_first")
 
 
 def emit_counts(results: DataFrame) -> DataFrame:
-    """Memories and edges made, by producer; events only spooled have none."""
-    return results.groupBy("producer").agg(F.sum(F.coalesce("n_ids", F.lit(0))).alias("memories"), F.sum(F.coalesce("edges", F.lit(0))).alias("edges"))
+    """Memories and edges made, and warnings given, by producer; events only spooled have none."""
+    n = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    return results.groupBy("producer").agg(n(F.col("n_ids")).alias("memories"), n(F.col("edges")).alias("edges"), n(F.size(F.coalesce("warnings", F.array()))).alias("warnings"))
+
+
+def emit_warnings(results: DataFrame) -> DataFrame:
+    """Each warning of each producer with how often it was given."""
+    return results.select("producer", F.explode("warnings").alias("warning")).groupBy("producer", "warning").agg(F.count("*").alias("n"))
 
 
 def recent_n(emails: DataFrame, n: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.sources import contracts as C
 
 REGION = "discord"
 
@@ -20,17 +21,18 @@ def display_name(member: Column, user: Column, user_id: Column) -> Column:
     return F.coalesce(member, user, user_id)
 
 
-def normalize_messages(raw: DataFrame) -> DataFrame:
+def normalize_messages(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Guild messages by people that have text or an attachment; threads count to their parent channel.
 
-    ``raw`` has mentions (array<string>) and, where there are any, attachments.
+    ``raw`` has mentions (array<string>) and, where there are any, attachments;
+    ``keep`` names further columns to pass on.
     """
     has_file = F.size(F.coalesce("attachments", F.array())) > 0 if "attachments" in raw.columns else F.lit(False)
     real = ~F.col("is_partial") & ~F.col("author_is_bot") & ~F.col("is_system") & F.col("guild_id").isNotNull() & (~T.is_blank(F.col("content")) | has_file)
     more = ["attachments"] if "attachments" in raw.columns else []
     return raw.where(real).select(
         "message_id", "seq", "guild_id", F.coalesce("parent_id", "raw_channel_id").alias("channel_id"), F.when(F.col("parent_id").isNotNull(), F.col("raw_channel_id")).alias("thread_id"),
-        "author_id", display_name(F.col("member_name"), F.col("username"), F.col("author_id")).alias("author_name"), "content", "ts", "reply_to", "mentions", *more)
+        "author_id", display_name(F.col("member_name"), F.col("username"), F.col("author_id")).alias("author_name"), "content", "ts", "reply_to", "mentions", *more, *(keep or []))
 
 
 def normalize_deletes(raw: DataFrame) -> DataFrame:
@@ -59,13 +61,18 @@ def gate_with_reason(df: DataFrame, channels: DataFrame, optout: DataFrame, allo
 def scrub_mentions(df: DataFrame, optout: DataFrame) -> DataFrame:
     """``df`` with opted-out ids taken out of mentions; the order and repetitions of the rest stay, null becomes an empty list.
 
-    Only lists that name somebody who opted out are gathered, by the list
-    itself: rows that share a message_id keep their own lists.
+    Only lists that name somebody who opted out are gathered, by the list itself
+    (rows that share a message_id keep their own lists). Empty lists, which many
+    rows have in common, are not brought together.
     """
-    named = df.select("mentions", F.explode("mentions").alias("user_id")).distinct().join(optout.select("user_id"), "user_id", "left_semi")
-    out = named.groupBy("mentions").agg(F.collect_set("user_id").alias("_out"))
+    some = F.size(F.coalesce("mentions", F.array())) > 0
+    named = df.where(some).select("mentions", F.explode("mentions").alias("user_id")).distinct().join(optout.select("user_id"), "user_id", "left_semi")
+    out = named.groupBy("mentions").agg(F.collect_set("user_id").alias("_out")).select(F.xxhash64("mentions").alias("_key"), F.col("mentions").alias("_listed"), "_out")
+    # rows without a list spread over keys of their own, which no list has as its own
+    keyed = df.withColumn("_key", F.when(some, F.xxhash64("mentions")).otherwise(F.xxhash64("message_id")))
+    joined = keyed.join(out, (keyed["_key"] == out["_key"]) & (F.col("mentions") == F.col("_listed")), "left")
     kept = F.when(F.col("_out").isNull(), F.col("mentions")).otherwise(F.filter("mentions", lambda x: x.isNull() | ~F.array_contains("_out", x)))
-    return df.join(out, "mentions", "left").withColumn("mentions", F.coalesce(kept, F.array().cast("array<string>"))).select(*df.columns)
+    return joined.withColumn("mentions", F.coalesce(kept, F.array().cast("array<string>"))).select(*df.columns)
 
 
 def source_ref() -> Column:
@@ -73,20 +80,48 @@ def source_ref() -> Column:
 
 
 def message_events(messages: DataFrame, edited: Column | None = None, region: str = REGION) -> DataFrame:
-    """Envelopes of messages that aren't blank."""
+    """Envelopes of messages that aren't blank; mentions are those of ``messages``, which scrub_mentions() cleans."""
     return messages.where(~T.is_blank(F.col("content"))).select(
-        F.lit("message").alias("event_type"), source_ref().alias("source_ref"), F.lit(region).alias("region"), "ts", "author_id", "content",
-        (F.lit(False) if edited is None else edited).alias("edited"))
+        F.lit("message").alias("event_type"), source_ref().alias("source_ref"), F.lit(region).alias("region"), "ts", "message_id", "channel_id", "author_id", "author_name", "content", "guild_id", "thread_id", "reply_to",
+        F.coalesce("mentions", F.array().cast("array<string>")).alias("mentions"), (F.lit(False) if edited is None else edited).alias("edited"))
+
+
+def attachments_of(messages: DataFrame) -> DataFrame:
+    """Attachments, a row each, of normalised messages that list them as structs of id, url, filename and content_type."""
+    return messages.select("channel_id", "message_id", "ts", F.explode("attachments").alias("a")).select(F.col("a.id").alias("media_id"), "a.url", "a.filename", "a.content_type", "channel_id", "message_id", "ts")
 
 
 def media_events(attachments: DataFrame, region: str = REGION) -> DataFrame:
-    """One envelope for each image or video."""
-    return attachments.where(T.is_media(F.col("content_type"), F.col("filename"))).select(F.lit("media").alias("event_type"), F.concat(F.lit("media|"), "media_id").alias("source_ref"), F.lit(region).alias("region"), "message_id", "url", "filename")
+    """One envelope for each image or video, with its type where that is known, and the channel and message it is of."""
+    more = ["ts"] if "ts" in attachments.columns else []
+    return attachments.where(T.is_media(F.col("content_type"), F.col("filename"))).select(
+        F.lit("media").alias("event_type"), F.concat(F.lit("media|"), "media_id").alias("source_ref"), F.lit(region).alias("region"), "media_id", "url", "filename", "content_type", "channel_id", "message_id", *more)
 
 
 def tombstone_events(deletes: DataFrame, region: str = REGION) -> DataFrame:
     """A request to forget each deleted message; consent isn't asked."""
-    return deletes.select(F.lit("tombstone-request").alias("event_type"), source_ref().alias("source_ref"), F.lit(region).alias("region"), "ts")
+    return deletes.select(F.lit("tombstone-request").alias("event_type"), source_ref().alias("source_ref"), F.lit(region).alias("region"), "ts", "message_id")
+
+
+#: What an event's keys are called in envelopes, where that differs; what a deleted message is forgotten for.
+ENVELOPE = {"type": "event_type", "timestamp": "ts", "target": "source_ref", "member_id": "author_id", "display_name": "author_name"}
+DELETED = "discord message deleted"
+
+
+def payload(events: DataFrame) -> Column:
+    """The JSON of each envelope as it is sent to the memory store, by sources.contracts.EVENTS; an envelope may lack columns that its kinds don't need."""
+    kinds = {k: r for k, r in C.EVENTS.items() if k in ("message", "media", "member", "tombstone-request")}
+
+    def value(name, kind):
+        column = ENVELOPE.get(name, name)
+        if name == "reason":
+            return F.lit(DELETED).alias(name)
+        return (F.col(column) if column in events.columns else F.lit(None).cast(C.ddl(kind))).alias(name)
+
+    out = F.lit(None).cast("string")
+    for kind, record in kinds.items():
+        out = F.when(F.col("event_type") == kind, C.written(record, F.struct(*(value(n, c) for n, c in record.fields.items())))).otherwise(out)
+    return out
 
 
 def first_seen_members(messages: DataFrame, order: list[str]) -> DataFrame:
@@ -96,8 +131,30 @@ def first_seen_members(messages: DataFrame, order: list[str]) -> DataFrame:
 
 
 def member_events(members: DataFrame, optout: DataFrame, region: str = REGION) -> DataFrame:
-    """Identities; opted-out ones are left out, and no channel is asked."""
-    return gate_member(members, optout).select(F.lit("member").alias("event_type"), F.concat(F.lit("member|"), "author_id").alias("source_ref"), F.lit(region).alias("region"), "ts", "author_id")
+    """Identities with their names; opted-out ones are left out, and no channel is asked."""
+    return gate_member(members, optout).select(F.lit("member").alias("event_type"), F.concat(F.lit("member|"), "author_id").alias("source_ref"), F.lit(region).alias("region"), "ts", "author_id", "author_name")
+
+
+def ingest(feed: DataFrame, channels: DataFrame, optout: DataFrame, allow_all: bool = False, members: bool = False, region: str = REGION) -> DataFrame:
+    """Everything that leaves for the memory store of a feed of raw messages with ``kind`` (create, edit or delete).
+
+    In one path: normalise, ask consent (channel, then author), scrub mentions,
+    make envelopes of messages, their images and videos and, with ``members``,
+    of each author's first row; deletes become tombstones without asking.
+    Columns are those of the envelopes with event_key, and ``event``, the JSON.
+    """
+    spoken = normalize_messages(feed.where(F.col("kind").isin("create", "edit")), keep=["kind"])
+    let = scrub_mentions(gate_member(gate_channel(spoken, channels, allow_all), optout), optout)
+    said = message_events(let.withColumn("edited", F.col("kind") == "edit"), F.col("edited"))
+    said = said.withColumn("event_key", event_key(F.when(F.col("edited"), "edit").otherwise("create"), F.col("source_ref"), F.col("ts")))
+    gone = tombstone_events(normalize_deletes(feed.where("kind = 'delete'").withColumn("channel_id", F.col("raw_channel_id"))))
+    parts = [said, gone.withColumn("event_key", event_key(F.lit("delete"), F.col("source_ref"), F.col("ts")))]
+    if "attachments" in feed.columns:
+        parts.append(media_events(attachments_of(let), region).withColumn("event_key", F.col("source_ref")))
+    if members:
+        parts.append(member_events(first_seen_members(spoken, ["ts", "message_id"]), optout, region).withColumn("event_key", F.col("source_ref")))
+    events = union_events(*parts)
+    return events.withColumn("event", payload(events))
 
 
 def event_key(kind: Column, ref: Column, ts: Column) -> Column:
@@ -105,6 +162,16 @@ def event_key(kind: Column, ref: Column, ts: Column) -> Column:
     return F.when(kind == "edit", F.concat(ref, F.lit("|edit|"), F.unix_micros(ts.cast("timestamp")).cast("string"))).when(kind == "delete", F.concat(ref, F.lit("|delete"))).otherwise(ref)
 
 
+def slot(message_id: Column, width: int) -> Column:
+    """A stretch of ``width`` numbers that a message's id falls into; ids of one time are near each other, so a feed touches few stretches.
+
+    An id without a number is in a stretch of its own, -1. All events of a
+    message share its slot, so a sink that is partitioned by it finds a replayed
+    event by looking into that slot alone.
+    """
+    return F.coalesce(F.floor(F.regexp_extract(message_id, "([0-9]+)", 1).try_cast("decimal(38,0)") / width), F.lit(-1)).cast("long")
+
+
 def union_events(*events: DataFrame) -> DataFrame:
     """All envelopes in one table; what a kind lacks is null."""
     out = events[0]
@@ -157,9 +224,20 @@ def latest_names(seen: DataFrame) -> DataFrame:
     return seen.where(F.coalesce("name", F.lit("")) != "").groupBy("call_id", "user_id").agg(F.max_by("name", F.struct("ts", "event_id")).alias("name"))
 
 
+def _below(messages: DataFrame, cursors: DataFrame | None) -> DataFrame:
+    if cursors is None:
+        return messages
+    return messages.join(cursors.select("channel_id", "before"), "channel_id").where(F.col("before").isNull() | (F.col("seq") < F.col("before"))).drop("before")
+
+
 def keyset_page(messages: DataFrame, cursors: DataFrame, size: int = 100) -> DataFrame:
-    """The newest ``size`` messages of each channel below its own cursor: ``cursors`` has channel_id and before (null for the top)."""
-    return history_pages(messages, cursors, size).where(F.col("page") == 0).drop("page")
+    """The newest ``size`` messages of each channel below its own cursor: ``cursors`` has channel_id and before (null for the top).
+
+    The limit is on row_number() itself, so that no more than a page of a
+    channel is kept before the shuffle and after it.
+    """
+    w = Window.partitionBy("channel_id").orderBy(F.desc("seq"))
+    return _below(messages, cursors).withColumn("page_pos", F.row_number().over(w)).where(F.col("page_pos") <= size)
 
 
 def history_pages(messages: DataFrame, cursors: DataFrame | None = None, size: int = 100) -> DataFrame:
@@ -168,7 +246,7 @@ def history_pages(messages: DataFrame, cursors: DataFrame | None = None, size: i
     With ``cursors`` (channel_id, before), only the channels listed, from below
     their cursors (null: from the top); so a walk goes on where it stopped.
     """
-    below = messages if cursors is None else messages.join(cursors.select("channel_id", "before"), "channel_id").where(F.col("before").isNull() | (F.col("seq") < F.col("before"))).drop("before")
+    below = _below(messages, cursors)
     w = Window.partitionBy("channel_id").orderBy(F.desc("seq"))
     place = F.row_number().over(w) - 1
     return below.withColumn("_at", place).withColumns({"page": F.floor(F.col("_at") / size).cast("int"), "page_pos": (F.col("_at") % size + 1).cast("int")}).drop("_at")

@@ -1,9 +1,7 @@
 """Structured summaries: strict validation, one repair pass, consent scrubbing, facts and rendering.
 
-A summary is JSON with full_call (overview, key_topics, decisions,
-open_questions, action_items of owner and item) and per_speaker (display_name,
-contributions, positions_concerns, action_items). Parsing goes through the
-variant type, whose kinds are checked path by path: a number is not a string.
+A summary is JSON as sources.contracts.SUMMARY declares it; columns have its
+names in snake case.
 """
 
 from __future__ import annotations
@@ -12,13 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
-from colloquy.sources import validate
+from colloquy.sources import contracts as D
+from colloquy.sources.io import document_errors
 
 from . import transcript as C
 
-ITEM = "struct<owner:string,item:string>"
-SUMMARY = f"struct<full_call:struct<overview:string,key_topics:array<string>,decisions:array<string>,open_questions:array<string>,action_items:array<{ITEM}>>,per_speaker:array<struct<display_name:string,contributions:array<string>,positions_concerns:array<string>,action_items:array<{ITEM}>>>>"
-LISTS = ["key_topics", "decisions", "open_questions"]
+SUMMARY = D.ddl(D.SUMMARY)
 
 
 def parse_model_json(raw: Column) -> Column:
@@ -26,37 +23,15 @@ def parse_model_json(raw: Column) -> Column:
     return F.try_parse_json(T.strip_code_fence(raw))
 
 
-def _kind(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-
-
-def _is(v: Column, path: str, pattern: str) -> Column:
-    return F.coalesce(_kind(v, path).rlike(pattern), F.lit(False))
-
-
-STRING, STRINGS = "^STRING$", "^ARRAY<(STRING|VOID)>$"
-ITEMS = r"^ARRAY<(VOID|OBJECT<(.*, )?item: STRING, (.*, )?owner: STRING(, .*)?>)>$"
-
-
 def summary_errors(v: Column) -> Column:
-    """Errors of a parsed summary. Keys of objects in an array must be there, with their kinds, in every element."""
-    speakers = F.coalesce(F.try_variant_get(v, "$.per_speaker", "array<variant>"), F.array().cast("array<variant>"))
-    bad = lambda s: ~(_is(s, "$.display_name", STRING) & _is(s, "$.contributions", STRINGS) & _is(s, "$.positions_concerns", STRINGS) & _items(s, "$.action_items"))
-    checks = [("$", v.isNull(), "not JSON"), ("full_call.overview", ~_is(v, "$.full_call.overview", STRING), "not a string")]
-    checks += [(f"full_call.{x}", ~_is(v, f"$.full_call.{x}", STRINGS), "not an array of strings") for x in LISTS]
-    checks += [("full_call.action_items", ~_items(v, "$.full_call.action_items"), "not action items"), ("per_speaker", F.try_variant_get(v, "$.per_speaker", "array<variant>").isNull() | F.exists(speakers, bad), "not speaker sections")]
-    return validate.format_issues(validate.issues(checks[0], *((p, v.isNotNull() & c, m) for p, c, m in checks[1:])))
-
-
-def _items(v: Column, path: str) -> Column:
-    items = F.try_variant_get(v, path, "array<variant>")
-    return items.isNotNull() & F.forall(items, lambda x: _is(x, "$.owner", STRING) & _is(x, "$.item", STRING))
+    """Errors of a parsed summary, each at the path of the element that has it."""
+    return document_errors(D.SUMMARY, v)
 
 
 def validated(rows: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """(rows with ``summary``, rejected rows with ``errors``)."""
     marked = rows.withColumn("_v", parse_model_json(F.col(raw))).withColumn("errors", summary_errors(F.col("_v")))
-    good = marked.where("errors = ''").withColumn("summary", F.from_json(F.to_json("_v"), SUMMARY)).drop("_v", "errors", raw)
+    good = marked.where("errors = ''").withColumn("summary", D.parsed(D.SUMMARY, F.col("_v"))).drop("_v", "errors", raw)
     return good, marked.where("errors <> ''").drop("_v")
 
 
@@ -131,7 +106,7 @@ def summary_parts(summaries: DataFrame, limit: int = T.POST_CHARS) -> DataFrame:
 
 
 def output_events(merged: DataFrame, summaries: DataFrame, tracks: DataFrame, calls: DataFrame, channels: DataFrame, optout: DataFrame, region: str = "discord", allow_all: bool = False) -> DataFrame:
-    """The two events of each call in an allowed channel: event_type, call_id, channel_id (of transcripts), body (JSON) and region.
+    """The two events of each call in an allowed channel: event_type, call_id and event, JSON as it is sent.
 
     The transcript lists its segments, the summary is whole; an empty overview
     becomes the call's name. Users who opted out lose their segments, their
@@ -145,9 +120,9 @@ def output_events(merged: DataFrame, summaries: DataFrame, tracks: DataFrame, ca
     segment = F.struct("pos", F.struct("speaker", "start_ms", "end_ms", "text").alias("s"))
     spoken = C.scrub_segments(merged, tracks, optout).groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(segment)), lambda x: x["s"]).alias("segments"))
     kind = spoken.schema["segments"].dataType
-    transcripts = allowed.join(spoken, "call_id", "left").select(
-        F.lit("transcript").alias("event_type"), "call_id", "channel_id", F.to_json(F.coalesce("segments", F.array().cast(kind))).alias("body"), F.lit(region).alias("region"))
+    said = allowed.join(spoken, "call_id", "left").select(F.lit("transcript").alias("type"), "call_id", "channel_id", F.coalesce("segments", F.array().cast(kind)).alias("segments"), F.lit(region).alias("region"))
     scrubbed = scrub_speaker_sections(scrub_action_items(summaries.select("call_id", "summary"), out), out).join(allowed.select("call_id"), "call_id", "left_semi")
     overview = F.col("summary.full_call.overview")
-    told = F.col("summary").withField("full_call.overview", F.when(T.is_blank(overview), F.concat(F.lit("Call "), "call_id")).otherwise(overview))
-    return transcripts.unionByName(scrubbed.select(F.lit("summary").alias("event_type"), "call_id", F.lit(None).cast("string").alias("channel_id"), F.to_json(told).alias("body"), F.lit(region).alias("region")))
+    told = scrubbed.select(F.lit("summary").alias("type"), "call_id", F.col("summary").withField("full_call.overview", F.when(T.is_blank(overview), F.concat(F.lit("Call "), "call_id")).otherwise(overview)).alias("summary"), F.lit(region).alias("region"))
+    event = lambda df, type_: df.select(F.col("type").alias("event_type"), "call_id", D.written(D.EVENTS[type_], F.struct(*df.columns)).alias("event"))
+    return event(said, "transcript").unionByName(event(told, "summary"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from colloquy.operators import lifecycle as L
 from colloquy.operators import messages as M
-from colloquy.sources import io, validate
+from colloquy.sources import contracts as C
+from colloquy.sources import io
 from colloquy.streaming import feeds as S
 
-from .lives import BURST, DOCS, ROLES, SESS, USERS, documents_of_status
-from .messages import ALLOWED, LOG, NORMAL, OUT, channels, log, normal, optout, raw
+from .lives import BURST, DOCS, ROLES, SESS, STATUS_ERRORS, USERS, documents_of_status
+from .messages import ALLOWED, FEED, LOG, NORMAL, OUT, channels, feed, feed_consent, ids, log, normal, optout, raw
 from .views import NOW, duck, view
 
 
@@ -32,22 +34,38 @@ def laid_out(s, df, name):
 
 
 def scan_status(s, d):
-    """Status documents as JSON text files, read back and split."""
+    """Status documents as JSON text, read back and split."""
     path = place(s, "status")
-    documents_of_status(s, d).select(F.to_json(F.struct("call_id", "status", "updated_at", "emailed_at")).alias("value")).write.text(path)
+    documents_of_status(s, d).select("value").write.text(path)
     good, bad = io.scan_status(s, path, lines=True)
-    return good.select("call_id", F.lit("valid").alias("state")).unionByName(bad.select("call_id", F.lit("rejected").alias("state")))
+    none = F.lit(None).cast("string")
+    valid = good.select("call_id", "status", F.unix_millis("updated_at").alias("updated_ms"), F.unix_millis("emailed_at").alias("emailed_ms"), F.lit("").alias("errors"))
+    return valid.unionByName(bad.select(F.get_json_object("value", "$.callId").alias("call_id"), none.alias("status"), none.cast("long").alias("updated_ms"), none.cast("long").alias("emailed_ms"), "errors"))
+
+
+def manifest_documents(s, d):
+    """A manifest of each call as JSON text. Some have no guild, an end that isn't in UTC, a video without a path, a track before the call or without a name."""
+    iso = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    n = F.col("o_orderkey")
+    user = lambda i, offset, name: F.struct(F.lit(f"u{i}").alias("userId"), name.alias("displayName"), F.lit(f"audio/u{i}.pcm").alias("path"), offset.alias("startOffsetMs"))
+    tracks = F.array(user(1, F.when(n % 9 == 0, -1).otherwise(5), F.lit("Ada")), user(2, F.lit(40), F.when(n % 10 == 0, "").otherwise("Eve")))
+    video = F.when(F.col("has_video"), F.struct(F.when(n % 7 != 0, "v.mkv").alias("path"), iso.alias("startedAt"), F.lit(-5).alias("startOffsetMs")))
+    ended = F.when(n % 4 != 0, F.when(n % 5 == 0, F.concat(F.substring(iso, 1, 19), F.lit("+02:00"))).otherwise(iso))
+    doc = F.struct(F.col("call_id").alias("callId"), F.when(n % 8 != 0, "g1").otherwise("").alias("guildId"), F.col("channel_id").alias("channelId"), iso.alias("startedAt"), F.coalesce(ended, F.lit("~")).alias("endedAt"), tracks.alias("tracks"), video.alias("video"))
+    # a call that runs has no end: null, which to_json() would leave out
+    return view(s, d, "call_status").select("call_id", F.replace(F.to_json(doc), F.lit('"~"'), F.lit("null")).alias("value"))
 
 
 def scan_calls(s, d):
-    """Manifests as JSON text, some with a negative offset, read back and split."""
+    """Manifests as JSON text, read back and split; of the valid ones how long the call was and the tracks."""
     path = place(s, "calls")
-    iso = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    track = F.array(F.struct(F.lit("u1").alias("user_id"), F.lit("Ada").alias("display_name"), F.lit("a.wav").alias("path"), F.when(F.col("o_orderkey") % 9 == 0, -1).otherwise(5).alias("start_offset_ms")))
-    doc = F.struct("call_id", F.lit("g1").alias("guild_id"), "channel_id", iso.alias("started_at"), track.alias("tracks"))
-    view(s, d, "call_status").select(F.to_json(doc).alias("value")).write.text(path)
+    manifest_documents(s, d).select("value").write.text(path)
     good, bad = io.scan_calls(s, path, lines=True)
-    return good.select("call_id", F.lit("").alias("errors")).unionByName(bad.select("call_id", "errors"))
+    tracks = F.array_join(F.transform("tracks", lambda t: F.concat_ws(":", t["user_id"], t["display_name"], t["start_offset_ms"])), ",")
+    none = F.lit(None).cast("string")
+    valid = good.select("call_id", F.unix_millis("started_at").alias("started_ms"), F.unix_millis("ended_at").alias("ended_ms"), tracks.alias("tracks"), F.col("video.path").alias("video"), F.lit("").alias("errors"))
+    lost = bad.select(F.get_json_object("value", "$.callId").alias("call_id"), none.cast("long").alias("started_ms"), none.cast("long").alias("ended_ms"), none.alias("tracks"), none.alias("video"), "errors")
+    return valid.unionByName(lost)
 
 
 def artifacts(s, d):
@@ -69,25 +87,28 @@ def sink_twice(s, d):
 
 
 def ingest(s, d):
-    """The log as a stream, run twice on one checkpoint."""
-    rows = view(s, d, "message_log")
-    path, schema = laid_out(s, rows.repartition(4), "feed")
-    target, checkpoint = place(s, "store"), place(s, "offsets")
-    for _ in range(2):
-        S.stream_ingest(S.source(s, path, schema, 1), channels(rows), optout(rows), target, checkpoint)
-    return s.read.parquet(target).select("event_key", "kind")
+    """The feed as a stream with lost and unknown rows in it, run twice on one checkpoint; then all of it once more on another."""
+    rows = feed(s, d)
+    spoilt = rows.withColumn("kind", F.when(F.col("seq") % 43 == 0, "poke").otherwise(F.col("kind"))).withColumn("ts", F.when(F.col("seq") % 41 != 0, F.col("ts")))
+    path, schema = laid_out(s, spoilt.repartition(3), "feed")
+    target, refused, checkpoint = place(s, "store"), place(s, "refused"), place(s, "offsets")
+    for offsets in (checkpoint, checkpoint, place(s, "offsets")):
+        S.stream_ingest(S.source(s, path, schema, 2), *feed_consent(s, d), target, refused, offsets)
+    good = s.read.parquet(target).select("event_type", "event_key", F.md5("event").alias("event_md5"), F.lit("").alias("errors"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(s.read.parquet(refused).select(none.alias("event_type"), F.concat_ws("|", "seq", "message_id").alias("event_key"), none.alias("event_md5"), "errors"))
 
 
 def backfill(s, d):
     """A history that grows between two runs of one checkpoint."""
-    rows = view(s, d, "message_log")
-    first, rest = (rows.where(f"event_id % 2 = {i}") for i in (0, 1))
+    rows = feed(s, d)
+    first, rest = (rows.where(f"seq % 2 = {i}") for i in (0, 1))
     path, schema = laid_out(s, first, "history")
-    target, checkpoint = place(s, "store"), place(s, "offsets")
-    S.stream_ingest(S.source(s, path, schema), channels(rows), optout(rows), target, checkpoint)
+    target, refused, checkpoint = place(s, "store"), place(s, "refused"), place(s, "offsets")
+    S.stream_ingest(S.source(s, path, schema), *feed_consent(s, d), target, refused, checkpoint)
     rest.write.mode("append").parquet(path)
-    S.stream_ingest(S.source(s, path, schema), channels(rows), optout(rows), target, checkpoint)
-    return s.read.parquet(target).groupBy("kind").agg(F.count_distinct("event_key").alias("keys"))
+    S.stream_ingest(S.source(s, path, schema), *feed_consent(s, d), target, refused, checkpoint)
+    return s.read.parquet(target).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_key").alias("keys"))
 
 
 def appended(s, stream, name):
@@ -155,48 +176,47 @@ def message_stream(s, d):
     rows = raw(s, d).withColumn("kind", kind).withColumn("ts", F.when(F.col("seq") % 41 != 0, F.col("ts")))
     path, schema = laid_out(s, rows.union(rows.where("seq % 3 = 0")).repartition(3), "raw")
     target, rejected = place(s, "messages"), place(s, "refused")
-    S.stream_messages(S.source(s, path, schema, 1), target, rejected, place(s, "offsets"))
-    good = s.read.parquet(target).select("message_id", "kind", "channel_id", "thread_id", "author_name", F.md5("content").alias("content_md5"), F.lit("").alias("errors"))
+    named = ids(s, d).select(F.explode(F.array("author_id", "mention_1", "mention_2")).alias("author_id"))
+    S.stream_messages(S.source(s, path, schema, 1), channels(ids(s, d)), optout(named), target, rejected, place(s, "offsets"))
+    good = s.read.parquet(target).select("message_id", "kind", "channel_id", "thread_id", "author_name", F.array_join("mentions", ",").alias("mentions"), F.md5("content").alias("content_md5"), F.lit("").alias("errors"))
     none = F.lit(None).cast("string")
-    return good.unionByName(s.read.parquet(rejected).select("message_id", "kind", none.alias("channel_id"), none.alias("thread_id"), none.alias("author_name"), none.alias("content_md5"), "errors"))
+    return good.unionByName(s.read.parquet(rejected).select("message_id", "kind", *(none.alias(c) for c in ("channel_id", "thread_id", "author_name", "mentions", "content_md5")), "errors"))
 
 
 def consent(s, d):
     """Consent as a JSON file of the channels and authors that occur, read back and applied."""
     path = place(s, "consent")
-    rows = normal(s, d)
-    allowed = F.collect_set(F.when(F.substring("channel_id", 2, 9).cast("int") % 2 == 0, F.col("channel_id")))
-    out = F.collect_set(F.when(F.substring("author_id", 2, 9).cast("int") % 10 == 3, F.col("author_id")))
-    rows.agg(F.to_json(F.struct(allowed.alias("allowChannels"), out.alias("optOutMembers"))).alias("value")).write.text(path)
+    listed = lambda df, c: df.agg(F.collect_set(c)).first()[0]
+    # channels and people of one community: what a person writes into such a file
+    s.createDataFrame([(json.dumps({"allowChannels": listed(channels(ids(s, d)), "channel_id"), "optOutMembers": listed(optout(ids(s, d)), "user_id")}),)], "value string").write.text(path)
     channels_, optout_, every = io.consent_source(s, path)
-    return M.gate_with_reason(rows, channels_, optout_, every).select("message_id", "skip_reason")
+    return M.gate_with_reason(normal(s, d), channels_, optout_, every).select("message_id", "skip_reason")
 
 
 def manifests(s, d):
-    """Manifests of calls, some without a guild, some with an end that isn't in UTC."""
-    iso = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    track = F.array(F.struct(F.lit("u1").alias("user_id"), F.lit("Ada").alias("display_name"), F.lit("a.wav").alias("path"), F.lit(0).cast("long").alias("start_offset_ms")))
-    video = F.when(F.col("has_video"), F.struct(F.when(F.col("o_orderkey") % 7 != 0, "v.mkv").alias("path"), iso.alias("started_at"), F.lit(-5).cast("long").alias("start_offset_ms")))
-    rows = view(s, d, "call_status").withColumns({"guild_id": F.when(F.col("o_orderkey") % 8 != 0, "g1"), "started_at": iso, "ended_at": F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.substring(iso, 1, 19), F.lit("+02:00"))), "tracks": track, "video": video})
-    return rows.select("call_id", validate.manifest_errors().alias("errors"))
+    return manifest_documents(s, d).select("call_id", io.document_errors(C.MANIFEST, F.try_parse_json("value")).alias("errors"))
 
 
 QUERIES = {"message_stream": message_stream, "consent_source": consent, "validate_manifest": manifests, "scan_status": scan_status, "scan_calls": scan_calls, "write_call_artifacts": artifacts, "sink_events_idempotent": sink_twice, "stream_ingest": ingest, "stream_backfill": backfill, "stream_dedupe": dedupe, "stream_utterances": utterances, "stream_queue": queue, "stream_quarantine": quarantine, "stream_voice_sessions": sessions, "apply_purge": purge}
 
-STORED = LOG + f", stored AS (SELECT event_key, kind FROM log WHERE kind = 'delete' OR (kind IN ('create', 'edit') AND {ALLOWED} AND NOT ({OUT})))\n"
+MANIFEST_ERRORS = """checked AS (SELECT *, concat_ws('; ', CASE WHEN o_orderkey % 8 = 0 THEN 'guildId: empty' END, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 4 <> 0 THEN 'endedAt: not an ISO time in UTC' END,
+ CASE WHEN o_orderkey % 9 = 0 THEN 'tracks.0.startOffsetMs: negative' END, CASE WHEN o_orderkey % 10 = 0 THEN 'tracks.1.displayName: empty' END, CASE WHEN has_video AND o_orderkey % 7 = 0 THEN 'video.path: missing' END) AS errors FROM call_status)
+"""
 SQL = {
     "message_stream": duck(NORMAL + """, kinds AS (SELECT *, CASE WHEN seq % 43 = 0 THEN 'poke' WHEN seq % 17 = 0 THEN 'delete' WHEN seq % 11 = 0 THEN 'edit' ELSE 'create' END AS kind, seq % 41 = 0 AS late FROM raw_messages)
-SELECT message_id, kind, n.channel_id, n.thread_id, n.author_name, md5(n.content) AS content_md5, '' AS errors FROM kinds JOIN normal n USING (message_id) WHERE NOT late AND kind IN ('create', 'edit')
-UNION ALL SELECT message_id, kind, COALESCE(parent_id, raw_channel_id), NULL, NULL, NULL, '' FROM kinds WHERE NOT late AND kind = 'delete' AND guild_id IS NOT NULL
-UNION ALL SELECT message_id, kind, NULL, NULL, NULL, NULL, concat_ws('; ', CASE WHEN late THEN 'ts: missing' END, CASE WHEN kind = 'poke' THEN 'kind: unknown' END) FROM kinds WHERE late OR kind = 'poke'""", "raw_messages"),
+SELECT message_id, kind, n.channel_id, n.thread_id, n.author_name, COALESCE(array_to_string(list_filter([n.mention_1, n.mention_2], lambda x: CAST(substr(x, 2) AS INT) % 10 <> 3), ','), '') AS mentions, md5(n.content) AS content_md5, '' AS errors FROM kinds JOIN gated n USING (message_id) WHERE NOT late AND kind IN ('create', 'edit') AND skip_reason IS NULL
+UNION ALL SELECT message_id, kind, COALESCE(parent_id, raw_channel_id), NULL, NULL, NULL, NULL, '' FROM kinds WHERE NOT late AND kind = 'delete' AND guild_id IS NOT NULL
+UNION ALL SELECT message_id, kind, NULL, NULL, NULL, NULL, NULL, concat_ws('; ', CASE WHEN late THEN 'ts: missing' END, CASE WHEN kind = 'poke' THEN 'kind: unknown' END) FROM kinds WHERE late OR kind = 'poke'""", "raw_messages"),
     "consent_source": duck(NORMAL + "SELECT message_id, skip_reason FROM gated", "raw_messages"),
-    "validate_manifest": duck("SELECT call_id, concat_ws('; ', CASE WHEN o_orderkey % 8 = 0 THEN 'guild_id: empty' END, CASE WHEN o_orderkey % 5 = 0 THEN 'ended_at: not an ISO time' END, CASE WHEN has_video AND o_orderkey % 7 = 0 THEN 'video: not valid' END) AS errors FROM call_status", "call_status"),
-    "scan_status": duck(DOCS + "SELECT call_id, CASE WHEN status = 'lost' OR bad_time THEN 'rejected' ELSE 'valid' END AS state FROM docs", "call_status"),
-    "scan_calls": duck("SELECT call_id, CASE WHEN o_orderkey % 9 = 0 THEN 'tracks: a track is not valid' ELSE '' END AS errors FROM call_status", "call_status"),
+    "validate_manifest": duck(MANIFEST_ERRORS + "SELECT call_id, errors FROM checked", "call_status"),
+    "scan_status": duck(DOCS + f"SELECT call_id, CASE WHEN errors = '' THEN status END AS status, CASE WHEN errors = '' THEN epoch_ms(updated_at) END AS updated_ms, CASE WHEN errors = '' AND emailed_at IS NOT NULL THEN epoch_ms(updated_at) END AS emailed_ms, errors FROM (SELECT *, {STATUS_ERRORS} AS errors FROM docs)", "call_status"),
+    "scan_calls": duck(MANIFEST_ERRORS + """SELECT call_id, CASE WHEN errors = '' THEN epoch_ms(started_at) END AS started_ms, CASE WHEN errors = '' AND o_orderkey % 4 <> 0 THEN epoch_ms(started_at) END AS ended_ms,
+ CASE WHEN errors = '' THEN 'u1:Ada:5,u2:Eve:40' END AS tracks, CASE WHEN errors = '' AND has_video THEN 'v.mkv' END AS video, errors FROM checked""", "call_status"),
     "write_call_artifacts": duck("SELECT CASE WHEN started_at < TIMESTAMP '1995-01-01' THEN 2 ELSE 1 END AS version, count(*) AS n FROM call_status GROUP BY 1", "call_status"),
     "sink_events_idempotent": duck(LOG + "SELECT arg_min(kind, (ts, event_id)) AS kind, count(*) AS n, count(*) AS keys FROM (SELECT event_key, kind, ts, event_id, row_number() OVER (PARTITION BY event_key ORDER BY event_id % 3 = 2, ts, event_id) AS rn FROM log) WHERE rn = 1 GROUP BY kind", "message_log"),
-    "stream_ingest": duck(STORED + "SELECT event_key, min(kind) AS kind FROM stored GROUP BY 1", "message_log"),
-    "stream_backfill": duck(STORED + "SELECT kind, count(DISTINCT event_key) AS keys FROM stored GROUP BY 1", "message_log"),
+    "stream_ingest": duck(FEED.replace("FROM feed", "FROM whole") + """SELECT event_type, event_key, md5(min(event)) AS event_md5, '' AS errors FROM sent GROUP BY 1, 2
+UNION ALL SELECT NULL, seq || '|' || message_id, NULL, concat_ws('; ', CASE WHEN seq % 41 = 0 THEN 'ts: missing' END, CASE WHEN seq % 43 = 0 THEN 'kind: unknown' END) FROM feed WHERE seq % 41 = 0 OR seq % 43 = 0""", "feed").replace("said AS (", "whole AS (SELECT * FROM feed WHERE seq % 41 <> 0 AND seq % 43 <> 0), said AS (", 1),
+    "stream_backfill": duck(FEED + "SELECT event_type, count(DISTINCT event_key) AS n, count(DISTINCT event_key) AS keys FROM sent GROUP BY 1", "feed"),
     "stream_dedupe": duck(LOG + "SELECT CASE WHEN contains(event_key, '|edit|') THEN 'edit' WHEN ends_with(event_key, '|delete') THEN 'delete' ELSE 'message' END AS kind, count(DISTINCT event_key) AS n FROM log GROUP BY 1", "message_log"),
     "stream_queue": duck(f"""SELECT call_id, 'reclaim' AS action, updated_at AS since FROM call_status WHERE status IN ('transcribing', 'summarizing') AND updated_at <= TIMESTAMP '{NOW}' - INTERVAL 1008000 MINUTE
 UNION ALL SELECT call_id, 'process', updated_at FROM call_status WHERE status = 'ready-to-process' UNION ALL SELECT call_id, 'purge', updated_at FROM call_status WHERE status = 'delivered' AND COALESCE(ended_at, started_at) <= TIMESTAMP '{NOW}' - INTERVAL 900 DAY""", "call_status"),

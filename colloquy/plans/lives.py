@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as T
 from colloquy.operators import lifecycle as L
 from colloquy.operators import voice as V
+from colloquy.sources import contracts as C
 from colloquy.sources import validate
+from colloquy.sources.io import document_errors
 
 from .messages import channels
 from .views import NOW, duck, view
@@ -29,7 +31,8 @@ def status(s, d):
 
 
 def log(s, d):
-    return view(s, d, "status_log")
+    """The status log; some writes say what went wrong."""
+    return view(s, d, "status_log").withColumn("error", F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("trouble "), "user_id")))
 
 
 def snap(s, d):
@@ -37,16 +40,28 @@ def snap(s, d):
 
 
 def manifests(s, d):
-    tracks = V.usable_tracks(log(s, d)).select("call_id", F.col("seq").alias("track_idx"), "user_id")
-    videos = status(s, d).where("has_video").select("call_id", F.concat("call_id", F.lit(".mkv")).alias("video_path"))
-    rows = L.build_manifests(status(s, d).select("call_id", "channel_id", "ended_at"), tracks, videos)
-    return rows.select("call_id", "channel_id", "ended_at", F.size("tracks").alias("n_tracks"), F.array_join(F.transform("tracks", lambda t: F.concat(t["track_idx"].cast("string"), F.lit(":"), t["user_id"])), ",").alias("tracks"), "video_path")
+    """Manifests of the calls with their usable tracks and videos, as documents."""
+    tracks = V.usable_tracks(log(s, d)).select("call_id", F.col("seq").alias("track_idx"), "user_id", F.concat(F.lit("Speaker "), "user_id").alias("display_name"), F.concat(F.lit("audio/"), "user_id", F.lit(".pcm")).alias("path"), (F.col("l_partkey") % 5000).alias("start_offset_ms"))
+    videos = status(s, d).where("has_video").select("call_id", F.concat("call_id", F.lit(".mkv")).alias("path"), "started_at", (F.col("o_orderkey") % 9 - 4).alias("start_offset_ms"))
+    rows = L.build_manifests(status(s, d).select("call_id", F.lit("g1").alias("guild_id"), "channel_id", "started_at", "ended_at"), tracks, videos)
+    return rows.select("call_id", F.size("tracks").alias("n_tracks"), F.md5(C.written(C.MANIFEST, F.struct(*C.MANIFEST.fields))).alias("manifest_md5"))
 
 
 def documents_of_status(s, d):
-    """Status documents as text, some of them not valid."""
+    """A status document of each call as JSON text. Some have an unknown status, a time that isn't in UTC or no id, a failed one says why."""
     iso = F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return status(s, d).select("call_id", F.when(F.col("o_orderkey") % 7 == 0, "lost").otherwise(F.col("status")).alias("status"), F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.substring(iso, 1, 19), F.lit("+02:00"))).otherwise(iso).alias("updated_at"), F.when(F.col("emailed_at").isNotNull(), iso).alias("emailed_at"))
+    n = F.col("o_orderkey")
+    doc = F.struct(
+        F.when(n % 13 == 0, "").otherwise(F.col("call_id")).alias("callId"), F.when(n % 7 == 0, "lost").otherwise(F.col("status")).alias("status"), F.when(n % 11 == 0, F.concat(F.substring(iso, 1, 19), F.lit("+02:00"))).otherwise(iso).alias("updatedAt"),
+        F.when(F.col("status") == "failed", "disk full").alias("error"), F.col("thread_id").alias("threadId"), F.when(F.col("emailed_at").isNotNull(), iso).alias("emailedAt"))
+    return status(s, d).select("call_id", "status", F.to_json(doc).alias("value"))
+
+
+def results(s, d):
+    """What the store answered to each event, with its warnings."""
+    skipped = F.concat(F.lit("edge "), (F.col("pos") % 3).cast("string"), F.lit(" skipped"))
+    warnings = F.when(F.col("pos") % 5 == 0, F.array(F.lit("no anchor"), skipped)).when(F.col("pos") % 7 == 0, F.array(F.lit("no anchor")))
+    return view(s, d, "outbox").withColumn("warnings", warnings)
 
 
 def scalars(s, d):
@@ -78,10 +93,11 @@ QUERIES = {
     "expired_video": lambda s, d: L.expired(status(s, d), NOW, 400, video=True).select("call_id"),
     "status_funnel": lambda s, d: L.status_funnel(status(s, d)),
     "build_manifests": manifests,
-    "validate_status": lambda s, d: documents_of_status(s, d).select("call_id", validate.status_errors().alias("errors")),
-    "format_issues": lambda s, d: documents_of_status(s, d).select("call_id", validate.format_issues(validate.issues(("call_id", F.length("call_id") > 3, "long"), ("status", F.col("status") == "lost", "not a status"))).alias("line")),
+    "validate_status": lambda s, d: documents_of_status(s, d).select("call_id", document_errors(C.STATUS, F.try_parse_json("value")).alias("errors")),
+    "format_issues": lambda s, d: status(s, d).select("call_id", validate.format_issues(validate.issues(("call_id", F.length("call_id") > 3, "long"), ("status", F.col("o_orderkey") % 7 == 0, "not a status"))).alias("line")),
     "delivery_outcomes": lambda s, d: L.delivery_outcomes(view(s, d, "outbox")).select("producer", "pos", "outcome"),
-    "emit_counts": lambda s, d: L.emit_counts(view(s, d, "outbox")),
+    "emit_counts": lambda s, d: L.emit_counts(results(s, d)),
+    "emit_warnings": lambda s, d: L.emit_warnings(results(s, d)),
     "recent_n": lambda s, d: L.recent_n(view(s, d, "emails")).select("mailbox", "uid", "pos", F.md5("subject").alias("subject_md5")),
     "scalar_calls": scalars,
     "format_addresses": lambda s, d: view(s, d, "emails").select("uid", T.format_addresses(F.array(F.struct(F.when(F.col("uid") % 2 == 0, F.col("from_name")).alias("name"), F.col("from_addr").alias("address")), F.struct(F.lit("x").alias("name"), F.lit("").alias("address")))).alias("addresses")),
@@ -107,10 +123,12 @@ w AS (SELECT user_id, burst_idx, i, at_ms, 0::BIGINT AS gap_ms, dur_ms AS writte
   UNION ALL SELECT o.user_id, o.burst_idx, o.i, o.at_ms, greatest(0, o.at_ms - o.t0 - w.written_ms), w.written_ms + greatest(0, o.at_ms - o.t0 - w.written_ms) + o.dur_ms FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)
 """
 NOW_SQL = f"TIMESTAMP '{NOW}'"
-CURRENT = """cur AS (SELECT call_id, arg_max(status, k) AS status, arg_max(updated_at, k) AS updated_at, arg_max(thread_id, k) FILTER (thread_id IS NOT NULL) AS thread_id, arg_max(emailed_at, k) FILTER (emailed_at IS NOT NULL) AS emailed_at
+CURRENT = """cur AS (SELECT call_id, arg_max(status, k) AS status, arg_max(updated_at, k) AS updated_at, CASE WHEN CAST(substr(arg_max(user_id, k), 2) AS INT) % 4 = 0 THEN 'trouble ' || arg_max(user_id, k) END AS error, arg_max(thread_id, k) FILTER (thread_id IS NOT NULL) AS thread_id, arg_max(emailed_at, k) FILTER (emailed_at IS NOT NULL) AS emailed_at
 FROM (SELECT *, (seq, updated_at, l_partkey, l_suppkey, l_extendedprice) AS k FROM status_log) GROUP BY 1)
 """
-DOCS = "docs AS (SELECT call_id, CASE WHEN o_orderkey % 7 = 0 THEN 'lost' ELSE status END AS status, o_orderkey % 11 = 0 AS bad_time FROM call_status)\n"
+DOCS = "docs AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE call_id END AS call_id, call_id AS known_id, CASE WHEN o_orderkey % 7 = 0 THEN 'lost' ELSE status END AS status, o_orderkey % 11 = 0 AS bad_time, updated_at, emailed_at FROM call_status)\n"
+STATUS_ERRORS = "concat_ws('; ', CASE WHEN call_id = '' THEN 'callId: empty' END, CASE WHEN status = 'lost' THEN 'status: not one of recording, ready-to-process, transcribing, summarizing, delivered, failed' END, CASE WHEN bad_time THEN 'updatedAt: not an ISO time in UTC' END)"
+
 
 SQL = {
     "humans": duck("SELECT event_id, channel_id, user_id FROM voice_state WHERE NOT is_bot", "voice_state"),
@@ -133,12 +151,15 @@ SELECT user_id, utterance, min(at_ms) AS start_ms, max(at_ms + dur_ms) AS end_ms
     "expired_audio": duck(f"SELECT call_id FROM call_status WHERE status = 'delivered' AND COALESCE(ended_at, started_at) <= {NOW_SQL} - INTERVAL 900 DAY", "call_status"),
     "expired_video": duck(f"SELECT call_id FROM call_status WHERE status = 'delivered' AND has_video AND COALESCE(ended_at, started_at) <= {NOW_SQL} - INTERVAL 400 DAY", "call_status"),
     "status_funnel": duck("SELECT s AS status, CAST(r - 1 AS INT) AS rank, (SELECT count(*) FROM call_status c WHERE c.status = s) AS calls FROM (SELECT unnest(['recording', 'ready-to-process', 'transcribing', 'summarizing', 'delivered', 'failed']) AS s, generate_subscripts(['recording', 'ready-to-process', 'transcribing', 'summarizing', 'delivered', 'failed'], 1) AS r)", "call_status"),
-    "build_manifests": duck("""t AS (SELECT call_id, count(*) AS n, string_agg(seq || ':' || user_id, ',' ORDER BY seq, user_id) AS tracks FROM status_log WHERE has_audio AND NOT sink_failed GROUP BY 1)
-SELECT call_id, channel_id, ended_at, CAST(COALESCE(n, 0) AS INT) AS n_tracks, COALESCE(tracks, '') AS tracks, CASE WHEN has_video THEN call_id || '.mkv' END AS video_path FROM call_status LEFT JOIN t USING (call_id)""", "call_status", "status_log"),
-    "validate_status": duck(DOCS + "SELECT call_id, concat_ws('; ', CASE WHEN status = 'lost' THEN 'status: not a status' END, CASE WHEN bad_time THEN 'updated_at: not an ISO time' END) AS errors FROM docs", "call_status"),
-    "format_issues": duck(DOCS + "SELECT call_id, concat_ws('; ', CASE WHEN length(call_id) > 3 THEN 'call_id: long' END, CASE WHEN status = 'lost' THEN 'status: not a status' END) AS line FROM docs", "call_status"),
+    "build_manifests": duck("""t AS (SELECT call_id, count(*) AS n, list({'userId': user_id, 'displayName': 'Speaker ' || user_id, 'path': 'audio/' || user_id || '.pcm', 'startOffsetMs': l_partkey % 5000} ORDER BY seq, user_id, l_partkey % 5000) AS tracks
+  FROM status_log WHERE has_audio AND NOT sink_failed GROUP BY 1), iso AS (SELECT *, strftime(started_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS began, strftime(ended_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS ended FROM call_status),
+doc AS (SELECT call_id, has_video, began, o_orderkey, COALESCE(n, 0) AS n, json_object('callId', call_id, 'guildId', 'g1', 'channelId', channel_id, 'startedAt', began, 'endedAt', ended, 'tracks', COALESCE(tracks, [])) AS body FROM iso LEFT JOIN t USING (call_id))
+SELECT call_id, CAST(n AS INT) AS n_tracks, md5(CASE WHEN has_video THEN left(body, length(body) - 1) || ',"video":' || json_object('path', call_id || '.mkv', 'startedAt', began, 'startOffsetMs', o_orderkey % 9 - 4) || '}' ELSE body END) AS manifest_md5 FROM doc""", "status_log", "call_status"),
+    "validate_status": duck(DOCS + f"SELECT known_id AS call_id, {STATUS_ERRORS} AS errors FROM docs", "call_status"),
+    "format_issues": duck(DOCS + "SELECT known_id AS call_id, concat_ws('; ', CASE WHEN length(known_id) > 3 THEN 'call_id: long' END, CASE WHEN status = 'lost' THEN 'status: not a status' END) AS line FROM docs", "call_status"),
     "delivery_outcomes": duck("SELECT producer, pos, CASE WHEN first IS NOT NULL AND pos >= first THEN 'pending' WHEN http_status BETWEEN 200 AND 299 THEN 'delivered' ELSE 'parked' END AS outcome FROM (SELECT *, min(pos) FILTER (http_status IN (408, 429) OR http_status >= 500) OVER (PARTITION BY producer) AS first FROM outbox)", "outbox"),
-    "emit_counts": duck("SELECT producer, CAST(sum(n_ids) AS BIGINT) AS memories, CAST(sum(COALESCE(edges, 0)) AS BIGINT) AS edges FROM outbox GROUP BY 1", "outbox"),
+    "emit_counts": duck("SELECT producer, sum(n_ids) AS memories, sum(COALESCE(edges, 0)) AS edges, sum(CASE WHEN pos % 5 = 0 THEN 2 WHEN pos % 7 = 0 THEN 1 ELSE 0 END) AS warnings FROM outbox GROUP BY 1", "outbox"),
+    "emit_warnings": duck("SELECT producer, warning, count(*) AS n FROM (SELECT producer, unnest(CASE WHEN pos % 5 = 0 THEN ['no anchor', 'edge ' || pos % 3 || ' skipped'] WHEN pos % 7 = 0 THEN ['no anchor'] ELSE [] END) AS warning FROM outbox) GROUP BY 1, 2", "outbox"),
     "recent_n": duck("SELECT mailbox, uid, pos, md5(COALESCE(subject, '(no subject)')) AS subject_md5 FROM (SELECT *, row_number() OVER (PARTITION BY mailbox ORDER BY uid DESC) AS pos FROM emails) WHERE pos <= 10", "emails"),
     "scalar_calls": duck("""x AS (SELECT *, o_orderkey * 7919 AS ms FROM call_status)
 SELECT call_id, lpad(CAST(ms // 60000 AS VARCHAR), CAST(greatest(2, length(CAST(ms // 60000 AS VARCHAR))) AS INT), '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') AS timecode, greatest(0, ms - 50000) AS video_ms,

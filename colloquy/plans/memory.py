@@ -16,7 +16,7 @@ from colloquy.sources import io
 from .calls import calls, merged, segments
 from .calls import MERGED, tracks
 from .calls import optout as silenced
-from .messages import LOG, NORMAL, REF, channels, log, normal
+from .messages import FEED, LOG, NORMAL, REF, channels, events, log, normal
 from .views import duck, view
 
 
@@ -26,13 +26,13 @@ def names(s, d):
 
 
 def model_output(s, d):
-    """One answer of a summarising model a call: some fenced, some cut in half, some without an owner."""
+    """One answer of a summarising model a call: some fenced, some cut in half, some without an owner or with an empty name."""
     name = lambda x: F.struct(F.when(F.col("conv_id") % 7 != 0, x).alias("owner"), F.concat(F.lit("do "), x).alias("item"))
     item = lambda x: F.struct(x.alias("owner"), F.concat(F.lit("do "), x).alias("item"))
     none = F.array().cast("array<string>")
-    full = F.struct(F.when(F.col("conv_id") % 11 == 0, " ").otherwise("An overview").alias("overview"), F.col("names").alias("key_topics"), F.array(F.substring("first_text", 1, 40)).alias("decisions"), none.alias("open_questions"), F.transform("names", name).alias("action_items"))
-    speaker = lambda x: F.struct(x.alias("display_name"), F.array(F.lit("spoke")).alias("contributions"), none.alias("positions_concerns"), F.array(item(x)).alias("action_items"))
-    body = F.to_json(F.struct(full.alias("full_call"), F.transform("names", speaker).alias("per_speaker")))
+    full = F.struct(F.when(F.col("conv_id") % 11 == 0, " ").otherwise("An overview").alias("overview"), F.col("names").alias("keyTopics"), F.array(F.substring("first_text", 1, 40)).alias("decisions"), none.alias("openQuestions"), F.transform("names", name).alias("actionItems"))
+    speaker = lambda x: F.struct(F.when(F.col("conv_id") % 13 != 0, x).otherwise("").alias("displayName"), F.array(F.lit("spoke")).alias("contributions"), none.alias("positionsConcerns"), F.array(item(x)).alias("actionItems"))
+    body = F.to_json(F.struct(full.alias("fullCall"), F.transform("names", speaker).alias("perSpeaker")))
     cut = F.when(F.col("conv_id") % 5 == 0, F.substring(body, F.lit(1), F.floor(F.length(body) / 2).cast("int"))).otherwise(body)
     raw = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("```json\n"), cut, F.lit("\n```"))).otherwise(cut)
     return names(s, d).select("call_id", "conv_id", raw.alias("raw"))
@@ -54,7 +54,14 @@ def shown(s, d):
 
 def output_events(s, d):
     rows = S.output_events(merged(s, d), summaries(s, d), tracks(s, d), calls(s, d), channels(calls(s, d)), silenced(s))
-    return rows.select("event_type", "call_id", "channel_id", "region", F.md5("body").alias("body_md5"))
+    return rows.select("event_type", "call_id", F.md5("event").alias("event_md5"))
+
+
+def all_events(s, d):
+    """What leaves for the store of messages and of calls, in one table of envelopes."""
+    called = S.output_events(merged(s, d), summaries(s, d), tracks(s, d), calls(s, d), channels(calls(s, d)), silenced(s)).withColumn("source_ref", F.concat_ws("|", "event_type", "call_id"))
+    rows = M.union_events(events(s, d), called.withColumn("event_key", F.col("source_ref")))
+    return rows.select("event_type", "source_ref", "event_key", "ts", F.md5("event").alias("event_md5"))
 
 
 def parts(s, d):
@@ -116,6 +123,7 @@ QUERIES = {
     "render_summary_md": lambda s, d: shown(s, d).select("call_id", F.md5(S.render_summary_md(F.col("summary"), F.col("video"))).alias("markdown_md5")),
     "write_summary_parts": parts,
     "call_output_events": output_events,
+    "union_events": all_events,
     "memory_nodes": lambda s, d: G.memory_nodes(log(s, d)),
     "memory_edges": lambda s, d: G.memory_edges(log(s, d)),
     "call_edges": lambda s, d: G.call_edges(merged(s, d)),
@@ -129,9 +137,9 @@ QUERIES = {
     "render_reply": replies,
 }
 
-NAMES = "names AS (SELECT call_id, conv_id, list_sort(list(DISTINCT display_name)) AS names FROM raw_segments GROUP BY 1, 2), good AS (SELECT * FROM names WHERE conv_id % 5 <> 0 AND conv_id % 7 <> 0), out AS (SELECT call_id, list(DISTINCT display_name) AS out_names FROM raw_segments WHERE user_id LIKE '%-3' GROUP BY 1)\n"
+NAMES = "names AS (SELECT call_id, conv_id, list_sort(list(DISTINCT display_name)) AS names FROM raw_segments GROUP BY 1, 2), good AS (SELECT * FROM names WHERE conv_id % 5 <> 0 AND conv_id % 7 <> 0 AND conv_id % 13 <> 0), out AS (SELECT call_id, list(DISTINCT display_name) AS out_names FROM raw_segments WHERE user_id LIKE '%-3' GROUP BY 1)\n"
 GOOD = """names AS (SELECT call_id, conv_id, list_sort(list(DISTINCT display_name)) AS names, arg_min(text, seg_idx) AS first_text FROM raw_segments GROUP BY 1, 2),
-good AS (SELECT * FROM names WHERE conv_id % 5 <> 0 AND conv_id % 7 <> 0), out AS (SELECT call_id, list(DISTINCT display_name) AS out_names FROM raw_segments WHERE user_id LIKE '%-3' GROUP BY 1)
+good AS (SELECT * FROM names WHERE conv_id % 5 <> 0 AND conv_id % 7 <> 0 AND conv_id % 13 <> 0), out AS (SELECT call_id, list(DISTINCT display_name) AS out_names FROM raw_segments WHERE user_id LIKE '%-3' GROUP BY 1)
 """
 MARKDOWN = GOOD + """, shown AS (SELECT call_id, array_to_string(list_concat(['# Call summary'], CASE WHEN conv_id % 2 = 0 THEN ['', '📹 Video recorded (aligned) — v.mkv'] ELSE [] END,
   ['', '## Overview', CASE WHEN conv_id % 11 = 0 THEN '_No overview._' ELSE 'An overview' END, '', '## Key topics'], list_transform(names, lambda x: '- ' || x), ['', '## Decisions', '- ' || substr(first_text, 1, 40), '', '## Open questions', '_None._', '', '## Action items'],
@@ -156,11 +164,20 @@ r{i + 1} AS MATERIALIZED (SELECT query, node, w, {1 - damping} * w + {damping} *
 mixed AS (SELECT query, memory_id, round({alpha} * score + {1 - alpha} * r / greatest(top, 1e-300), 6) AS score FROM r{rounds} x JOIN done USING (query) JOIN sims USING (query) WHERE sims.memory_id = x.node)""")
     return SIM + "," + EDGES + ", " + ",\n".join(steps) + f"\nSELECT t.*, FALSE AS graph_censored, termination_reason FROM ({_RANK.format('mixed', k)}) t JOIN done USING (query)"
 
+OUTPUT = MERGED + ", " + GOOD + """, allowed AS (SELECT DISTINCT call_id, channel_id FROM raw_segments WHERE CAST(substr(channel_id, 2) AS INT) % 2 = 0),
+said AS (SELECT call_id, list({'speaker': speaker, 'startMs': start_ms, 'endMs': end_ms, 'text': text} ORDER BY pos) AS segments FROM shown GROUP BY 1)
+SELECT 'transcript' AS event_type, call_id, md5(json_object('type', 'transcript', 'call_id', call_id, 'channel_id', channel_id, 'segments', COALESCE(segments, []), 'region', 'discord')) AS event_md5 FROM allowed LEFT JOIN said USING (call_id)
+UNION ALL SELECT 'summary', call_id, md5(json_object('type', 'summary', 'call_id', call_id, 'summary', {'fullCall': {'overview': CASE WHEN conv_id % 11 = 0 THEN 'Call ' || call_id ELSE 'An overview' END, 'keyTopics': names, 'decisions': [substr(first_text, 1, 40)], 'openQuestions': []::VARCHAR[],
+  'actionItems': list_transform(names, lambda x: {'owner': CASE WHEN list_contains(gone, x) THEN 'unassigned' ELSE x END, 'item': 'do ' || x})},
+  'perSpeaker': list_transform(list_filter(names, lambda x: NOT list_contains(gone, x)), lambda x: {'displayName': x, 'contributions': ['spoke'], 'positionsConcerns': []::VARCHAR[], 'actionItems': [{'owner': x, 'item': 'do ' || x}]})}, 'region', 'discord'))
+FROM (SELECT g.*, COALESCE(out_names, []) AS gone FROM good g LEFT JOIN out USING (call_id)) JOIN allowed USING (call_id)"""
+
 
 SQL = {
     "parse_model_json": duck("SELECT DISTINCT call_id, conv_id % 5 <> 0 AS parsed FROM raw_segments", "raw_segments"),
-    "validate_summary": duck("SELECT DISTINCT call_id, CASE WHEN conv_id % 5 = 0 THEN '$: not JSON' WHEN conv_id % 7 = 0 THEN 'full_call.action_items: not action items' ELSE '' END AS errors FROM raw_segments", "raw_segments"),
-    "validate_with_repair": duck("SELECT DISTINCT call_id, CASE WHEN conv_id % 5 = 0 OR conv_id % 7 = 0 THEN 'rejected' ELSE 'valid' END AS state FROM raw_segments", "raw_segments"),
+    "validate_summary": duck("""SELECT call_id, CASE WHEN conv_id % 5 = 0 THEN '$: not JSON' ELSE array_to_string(list_concat(CASE WHEN conv_id % 7 = 0 THEN list_transform(range(n), lambda i: 'fullCall.actionItems.' || i || '.owner: missing') ELSE [] END,
+ CASE WHEN conv_id % 13 = 0 THEN list_transform(range(n), lambda i: 'perSpeaker.' || i || '.displayName: empty') ELSE [] END), '; ') END AS errors FROM (SELECT call_id, conv_id, count(DISTINCT display_name) AS n FROM raw_segments GROUP BY 1, 2)""", "raw_segments"),
+    "validate_with_repair": duck("SELECT DISTINCT call_id, CASE WHEN conv_id % 5 = 0 OR conv_id % 7 = 0 OR conv_id % 13 = 0 THEN 'rejected' ELSE 'valid' END AS state FROM raw_segments", "raw_segments"),
     "scrub_action_items": duck(NAMES + "SELECT call_id, CAST(i - 1 AS INT) AS idx, CASE WHEN list_contains(COALESCE(out_names, []), n) THEN 'unassigned' ELSE n END AS owner FROM (SELECT g.*, out_names, unnest(names) AS n, generate_subscripts(names, 1) AS i FROM good g LEFT JOIN out USING (call_id))", "raw_segments"),
     "scrub_speaker_sections": duck(NAMES + "SELECT call_id, COALESCE(array_to_string(list_filter(names, lambda x: NOT list_contains(COALESCE(out_names, []), x)), ','), '') AS speakers FROM good LEFT JOIN out USING (call_id)", "raw_segments"),
     "topic_action_facts": duck(NAMES + """, each AS (SELECT call_id, unnest(names) AS n FROM good), f AS (SELECT call_id, 'topic' AS kind, NULL AS owner FROM each UNION ALL SELECT call_id, 'action', n FROM each UNION ALL SELECT call_id, 'speaker', n FROM each UNION ALL SELECT call_id, 'decision', NULL FROM good)
@@ -183,11 +200,6 @@ packed AS (SELECT call_id, i, line AS cur, 0 AS part FROM lines WHERE i = 1
   UNION ALL SELECT l.call_id, l.i, CASE WHEN p.cur = '' THEN l.line WHEN length(p.cur) + 1 + length(l.line) <= 150 THEN p.cur || chr(10) || l.line ELSE l.line END, CASE WHEN p.cur = '' OR length(p.cur) + 1 + length(l.line) <= 150 THEN p.part ELSE p.part + 1 END
   FROM packed p JOIN lines l ON l.call_id = p.call_id AND l.i = p.i + 1)
 SELECT call_id, part, md5(arg_max(cur, i)) AS body_md5 FROM packed WHERE cur <> '' GROUP BY 1, 2""", "raw_segments", recursive=True),
-    "call_output_events": duck(MERGED + ", " + GOOD + """, allowed AS (SELECT DISTINCT call_id, channel_id FROM raw_segments WHERE CAST(substr(channel_id, 2) AS INT) % 2 = 0),
-said AS (SELECT call_id, to_json(list({'speaker': speaker, 'start_ms': start_ms, 'end_ms': end_ms, 'text': text} ORDER BY pos)) AS body FROM shown GROUP BY 1)
-SELECT 'transcript' AS event_type, call_id, channel_id, 'discord' AS region, md5(COALESCE(body, '[]')) AS body_md5 FROM allowed LEFT JOIN said USING (call_id)
-UNION ALL SELECT 'summary', call_id, NULL, 'discord', md5(to_json({'full_call': {'overview': CASE WHEN conv_id % 11 = 0 THEN 'Call ' || call_id ELSE 'An overview' END, 'key_topics': names, 'decisions': [substr(first_text, 1, 40)], 'open_questions': []::VARCHAR[],
-  'action_items': list_transform(names, lambda x: {'owner': CASE WHEN list_contains(gone, x) THEN 'unassigned' ELSE x END, 'item': 'do ' || x})},
-  'per_speaker': list_transform(list_filter(names, lambda x: NOT list_contains(gone, x)), lambda x: {'display_name': x, 'contributions': ['spoke'], 'positions_concerns': []::VARCHAR[], 'action_items': [{'owner': x, 'item': 'do ' || x}]})}))
-FROM (SELECT g.*, COALESCE(out_names, []) AS gone FROM good g LEFT JOIN out USING (call_id)) JOIN allowed USING (call_id)""", "raw_segments"),
+    "call_output_events": duck(OUTPUT, "raw_segments"),
+    "union_events": duck(FEED + f", called AS (WITH {OUTPUT}) SELECT event_type, source_ref, event_key, ts, md5(event) AS event_md5 FROM sent UNION ALL SELECT event_type, event_type || '|' || call_id, event_type || '|' || call_id, NULL, event_md5 FROM called", "feed", "raw_segments"),
 }

@@ -34,6 +34,24 @@ def normal(spark, d):
     return M.normalize_messages(raw(spark, d))
 
 
+def ids(spark, d):
+    """Channels and authors of raw messages, from columns that need no text."""
+    return view(spark, d, "raw_messages").select(F.coalesce("parent_id", "raw_channel_id").alias("channel_id"), "author_id", "mention_1", "mention_2")
+
+
+def feed(spark, d):
+    """Raw messages, edits and deletes with mentions and attachments."""
+    file = F.struct(F.col("media_id").alias("id"), "url", "filename", "content_type")
+    rows = view(spark, d, "feed").withColumn("mentions", F.when(F.col("mention_1").isNotNull(), F.array("mention_1", "mention_2"))).withColumn("attachments", F.when(F.col("media_id").isNotNull(), F.array(file)))
+    return rows.drop("mention_1", "mention_2", "media_id", "url", "filename", "content_type")
+
+
+def feed_consent(spark, d):
+    """(channels allowed, users opted out) of the feed."""
+    rows = view(spark, d, "feed").select(F.coalesce("parent_id", "raw_channel_id").alias("channel_id"), F.explode(F.array("author_id", "mention_1", "mention_2")).alias("author_id")).where("author_id is not null")
+    return channels(rows), optout(rows)
+
+
 def log(spark, d):
     out = view(spark, d, "message_log").withColumn("source_ref", M.source_ref())
     return out.withColumn("event_key", M.event_key(F.col("kind"), F.col("source_ref"), F.col("ts")))
@@ -50,13 +68,12 @@ def backfilled(spark, d):
     first = M.history_pages(rows).where("page < 3")
     rest = M.history_pages(rows, M.next_cursors(first))
     walked = first.unionByName(rest)
-    stored = M.gate_with_reason(walked, channels(rows), optout(rows)).where("skip_reason is null")
+    stored = M.gate_with_reason(walked, channels(ids(spark, d)), optout(ids(spark, d))).where("skip_reason is null")
     return M.message_events(stored).select("event_type", "source_ref", "ts", "author_id")
 
 
 def gated(spark, d):
-    rows = normal(spark, d)
-    return M.gate_with_reason(rows, channels(rows), optout(rows))
+    return M.gate_with_reason(normal(spark, d), channels(ids(spark, d)), optout(ids(spark, d)))
 
 
 ALLOWED = "CAST(substr(channel_id, 2) AS INT) % 2 = 0"
@@ -77,34 +94,54 @@ LATEST = LOG + """, newest AS (
 latest AS (SELECT * FROM newest WHERE source_ref NOT IN (SELECT source_ref FROM log WHERE kind = 'delete'))"""
 
 
+ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')"
+MEDIA = f"CASE WHEN content_type <> '' THEN content_type LIKE 'image/%' OR content_type LIKE 'video/%' ELSE regexp_matches(filename, '{T.MEDIA_FILE}') END"
+#: What leaves for the store of the feed: event_type, source_ref, event_key, ts, message_id and event.
+FEED = f"""said AS (SELECT *, {REF} AS source_ref FROM (SELECT *, COALESCE(parent_id, raw_channel_id) AS channel_id, CASE WHEN parent_id IS NOT NULL THEN raw_channel_id END AS thread_id, COALESCE(member_name, username, author_id) AS author_name
+  FROM feed WHERE kind <> 'delete' AND NOT is_partial AND NOT author_is_bot AND NOT is_system AND guild_id IS NOT NULL AND (trim(content) <> '' OR media_id IS NOT NULL))),
+let AS (SELECT * FROM said WHERE {ALLOWED} AND NOT ({OUT})),
+sent AS (SELECT 'message' AS event_type, source_ref, CASE kind WHEN 'edit' THEN source_ref || '|edit|' || epoch_us(ts) ELSE source_ref END AS event_key, ts, message_id,
+  '{{"type":"message","message_id":"' || message_id || '","channel_id":"' || channel_id || '","author_id":"' || author_id || '","author_name":"' || author_name || '","content":' || to_json(content) || ',"guild_id":"' || guild_id || '"' || COALESCE(',"thread_id":"' || thread_id || '"', '')
+  || COALESCE(',"reply_to":"' || reply_to || '"', '') || ',"mentions":' || to_json(CASE WHEN mention_1 IS NULL THEN [] ELSE list_filter([mention_1, mention_2], lambda x: CAST(substr(x, 2) AS INT) % 10 <> 3) END) || ',"edited":' || (kind = 'edit') || ',"timestamp":"' || {ISO} || '","region":"discord"}}' AS event
+  FROM let WHERE trim(content) <> ''
+UNION ALL SELECT 'media', 'media|' || media_id, 'media|' || media_id, ts, message_id, '{{"type":"media","media_id":"' || media_id || '","url":"' || url || '","filename":"' || filename || '"' || COALESCE(',"content_type":"' || content_type || '"', '') || ',"channel_id":"' || channel_id || '","message_id":"' || message_id || '","region":"discord"}}'
+  FROM let WHERE media_id IS NOT NULL AND {MEDIA}
+UNION ALL SELECT 'member', 'member|' || author_id, 'member|' || author_id, ts, NULL, '{{"type":"member","member_id":"' || author_id || '","display_name":"' || author_name || '","region":"discord"}}'
+  FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY ts, message_id) AS rn FROM said) WHERE rn = 1 AND NOT ({OUT})
+UNION ALL SELECT 'tombstone-request', {REF}, {REF} || '|delete', ts, message_id, '{{"type":"tombstone-request","target":"' || {REF} || '","reason":"discord message deleted"}}'
+  FROM (SELECT *, COALESCE(parent_id, raw_channel_id) AS channel_id FROM feed WHERE kind = 'delete' AND guild_id IS NOT NULL))
+"""
+
+
 def _digest(df, *cols):
     """Long texts by digest, so that results stay small."""
     return df.select(*cols, F.md5("content").alias("content_md5"))
 
 
-def _events(spark, d):
-    lg = log(spark, d)
-    message = M.gate_member(M.gate_channel(lg.where("kind in ('create', 'edit')"), channels(lg)), optout(lg)).select(F.lit("message").alias("event_type"), "source_ref", F.lit(M.REGION).alias("region"), "ts", "author_id")
-    member = M.member_events(M.first_seen_members(lg.where("kind = 'member'"), ["ts", "event_id"]), optout(lg))
-    allowed = M.gate_member(M.gate_channel(lg.where("kind = 'media'"), channels(lg)), optout(lg))
-    media = allowed.select(F.lit("media").alias("event_type"), F.concat(F.lit("media|"), F.col("event_id").cast("string")).alias("source_ref"), F.lit(M.REGION).alias("region"), "ts", "author_id")
-    return M.union_events(message, member, media, M.tombstone_events(lg.where("kind = 'delete'")))
+def _payload(df, *cols):
+    """JSON by digest."""
+    return df.select(*cols, F.md5(M.payload(df)).alias("event_md5"))
+
+
+def events(spark, d):
+    """All that leaves for the store of the feed."""
+    return M.ingest(feed(spark, d), *feed_consent(spark, d), members=True)
 
 
 QUERIES = {
     "normalize_messages": lambda s, d: _digest(normal(s, d), "message_id", "guild_id", "channel_id", "thread_id", "author_id", "author_name", "ts", "reply_to", F.array_join("mentions", ",").alias("mentions")),
     "normalize_deletes": lambda s, d: M.normalize_deletes(view(s, d, "message_log").where("kind = 'delete'").withColumn("guild_id", F.when(F.col("event_id") % 23 != 0, "g1"))),
-    "message_events": lambda s, d: _digest(M.message_events(normal(s, d)), "event_type", "source_ref", "region", "ts", "author_id", "edited"),
-    "media_events": lambda s, d: M.media_events(view(s, d, "attachments")),
-    "tombstone_events": lambda s, d: M.tombstone_events(view(s, d, "message_log").where("kind = 'delete'")),
-    "member_events": lambda s, d: M.member_events(M.first_seen_members(log(s, d), ["ts", "event_id"]), optout(log(s, d))),
+    "message_events": lambda s, d: _payload(M.message_events(M.scrub_mentions(normal(s, d), optout(ids(s, d).select(F.explode(F.array("mention_1", "mention_2")).alias("mention")), "mention"))), "event_type", "source_ref", "ts"),
+    "media_events": lambda s, d: _payload(M.media_events(view(s, d, "attachments").withColumn("channel_id", F.concat(F.lit("c"), F.substring("message_id", -1, 1)))), "event_type", "source_ref", "filename", "content_type"),
+    "tombstone_events": lambda s, d: _payload(M.tombstone_events(view(s, d, "message_log").where("kind = 'delete'")), "event_type", "source_ref", "region", "ts"),
+    "member_events": lambda s, d: _payload(M.member_events(M.first_seen_members(log(s, d).withColumn("author_name", F.concat(F.lit("Nick "), "author_id")), ["ts", "event_id"]), optout(log(s, d))), "event_type", "source_ref", "region", "ts", "author_id"),
     "route_inbound": lambda s, d: M.route_inbound(raw(s, d), AGENT).select("message_id", "author_id", F.col("guild_id").isNull().alias("is_dm")),
     "render_inbound": lambda s, d: view(s, d, "emails").select("uid", F.md5(M.render_inbound(F.when(F.col("uid") % 3 == 0, "email").when(F.col("uid") % 3 == 1, "channel").otherwise("dm"), F.col("from_name"), F.col("subject"), F.col("mailbox"))).alias("rendered_md5")),
     "display_names": lambda s, d: M.latest_names(raw(s, d).select(F.coalesce("parent_id", "raw_channel_id").alias("call_id"), F.col("author_id").alias("user_id"), F.coalesce("member_name", F.lit("")).alias("name"), "ts", F.col("seq").alias("event_id"))),
-    "gate_channel": lambda s, d: M.gate_channel(normal(s, d), channels(normal(s, d))).select("message_id", "channel_id"),
-    "gate_member": lambda s, d: M.gate_member(normal(s, d), optout(normal(s, d))).select("message_id", "author_id"),
+    "gate_channel": lambda s, d: M.gate_channel(normal(s, d), channels(ids(s, d))).select("message_id", "channel_id"),
+    "gate_member": lambda s, d: M.gate_member(normal(s, d), optout(ids(s, d))).select("message_id", "author_id"),
     "gate_with_reason": lambda s, d: gated(s, d).select("message_id", "channel_id", "author_id", "skip_reason"),
-    "scrub_mentions": lambda s, d: M.scrub_mentions(normal(s, d), optout(normal(s, d).select(F.explode("mentions").alias("mention")), "mention")).select("message_id", F.array_join("mentions", ",").alias("mentions")),
+    "scrub_mentions": lambda s, d: M.scrub_mentions(normal(s, d), optout(ids(s, d).select(F.explode(F.array("mention_1", "mention_2")).alias("mention")), "mention")).select("message_id", F.array_join("mentions", ",").alias("mentions")),
     "dedupe_against_store": lambda s, d: M.dedupe_against_store(log(s, d), log(s, d).where("event_id % 3 = 0"), ["ts", "event_id"]).select("event_key", "event_id", "kind"),
     "reply_edges": lambda s, d: M.reply_edges(normal(s, d)),
     "skip_report": lambda s, d: M.skip_report(gated(s, d)),
@@ -115,7 +152,7 @@ QUERIES = {
     "walk_targets": lambda s, d: M.walk_targets(raw(s, d)),
     "first_seen_members": lambda s, d: M.first_seen_members(log(s, d), ["ts", "event_id"]).select("author_id", "event_id", "ts"),
     "latest_version": lambda s, d: M.latest_version(log(s, d)).select("source_ref", "event_id", "kind", "ts", "value"),
-    "union_events": lambda s, d: _events(s, d),
+    "ingest": lambda s, d: events(s, d).select("event_type", "source_ref", "event_key", "ts", F.md5("event").alias("event_md5")),
     "live_union_history": lambda s, d: M.live_union_history(log(s, d).where("event_id % 5 < 3"), log(s, d).where("event_id % 5 >= 2")).select("source_ref", "event_id", "kind", "ts"),
     "scalar_messages": lambda s, d: raw(s, d).select("message_id", T.estimate_tokens(F.col("content")).alias("tokens"), F.md5(T.truncate_tokens(F.col("content"), 10)).alias("cut_md5"), F.md5(T.truncate_ellipsis(F.col("content"), 50)).alias("short_md5"), F.md5(T.segment_line(F.col("username"), F.col("content"))).alias("line_md5"), T.message_source_ref(F.col("raw_channel_id"), F.col("message_id")).alias("source_ref"), F.md5(T.ws_trim(F.col("content"))).alias("trim_md5"), F.md5(T.thread_name(F.col("content"))).alias("thread_md5")),
 }
@@ -124,11 +161,14 @@ N = ("raw_messages",)
 SQL = {
     "normalize_messages": duck(NORMAL + "SELECT message_id, guild_id, channel_id, thread_id, author_id, author_name, ts, reply_to, mention_1 || ',' || mention_2 AS mentions, md5(content) AS content_md5 FROM normal", *N),
     "normalize_deletes": duck("SELECT 'g1' AS guild_id, channel_id, message_id, ts FROM message_log WHERE kind = 'delete' AND event_id % 23 <> 0", "message_log"),
-    "message_events": duck(NORMAL + f"SELECT 'message' AS event_type, {REF} AS source_ref, 'discord' AS region, ts, author_id, FALSE AS edited, md5(content) AS content_md5 FROM normal", *N),
-    "media_events": duck("""SELECT 'media' AS event_type, 'media|' || media_id AS source_ref, 'discord' AS region, message_id, url, filename FROM attachments
-WHERE CASE WHEN content_type <> '' THEN content_type LIKE 'image/%' OR content_type LIKE 'video/%' ELSE regexp_matches(filename, '(?i)\\.(mp4|mov|mkv|webm|avi|png|jpe?g|gif|webp)$') END""", "attachments"),
-    "tombstone_events": duck(f"SELECT 'tombstone-request' AS event_type, {REF} AS source_ref, 'discord' AS region, ts FROM message_log WHERE kind = 'delete'", "message_log"),
-    "member_events": duck(f"SELECT 'member' AS event_type, 'member|' || author_id AS source_ref, 'discord' AS region, ts, author_id FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY ts, event_id) AS rn FROM message_log) WHERE rn = 1 AND NOT ({OUT})", "message_log"),
+    "message_events": duck(NORMAL + f"""SELECT 'message' AS event_type, {REF} AS source_ref, ts, md5('{{"type":"message","message_id":"' || message_id || '","channel_id":"' || channel_id || '","author_id":"' || author_id || '","author_name":"' || author_name || '","content":' || to_json(content) || ',"guild_id":"' || guild_id
+ || '"' || COALESCE(',"thread_id":"' || thread_id || '"', '') || COALESCE(',"reply_to":"' || reply_to || '"', '') || ',"mentions":' || to_json(list_filter([mention_1, mention_2], lambda x: CAST(substr(x, 2) AS INT) % 10 <> 3)) || ',"edited":false,"timestamp":"' || {ISO} || '","region":"discord"}}') AS event_md5 FROM normal""", *N),
+    "media_events": duck(f"""SELECT 'media' AS event_type, 'media|' || media_id AS source_ref, filename, content_type, md5('{{"type":"media","media_id":"' || media_id || '","url":' || to_json(url) || ',"filename":"' || filename || '"' || COALESCE(',"content_type":"' || content_type || '"', '')
+ || ',"channel_id":"c' || right(message_id, 1) || '","message_id":"' || message_id || '","region":"discord"}}') AS event_md5 FROM attachments WHERE {MEDIA}""", "attachments"),
+    "tombstone_events": duck(f"""SELECT 'tombstone-request' AS event_type, {REF} AS source_ref, 'discord' AS region, ts, md5('{{"type":"tombstone-request","target":"' || {REF} || '","reason":"discord message deleted"}}') AS event_md5 FROM message_log WHERE kind = 'delete'""", "message_log"),
+    "member_events": duck(f"""SELECT 'member' AS event_type, 'member|' || author_id AS source_ref, 'discord' AS region, ts, author_id, md5('{{"type":"member","member_id":"' || author_id || '","display_name":"Nick ' || author_id || '","region":"discord"}}') AS event_md5
+FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY ts, event_id) AS rn FROM message_log) WHERE rn = 1 AND NOT ({OUT})""", "message_log"),
+    "ingest": duck(FEED + "SELECT event_type, source_ref, event_key, ts, md5(event) AS event_md5 FROM sent", "feed"),
     "route_inbound": duck("SELECT message_id, author_id, guild_id IS NULL AS is_dm FROM raw_messages WHERE NOT author_is_bot AND NOT is_system AND (guild_id IS NULL OR mention_1 = 'u0' OR mention_2 = 'u0')", *N),
     "render_inbound": duck("""SELECT uid, md5(CASE uid % 3 WHEN 0 THEN 'Email from ' || from_name || chr(10) || 'Subject: ' || COALESCE(subject, '(no subject)') || chr(10) || chr(10) || mailbox
 WHEN 1 THEN 'Channel message from ' || from_name || ':' || chr(10) || mailbox ELSE 'Direct message from ' || from_name || ':' || chr(10) || mailbox END) AS rendered_md5 FROM emails""", "emails"),
@@ -147,10 +187,6 @@ WHEN 1 THEN 'Channel message from ' || from_name || ':' || chr(10) || mailbox EL
     "walk_targets": duck("SELECT DISTINCT raw_channel_id AS target_id, COALESCE(parent_id, raw_channel_id) AS channel_id, CASE WHEN parent_id IS NULL THEN 'channel' ELSE 'thread' END AS kind FROM raw_messages", *N),
     "first_seen_members": duck("SELECT author_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY ts, event_id) AS rn FROM message_log) WHERE rn = 1", "message_log"),
     "latest_version": duck(LATEST + "SELECT source_ref, event_id, kind, ts, value FROM latest", "message_log"),
-    "union_events": duck(LOG + f"""SELECT 'message' AS event_type, source_ref, 'discord' AS region, ts, author_id FROM log WHERE kind IN ('create', 'edit') AND {ALLOWED} AND NOT ({OUT})
-UNION ALL SELECT 'member', 'member|' || author_id, 'discord', ts, author_id FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY ts, event_id) AS rn FROM log WHERE kind = 'member') WHERE rn = 1 AND NOT ({OUT})
-UNION ALL SELECT 'media', 'media|' || event_id, 'discord', ts, author_id FROM log WHERE kind = 'media' AND {ALLOWED} AND NOT ({OUT})
-UNION ALL SELECT 'tombstone-request', source_ref, 'discord', ts, NULL FROM log WHERE kind = 'delete'""", "message_log"),
     "live_union_history": duck(LOG + """, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY ts, event_id) AS n FROM log) WHERE n = 1),
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_ref ORDER BY ts DESC, event_id DESC) AS rn FROM once WHERE kind IN ('create', 'edit')) WHERE rn = 1)
 SELECT source_ref, event_id, kind, ts FROM newest WHERE source_ref NOT IN (SELECT source_ref FROM once WHERE kind = 'delete')""", "message_log"),

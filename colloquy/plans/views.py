@@ -33,6 +33,21 @@ SELECT event_id, ts, CONCAT('u', CAST(user_id AS STRING)) AS author_id,
        CONCAT('m', regexp_extract(props, '([0-9]+)', 1)) AS message_id,
        CASE event_type WHEN 'view' THEN 'create' WHEN 'click' THEN 'edit' WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'member' ELSE 'media' END AS kind,
        value
+FROM events""",
+    "feed": """
+SELECT event_id AS seq, ts, CASE WHEN event_id % 23 = 0 THEN NULL ELSE 'g1' END AS guild_id,
+       CASE WHEN event_id % 11 = 0 THEN CONCAT('t', CAST(event_id % 49 AS STRING)) ELSE CONCAT('c', CAST(user_id % 12 AS STRING)) END AS raw_channel_id,
+       CASE WHEN event_id % 11 = 0 THEN CONCAT('c', CAST(user_id % 12 AS STRING)) END AS parent_id,
+       CONCAT('u', CAST(user_id AS STRING)) AS author_id, user_id % 37 = 36 AS author_is_bot, event_id % 31 = 0 AS is_system, event_id % 29 = 0 AS is_partial,
+       CASE WHEN user_id % 5 = 0 THEN NULL ELSE CONCAT('Nick ', CAST(user_id AS STRING)) END AS member_name, CONCAT('user', CAST(user_id AS STRING)) AS username,
+       CASE event_type WHEN 'click' THEN 'edit' WHEN 'error' THEN 'delete' ELSE 'create' END AS kind,
+       CONCAT('m', CAST(CASE WHEN event_type IN ('click', 'error') THEN event_id - event_id % 4 ELSE event_id END AS STRING)) AS message_id,
+       CASE WHEN event_type = 'purchase' THEN ' ' ELSE CONCAT('said "', CAST(event_id AS STRING), '"') END AS content,
+       CASE WHEN event_id % 3 = 0 THEN CONCAT('m', CAST(event_id - 1 AS STRING)) END AS reply_to,
+       CASE WHEN event_id % 2 = 0 THEN CONCAT('u', CAST((user_id + 7) % 50 AS STRING)) END AS mention_1, CASE WHEN event_id % 2 = 0 THEN CONCAT('u', CAST(event_id % 50 AS STRING)) END AS mention_2,
+       CASE WHEN event_type = 'purchase' THEN CONCAT('a', CAST(event_id AS STRING)) END AS media_id, CONCAT('https://files/', CAST(event_id AS STRING)) AS url,
+       CASE event_id % 3 WHEN 0 THEN 'clip.MP4' WHEN 1 THEN 'notes.txt' ELSE 'x.webp' END AS filename,
+       CASE event_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'text/plain' END AS content_type
 FROM events""",
     "raw_segments": """
 SELECT CONCAT('call-', CAST(conv_id AS STRING)) AS call_id, conv_id,

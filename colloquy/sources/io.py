@@ -8,16 +8,15 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from . import contracts as C
 from . import validate
 
-TRACK = "struct<user_id:string,display_name:string,path:string,start_offset_ms:bigint>"
-VIDEO = "struct<path:string,started_at:string,start_offset_ms:bigint>"
-CALL = f"call_id string, guild_id string, channel_id string, started_at string, ended_at string, tracks array<{TRACK}>, video {VIDEO}, _corrupt string"
-STATUS = "call_id string, status string, updated_at string, error string, thread_id string, emailed_at string, _corrupt string"
+#: File names of a call's documents.
+MANIFEST_FILE, STATUS_FILE, TRANSCRIPT_FILE, SUMMARY_FILE = "manifest.json", "status.json", "transcript.json", "summary.json"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,38 +33,58 @@ def checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
-    """JSON documents under ``path``, one a file or, with ``lines``, one a line; an absent path is an empty table."""
-    reader = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True)
+def scan_documents(spark: SparkSession, path: str, contract: C.Contract, name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents under ``path`` that keep the contract, as typed columns; file, value and errors of those that don't).
+
+    With ``name``, each file of that name in any folder is one document, and
+    other files are left alone; without, each line of each file is one. ``file``
+    is where a document was. An absent path is an empty table.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    if name:
+        reader = reader.option("pathGlobFilter", name)
     try:
-        return reader.json(path).withColumn("file", F.col("_metadata.file_path"))
+        text = reader.text(path, wholetext=bool(name)).select("value", F.col("_metadata.file_path").alias("file"))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema + ", file string")
+        text = spark.createDataFrame([], "value string, file string")
+    marked = text.withColumn("_v", F.try_parse_json("value")).withColumn("errors", document_errors(contract, F.col("_v")))
+    good = marked.where("errors = ''").select(C.parsed(contract, F.col("_v")).alias("d"), "file").select("d.*", "file")
+    return good, marked.where("errors <> ''").select("file", "value", "errors")
+
+
+def document_errors(contract: C.Contract, v: Column) -> Column:
+    """Issues of a parsed document on one line, empty if it is valid; null is not JSON."""
+    return F.when(v.isNull(), F.lit("$: not JSON")).otherwise(validate.format_issues(C.problems(contract, v)))
 
 
 def scan_calls(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(valid manifests, rejected ones with errors); what isn't JSON is among the rejected."""
-    docs = _documents(spark, path, CALL, lines)
-    errors = F.when(F.col("_corrupt").isNotNull(), F.lit("$: not JSON")).otherwise(validate.manifest_errors())
-    good, bad = validate.split(docs, errors)
-    return good.drop("_corrupt"), bad
+    """(valid manifests, rejected ones with errors)."""
+    return scan_documents(spark, path, C.MANIFEST, None if lines else MANIFEST_FILE)
 
 
 def scan_status(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid status documents, rejected ones with errors)."""
-    docs = _documents(spark, path, STATUS, lines)
-    errors = F.when(F.col("_corrupt").isNotNull(), F.lit("$: not JSON")).otherwise(validate.status_errors())
-    good, bad = validate.split(docs, errors)
-    return good.drop("_corrupt"), bad
+    return scan_documents(spark, path, C.STATUS, None if lines else STATUS_FILE)
+
+
+def scan_transcripts(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(valid merged transcripts, rejected ones with errors)."""
+    return scan_documents(spark, path, C.TRANSCRIPT, None if lines else TRANSCRIPT_FILE)
+
+
+def scan_summaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(valid summaries with the call_id that their folder names, rejected ones with errors)."""
+    good, bad = scan_documents(spark, path, C.SUMMARY, SUMMARY_FILE)
+    return good.withColumn("call_id", F.element_at(F.split("file", "/"), -2)), bad
 
 
 def consent_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bool]:
     """(channels, opted-out users, whether all channels are allowed) of a small JSON file.
 
     A missing file denies everything; missing keys take their defaults; a
-    malformed file or a key of the wrong kind is an error.
+    malformed file, a key of the wrong kind or an empty id is an error.
     """
     try:
         text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect())
@@ -79,6 +98,8 @@ def consent_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     every, channels, out = config.get("allowAllChannels", False), config.get("allowChannels", []), config.get("optOutMembers", [])
     if not isinstance(every, bool) or not all(isinstance(x, list) and all(isinstance(y, str) for y in x) for x in (channels, out)):
         raise ValueError("consent: a key has the wrong kind")
+    if "" in channels or "" in out:
+        raise ValueError("consent: an id is empty")
     return spark.createDataFrame([(c,) for c in channels], "channel_id string"), spark.createDataFrame([(u,) for u in out], "user_id string"), every
 
 

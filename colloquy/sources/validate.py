@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import STATUSES
-
 #: UTC times only: an offset other than Z is refused.
 ISO_Z = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
 
@@ -37,20 +35,3 @@ def segment_errors() -> Column:
     return format_issues(issues(
         ("speaker", _missing(F.col("speaker")), "empty"), ("start_ms", F.col("start_ms").isNull() | (F.col("start_ms") < 0), "negative"),
         ("end_ms", F.col("end_ms") < F.col("start_ms"), "before start_ms"), ("end_ms", F.col("end_ms").isNull() | (F.col("end_ms") < 0), "negative")))
-
-
-def status_errors(status: str = "status", updated_at: str = "updated_at", emailed_at: str = "emailed_at") -> Column:
-    """Of a status document with times as text."""
-    return format_issues(issues(
-        ("status", ~F.coalesce(F.col(status), F.lit("")).isin(*STATUSES), "not a status"), ("updated_at", ~F.coalesce(F.col(updated_at), F.lit("")).rlike(ISO_Z), "not an ISO time"),
-        ("emailed_at", F.col(emailed_at).isNotNull() & ~F.col(emailed_at).rlike(ISO_Z), "not an ISO time")))
-
-
-def manifest_errors() -> Column:
-    """Of a manifest with call_id, guild_id, channel_id, started_at and ended_at as text, tracks and video."""
-    bad_track = F.exists("tracks", lambda t: _missing(t["user_id"]) | _missing(t["display_name"]) | _missing(t["path"]) | (F.coalesce(t["start_offset_ms"], F.lit(-1)) < 0))
-    video = F.col("video").isNotNull() & (_missing(F.col("video.path")) | ~F.coalesce(F.col("video.started_at"), F.lit("")).rlike(ISO_Z) | F.col("video.start_offset_ms").isNull())
-    return format_issues(issues(
-        ("call_id", _missing(F.col("call_id")), "empty"), ("guild_id", _missing(F.col("guild_id")), "empty"), ("channel_id", _missing(F.col("channel_id")), "empty"),
-        ("started_at", ~F.coalesce(F.col("started_at"), F.lit("")).rlike(ISO_Z), "not an ISO time"), ("ended_at", F.col("ended_at").isNotNull() & ~F.col("ended_at").rlike(ISO_Z), "not an ISO time"),
-        ("tracks", F.col("tracks").isNull(), "missing"), ("tracks", bad_track, "a track is not valid"), ("video", video, "not valid")))

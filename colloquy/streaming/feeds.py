@@ -29,17 +29,38 @@ def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], Non
     query.awaitTermination()
 
 
-def message_envelopes(log: DataFrame, channels: DataFrame, optout: DataFrame, allow_all: bool = False) -> DataFrame:
-    """What is stored of a message log (event_id, ts, author_id, channel_id, message_id, kind): gated creates and edits, and every delete."""
-    log = log.withColumn("source_ref", M.source_ref()).withColumn("event_key", M.event_key(F.col("kind"), F.col("source_ref"), F.col("ts")))
-    spoken = M.gate_member(M.gate_channel(log.where("kind in ('create', 'edit')"), channels, allow_all), optout)
-    cols = ["event_key", "source_ref", "kind", "event_id", "ts"]
-    return spoken.select(*cols).unionByName(log.where("kind = 'delete'").select(*cols))
+def feed_errors():
+    """What a raw message, edit or delete lacks to be taken in."""
+    lacks = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    return format_issues(issues(("message_id", lacks("message_id"), "missing"), ("ts", F.col("ts").isNull(), "missing"), ("kind", ~F.coalesce(F.col("kind").isin("create", "edit", "delete"), F.lit(False)), "unknown")))
+
+
+def _split(df: DataFrame, rejected: str) -> DataFrame:
+    """The rows without errors; the others go to ``rejected``, once however often they come."""
+    marked = df.withColumn("errors", feed_errors())
+    bad = marked.where("errors <> ''").withColumn("event_key", F.xxhash64("message_id", "ts", "kind", "content").cast("string"))
+    sink_events_idempotent(bad, rejected, ["event_key"])
+    return marked.where("errors = ''").drop("errors")
+
+
+#: Numbers of message ids that share a partition of the event table.
+SLOT = 10_000
+
+
+def stream_ingest(stream: DataFrame, channels: DataFrame, optout: DataFrame, target: str, rejected: str, checkpoint: str, allow_all: bool = False, members: bool = True, width: int = SLOT) -> None:
+    """A live feed of raw messages, edits and deletes to the event table, by operators.messages.ingest().
 
+    Rows without an id, a time or a known kind go to ``rejected`` with their
+    errors. The table is partitioned by the slot of the message's id, so that a
+    micro-batch looks into the slots that it touches and into no others,
+    however large the table has grown. A repeated delivery changes nothing.
+    """
+    def each(df: DataFrame, _: int) -> None:
+        events = M.ingest(_split(df, rejected), channels, optout, allow_all, members)
+        rows = events.select("event_key", "event_type", "source_ref", "ts", "event", M.slot(F.coalesce("message_id", F.lit("")), width).alias("slot"))
+        sink_events_idempotent(rows, target, ["ts", "event"], within="slot")
 
-def stream_ingest(stream: DataFrame, channels: DataFrame, optout: DataFrame, target: str, checkpoint: str) -> None:
-    """Live feed to the event table, by the functions of the batch path."""
-    run(stream, checkpoint, lambda df, _: sink_events_idempotent(message_envelopes(df, channels, optout), target, ["ts", "event_id"]))
+    run(stream, checkpoint, each)
 
 
 def stream_quarantine(stream: DataFrame, errors, target: str, rejected: str, checkpoint: str) -> None:
@@ -52,25 +73,19 @@ def stream_quarantine(stream: DataFrame, errors, target: str, rejected: str, che
     run(stream, checkpoint, each)
 
 
-def stream_messages(stream: DataFrame, target: str, rejected: str, checkpoint: str) -> None:
-    """A feed of raw messages with ``kind`` (create, edit or delete) to one table of creates, edits and deletes.
+def stream_messages(stream: DataFrame, channels: DataFrame, optout: DataFrame, target: str, rejected: str, checkpoint: str, allow_all: bool = False, width: int = SLOT) -> None:
+    """A feed of raw messages with ``kind`` (create, edit or delete) to one table of normalised creates, edits and deletes.
 
-    Rows without an id, a time or a known kind go to ``rejected`` with their
-    errors; what the batch functions leave out is left out. A repeated delivery
-    changes nothing.
+    Consent is asked of creates and edits, and their mentions are kept without
+    those who opted out. Rejected rows, replays and slots as in stream_ingest().
     """
-    lacks = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
-    errors = format_issues(issues(("message_id", lacks("message_id"), "missing"), ("ts", F.col("ts").isNull(), "missing"), ("kind", ~F.coalesce(F.col("kind").isin("create", "edit", "delete"), F.lit(False)), "unknown")))
-
     def each(df: DataFrame, _: int) -> None:
-        marked = df.withColumn("errors", errors)
-        good = marked.where("errors = ''").drop("errors")
-        spoken = [M.normalize_messages(good.where(F.col("kind") == kind)).drop("mentions").withColumn("kind", F.lit(kind)) for kind in ("create", "edit")]
+        good = _split(df, rejected)
+        spoken = M.normalize_messages(good.where("kind <> 'delete'"), keep=["kind"])
+        let = M.scrub_mentions(M.gate_member(M.gate_channel(spoken, channels, allow_all), optout), optout)
         gone = M.normalize_deletes(good.where("kind = 'delete'").withColumn("channel_id", F.col("raw_channel_id"))).withColumn("kind", F.lit("delete"))
-        rows = spoken[0].unionByName(spoken[1]).unionByName(gone, allowMissingColumns=True)
-        sink_events_idempotent(rows.withColumn("event_key", M.event_key(F.col("kind"), M.source_ref(), F.col("ts"))), target, ["ts", "message_id"])
-        bad = marked.where("errors <> ''").withColumn("event_key", F.xxhash64("message_id", "ts", "kind", "content").cast("string"))
-        sink_events_idempotent(bad, rejected, ["event_key"])
+        rows = let.unionByName(gone, allowMissingColumns=True).withColumn("event_key", M.event_key(F.col("kind"), M.source_ref(), F.col("ts")))
+        sink_events_idempotent(rows.withColumn("slot", M.slot(F.col("message_id"), width)), target, ["ts", "message_id"], within="slot")
 
     run(stream, checkpoint, each)
 

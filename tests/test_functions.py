@@ -99,11 +99,12 @@ def test_reply_with_memories(spark):
 
 def test_summary_markdown(spark):
     from colloquy.operators import summary as S
+    from colloquy.sources import contracts as C
 
     item = '{"owner": "Ada", "item": "write"}'
-    speaker = '{"display_name": "Ada", "contributions": ["spoke"], "positions_concerns": [], "action_items": [%s]}' % item
-    body = '{"full_call": {"overview": " ", "key_topics": ["a", "b"], "decisions": [], "open_questions": [], "action_items": [%s]}, "per_speaker": [%s]}'
-    parsed = lambda s: F.from_json(F.lit(s), S.SUMMARY)
+    speaker = '{"displayName": "Ada", "contributions": ["spoke"], "positionsConcerns": [], "actionItems": [%s]}' % item
+    body = '{"fullCall": {"overview": " ", "keyTopics": ["a", "b"], "decisions": [], "openQuestions": [], "actionItems": [%s]}, "perSpeaker": [%s]}'
+    parsed = lambda s: C.parsed(C.SUMMARY, F.parse_json(F.lit(s)))
     got = one(spark, full=S.render_summary_md(parsed(body % (item, speaker)), F.lit("v.mkv")), bare=S.render_summary_md(parsed(body % ("", "")), F.lit(None).cast("string")))
     head = "\n\n## Overview\n_No overview._\n\n## Key topics\n- a\n- b\n\n## Decisions\n_None._\n\n## Open questions\n_None._\n\n## Action items\n"
     assert got["full"] == "# Call summary\n\n📹 Video recorded (aligned) — v.mkv" + head + "- **Ada:** write\n\n## Per-speaker\n\n### Ada\n**Contributions**\n- spoke\n**Positions / concerns**\n_None._\n**Action items**\n- **Ada:** write"

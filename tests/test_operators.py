@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from colloquy.operators import recall as R
 from colloquy.operators import summary as S
 from colloquy.operators import transcript as C
 from colloquy.operators import voice as V
+from colloquy.sources import contracts as D
 from colloquy.sources import io, validate
 
 
@@ -159,11 +161,11 @@ def test_outbox_stops_at_the_first_transient_failure(spark):
 
 
 def summary(**over):
-    full = {"overview": "o", "key_topics": ["t"], "decisions": [], "open_questions": [], "action_items": [{"owner": "Ada", "item": "i"}]}
-    return json.dumps({"full_call": full | over, "per_speaker": [{"display_name": "Ada", "contributions": ["x"], "positions_concerns": [], "action_items": []}]})
+    full = {"overview": "o", "keyTopics": ["t"], "decisions": [], "openQuestions": [], "actionItems": [{"owner": "Ada", "item": "i"}]}
+    return json.dumps({"fullCall": full | over, "perSpeaker": [{"displayName": "Ada", "contributions": ["x"], "positionsConcerns": [], "actionItems": []}]})
 
 
-@pytest.mark.parametrize(("raw", "good"), [(summary(), True), (f"```json\n{summary()}\n```", True), (summary(overview=5), False), (summary(key_topics=[1]), False), (summary(action_items=[{"item": "i"}]), False), ("{", False), (None, False), ("[]", False)])
+@pytest.mark.parametrize(("raw", "good"), [(summary(), True), (f"```json\n{summary()}\n```", True), (summary(overview=5), False), (summary(keyTopics=[1]), False), (summary(actionItems=[{"item": "i"}]), False), (summary(actionItems=[{"owner": "", "item": "i"}]), False), ("{", False), (None, False), ("[]", False)])
 def test_summaries_are_strict(spark, raw, good):
     df = spark.createDataFrame([("c", raw)], "call_id string, raw string")
     valid, bad = S.validated(df)
@@ -190,18 +192,155 @@ def test_consent_file(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"allowChannels": ["c1"]}')
     assert io.consent_source(spark, str(tmp_path / "c.json"))[0].count() == 1
     (tmp_path / "bad.json").write_text('{"allowChannels": "c1"}')
-    with pytest.raises(ValueError):
-        io.consent_source(spark, str(tmp_path / "bad.json"))
+    (tmp_path / "empty.json").write_text('{"optOutMembers": [""]}')
+    for name in ("bad", "empty"):
+        with pytest.raises(ValueError):
+            io.consent_source(spark, str(tmp_path / f"{name}.json"))
+
+
+MANIFEST = {
+    "callId": "2024-03-01T10-00-00-000Z--77", "guildId": "g1", "channelId": "77", "startedAt": "2024-03-01T10:00:00.000Z", "endedAt": "2024-03-01T10:30:00.250Z",
+    "tracks": [{"userId": "u1", "displayName": "Ada", "path": "audio/u1.pcm", "startOffsetMs": 0}, {"userId": "u2", "displayName": "Bo", "path": "audio/u2.pcm", "startOffsetMs": 1500}],
+    "video": {"path": "video.mp4", "startedAt": "2024-03-01T09:59:58.000Z", "startOffsetMs": -2000},
+}
+STATUS = {"callId": "a", "status": "failed", "updatedAt": "2024-03-01T10:31:00.000Z", "error": "no audio", "threadId": "99"}
+
+
+def folder(base, name, **files):
+    (base / name / "audio").mkdir(parents=True)
+    for file, body in files.items():
+        (base / name / file.replace("_", ".")).write_text(body if isinstance(body, str) else json.dumps(body, indent=2))
+
+
+def test_call_folders_are_read_as_they_lie(spark, tmp_path):
+    running = {**{k: v for k, v in MANIFEST.items() if k != "video"}, "callId": "b", "endedAt": None, "tracks": []}
+    transcript = {"callId": "a", "segments": [{"speaker": "Ada", "startMs": 0, "endMs": 900, "text": "hi"}, {"speaker": "Bo", "startMs": 800, "endMs": 800, "text": ""}]}
+    folder(tmp_path, "a", manifest_json=MANIFEST, status_json=STATUS, transcript_json=transcript, summary_json=summary(), summary_md="# x")
+    folder(tmp_path, "b", manifest_json=running, status_json="{ half")
+    folder(tmp_path, "c", status_json={**STATUS, "emailedAt": "2024-03-01T12:00:00+02:00"})
+    good, bad = io.scan_calls(spark, str(tmp_path))
+    got = {r.call_id: r for r in good.collect()}
+    a = got[MANIFEST["callId"]]
+    assert set(got) == {a.call_id, "b"} and bad.count() == 0
+    assert good.schema["started_at"].dataType.typeName() == "timestamp" and (a.ended_at - a.started_at).total_seconds() == 1800.25
+    assert [(t.user_id, t.start_offset_ms) for t in a.tracks] == [("u1", 0), ("u2", 1500)] and a.video.start_offset_ms == -2000
+    assert got["b"].ended_at is None and got["b"].video is None and got["b"].tracks == []
+    good, bad = io.scan_status(spark, str(tmp_path))
+    assert [(r.call_id, r.status, r.error, r.thread_id, r.emailed_at) for r in good.collect()] == [("a", "failed", "no audio", "99", None)]
+    assert sorted(r.errors for r in bad.collect()) == ["$: not JSON", "emailedAt: not an ISO time in UTC"]
+    said, bad = io.scan_transcripts(spark, str(tmp_path))
+    assert [(x.speaker, x.end_ms) for x in said.first().segments] == [("Ada", 900), ("Bo", 800)] and bad.count() == 0
+    told, bad = io.scan_summaries(spark, str(tmp_path))
+    assert told.first().call_id == "a" and told.first().full_call.key_topics == ["t"] and bad.count() == 0
+    assert io.scan_calls(spark, str(tmp_path / "absent"))[0].count() == 0
 
 
-def test_scan_of_absent_and_broken_documents(spark, tmp_path):
-    assert io.scan_calls(spark, str(tmp_path / "absent"))[0].count() == 0
-    (tmp_path / "calls").mkdir()
-    (tmp_path / "calls" / "a.json").write_text("{ not json")
-    (tmp_path / "calls" / "b.json").write_text(json.dumps({"call_id": "b", "guild_id": "g", "channel_id": "c", "started_at": "2024-01-01T00:00:00Z", "tracks": []}))
-    (tmp_path / "calls" / "c.json").write_text(json.dumps({"call_id": "c", "guild_id": "g", "channel_id": "c", "started_at": "2024-01-01T00:00:00+02:00", "tracks": []}))
-    good, bad = io.scan_calls(spark, str(tmp_path / "calls"))
-    assert rows(good, "call_id") == [("b",)] and bad.count() == 2
+def without(doc, key):
+    return {k: v for k, v in doc.items() if k != key}
+
+
+def track(**over):
+    return {**MANIFEST, "tracks": [MANIFEST["tracks"][0], {**MANIFEST["tracks"][1], **over}]}
+
+
+MANIFEST_CASES = [
+    (MANIFEST, ""), ({**MANIFEST, "more": 1}, ""), ([], "not an object"), (without(MANIFEST, "endedAt"), "endedAt: missing"), ({**MANIFEST, "video": None}, "video: not an object"),
+    ({**MANIFEST, "callId": "", "guildId": 5}, "callId: empty; guildId: not a string"), ({**MANIFEST, "startedAt": "2024-13-01T10:00:00Z"}, "startedAt: not an ISO time in UTC"),
+    (track(userId=""), "tracks.1.userId: empty"), (track(startOffsetMs=-1), "tracks.1.startOffsetMs: negative"), (track(startOffsetMs=1.5), "tracks.1.startOffsetMs: not a whole number"), (track(startOffsetMs="1"), "tracks.1.startOffsetMs: not a number"),
+    (track(startOffsetMs=2.0), ""), ({**MANIFEST, "tracks": {}}, "tracks: not an array"), ({**MANIFEST, "tracks": [None, 5]}, "tracks.0: not an object; tracks.1: not an object"),
+    ({**MANIFEST, "video": {"path": "v", "startedAt": "x"}}, "video.startedAt: not an ISO time in UTC; video.startOffsetMs: missing"),
+]
+OTHER_CASES = [
+    ("STATUS", STATUS, ""), ("STATUS", {**STATUS, "callId": ""}, "callId: empty"), ("STATUS", {**STATUS, "error": None}, "error: not a string"),
+    ("STATUS", {**STATUS, "status": "done"}, "status: not one of recording, ready-to-process, transcribing, summarizing, delivered, failed"),
+    ("SEGMENT", {"speaker": "A", "startMs": 5, "endMs": 4, "text": ""}, "endMs: before startMs"), ("SEGMENT", {"speaker": "", "startMs": 5, "endMs": 4, "text": ""}, "speaker: empty"),
+    ("SUMMARY", json.loads(summary(actionItems=[{"owner": "A", "item": ""}, {"owner": "", "item": "x"}])), "fullCall.actionItems.0.item: empty; fullCall.actionItems.1.owner: empty"),
+]
+
+
+def test_errors_name_the_element(spark):
+    cases = [("MANIFEST", doc, errors) for doc, errors in MANIFEST_CASES] + OTHER_CASES
+    for contract in ("MANIFEST", "STATUS", "SEGMENT", "SUMMARY"):
+        mine = [(i, json.dumps(doc)) for i, (c, doc, _) in enumerate(cases) if c == contract]
+        got = spark.createDataFrame(mine, "i int, d string").select("i", io.document_errors(getattr(D, contract), F.try_parse_json("d")).alias("e")).collect()
+        assert [(r.i, r.e) for r in got] == [(i, cases[i][2]) for i, _ in mine]
+
+
+@pytest.mark.parametrize(("contract", "doc"), [("MANIFEST", MANIFEST), ("MANIFEST", {**without(MANIFEST, "video"), "endedAt": None}), ("STATUS", STATUS), ("SUMMARY", json.loads(summary(overview='a "b" \\ é\n')))])
+def test_what_is_read_is_written_as_it_was(spark, contract, doc):
+    c = getattr(D, contract)
+    df = spark.createDataFrame([(json.dumps(doc),)], "d string").select(D.parsed(c, F.try_parse_json("d")).alias("x"))
+    assert df.schema["x"].dataType.simpleString() == D.ddl(c)
+    text = df.select(D.written(c, F.col("x"))).first()[0]
+    want = {**doc, "endedAt": doc["endedAt"]} if contract == "MANIFEST" else doc
+    assert json.loads(text) == want and list(json.loads(text)) == list(want)
+
+
+def test_a_call_leaves_as_two_events(spark):
+    """Eve opted out: her segment, section and ownership go; a name without a track is nobody's."""
+    merged = spark.createDataFrame([("a", 0, "Ada", 0, 1000, "one"), ("a", 1, "Eve", 1000, 2000, "two"), ("a", 2, "Guest", 2000, 3000, "three")], "call_id string, pos int, speaker string, start_ms long, end_ms long, text string")
+    tracks = spark.createDataFrame([("a", "u1", "Ada", 0, 0), ("a", "u2", "Eve", 1, 0)], "call_id string, user_id string, display_name string, track_idx int, start_offset_ms int")
+    body = json.loads(summary(overview="  ", actionItems=[{"owner": "Eve", "item": "x"}, {"owner": "Ada", "item": "y"}]))
+    body["perSpeaker"] += [{**body["perSpeaker"][0], "displayName": "Eve"}]
+    told = S.validated(spark.createDataFrame([("a", json.dumps(body))], "call_id string, raw string"))[0]
+    calls = spark.createDataFrame([("a", "voice"), ("b", "other")], "call_id string, channel_id string")
+    allowed, out = spark.createDataFrame([("voice",)], "channel_id string"), spark.createDataFrame([("u2",)], "user_id string")
+    got = {r.event_type: r.event for r in S.output_events(merged, told, tracks, calls, allowed, out).collect()}
+    assert got["transcript"] == '{"type":"transcript","call_id":"a","channel_id":"voice","segments":[{"speaker":"Ada","startMs":0,"endMs":1000,"text":"one"},{"speaker":"Guest","startMs":2000,"endMs":3000,"text":"three"}],"region":"discord"}'
+    assert got["summary"] == ('{"type":"summary","call_id":"a","summary":{"fullCall":{"overview":"Call a","keyTopics":["t"],"decisions":[],"openQuestions":[],"actionItems":[{"owner":"unassigned","item":"x"},{"owner":"Ada","item":"y"}]},'
+                              '"perSpeaker":[{"displayName":"Ada","contributions":["x"],"positionsConcerns":[],"actionItems":[]}]},"region":"discord"}')
+
+
+RAW = "message_id string, seq long, guild_id string, raw_channel_id string, parent_id string, author_id string, author_is_bot boolean, is_system boolean, is_partial boolean, member_name string, username string, kind string, content string, ts timestamp, reply_to string, mentions array<string>, attachments array<struct<id:string,url:string,filename:string,content_type:string>>"
+
+
+def message(**over):
+    base = {"message_id": "m1", "seq": 1, "guild_id": "g1", "raw_channel_id": "c1", "parent_id": None, "author_id": "u1", "author_is_bot": False, "is_system": False, "is_partial": False, "member_name": "Ada", "username": "ada",
+            "kind": "create", "content": "a plan", "ts": datetime(2026, 7, 20, 12), "reply_to": None, "mentions": [], "attachments": []}
+    return tuple((base | over).values())
+
+
+def sent(spark, *messages, members=False):
+    allowed, out = spark.createDataFrame([("c1",)], "channel_id string"), spark.createDataFrame([("u9",)], "user_id string")
+    return [r.event for r in M.ingest(spark.createDataFrame(list(messages), RAW), allowed, out, members=members).orderBy("event_type", "event_key").collect()]
+
+
+def test_events_of_messages_as_they_are_sent(spark):
+    file = lambda i, name, kind: (i, "https://f/" + i, name, kind)
+    thread = message(raw_channel_id="t7", parent_id="c1", reply_to="m0", mentions=["u9", "u2", "u9", "u3"], attachments=[file("a1", "x.mp4", None), file("a2", "x.txt", None), file("a3", "x", "image/png")])
+    assert sent(spark, thread) == [
+        '{"type":"media","media_id":"a1","url":"https://f/a1","filename":"x.mp4","channel_id":"c1","message_id":"m1","region":"discord"}',
+        '{"type":"media","media_id":"a3","url":"https://f/a3","filename":"x","content_type":"image/png","channel_id":"c1","message_id":"m1","region":"discord"}',
+        '{"type":"message","message_id":"m1","channel_id":"c1","author_id":"u1","author_name":"Ada","content":"a plan","guild_id":"g1","thread_id":"t7","reply_to":"m0","mentions":["u2","u3"],"edited":false,"timestamp":"2026-07-20T12:00:00.000Z","region":"discord"}']
+    assert sent(spark, message(kind="edit", member_name=None), members=True) == [
+        '{"type":"member","member_id":"u1","display_name":"ada","region":"discord"}',
+        '{"type":"message","message_id":"m1","channel_id":"c1","author_id":"u1","author_name":"ada","content":"a plan","guild_id":"g1","mentions":[],"edited":true,"timestamp":"2026-07-20T12:00:00.000Z","region":"discord"}']
+    # an attachment alone, a channel and an author without consent, a direct message, and a delete, which is never held back
+    assert len(sent(spark, message(content=" ", attachments=[file("a1", "x.png", "")]))) == 1
+    assert sent(spark, message(raw_channel_id="c2"), message(author_id="u9"), message(guild_id=None)) == []
+    assert sent(spark, message(kind="delete", raw_channel_id="c2", author_id="u9", is_partial=True, mentions=None)) == ['{"type":"tombstone-request","target":"discord://channel/c2/message/m1","reason":"discord message deleted"}']
+
+
+def test_sink_looks_into_the_slots_it_touches_alone(spark, tmp_path):
+    """Files of other slots are spoilt: whatever read them would fail."""
+    from pathlib import Path
+
+    path = str(tmp_path / "t")
+    df = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("k"), "id").alias("event_key"), F.col("id").alias("event_id"), M.slot(F.concat(F.lit("m"), "id"), 10).alias("slot"))
+    for lo in range(0, 100, 10):
+        io.sink_events_idempotent(df(lo, lo + 10), path, ["event_id"], within="slot")
+    kept = {}
+    for f in Path(path).glob("slot=*/*.parquet"):
+        if f.parent.name != "slot=9":
+            kept[f] = f.read_bytes()
+            f.write_bytes(b"spoilt")
+    for f in Path(path).glob("slot=*/.*.crc"):
+        f.unlink()
+    io.sink_events_idempotent(df(95, 100), path, ["event_id"], within="slot")
+    for f, data in kept.items():
+        f.write_bytes(data)
+    io.sink_events_idempotent(df(0, 105), path, ["event_id"], within="slot")
+    assert spark.read.parquet(path).count() == 105
 
 
 def test_sink_twice_changes_nothing(spark, tmp_path):
