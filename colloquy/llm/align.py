@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from .common import kept, small_batches, table
 
 #: Bytes of known units (about) beyond which a task forgets them before it goes on.
-CACHE_BYTES = 120_000_000
+CACHE_BYTES = 240_000_000
 ENTRY_BYTES = 250
 #: Code points of the texts that are looked at together, of the units that are encoded in a row.
 BATCH_CHARS, ROW_CHARS = 1_000_000, 2_000
@@ -46,8 +46,9 @@ BATCH_CHARS, ROW_CHARS = 1_000_000, 2_000
 HOT_PAIRS = 100_000
 #: Before a unit of which it is known that no token reaches across its beginning.
 SENTINEL = " x"
-#: A line break or space after anything but white space (or what some tables take for it).
-CUT = re.compile(r"(?<=[^\s\u180e\u200b-\u200d\u2060\ufeff])(?=[ \n])")
+#: What some tables take for white space; a line break or space after anything but that and white space.
+BLANK = "\u180e\u200b\u200c\u200d\u2060\ufeff"
+CUT = re.compile(rf"(?<=[^\s{BLANK}])(?=[ \n])")
 #: The mark that B's pieces have for a space.
 MARK = "▁"
 
@@ -156,24 +157,25 @@ class Aligner:
         data = "".join(rows).encode("utf-8", "replace")
         return int(self.A.lengths[a].sum()) == int(self.B.lengths[b].sum()) == len(data) and self.A.bytes(a) == self.B.bytes(b) == data
 
-    def _keep(self, names: list[str], ends: np.ndarray, a, a_end, b, b_end) -> None:
-        """Files units of which the last byte is in ``ends`` (after a part that isn't kept, up to ends[0])."""
-        common = np.intersect1d(a_end, b_end)
-        if not np.isin(ends, common).all():
+    def _keep(self, names: list[str | None], ends: np.ndarray, a, a_end, b, b_end) -> None:
+        """Files the units between one of ``ends`` and the next; those without a name are passed over."""
+        common = np.intersect1d(a_end, b_end, assume_unique=True)
+        if not np.isin(ends, common, assume_unique=True).all():
             raise ValueError("a token reaches across a cut")
-        in_a, in_b, in_all = a_end > ends[0], b_end > ends[0], common > ends[0]
-        a, a_end, b, b_end, common = a[in_a], a_end[in_a], b[in_b], b_end[in_b], common[in_all]
         group_a, group_b = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
         last_a, last_b = common[group_a] == a_end, common[group_b] == b_end
         pairs = (a[last_a] << 32) + b[last_b]
         parts = np.concatenate([self.A.written[a, last_a.astype(int)], self.B.written[b, last_b.astype(int)]])
-        parts = parts[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
-        counts = np.stack([np.bincount(np.searchsorted(ends, x) - 1, minlength=len(names)) for x in (a_end, b_end, common)], 1)
+        parts = parts[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
+        counts = np.stack([np.diff(np.searchsorted(x, ends, side="right"), prepend=0) for x in (a_end, b_end, common)], 1)
         cuts = np.concatenate([[0], np.cumsum(counts[:, 0] + counts[:, 1])]).tolist()
-        at = np.cumsum(counts[:, 2]) - counts[:, 2] + len(self.pairs)
-        for name, lo, hi in zip(names, cuts[:-1], cuts[1:], strict=True):
-            self._file(name, "".join(parts[lo:hi]).encode())
-        self.counts, self.starts, self.pairs = np.concatenate([self.counts, counts]), np.concatenate([self.starts, at]), np.concatenate([self.pairs, pairs])
+        for i, name in enumerate(names):
+            if name is not None:
+                self._file(name, "".join(parts[cuts[i] : cuts[i + 1]]).encode())
+        named = np.fromiter((n is not None for n in names), bool, len(names))
+        at = np.cumsum(counts[:, 2]) - counts[:, 2] + self.fresh_pairs
+        self.fresh.append((counts[named], at[named], pairs))
+        self.fresh_pairs += len(pairs)
 
     def _file(self, name: str, groups: bytes | None) -> None:
         self.known[name] = len(self.groups)
@@ -183,15 +185,16 @@ class Aligner:
     def _refuse(self, name: str) -> None:
         """A unit that a tokenizer doesn't give back as it was."""
         self._file(name, None)
-        self.counts, self.starts = np.concatenate([self.counts, np.zeros((1, 3), np.int64)]), np.append(self.starts, len(self.pairs))
+        self.fresh.append((np.zeros((1, 3), np.int64), np.array([self.fresh_pairs]), np.zeros(0, np.int64)))
 
-    def learn(self, fresh: list[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Aligns distinct units: many in a row, those that end in white space (which may be the end of a text) by themselves."""
+        self.fresh, self.fresh_pairs = [(self.counts, self.starts, self.pairs)], len(self.pairs)
         alone, rows, chars = [], [[]], 0
-        for u in fresh:
+        for u in new:
             if MARK in u:
                 self._refuse(u)
-            elif not self.cuts or CUT.split(u + "\n")[-1] != "\n":
+            elif not self.cuts or u[-1].isspace() or u[-1] in BLANK:
                 alone.append([u])
             else:
                 if chars >= ROW_CHARS:
@@ -202,33 +205,24 @@ class Aligner:
         rows = [r for r in rows if r] + alone
         for at in range(0, len(rows), 200):
             self._learn(rows[at : at + 200])
+        self.counts, self.starts, self.pairs = (np.concatenate(x) for x in zip(*self.fresh, strict=True))
 
     def _learn(self, rows: list[list[str]]) -> None:
-        head = SENTINEL if self.cuts else ""
-        whole = [head + "".join(r) for r in rows]
-        a, a_end, b, b_end, base = self._tokens(whole)
-        if not self._fits(whole, a, b):
-            if len(rows) > 1:
-                for r in rows:
-                    self._learn([r])
-            elif len(rows[0]) > 1:
-                for u in rows[0]:
-                    self._learn([[u]])
-            else:
-                self._refuse(rows[0][0])
-            return
-        for r, lo, hi in zip(rows, base[:-1], base[1:], strict=True):
-            in_a, in_b = slice(*np.searchsorted(a_end, [lo, hi], side="right")), slice(*np.searchsorted(b_end, [lo, hi], side="right"))
-            ends = np.cumsum([len(head), *(len(u.encode("utf-8", "replace")) for u in r)])
-            if not head:
-                a_rel, b_rel = a_end[in_a] - lo, b_end[in_b] - lo
-                self._keep_from_start(r, ends, a[in_a], a_rel, b[in_b], b_rel)
-            else:
-                self._keep(r, ends, a[in_a], a_end[in_a] - lo, b[in_b], b_end[in_b] - lo)
-
-    def _keep_from_start(self, names, ends, a, a_end, b, b_end) -> None:
-        """As _keep() of units with nothing before them: ends are moved by one byte, which a token of neither has."""
-        self._keep(names, ends + 1, np.insert(a, 0, 0), np.insert(a_end + 1, 0, 1), np.insert(b, 0, 0), np.insert(b_end + 1, 0, 1))
+        head = [SENTINEL] if self.cuts else []
+        whole = ["".join(head + r) for r in rows]
+        a, a_end, b, b_end, _ = self._tokens(whole)
+        if self._fits(whole, a, b):
+            units = [u for r in rows for u in head + r]
+            names = [u for r in rows for u in [None] * len(head) + r]
+            self._keep(names, np.cumsum([len(u.encode("utf-8", "replace")) for u in units]), a, a_end, b, b_end)
+        elif len(rows) > 1:
+            for r in rows:
+                self._learn([r])
+        elif len(rows[0]) > 1:
+            for u in rows[0]:
+                self._learn([[u]])
+        else:
+            self._refuse(rows[0][0])
 
     def aligned(self, texts: list[str]):
         """[n_a, n_b, n_groups, groups, distinct pairs, how often each] of each text; None where a text has no tokens."""
