@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -12,14 +13,16 @@ from colloquy.operators import messages as M
 from colloquy.sources import contracts as C
 from colloquy.sources import io
 from colloquy.streaming import feeds as S
+from colloquy.streaming import state
 
 from .lives import BURST, DOCS, ROLES, SESS, STATUS_ERRORS, USERS, documents_of_status
 from .messages import ALLOWED, FEED, LOG, NORMAL, OUT, channels, feed, feed_consent, ids, log, normal, optout, raw
 from .views import NOW, duck, view
 
 
-#: Slices of time in which the voice feed arrives, and files of each.
-SLICES, FILES = 6, 3
+#: Slices of time in which a feed arrives.
+SLICES = 5
+EPOCH = datetime(1970, 1, 1)
 
 
 def place(s, name):
@@ -136,11 +139,38 @@ def utterances(s, d):
     return appended(s, S.stream_utterances(S.source(s, path, schema), 7_200_000, "0 seconds"), "utterances").where("user_id <> ''")
 
 
+def writes(s, d):
+    """Status writes of every call, an hour apart; some stop half-way, a few go on when their lease has run out, some fail."""
+    n = F.col("o_orderkey")
+    steps = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(x).alias("status")) for i, x in enumerate(["recording", "ready-to-process", "transcribing", "summarizing", "delivered"])))
+    last = F.when(n % 5 == 0, 2).when(n % 7 == 0, 3).when(n % 11 == 0, 1).otherwise(4)
+    rows = view(s, d, "call_status").select("call_id", "o_orderkey", "started_at", "ended_at", "has_video", F.explode(F.filter(steps, lambda x: x["seq"] <= last)).alias("x")).select("*", "x.*").drop("x")
+    hours = F.col("seq") + F.when((n % 13 == 0) & (F.col("seq") == 4), 96).otherwise(0)
+    status = F.when((n % 17 == 0) & (F.col("seq") == 3), "failed").otherwise(F.col("status"))
+    return rows.withColumn("updated_at", F.col("started_at") + F.make_dt_interval(hours=hours)).withColumn("status", status)
+
+
+def in_slices(s, df, time, late, name):
+    """``df`` as files that arrive in order of time, every other row (by a hash) one slice late, then a row of nobody that moves the clock to ``late``."""
+    lo, hi = df.agg(F.min(time), F.max(time)).first()
+    step = (hi - lo) / SLICES
+    of = F.floor((F.unix_micros(F.col(time).cast("timestamp")) - int((lo - EPOCH).total_seconds() * 1e6)) / int(step.total_seconds() * 1e6))
+    rows = df.withColumn("_slice", F.least(of + F.pmod(F.xxhash64(*df.columns), F.lit(2)), F.lit(SLICES + 1)))
+    path = place(s, name)
+    for i in range(SLICES + 2):
+        # a file stream takes files in order of their times, at one a trigger
+        rows.where(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    nobody = [F.lit(late).cast(f.dataType).alias(f.name) if f.name == time else F.lit("" if f.name in ("call_id", "channel_id") else None).cast(f.dataType).alias(f.name) for f in df.schema]
+    s.range(1).select(*nobody).coalesce(1).write.mode("append").parquet(path)
+    return path, df.schema, f"{2 * int(step.total_seconds()) + 1} seconds"
+
+
 def queue(s, d):
-    path, schema = laid_out(s, view(s, d, "call_status").repartition(3), "queue")
-    target = place(s, "actions")
-    S.stream_queue(S.source(s, path, schema, 1), target, place(s, "offsets"), NOW, 60 * 24 * 700, 900)
-    return s.read.parquet(target).select("call_id", "action", "since")
+    """Calls delivered in several batches while the clock moves on."""
+    path, schema, delay = in_slices(s, writes(s, d).select("call_id", "seq", "status", "updated_at", "started_at", "ended_at", "has_video"), "updated_at", "2009-01-01", "queue")
+    with state.store(s):
+        rows = S.stream_queue(S.source(s, path, schema, 1), 60 * 72, 900, 400, delay)
+        return appended(s, rows, "actions")
 
 
 def quarantine(s, d):
@@ -153,15 +183,10 @@ def quarantine(s, d):
 
 
 def sessions(s, d):
-    """Closed calls. The feed arrives in slices of time, three files and one micro-batch each."""
-    rows, path = view(s, d, "voice_state"), place(s, "voice")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = rows.select(at.cast("double").alias("at")).approxQuantile("at", [i / SLICES for i in range(1, SLICES)], 0.01)
-    edges = [None, *sorted(set(cuts)), None]
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
-        rows.where(inside).repartition(FILES).write.mode("append").parquet(path)
-    return appended(s, S.stream_voice_sessions(S.source(s, path, rows.schema, FILES), USERS, ROLES), "sessions")
+    """The log of voice channels, delivered out of order within the delay."""
+    path, schema, delay = in_slices(s, view(s, d, "voice_state"), "ts", "2100-01-01", "voice")
+    with state.store(s):
+        return appended(s, S.stream_voice_sessions(S.source(s, path, schema, 1), USERS, ROLES, delay), "sessions")
 
 
 def purge(s, d):
@@ -218,8 +243,13 @@ UNION ALL SELECT message_id, kind, NULL, NULL, NULL, NULL, NULL, concat_ws('; ',
 UNION ALL SELECT NULL, seq || '|' || message_id, NULL, concat_ws('; ', CASE WHEN seq % 41 = 0 THEN 'ts: missing' END, CASE WHEN seq % 43 = 0 THEN 'kind: unknown' END) FROM feed WHERE seq % 41 = 0 OR seq % 43 = 0""", "feed").replace("said AS (", "whole AS (SELECT * FROM feed WHERE seq % 41 <> 0 AND seq % 43 <> 0), said AS (", 1),
     "stream_backfill": duck(FEED + "SELECT event_type, count(DISTINCT event_key) AS n, count(DISTINCT event_key) AS keys FROM sent GROUP BY 1", "feed"),
     "stream_dedupe": duck(LOG + "SELECT CASE WHEN contains(event_key, '|edit|') THEN 'edit' WHEN ends_with(event_key, '|delete') THEN 'delete' ELSE 'message' END AS kind, count(DISTINCT event_key) AS n FROM log GROUP BY 1", "message_log"),
-    "stream_queue": duck(f"""SELECT call_id, 'reclaim' AS action, updated_at AS since FROM call_status WHERE status IN ('transcribing', 'summarizing') AND updated_at <= TIMESTAMP '{NOW}' - INTERVAL 1008000 MINUTE
-UNION ALL SELECT call_id, 'process', updated_at FROM call_status WHERE status = 'ready-to-process' UNION ALL SELECT call_id, 'purge', updated_at FROM call_status WHERE status = 'delivered' AND COALESCE(ended_at, started_at) <= TIMESTAMP '{NOW}' - INTERVAL 900 DAY""", "call_status"),
+    "stream_queue": duck("""steps AS (SELECT *, unnest(range(CASE WHEN o_orderkey % 5 = 0 THEN 3 WHEN o_orderkey % 7 = 0 THEN 4 WHEN o_orderkey % 11 = 0 THEN 2 ELSE 5 END)) AS seq FROM call_status),
+timed AS (SELECT call_id, seq, has_video, COALESCE(ended_at, started_at) AS media, CASE WHEN o_orderkey % 17 = 0 AND seq = 3 THEN 'failed' ELSE ['recording', 'ready-to-process', 'transcribing', 'summarizing', 'delivered'][seq + 1] END AS status,
+  started_at + INTERVAL 1 HOUR * (seq + CASE WHEN o_orderkey % 13 = 0 AND seq = 4 THEN 96 ELSE 0 END) AS since FROM steps), w AS (SELECT *, lead(since) OVER (PARTITION BY call_id ORDER BY since, seq) AS next FROM timed),
+due AS (SELECT call_id, 'reclaim' AS action, since, since + INTERVAL 72 HOUR AS due, next FROM w WHERE status IN ('transcribing', 'summarizing')
+  UNION ALL SELECT call_id, 'purge-audio', since, greatest(since, media + INTERVAL 900 DAY), next FROM w WHERE status = 'delivered' UNION ALL SELECT call_id, 'purge-video', since, greatest(since, media + INTERVAL 400 DAY), next FROM w WHERE status = 'delivered' AND has_video),
+act AS (SELECT call_id, action, since, due FROM due WHERE next IS NULL OR next > due)
+FROM act UNION ALL SELECT call_id, 'process', due, due FROM act WHERE action = 'reclaim' UNION ALL SELECT call_id, 'process', since, since FROM w WHERE status = 'ready-to-process'""", "call_status"),
     "stream_utterances": duck(BURST + """, e AS (SELECT *, max(at_ms + dur_ms) OVER (PARTITION BY user_id ORDER BY at_ms, burst_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM b),
 u AS (SELECT *, sum(CASE WHEN pe IS NULL OR at_ms - pe >= 7200000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at_ms, burst_idx ROWS UNBOUNDED PRECEDING) AS utterance FROM e)
 SELECT user_id, min(at_ms) AS start_ms, max(at_ms + dur_ms) AS end_ms, count(*) AS n_bursts FROM u GROUP BY user_id, utterance""", "bursts"),

@@ -8,16 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from colloquy.operators import lifecycle as L
 from colloquy.operators import messages as M
 from colloquy.sources.io import sink_events_idempotent
 from colloquy.sources.validate import format_issues, issues
 
+from . import state
+
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -108,57 +107,32 @@ def stream_utterances(stream: DataFrame, silence_ms: int, delay: str) -> DataFra
     return sessions.select("user_id", F.unix_millis("session_window.start").alias("start_ms"), (F.unix_millis("session_window.end") - silence_ms).alias("end_ms"), "n_bursts")
 
 
-def stream_queue(stream: DataFrame, target: str, checkpoint: str, now: str, lease_minutes: int, days: int) -> None:
-    """A poll cycle a micro-batch of statuses: what to reclaim, process and purge, as rows of (call_id, action, since).
-
-    ``since`` is the time of the status that called for the action: a call that
-    is stranded, or ready, once more is acted upon once more.
-    """
-    def each(df: DataFrame, _: int) -> None:
-        df = df.withColumn("since", F.col("updated_at").cast("timestamp"))
-        stale = L.reclaim_stale(df, now, lease_minutes).select("call_id").join(df.select("call_id", "since"), "call_id")
-        parts = [(stale, "reclaim"), (df.where("status = 'ready-to-process'"), "process"), (L.expired(df, now, days), "purge")]
-        chosen = [rows.select("call_id", F.lit(action).alias("action"), "since") for rows, action in parts]
-        rows = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).withColumn("event_key", F.concat_ws("|", "call_id", "action", F.unix_micros("since").cast("string")))
-        sink_events_idempotent(rows, target, ["call_id"])
+ACTION = "call_id string, action string, since_ms long, due_ms long"
 
-    run(stream, checkpoint, each)
 
+def stream_queue(stream: DataFrame, lease_minutes: int, audio_days: int, video_days: int | None = None, delay: str = "1 minute") -> DataFrame:
+    """The poll cycle over a feed of status writes: (call_id, action, since, due), each action once, when the watermark passes ``due``.
 
-SESSION = "channel_id string, started_at timestamp, ended_at timestamp"
+    ``stream`` has call_id, seq, status, updated_at, started_at, ended_at and
+    has_video. A ready call is to be processed; one in work whose lease runs out
+    is reclaimed and to be processed again; a delivered one is purged of its audio
+    and video at their ages (negative: never; the default of video's is audio's).
+    ``since`` is the time of the write that an action is about. A call is watched
+    until nothing is left to do for it; rows with other ids move the clock on.
+    """
+    day = 86_400_000
+    watch = state.CallWatch(lease_minutes * 60_000, audio_days * day, (audio_days if video_days is None else video_days) * day)
+    media = F.unix_millis(F.coalesce("ended_at", "started_at").cast("timestamp"))
+    rows = state.ordered(stream.withColumn("media_ms", media), "call_id", "updated_at", "seq", delay, watch, ACTION)
+    at = lambda c: F.timestamp_millis(F.col(c)).cast("timestamp_ntz")
+    return rows.select("call_id", "action", at("since_ms").alias("since"), at("due_ms").alias("due"))
 
 
 def stream_voice_sessions(stream: DataFrame, users: list[str], roles: list[str], delay: str = "1 hour") -> DataFrame:
     """Closed calls of each channel: as operators.voice.voice_sessions(), by a state machine that is fed in order of time.
 
-    The state of a channel is who is present, whether it is armed, and the open
-    call's start. A micro-batch is as long as the source makes it (files a
-    trigger); its rows are sorted by (ts, event_id), and a row that is older than
-    one of an earlier batch acts when it arrives.
+    Rows may come in any order within ``delay``; a call is given when the
+    watermark has passed its end. Later rows are dropped and counted.
     """
-    triggers, with_role = set(users), set(roles)
-
-    def step(key, batches, state: GroupState):
-        present, armed, started = state.get if state.exists else ("", False, None)
-        here = {u: t == "1" for u, t in (x.split(":") for x in present.split(",") if x)}
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples():
-            if r.action in ("arm", "disarm"):
-                armed = r.action == "arm"
-            elif not r.is_bot:
-                if r.action == "join":
-                    here[r.user_id] = r.user_id in triggers or r.role_id in with_role
-                else:
-                    here.pop(r.user_id, None)
-            if started is None:
-                if armed and here and (any(here.values()) or not (triggers or with_role)):
-                    started = int(r.ts.value // 1000)
-            elif not here or r.action == "disarm":
-                out.append((key[0], pd.Timestamp(started, unit="us"), r.ts))
-                started = None
-        state.update((",".join(f"{u}:{int(t)}" for u, t in sorted(here.items())), armed, started))
-        yield pd.DataFrame(out, columns=["channel_id", "started_at", "ended_at"])
-
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return timed.groupBy("channel_id").applyInPandasWithState(step, SESSION, "present string, armed boolean, started long", "append", GroupStateTimeout.NoTimeout)
+    rows = state.ordered(stream, "channel_id", "ts", "event_id", delay, state.VoiceRoom(users, roles), "channel_id string, started_us long, ended_us long")
+    return rows.select("channel_id", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("ended_us").alias("ended_at"))
