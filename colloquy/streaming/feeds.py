@@ -98,8 +98,9 @@ def stream_dedupe(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 def stream_utterances(stream: DataFrame, silence_ms: int, delay: str) -> DataFrame:
     """As operators.voice.burst_sessions(): a burst holds its session open for its own length and ``silence_ms`` more.
 
-    Bursts later than ``delay`` are dropped; a session is given when the
-    watermark has passed its end and the silence.
+    A session is given when the watermark has passed its end and the silence; a
+    burst for which that is so already when it comes is late: it is dropped and
+    counted (state.late_rows).
     """
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     open_for = F.concat((F.col("dur_ms") + silence_ms).cast("string"), F.lit(" milliseconds"))
