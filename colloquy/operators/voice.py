@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def humans(state: DataFrame) -> DataFrame:
     return state.where(~F.col("is_bot"))
@@ -21,20 +23,25 @@ def usable_tracks(tracks: DataFrame) -> DataFrame:
     return tracks.where(F.col("has_audio") & ~F.col("sink_failed"))
 
 
-def occupancy(log: DataFrame, users: list[str], roles: list[str]) -> DataFrame:
+ORDER = ["ts", "event_id"]
+
+
+def occupancy(log: DataFrame, users: list[str], roles: list[str], slices: int | None = None) -> DataFrame:
     """Join, leave, arm and disarm events with people present (``humans``), trigger people (``triggered``) and ``armed`` after each.
 
     A join of someone present, or a leave of someone absent, changes nothing.
+    Rows are those of scan.sliced(): a busy channel is spread over many tasks.
     """
-    member = Window.partitionBy("channel_id", "user_id").orderBy("ts", "event_id")
+    member = Window.partitionBy("channel_id", "user_id").orderBy(*ORDER)
     moves = log.where(F.col("action").isin("join", "leave"))
     here = F.col("action") == "join"
     was = F.coalesce(F.lag("action").over(member) == "join", F.lit(False))
     delta = F.when(F.col("is_bot") | (here == was), 0).when(here, 1).otherwise(-1)
     moves = moves.withColumn("d", delta).withColumn("dt", F.when(trigger_match(F.col("user_id"), F.array("role_id"), users, roles), F.col("d")).otherwise(0)).withColumn("command", F.lit(None).cast("int"))
     commands = log.where(F.col("action").isin("arm", "disarm")).withColumns({"d": F.lit(0), "dt": F.lit(0), "command": (F.col("action") == "arm").cast("int")})
-    w = Window.partitionBy("channel_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return moves.unionByName(commands).withColumns({"humans": F.sum("d").over(w), "triggered": F.sum("dt").over(w), "armed": F.coalesce(F.last("command", ignorenulls=True).over(w), F.lit(0)) == 1}).drop("d", "dt", "command")
+    rows = scan.sliced(moves.unionByName(commands), ["channel_id"], ORDER, slices)
+    rows = scan.running(rows, ["channel_id"], ORDER, {"humans": ("sum", F.col("d")), "triggered": ("sum", F.col("dt")), "armed": ("last", F.col("command"))})
+    return rows.withColumn("armed", F.coalesce("armed", F.lit(0)) == 1).drop("d", "dt", "command")
 
 
 def snapshot(log: DataFrame, users: list[str], roles: list[str]) -> DataFrame:
@@ -55,7 +62,7 @@ def should_leave(state: DataFrame, recording: Column) -> DataFrame:
     return state.withColumn("leave", recording & (F.col("humans") == 0))
 
 
-def voice_sessions(log: DataFrame, users: list[str], roles: list[str]) -> DataFrame:
+def voice_sessions(log: DataFrame, users: list[str], roles: list[str], slices: int | None = None) -> DataFrame:
     """Calls of each channel: from when the rule to join first holds until nobody is left or the channel is disarmed.
 
     Setting and resetting exclude each other, so the state after an event is the
@@ -63,22 +70,21 @@ def voice_sessions(log: DataFrame, users: list[str], roles: list[str]) -> DataFr
     """
     on = F.col("armed") & (F.col("humans") > 0) & ((F.col("triggered") > 0) if users or roles else F.lit(True))
     off = (F.col("humans") == 0) | (F.col("action") == "disarm")
-    order = Window.partitionBy("channel_id").orderBy("ts", "event_id")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = occupancy(log, users, roles).withColumn("signal", F.when(on, 1).when(off, 0))
-    rows = rows.withColumn("recording", F.coalesce(F.last("signal", ignorenulls=True).over(run), F.lit(0)))
-    rows = rows.withColumn("before", F.coalesce(F.lag("recording").over(order), F.lit(0))).where(F.col("recording") != F.col("before"))
-    rows = rows.withColumns({"ended_at": F.lead("ts").over(order), "session": F.row_number().over(order)})
-    return rows.where("recording = 1").select("channel_id", F.ceil(F.col("session") / 2).cast("int").alias("session"), F.col("ts").alias("started_at"), "ended_at")
+    signal = F.when(on, 1).when(off, 0)
+    rows = occupancy(log, users, roles, slices).withColumn("signal", signal).select("_slice", "channel_id", *ORDER, "signal")
+    rows = scan.running(rows, ["channel_id"], ORDER, {"recording": ("last", F.col("signal")), "before": ("before", F.col("signal"))})
+    flips = rows.where(F.coalesce("recording", F.lit(0)) != F.coalesce("before", F.lit(0))).checkpoint()
+    flips = scan.running(flips, ["channel_id"], ORDER, {"ended_at": ("next", F.col("ts")), "session": ("sum", F.col("recording"))})
+    return flips.where("recording = 1").select("channel_id", F.col("session").cast("int").alias("session"), F.col("ts").alias("started_at"), "ended_at")
 
 
-def armed_channels(commands: DataFrame, allowed: DataFrame) -> DataFrame:
+def armed_channels(commands: DataFrame, allowed: DataFrame, slices: int | None = None) -> DataFrame:
     """Every arm and disarm with whether it changed the channel's state, which begins as membership in ``allowed``."""
-    w = Window.partitionBy("channel_id").orderBy("ts", "event_id")
     start = allowed.select("channel_id").distinct().withColumn("_first", F.lit(True))
-    rows = commands.where(F.col("action").isin("arm", "disarm")).join(start, "channel_id", "left")
-    now = F.col("action") == "arm"
-    return rows.select("channel_id", "event_id", now.alias("armed"), (now != F.coalesce(F.lag(now).over(w), F.col("_first"), F.lit(False))).alias("changed"), F.lead("event_id").over(w).isNull().alias("latest"))
+    orders = commands.where(F.col("action").isin("arm", "disarm")).select("channel_id", *ORDER, (F.col("action") == "arm").alias("armed"))
+    rows = scan.running(scan.sliced(orders, ["channel_id"], ORDER, slices), ["channel_id"], ORDER, {"was": ("before", F.col("armed")), "later": ("next", F.col("event_id"))})
+    changed = F.col("armed") != F.coalesce("was", "_first", F.lit(False))
+    return rows.join(start, "channel_id", "left").select("channel_id", "event_id", "armed", changed.alias("changed"), F.col("later").isNull().alias("latest"))
 
 
 def align_bursts(bursts: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:

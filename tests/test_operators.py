@@ -363,3 +363,22 @@ def test_neighbourhood_and_fused_recall(spark):
 def test_issues_line(spark):
     got = spark.range(1).select(validate.format_issues(validate.issues(("a", F.lit(True), "x"), ("b", F.lit(None).cast("boolean"), "y"), ("c", F.lit(True), "z"))).alias("e")).first()["e"]
     assert got == "a: x; c: z"
+
+
+def test_running_values_are_the_same_in_any_number_of_slices(spark):
+    from pyspark.sql import Window
+
+    from colloquy.operators import scan
+
+    rng = random.Random(9)
+    data = [(rng.choice("aaaaab"), i, rng.choice([None, None, 1, 2, 3])) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, at int, v int").repartition(3)
+    w = Window.partitionBy("k").orderBy("at")
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
+    plain = df.select("k", "at", F.coalesce(F.sum("v").over(w.rowsBetween(start, 0)), F.lit(0)).alias("s"), F.last("v", True).over(w.rowsBetween(start, 0)).alias("l"), F.last("v", True).over(w.rowsBetween(start, -1)).alias("b"), F.first("v", True).over(w.rowsBetween(1, end)).alias("n"))
+    want = sorted(map(tuple, plain.collect()))
+    for n in (1, 7, 40):
+        rows_ = scan.sliced(df, ["k"], ["at"], n)
+        assert rows_.where("k = 'a'").select("_slice").distinct().count() >= min(n, 6)
+        got = scan.running(rows_, ["k"], ["at"], {"s": ("sum", F.col("v")), "l": ("last", F.col("v")), "b": ("before", F.col("v")), "n": ("next", F.col("v"))})
+        assert sorted(map(tuple, got.select("k", "at", "s", "l", "b", "n").collect())) == want
