@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
 
+from . import packing
+
 ORDER = ["start_ms", "end_ms", "speaker", "track_idx", "seg_idx"]
 STT = "struct<text:string,duration:double,segments:array<struct<start:double,end:double,text:string>>>"
 
@@ -70,17 +72,56 @@ def choose_strategy(tokens: DataFrame, single_pass: int = 8000) -> DataFrame:
     return tokens.withColumn("strategy", F.when(F.col("tokens") <= single_pass, "single").otherwise("map-reduce"))
 
 
-def chunked(merged: DataFrame, most: int = 4000, keys: tuple[str, ...] = ("call_id",)) -> DataFrame:
+def chunked(merged: DataFrame, most: int = 4000, keys: tuple[str, ...] = ("call_id",), longest: int | None = None) -> DataFrame:
     """pos and ``chunk`` of every segment: greedy packing within ``keys`` by the tokens of its line.
 
-    One array of (pos, tokens) a key is folded; a key is a call, bounded by its length.
+    One array of (pos, tokens) a key is folded, as a key is a call, bounded by its
+    length. Where keys may be longer, ``longest`` says up to how many segments:
+    other keys are packed in many tasks by packing.greedy(), to the same end.
     """
-    item = F.struct("pos", T.estimate_tokens(line()).alias("tok"))
-    rows = merged.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("m"))
+    items = merged.select(*keys, "pos", T.estimate_tokens(line()).alias("tok"))
+    if longest is None:
+        return _folded(items, most, keys)
+    many = items.groupBy(*keys).count().where(F.col("count") > longest).select(*keys).checkpoint()
+    short, long = (items.join(many, list(keys), how) for how in ("left_anti", "left_semi"))
+    return _folded(short, most, keys).unionByName(packing.greedy(long, most, keys))
+
+
+def _folded(items: DataFrame, most: int, keys: tuple[str, ...]) -> DataFrame:
+    rows = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("m"))
     rows = rows.withColumn("packs", T.packed(F.transform("m", lambda x: x["tok"]), most))
     return rows.select(*keys, F.explode(F.arrays_zip("m", "packs")).alias("z")).select(*keys, F.col("z.m.pos").alias("pos"), F.col("z.m.tok").alias("tok"), F.col("z.packs").alias("chunk"))
 
 
+def chunk_texts(merged: DataFrame, chunks: DataFrame) -> DataFrame:
+    """call_id, chunk and text of each chunk of chunked(): its lines, one below the other."""
+    return merged.join(chunks.select("call_id", "pos", "chunk"), ["call_id", "pos"]).groupBy("call_id", "chunk").agg(joined_lines(line()).alias("text"))
+
+
+def first_tokens(batches):
+    """The default note maker: the beginning of a chunk's text, up to NOTE_TOKENS."""
+    for pdf in batches:
+        yield pdf.assign(note=pdf["text"].str.slice(0, 4 * NOTE_TOKENS), failure=None)
+
+
+#: Tokens of a note.
+NOTE_TOKENS = 200
+
+
+def make_notes(texts: DataFrame, maker=first_tokens) -> DataFrame:
+    """(call_id, note_idx, note, failure): a note for each chunk of chunk_texts(), by a pluggable maker.
+
+    ``maker`` maps batches with call_id, chunk and text to batches with note and
+    failure besides, row by row and in bounded batches. A row whose failure isn't
+    null, or whose note is blank, gets the default note and keeps its failure;
+    notes are cut to NOTE_TOKENS.
+    """
+    made = texts.mapInPandas(maker, "call_id string, chunk int, text string, note string, failure string")
+    plain = T.truncate_tokens(F.col("text"), NOTE_TOKENS)
+    good = F.col("failure").isNull() & ~T.is_blank(F.coalesce("note", F.lit("")))
+    return made.select("call_id", F.col("chunk").alias("note_idx"), F.when(good, T.truncate_tokens(F.col("note"), NOTE_TOKENS)).otherwise(plain).alias("note"), "failure")
+
+
 def batch_notes(notes: DataFrame, most: int, key: str = "call_id") -> DataFrame:
     """Notes with ``batch``: greedy packing where a batch costs the tokens of its notes joined under numbered headers."""
     rows = notes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("note_idx", F.length("note").alias("len")))).alias("m"))

@@ -51,8 +51,13 @@ def stt(s, d):
 def notes(s, d):
     """A note for each chunk: its lines."""
     rows = merged(s, d)
-    text = rows.join(C.chunked(rows, CHUNK).select("call_id", "pos", "chunk"), ["call_id", "pos"]).groupBy("call_id", "chunk").agg(C.joined_lines(C.line()).alias("t"))
-    return text.select("call_id", F.col("chunk").alias("note_idx"), F.col("t").alias("note"))
+    return C.chunk_texts(rows, C.chunked(rows, CHUNK)).select("call_id", F.col("chunk").alias("note_idx"), F.col("text").alias("note"))
+
+
+def long_calls(s, d):
+    """All calls, whatever their length, packed in many tasks."""
+    io.checkpoints(s)
+    return C.chunked(merged(s, d), CHUNK, longest=0)
 
 
 def fold(s, d):
@@ -71,6 +76,8 @@ QUERIES = {
     "estimate_call_tokens": lambda s, d: C.estimate_call_tokens(merged(s, d)),
     "choose_strategy": lambda s, d: C.choose_strategy(C.estimate_call_tokens(merged(s, d)), SINGLE_PASS),
     "chunk_segments": lambda s, d: C.chunked(merged(s, d), CHUNK),
+    "pack_long_calls": long_calls,
+    "make_notes": lambda s, d: C.make_notes(C.chunk_texts(merged(s, d), C.chunked(merged(s, d), CHUNK))).select("call_id", "note_idx", "failure", F.md5("note").alias("note_md5")),
     "chunk_per_speaker": lambda s, d: C.chunked(merged(s, d), CHUNK, ("call_id", "speaker")),
     "batch_notes": lambda s, d: C.batch_notes(notes(s, d), 160).select("call_id", "note_idx", "batch"),
     "fold_notes": fold,
@@ -104,8 +111,9 @@ PACK2 = _PACK.format(keys="call_id, speaker", skeys="s.call_id, s.speaker", on="
 TOKENS = "CAST(ceil((sum(length(line)) + count(*) - 1) / 4.0) AS BIGINT)"
 CLOCK = "lpad(CAST(video_ms // 60000 AS VARCHAR), CAST(greatest(2, length(CAST(video_ms // 60000 AS VARCHAR))) AS INT), '0') || ':' || lpad(CAST(video_ms // 1000 % 60 AS VARCHAR), 2, '0')"
 VIDEO = ", video AS (SELECT *, greatest(0, start_ms - video_offset_ms) AS video_ms FROM merged WHERE video_offset_ms IS NOT NULL)\n"
-NOTES = PACK + """, notes AS (SELECT m.call_id, p.chunk AS note_idx, string_agg(m.line, chr(10) ORDER BY m.pos) AS note FROM merged m JOIN packs p USING (call_id, pos) GROUP BY 1, 2),
-costed AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY note_idx) AS i FROM notes),
+NOTES_ONLY = PACK + """, notes AS (SELECT m.call_id, p.chunk AS note_idx, string_agg(m.line, chr(10) ORDER BY m.pos) AS note FROM merged m JOIN packs p USING (call_id, pos) GROUP BY 1, 2)
+"""
+NOTES = NOTES_ONLY + """, costed AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY note_idx) AS i FROM notes),
 batched AS (SELECT call_id, note_idx, i, 15 + length(note) AS chars, 1 AS k, 0 AS batch FROM costed WHERE i = 1
   UNION ALL SELECT c.call_id, c.note_idx, c.i, CASE WHEN over THEN 15 + length(c.note) ELSE more END, CASE WHEN over THEN 1 ELSE b.k + 1 END, CASE WHEN over THEN b.batch + 1 ELSE b.batch END
   FROM batched b JOIN costed c ON b.call_id = c.call_id AND c.i = b.i + 1,
@@ -135,6 +143,8 @@ SELECT call_id, user_id, seg_idx, start_ms, end_ms, md5(regexp_replace(text, '^\
     "estimate_call_tokens": _sql(f"SELECT call_id, {TOKENS} AS tokens FROM merged GROUP BY 1"),
     "choose_strategy": _sql(f"SELECT call_id, {TOKENS} AS tokens, CASE WHEN {TOKENS} <= {SINGLE_PASS} THEN 'single' ELSE 'map-reduce' END AS strategy FROM merged GROUP BY 1"),
     "chunk_segments": _sql(PACK + "SELECT call_id, pos, tok, chunk FROM packs", True),
+    "pack_long_calls": _sql(PACK + "SELECT call_id, pos, tok, chunk FROM packs", True),
+    "make_notes": _sql(NOTES_ONLY + "SELECT call_id, note_idx, NULL::VARCHAR AS failure, md5(substr(note, 1, 800)) AS note_md5 FROM notes", True),
     "chunk_per_speaker": _sql(PACK2 + "SELECT call_id, speaker, pos, tok, chunk FROM packs", True),
     "batch_notes": _sql(NOTES + "SELECT call_id, note_idx, batch FROM batched", True),
     "scrub_segments": _sql("SELECT call_id, pos, speaker FROM shown"),

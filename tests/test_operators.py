@@ -382,3 +382,33 @@ def test_running_values_are_the_same_in_any_number_of_slices(spark):
         assert rows_.where("k = 'a'").select("_slice").distinct().count() >= min(n, 6)
         got = scan.running(rows_, ["k"], ["at"], {"s": ("sum", F.col("v")), "l": ("last", F.col("v")), "b": ("before", F.col("v")), "n": ("next", F.col("v"))})
         assert sorted(map(tuple, got.select("k", "at", "s", "l", "b", "n").collect())) == want
+
+
+@pytest.mark.parametrize("most", [1, 7, 20])
+def test_long_keys_are_packed_as_by_the_fold(spark, most):
+    from colloquy.operators import packing
+
+    rng = random.Random(most)
+    data = [(k, i, rng.choice([1, 1, 2, 3, 5, 9])) for k, n in (("a", 300), ("b", 1), ("c", 40)) for i in range(n)]
+    want = []
+    for k in "abc":
+        n = chunk = 0
+        for _, i, tok in (r for r in data if r[0] == k):
+            if i and n + tok > most:
+                chunk, n = chunk + 1, 0
+            n += tok
+            want.append((k, i, tok, chunk))
+    items = spark.createDataFrame(data, "k string, pos int, tok int").repartition(3)
+    assert sorted(map(tuple, packing.greedy(items, most, ("k",), 9).collect())) == want
+
+
+def test_notes_by_a_maker_that_fails_now_and_then(spark):
+    def maker(batches):
+        for pdf in batches:
+            bad = pdf["text"].str.startswith("bad")
+            yield pdf.assign(note=("note of " + pdf["text"]).mask(bad, None).mask(pdf["text"] == "blank", " "), failure=bad.map({True: "no answer", False: None}).astype(object))
+
+    texts = spark.createDataFrame([("a", 0, "x" * 900), ("a", 1, "bad one"), ("a", 2, "blank"), ("b", 0, "fine")], "call_id string, chunk int, text string")
+    got = {(r.call_id, r.note_idx): (r.note, r.failure) for r in C.make_notes(texts, maker).collect()}
+    assert got == {("a", 0): ("note of " + "x" * 792, None), ("a", 1): ("bad one", "no answer"), ("a", 2): ("blank", None), ("b", 0): ("note of fine", None)}
+    assert C.make_notes(texts).where("call_id = 'a' and note_idx = 0").first().note == "x" * 800
