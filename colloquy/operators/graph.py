@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions import text as T
+
 
 def memory_nodes(log: DataFrame) -> DataFrame:
     """A node for each message, author and channel of a message log: source_ref, kind and when it was first seen."""
@@ -40,6 +42,88 @@ def message_links(messages: DataFrame, refs: DataFrame) -> DataFrame:
     return reply.union(thread).union(mention).distinct()
 
 
+def words(text: Column) -> Column:
+    """Lower-cased words between single spaces, with one before and after: phrases are found in it as whole words."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Distinct (ref, phrase) of the texts (ref, text) that have a phrase (phrase) as whole words, in any case.
+
+    Texts are joined to phrases by one word, of each phrase the word that the
+    fewest texts have; only the pairs that share it are verified in full. Phrases
+    without a word match nothing.
+    """
+    wanted = phrases.select("phrase", words(F.col("phrase")).alias("w")).where(F.trim("w") != "").distinct()
+    parts = wanted.select("phrase", "w", F.explode(F.array_distinct(F.split(F.trim("w"), " "))).alias("word"))
+    known = docs.select("ref", words(F.col("text")).alias("text"))
+    tokens = known.select("ref", F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("word")).join(parts.select("word").distinct(), "word", "left_semi")
+    spread = tokens.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = parts.join(spread, "word", "left").groupBy("phrase", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("k")).select("phrase", "w", F.col("k.word").alias("word"))
+    pairs = tokens.join(rarest, "word").select("ref", "phrase", "w")
+    single = F.size(F.split(F.trim("w"), " ")) == 1
+    # a phrase of one word is verified by the join
+    longer = pairs.where(~single).join(known, "ref").where(F.contains("text", F.col("w"))).select("ref", "phrase")
+    return pairs.where(single).select("ref", "phrase").unionByName(longer).distinct()
+
+
+def _ref(kind: str, *cols) -> Column:
+    return F.concat_ws("|", F.lit(kind), *cols)
+
+
+def message_ref() -> Column:
+    return T.message_source_ref(F.col("channel_id"), F.col("message_id"))
+
+
+#: Kinds of facts that become nodes of their own, and what those are called.
+FACT_NODES = {"decision": "decision", "action": "action_item", "speaker": "speaker_turn"}
+
+
+def community_nodes(messages: DataFrame, media: DataFrame, calls: DataFrame, tracks: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """(source_ref, kind): a node for each message, member, channel, thread, media file, call, chunk, topic, decision, action item and speaker turn.
+
+    ``messages`` are normalised, ``media`` has media_id and message_id, ``calls``
+    call_id and channel_id, ``tracks`` call_id and user_id, ``chunks`` call_id,
+    chunk and text, ``facts`` is summary.facts().
+    """
+    topics = facts.where("kind = 'topic'").select(_ref("topic", F.trim(words(F.col("body")))).alias("source_ref"), F.lit("topic").alias("kind"))
+    facts_ = [facts.where(F.col("kind") == k).select(_ref(name, "call_id", "idx").alias("source_ref"), F.lit(name).alias("kind")) for k, name in FACT_NODES.items()]
+    one = lambda df, kind, ref: df.select(ref.alias("source_ref"), F.lit(kind).alias("kind"))
+    parts = [
+        one(messages, "message", message_ref()), one(messages, "member", _ref("member", "author_id")), one(tracks, "member", _ref("member", "user_id")),
+        one(messages, "channel", _ref("channel", "channel_id")), one(calls, "channel", _ref("channel", "channel_id")), one(messages.where("thread_id is not null"), "thread", _ref("thread", "thread_id")),
+        one(media, "media", _ref("media", "media_id")), one(calls, "call", _ref("call", "call_id")), one(chunks, "chunk", _ref("chunk", "call_id", "chunk")), topics, *facts_]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def community_edges(messages: DataFrame, refs: DataFrame, media: DataFrame, calls: DataFrame, tracks: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """Distinct (src, kind, dst) between the nodes of community_nodes(): authored, in_channel, in_thread, replies_to, mentions, attached_to, spoke_in, part_of_call, about.
+
+    A call is about the topics of its summary; chunks and messages are about
+    every topic of any call whose words they have. ``refs`` is from
+    messages.reply_edges().
+    """
+    edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("kind"), dst.alias("dst"))
+    call = _ref("call", "call_id")
+    topic = _ref("topic", F.trim(words(F.col("body"))))
+    told = facts.where("kind = 'topic'").where(F.trim(words(F.col("body"))) != "")
+    said = messages.select(message_ref().alias("ref"), F.col("content").alias("text")).unionByName(chunks.select(_ref("chunk", "call_id", "chunk").alias("ref"), "text"))
+    found = phrase_matches(said, told.select(F.trim(words(F.col("body"))).alias("phrase")))
+    attached = media.join(messages.select("message_id", message_ref().alias("ref")), "message_id")
+    parts = [
+        edge(messages, _ref("member", "author_id"), "authored", message_ref()), edge(messages, message_ref(), "in_channel", _ref("channel", "channel_id")), message_links(messages, refs),
+        edge(attached, _ref("media", "media_id"), "attached_to", F.col("ref")), edge(tracks, _ref("member", "user_id"), "spoke_in", call), edge(calls, call, "in_channel", _ref("channel", "channel_id")),
+        edge(chunks, _ref("chunk", "call_id", "chunk"), "part_of_call", call), *(edge(facts.where(F.col("kind") == k), _ref(name, "call_id", "idx"), "part_of_call", call) for k, name in FACT_NODES.items()),
+        edge(told, call, "about", topic), edge(found, F.col("ref"), "about", _ref("topic", F.col("phrase")))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
 def supersede_chain(log: DataFrame) -> DataFrame:
     """Each version of a message with its number and the event that replaced it."""
     w = Window.partitionBy("source_ref").orderBy("ts", "event_id")

@@ -11,13 +11,14 @@ from colloquy.operators import graph as G
 from colloquy.operators import messages as M
 from colloquy.operators import recall as R
 from colloquy.operators import summary as S
+from colloquy.operators import transcript as C
 from colloquy.sources import io
 
 from .calls import calls, merged, segments
-from .calls import MERGED, tracks
+from .calls import MERGED, NOTES_ONLY, tracks
 from .calls import optout as silenced
 from .messages import FEED, LOG, NORMAL, REF, channels, events, log, normal
-from .views import duck, view
+from .views import CHUNK, duck, view
 
 
 def names(s, d):
@@ -64,6 +65,20 @@ def all_events(s, d):
     return rows.select("event_type", "source_ref", "event_key", "ts", F.md5("event").alias("event_md5"))
 
 
+def known_facts(s, d):
+    """Facts of the summaries; and each call's first two words as one topic more."""
+    first = names(s, d).select("call_id", F.lit("topic").alias("kind"), F.lit(99).alias("idx"), F.lit(None).cast("string").alias("owner"), F.regexp_extract("first_text", r"^(\S+ \S+)", 1).alias("body"))
+    return S.facts(summaries(s, d)).unionByName(first.where("body <> ''"))
+
+
+def community(s, d):
+    """What the graph is built of: media, calls, tracks, chunks and facts. The last two are tables of their own, as many parts of the graph read them."""
+    io.checkpoints(s)
+    rows = merged(s, d)
+    spoken = rows.select("call_id", "user_id").distinct()
+    return view(s, d, "attachments"), calls(s, d), spoken, C.chunk_texts(rows, C.chunked(rows, CHUNK)).checkpoint(), known_facts(s, d).checkpoint()
+
+
 def parts(s, d):
     """Summaries as they are posted, at a limit that cuts these short ones, written to a table and read back."""
     path = f"{io.shared_dir(s)}/parts-{uuid.uuid4().hex}"
@@ -126,6 +141,8 @@ QUERIES = {
     "union_events": all_events,
     "memory_nodes": lambda s, d: G.memory_nodes(log(s, d)),
     "memory_edges": lambda s, d: G.memory_edges(log(s, d)),
+    "community_nodes": lambda s, d: G.community_nodes(normal(s, d), *community(s, d)),
+    "community_edges": lambda s, d: G.community_edges(normal(s, d), M.reply_edges(normal(s, d)), *community(s, d)),
     "call_edges": lambda s, d: G.call_edges(merged(s, d)),
     "message_links": lambda s, d: G.message_links(normal(s, d), M.reply_edges(normal(s, d))),
     "supersede_chain": lambda s, d: G.supersede_chain(log(s, d)).select("source_ref", "event_id", "version", "superseded_by"),
@@ -172,6 +189,11 @@ UNION ALL SELECT 'summary', call_id, md5(json_object('type', 'summary', 'call_id
   'perSpeaker': list_transform(list_filter(names, lambda x: NOT list_contains(gone, x)), lambda x: {'displayName': x, 'contributions': ['spoke'], 'positionsConcerns': []::VARCHAR[], 'actionItems': [{'owner': x, 'item': 'do ' || x}]})}, 'region', 'discord'))
 FROM (SELECT g.*, COALESCE(out_names, []) AS gone FROM good g LEFT JOIN out USING (call_id)) JOIN allowed USING (call_id)"""
 
+COMMUNITY = MERGED + NOTES_ONLY + ", " + GOOD + ", " + NORMAL + """, msgs AS (SELECT *, 'discord://channel/' || channel_id || '/message/' || message_id AS ref FROM normal), spoken AS (SELECT DISTINCT call_id, user_id FROM raw_segments WHERE trim(text, ' \t\n\r') <> ''),
+topics AS (SELECT call_id, trim(regexp_replace(lower(body), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS topic FROM (SELECT call_id, unnest(names) AS body FROM good UNION ALL SELECT call_id, regexp_extract(first_text, '^(\\S+ \\S+)', 1) FROM names) WHERE body <> ''),
+parts AS (SELECT call_id, 'decision|' || call_id || '|0' AS ref, 'decision' AS kind FROM good UNION ALL SELECT call_id, k || '|' || call_id || '|' || i, k FROM (SELECT call_id, unnest(range(len(names))) AS i, names FROM good), (SELECT unnest(['action_item', 'speaker_turn']) AS k))
+"""
+
 
 SQL = {
     "parse_model_json": duck("SELECT DISTINCT call_id, conv_id % 5 <> 0 AS parsed FROM raw_segments", "raw_segments"),
@@ -184,6 +206,14 @@ SQL = {
 SELECT kind, owner, count(*) AS n, count(DISTINCT call_id) AS calls FROM f GROUP BY 1, 2""", "raw_segments"),
     "memory_nodes": duck(LOG + "SELECT source_ref, 'message' AS kind, min(ts) AS first_seen FROM log WHERE kind IN ('create', 'edit') GROUP BY 1 UNION ALL SELECT 'member|' || author_id, 'member', min(ts) FROM log GROUP BY 1 UNION ALL SELECT 'channel|' || channel_id, 'channel', min(ts) FROM log GROUP BY 1", "message_log"),
     "memory_edges": duck(LOG + "SELECT DISTINCT 'member|' || author_id AS src, 'authored' AS kind, source_ref AS dst FROM log WHERE kind IN ('create', 'edit') UNION ALL SELECT DISTINCT source_ref, 'in_channel', 'channel|' || channel_id FROM log WHERE kind IN ('create', 'edit')", "message_log"),
+    "community_nodes": duck(COMMUNITY + """SELECT ref AS source_ref, 'message' AS kind FROM msgs UNION SELECT 'member|' || author_id, 'member' FROM msgs UNION SELECT 'member|' || user_id, 'member' FROM spoken UNION SELECT 'channel|' || channel_id, 'channel' FROM msgs
+UNION SELECT 'channel|' || channel_id, 'channel' FROM raw_segments UNION SELECT 'thread|' || thread_id, 'thread' FROM msgs WHERE thread_id IS NOT NULL UNION SELECT 'media|' || media_id, 'media' FROM attachments UNION SELECT 'call|' || call_id, 'call' FROM raw_segments
+UNION SELECT 'chunk|' || call_id || '|' || note_idx, 'chunk' FROM notes UNION SELECT 'topic|' || topic, 'topic' FROM topics UNION SELECT ref, kind FROM parts""", "raw_segments", "raw_messages", "attachments", recursive=True),
+    "community_edges": duck(COMMUNITY + """SELECT 'member|' || author_id AS src, 'authored' AS kind, ref AS dst FROM msgs UNION SELECT ref, 'in_channel', 'channel|' || channel_id FROM msgs UNION SELECT a.ref, 'replies_to', b.ref FROM msgs a JOIN msgs b ON a.reply_to = b.message_id
+UNION SELECT ref, 'in_thread', 'thread|' || thread_id FROM msgs WHERE thread_id IS NOT NULL UNION SELECT ref, 'mentions', 'member|' || mention_1 FROM msgs UNION SELECT ref, 'mentions', 'member|' || mention_2 FROM msgs
+UNION SELECT 'media|' || media_id, 'attached_to', ref FROM attachments JOIN msgs USING (message_id) UNION SELECT 'member|' || user_id, 'spoke_in', 'call|' || call_id FROM spoken UNION SELECT 'call|' || call_id, 'in_channel', 'channel|' || channel_id FROM raw_segments
+UNION SELECT 'chunk|' || call_id || '|' || note_idx, 'part_of_call', 'call|' || call_id FROM notes UNION SELECT ref, 'part_of_call', 'call|' || call_id FROM parts UNION SELECT 'call|' || call_id, 'about', 'topic|' || topic FROM topics
+UNION SELECT ref, 'about', 'topic|' || topic FROM (SELECT ref, content AS text FROM msgs UNION ALL SELECT 'chunk|' || call_id || '|' || note_idx, note FROM notes) JOIN (SELECT DISTINCT topic FROM topics) ON contains(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' ' || topic || ' ')""", "raw_segments", "raw_messages", "attachments", recursive=True),
     "call_edges": duck("SELECT DISTINCT 'member|' || user_id AS src, 'spoke_in' AS kind, 'call|' || call_id AS dst FROM raw_segments WHERE trim(text, ' \t\n\r') <> ''", "raw_segments"),
     "message_links": duck(NORMAL + f", n AS (SELECT *, {REF} AS ref FROM normal) SELECT a.ref AS src, 'replies_to' AS kind, b.ref AS dst FROM n a JOIN n b ON a.reply_to = b.message_id UNION SELECT ref, 'in_thread', 'thread|' || thread_id FROM n WHERE thread_id IS NOT NULL UNION SELECT ref, 'mentions', 'member|' || mention_1 FROM n UNION SELECT ref, 'mentions', 'member|' || mention_2 FROM n", "raw_messages"),
     "supersede_chain": duck(LOG + "SELECT source_ref, event_id, CAST(row_number() OVER w AS INT) AS version, lead(event_id) OVER w AS superseded_by FROM log WHERE kind IN ('create', 'edit') WINDOW w AS (PARTITION BY source_ref ORDER BY ts, event_id)", "message_log"),

@@ -10,8 +10,7 @@ null. Keys that a contract doesn't name are let pass and not kept.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,12 +74,12 @@ class Nullable:
 class Record:
     """Fields in order, by their names in snake case. ``camel``: the document's keys are in camel case.
 
-    ``rules`` hold between fields, once these are right: (field, fails on the typed record, message).
+    ``rules`` hold between fields, once these are right: (field, field that it may not be less than, message).
     """
 
     fields: dict[str, Contract]
     camel: bool = True
-    rules: tuple[tuple[str, Callable[[Column], Column], str], ...] = field(default=(), compare=False)
+    rules: tuple[tuple[str, str, str], ...] = ()
 
     def key(self, name: str) -> str:
         return re.sub(r"_([a-z])", lambda m: m.group(1).upper(), name) if self.camel else name
@@ -92,7 +91,7 @@ TRACK = Record({"user_id": Text(1), "display_name": Text(1), "path": Text(1), "s
 VIDEO = Record({"path": Text(1), "started_at": Moment(), "start_offset_ms": Whole()})
 MANIFEST = Record({"call_id": Text(1), "guild_id": Text(1), "channel_id": Text(1), "started_at": Moment(), "ended_at": Nullable(Moment()), "tracks": Listed(TRACK), "video": Maybe(VIDEO)})
 STATUS = Record({"call_id": Text(1), "status": Choice(tuple(STATUSES)), "updated_at": Moment(), "error": Maybe(Text()), "thread_id": Maybe(Text()), "emailed_at": Maybe(Moment())})
-SEGMENT = Record({"speaker": Text(1), "start_ms": Whole(0), "end_ms": Whole(0), "text": Text()}, rules=(("end_ms", lambda s: s["end_ms"] < s["start_ms"], "before startMs"),))
+SEGMENT = Record({"speaker": Text(1), "start_ms": Whole(0), "end_ms": Whole(0), "text": Text()}, rules=(("end_ms", "start_ms", "before startMs"),))
 TRANSCRIPT = Record({"call_id": Text(1), "segments": Listed(SEGMENT)})
 ITEM = Record({"owner": Text(1), "item": Text(1)})
 FULL_CALL = Record({"overview": Text(), "key_topics": Listed(Text()), "decisions": Listed(Text()), "open_questions": Listed(Text()), "action_items": Listed(ITEM)})
@@ -133,56 +132,65 @@ def _at(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _issue(path: Column, message: str) -> Column:
-    return F.array(F.struct(path.alias("path"), F.lit(message).alias("message"))).cast(ISSUES)
+def _say(path: str, message: str) -> str:
+    return f"array(named_struct('path', {path}, 'message', '{message}'))"
 
 
-def _none() -> Column:
-    return F.array().cast(ISSUES)
+def _under(path: str, key: str) -> str:
+    """SQL of a path one key further on."""
+    return key if path == "''" else f"concat({path}, '.', {key})"
 
 
-def _under(path: Column, key: Column) -> Column:
-    return F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
-
-
-def problems(c: Contract, v: Column, place: str = "$", path: Column | None = None) -> Column:
-    """Issues of the value at ``place`` in a variant, those of a record in the order of its fields; an empty array if there are none."""
-    path = F.lit("") if path is None else path
-    kind = F.coalesce(F.schema_of_variant(_at(v, place)), F.lit("ABSENT"))
-    say = lambda message: _issue(path, message)
+def _checks(c: Contract, v: str, place: str, path: str, depth: int = 0) -> str:
+    """SQL of the issues of the value at ``place`` in the variant ``v``; ``path`` is SQL of how it is called in them."""
+    at = lambda kind: f"try_variant_get({v}, '{place}', '{kind}')"
+    kind, none = f"coalesce(schema_of_variant({at('variant')}), 'ABSENT')", f"cast(array() AS {ISSUES})"
     if isinstance(c, Maybe):
-        return F.when(kind == "ABSENT", _none()).otherwise(problems(c.of, v, place, path))
+        return f"CASE WHEN {kind} = 'ABSENT' THEN {none} ELSE {_checks(c.of, v, place, path, depth)} END"
     if isinstance(c, Nullable):
-        return F.when(kind == "VOID", _none()).otherwise(problems(c.of, v, place, path))
-    text = _at(v, place, "string")
+        return f"CASE WHEN {kind} = 'VOID' THEN {none} ELSE {_checks(c.of, v, place, path, depth)} END"
+    say = lambda message: _say(path, message)
+    text = at("string")
     match c:
         case Text():
-            wrong, name = kind != "STRING", "string"
-            inner = F.when(F.length(text) < c.least, say("empty" if c.least == 1 else f"shorter than {c.least}")).otherwise(_none())
+            right, name = f"{kind} = 'STRING'", "string"
+            inner = f"CASE WHEN length({text}) < {c.least} THEN {say('empty' if c.least == 1 else f'shorter than {c.least}')} ELSE {none} END"
         case Moment():
-            wrong, name = kind != "STRING", "string"
-            inner = F.when(text.rlike(ISO_Z) & text.try_cast("timestamp").isNotNull(), _none()).otherwise(say("not an ISO time in UTC"))
+            right, name = f"{kind} = 'STRING'", "string"
+            inner = f"CASE WHEN {text} RLIKE r'{ISO_Z}' AND try_cast({text} AS timestamp) IS NOT NULL THEN {none} ELSE {say('not an ISO time in UTC')} END"
         case Choice():
-            wrong, name = kind != "STRING", "string"
-            inner = F.when(text.isin(*c.values), _none()).otherwise(say("not one of " + ", ".join(c.values)))
+            right, name = f"{kind} = 'STRING'", "string"
+            listed = ", ".join(f"'{x}'" for x in c.values)
+            inner = f"CASE WHEN {text} IN ({listed}) THEN {none} ELSE {say('not one of ' + ', '.join(c.values))} END"
         case Truth():
-            wrong, name, inner = kind != "BOOLEAN", "boolean", _none()
+            right, name, inner = f"{kind} = 'BOOLEAN'", "boolean", none
         case Whole():
-            number = _at(v, place, "double")
-            wrong, name = ~kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), "number"
-            small = F.lit(False) if c.least is None else number < c.least
-            inner = F.when(number != F.floor(number), say("not a whole number")).when(small, say("negative" if c.least == 0 else f"less than {c.least}")).otherwise(_none())
+            number = at("double")
+            right, name = f"{kind} RLIKE '^(BIGINT|DECIMAL|DOUBLE)'", "number"
+            small = f"WHEN {number} < {c.least} THEN {say('negative' if c.least == 0 else f'less than {c.least}')}" if c.least is not None else ""
+            inner = f"CASE WHEN {number} <> floor({number}) THEN {say('not a whole number')} {small} ELSE {none} END"
         case Listed():
-            wrong, name = ~kind.startswith("ARRAY<"), "array"
-            inner = F.flatten(F.transform(_at(v, place, "array<variant>"), lambda x, i: problems(c.of, x, "$", _under(path, i.cast("string")))))
+            right, name = f"startswith({kind}, 'ARRAY<')", "array"
+            x, i = f"x{depth}", f"i{depth}"
+            each = _checks(c.of, x, "$", _under(path, f"cast({i} AS string)"), depth + 1)
+            inner = f"flatten(transform({at('array<variant>')}, ({x}, {i}) -> {each}))"
         case Record():
-            wrong, name = ~kind.startswith("OBJECT<"), "object"
-            inner = F.concat(*(problems(x, v, f"{place}.{c.key(n)}", _under(path, F.lit(c.key(n)))) for n, x in c.fields.items()))
-            for n, fails, message in c.rules:
-                typed = parsed(c, v, place)
-                inner = F.when((F.size(inner) == 0) & fails(typed), _issue(_under(path, F.lit(c.key(n))), message)).otherwise(inner)
+            right, name = f"startswith({kind}, 'OBJECT<')", "object"
+            fields = ", ".join(_checks(x, v, f"{place}.{c.key(n)}", _under(path, f"'{c.key(n)}'"), depth) for n, x in c.fields.items())
+            inner = f"concat({fields})"
+            for late, early, message in c.rules:
+                values = [f"try_variant_get({v}, '{place}.{c.key(n)}', 'double')" for n in (late, early)]
+                found = f"f{depth}"
+                broken = f"CASE WHEN size({found}) = 0 AND {values[0]} < {values[1]} THEN {_say(_under(path, repr(c.key(late))), message)} ELSE {found} END"
+                inner = f"element_at(transform(array({inner}), {found} -> {broken}), 1)"
     article = "an" if name[0] in "ao" else "a"
-    return F.when(kind == "ABSENT", say("missing")).when(wrong, say(f"not {article} {name}")).otherwise(inner)
+    return f"CASE WHEN {kind} = 'ABSENT' THEN {say('missing')} WHEN NOT {right} THEN {say(f'not {article} {name}')} ELSE {inner} END"
+
+
+def problems(c: Contract, v: Column) -> Column:
+    """Issues of a variant, those of a record in the order of its fields; an empty array if there are none."""
+    each = F.expr("doc -> cast(" + _checks(c, "doc", "$", "''") + f" AS {ISSUES})")
+    return F.element_at(F.call_function("transform", F.array(v), each), 1)
 
 
 def parsed(c: Contract, v: Column, place: str = "$") -> Column:

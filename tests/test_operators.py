@@ -412,3 +412,9 @@ def test_notes_by_a_maker_that_fails_now_and_then(spark):
     got = {(r.call_id, r.note_idx): (r.note, r.failure) for r in C.make_notes(texts, maker).collect()}
     assert got == {("a", 0): ("note of " + "x" * 792, None), ("a", 1): ("bad one", "no answer"), ("a", 2): ("blank", None), ("b", 0): ("note of fine", None)}
     assert C.make_notes(texts).where("call_id = 'a' and note_idx = 0").first().note == "x" * 800
+
+
+def test_phrases_are_found_as_whole_words(spark):
+    docs = spark.createDataFrame([("a", "The New-York office, NEW YORK!"), ("b", "newyork new yorker"), ("c", "a new york"), ("d", ""), ("e", None), ("f", "été à Genève")], "ref string, text string")
+    phrases = spark.createDataFrame([("New York",), ("office",), ("york new",), (" !! ",), ("ÉTÉ",), (None,)], "phrase string")
+    assert rows(G.phrase_matches(docs, phrases)) == [("a", "New York"), ("a", "office"), ("c", "New York"), ("f", "ÉTÉ")]
