@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
 from colloquy.sources import contracts as D
+from colloquy.sources import io
 from colloquy.sources.io import document_errors
 
 from . import transcript as C
@@ -105,6 +106,23 @@ def summary_parts(summaries: DataFrame, limit: int = T.POST_CHARS) -> DataFrame:
     return summaries.select("call_id", F.posexplode(T.split_lines(text, limit)).alias("part", "body"))
 
 
+def call_artifacts(merged: DataFrame, summaries: DataFrame, calls: DataFrame) -> DataFrame:
+    """(call_id, name, body): the text files of each summarised call, as they are published together.
+
+    The transcript and the summary as documents, the summary as Markdown and, of
+    calls with a video (video_offset_ms isn't null), the timecoded transcript.
+    """
+    told = summaries.select("call_id", "summary").join(calls.select("call_id", F.when(F.col("video_offset_ms").isNotNull(), F.col("video_path")).alias("video")), "call_id")
+    segment = F.struct("pos", F.struct("speaker", "start_ms", "end_ms", "text").alias("s"))
+    said = merged.groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(segment)), lambda x: x["s"]).alias("segments")).join(told.select("call_id"), "call_id", "left_semi")
+    timecoded = C.render_timecoded(C.align_to_video(merged, calls)).join(told.select("call_id"), "call_id", "left_semi")
+    file = lambda df, name, body: df.select("call_id", F.lit(name).alias("name"), body.alias("body"))
+    parts = [
+        file(said, io.TRANSCRIPT_FILE, D.written(D.TRANSCRIPT, F.struct("call_id", "segments"))), file(told, io.SUMMARY_FILE, D.written(D.SUMMARY, F.col("summary"))),
+        file(told, io.MARKDOWN_FILE, render_summary_md(F.col("summary"), F.col("video"))), file(timecoded, io.TIMECODED_FILE, F.col("timecoded"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def output_events(merged: DataFrame, summaries: DataFrame, tracks: DataFrame, calls: DataFrame, channels: DataFrame, optout: DataFrame, region: str = "discord", allow_all: bool = False) -> DataFrame:
     """The two events of each call in an allowed channel: event_type, call_id and event, JSON as it is sent.
 

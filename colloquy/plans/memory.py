@@ -15,7 +15,7 @@ from colloquy.operators import transcript as C
 from colloquy.sources import io
 
 from .calls import calls, merged, segments
-from .calls import MERGED, NOTES_ONLY, tracks
+from .calls import CLOCK, MERGED, NOTES_ONLY, tracks
 from .calls import optout as silenced
 from .messages import FEED, LOG, NORMAL, REF, channels, events, log, normal
 from .views import CHUNK, duck, view
@@ -65,6 +65,17 @@ def all_events(s, d):
     return rows.select("event_type", "source_ref", "event_key", "ts", F.md5("event").alias("event_md5"))
 
 
+def published(s, d):
+    """Artifacts of all calls published, then those of every other call once more with its segments a second later, and a third version whose data are there but not its name."""
+    path = f"{io.shared_dir(s)}/artifacts-{uuid.uuid4().hex}"
+    later = merged(s, d).withColumns({"start_ms": F.col("start_ms") + 1000, "end_ms": F.col("end_ms") + 1000})
+    io.publish_artifacts(S.call_artifacts(merged(s, d), summaries(s, d), calls(s, d)), path)
+    again = S.call_artifacts(later, summaries(s, d).where("conv_id % 2 = 0"), calls(s, d))
+    io.publish_artifacts(again, path)
+    again.withColumn("body", F.lit("half")).write.parquet(f"{path}/data/version=unfinished")
+    return io.published_artifacts(s, path).select("call_id", "name", F.md5("body").alias("body_md5"))
+
+
 def known_facts(s, d):
     """Facts of the summaries; and each call's first two words as one topic more."""
     first = names(s, d).select("call_id", F.lit("topic").alias("kind"), F.lit(99).alias("idx"), F.lit(None).cast("string").alias("owner"), F.regexp_extract("first_text", r"^(\S+ \S+)", 1).alias("body"))
@@ -137,6 +148,7 @@ QUERIES = {
     "topic_action_facts": lambda s, d: S.facts(summaries(s, d)).groupBy("kind", "owner").agg(F.count("*").alias("n"), F.count_distinct("call_id").alias("calls")),
     "render_summary_md": lambda s, d: shown(s, d).select("call_id", F.md5(S.render_summary_md(F.col("summary"), F.col("video"))).alias("markdown_md5")),
     "write_summary_parts": parts,
+    "publish_artifacts": published,
     "call_output_events": output_events,
     "union_events": all_events,
     "memory_nodes": lambda s, d: G.memory_nodes(log(s, d)),
@@ -225,6 +237,13 @@ UNION SELECT ref, 'about', 'topic|' || topic FROM (SELECT ref, content AS text F
 || '-# mode=fused' || CASE WHEN query % 200 = 0 THEN ' | graph_censored=false' ELSE '' END || CASE WHEN query > 200 THEN ' | termination=max_hops' ELSE '' END AS reply FROM r GROUP BY query""", "memories"),
     "recall_fused": duck(_fused(), "memories"),
     "render_summary_md": duck(MARKDOWN + "SELECT call_id, md5(markdown) AS markdown_md5 FROM shown", "raw_segments"),
+    "publish_artifacts": duck(MERGED + ", " + MARKDOWN.replace("v.mkv", "' || call_id || '.mkv") + f""", moved AS (SELECT *, start_ms + CASE WHEN conv_id % 2 = 0 THEN 1000 ELSE 0 END AS s, end_ms + CASE WHEN conv_id % 2 = 0 THEN 1000 ELSE 0 END AS e FROM merged JOIN good USING (call_id, conv_id)),
+aligned AS (SELECT *, greatest(0, s - video_offset_ms) AS video_ms FROM moved WHERE video_offset_ms IS NOT NULL)
+SELECT call_id, 'transcript.json' AS name, md5(json_object('callId', call_id, 'segments', list({{'speaker': speaker, 'startMs': s, 'endMs': e, 'text': text}} ORDER BY pos))) AS body_md5 FROM moved GROUP BY 1
+UNION ALL SELECT call_id, 'summary.md', md5(markdown) FROM shown_md
+UNION ALL SELECT call_id, 'summary.json', md5(json_object('fullCall', {{'overview': CASE WHEN conv_id % 11 = 0 THEN ' ' ELSE 'An overview' END, 'keyTopics': names, 'decisions': [substr(first_text, 1, 40)], 'openQuestions': []::VARCHAR[], 'actionItems': list_transform(names, lambda x: {{'owner': x, 'item': 'do ' || x}})}},
+  'perSpeaker', list_transform(names, lambda x: {{'displayName': x, 'contributions': ['spoke'], 'positionsConcerns': []::VARCHAR[], 'actionItems': [{{'owner': x, 'item': 'do ' || x}}]}}))) FROM good
+UNION ALL SELECT call_id, 'transcript.timecoded.md', md5('# Timecoded transcript' || chr(10) || chr(10) || 'Video: ' || call_id || '.mkv' || chr(10) || chr(10) || string_agg('[' || {CLOCK} || '] ' || line, chr(10) ORDER BY pos)) FROM aligned GROUP BY call_id""".replace("shown AS", "shown_md AS"), "raw_segments").replace(", shown AS (SELECT call_id, array_to_string", ", shown_md AS (SELECT call_id, array_to_string"),
     "write_summary_parts": duck(MARKDOWN + """, lines AS (SELECT call_id, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS i FROM shown),
 packed AS (SELECT call_id, i, line AS cur, 0 AS part FROM lines WHERE i = 1
   UNION ALL SELECT l.call_id, l.i, CASE WHEN p.cur = '' THEN l.line WHEN length(p.cur) + 1 + length(l.line) <= 150 THEN p.cur || chr(10) || l.line ELSE l.line END, CASE WHEN p.cur = '' OR length(p.cur) + 1 + length(l.line) <= 150 THEN p.part ELSE p.part + 1 END

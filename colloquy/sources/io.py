@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from . import validate
 
 #: File names of a call's documents.
 MANIFEST_FILE, STATUS_FILE, TRANSCRIPT_FILE, SUMMARY_FILE = "manifest.json", "status.json", "transcript.json", "summary.json"
+MARKDOWN_FILE, TIMECODED_FILE = "summary.md", "transcript.timecoded.md"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,6 +110,45 @@ def write_call_artifacts(df: DataFrame, path: str, partition: str = "call_date")
     df.write.partitionBy(partition).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def publish_artifacts(artifacts: DataFrame, path: str) -> str:
+    """Publishes the artifacts (call_id, name, body) of some calls together; gives the version.
+
+    A version is a folder of its own, and is shown from when its name is
+    appended to the list of versions, which is done last: a reader before that
+    sees each call's earlier artifacts whole. One writer a path.
+    """
+    spark, version = artifacts.sparkSession, uuid.uuid4().hex
+    artifacts.select("call_id", "name", "body").write.parquet(f"{path}/data/version={version}")
+    seq = 1 + (_versions(spark, path).agg(F.max("seq")).first()[0] or 0)
+    spark.createDataFrame([(version, seq)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+VERSIONS = "version string, seq bigint"
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(VERSIONS).parquet(f"{path}/versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], VERSIONS)
+
+
+def published_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """(call_id, name, body): of each call all artifacts of the newest version that has it, and none of other versions."""
+    try:
+        data = spark.read.schema("call_id string, name string, body string, version string").parquet(f"{path}/data")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "call_id string, name string, body string")
+    shown = data.join(_versions(spark, path), "version")
+    newest = shown.groupBy("call_id").agg(F.max("seq").alias("seq"))
+    return shown.join(newest, ["call_id", "seq"]).select("call_id", "name", "body")
+
+
 def sink_events_idempotent(events: DataFrame, path: str, order: list[str], key: str = "event_key", within: str | None = None) -> None:
     """Appends the events whose key the table at ``path`` lacks, the first of each; running it again adds nothing.
 

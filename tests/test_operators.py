@@ -418,3 +418,15 @@ def test_phrases_are_found_as_whole_words(spark):
     docs = spark.createDataFrame([("a", "The New-York office, NEW YORK!"), ("b", "newyork new yorker"), ("c", "a new york"), ("d", ""), ("e", None), ("f", "été à Genève")], "ref string, text string")
     phrases = spark.createDataFrame([("New York",), ("office",), ("york new",), (" !! ",), ("ÉTÉ",), (None,)], "phrase string")
     assert rows(G.phrase_matches(docs, phrases)) == [("a", "New York"), ("a", "office"), ("c", "New York"), ("f", "ÉTÉ")]
+
+
+def test_a_reader_between_the_writes_sees_the_old_version_whole(spark, tmp_path):
+    path = str(tmp_path / "p")
+    files = lambda v, *calls: spark.createDataFrame([(c, n, v) for c in calls for n in ("transcript.json", "summary.json", "summary.md")], "call_id string, name string, body string")
+    assert io.published_artifacts(spark, path).count() == 0
+    io.publish_artifacts(files("one", "a", "b"), path)
+    files("half", "a").where("name = 'summary.md'").write.parquet(f"{path}/data/version=unfinished")
+    assert {r.body for r in io.published_artifacts(spark, path).collect()} == {"one"}
+    io.publish_artifacts(files("two", "a").where("name <> 'summary.md'"), path)
+    got = sorted(map(tuple, io.published_artifacts(spark, path).collect()))
+    assert got == [("a", "summary.json", "two"), ("a", "transcript.json", "two"), ("b", "summary.json", "one"), ("b", "summary.md", "one"), ("b", "transcript.json", "one")]
