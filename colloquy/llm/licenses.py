@@ -204,11 +204,11 @@ plain AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_rep
 segs AS (SELECT doc_id, unnest(string_split(t, '|')) AS s, generate_subscripts(string_split(t, '|'), 1) AS seg FROM plain),
 lines AS (SELECT doc_id, seg, list_filter(string_split(s, chr(10)), lambda x: x <> '') AS ls FROM segs),
 starts AS (SELECT doc_id, seg, ls, unnest(range(1, len(ls) + 1)) AS i FROM lines),
-spans AS (SELECT doc_id, seg, i, unnest(range(i, least(len(ls), i + 99) + 1)) AS j, ls FROM starts),
+spans AS (SELECT doc_id, seg, i, unnest(range(i, len(ls) + 1)) AS j, ls FROM starts),
 joined AS (SELECT doc_id, seg, i, j, array_to_string(ls[i:j], ' ') AS t FROM spans),
 named AS (
   SELECT doc_id, seg, i, j, t, CASE %s END AS sentence, CASE WHEN regexp_matches(t, ' under | the public domain$|mozilla') THEN CASE %s END END AS family
-  FROM joined WHERE j = i OR length(t) <= 600),
+  FROM joined),
 best AS (
   SELECT doc_id, seg, i, COALESCE(max(j) FILTER (sentence IS NOT NULL), max(j) FILTER (family IS NOT NULL), i) AS j FROM named GROUP BY 1, 2, 3),
 walk AS (SELECT doc_id, seg, 1::BIGINT AS i FROM lines WHERE len(ls) > 0 UNION ALL SELECT w.doc_id, w.seg, b.j + 1 FROM walk w JOIN best b ON b.doc_id = w.doc_id AND b.seg = w.seg AND b.i = w.i),
