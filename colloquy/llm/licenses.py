@@ -56,6 +56,59 @@ SENTENCES = {
     "cc0": "this work is dedicated to the public domain",
     "publicdomain": "this file is in the public domain",
     "rights": "all rights reserved",
+    "apache2title": "apache license version 2 0 january 2004",
+    "gpl3title": "gnu general public license version 3 29 june 2007",
+    "gpl3titleshort": "gnu general public license version 3",
+    "gpl2title": "gnu general public license version 2 june 1991",
+    "lgpl3title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl21title": "gnu lesser general public license version 2 1 february 1999",
+    "agpl3title": "gnu affero general public license version 3 19 november 2007",
+    "mpl2title": "mozilla public license version 2 0",
+    "epl2title": "eclipse public license v 2 0",
+    "mitliable": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "mitstyle": "use of this source code is governed by an mit style license that can be found in the license file",
+    "bsdstyle": "use of this source code is governed by a bsd style license that can be found in the license file",
+    "bsdstylegoverned": "governed by a bsd style license",
+    "bsdasis": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsdliable": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services",
+    "bsdloss": "loss of use data or profits",
+    "bsdhowever": "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "iscname": "isc license",
+    "iscgrant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "iscasis": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "iscliable": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "zlibasis": "this software is provided as is without any express or implied warranty",
+    "zlibliable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlibgrant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "unlicensefree": "this is free and unencumbered software released into the public domain",
+    "unlicenseanyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "boostgrant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "lgplfree": "this library is free software",
+    "lgpl21grant": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3grant": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl2grant": "you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "agpl3grant": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl3onlygrant": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license",
+    "gpl2onlygrant": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license",
+    "gplterms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "lgplterms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "agplterms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "either2": "either version 2 of the license or at your option any later version",
+    "either21": "either version 2 1 of the license or at your option any later version",
+    "either3": "either version 3 of the license or at your option any later version",
+    "gplhope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "lgplhope": "this library is distributed in the hope that it will be useful but without any warranty",
+    "gpleven": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gplsee": "see the gnu general public license for more details",
+    "lgplsee": "see the gnu lesser general public license for more details",
+    "agplsee": "see the gnu affero general public license for more details",
+    "gplcopy": "you should have received a copy of the gnu general public license along with this program",
+    "lgplcopy": "you should have received a copy of the gnu lesser general public license along with this library",
+    "agplcopy": "you should have received a copy of the gnu affero general public license along with this program",
+    "mpl2copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "epl2grant": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl1grant": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
 }
 SPDX = r"^spdx license identifier [a-z0-9 ]+$"
 COPYRIGHT = r"^(copyright|c) (c )?[0-9]{4}( [0-9]{4})*( |$)"
@@ -65,18 +118,32 @@ HINT = r"(?i)licen[sc]e|rights reserved|permission|redistribut|warrant|copyright
 
 #: Ordered: (licence, pattern on the identifiers, each between commas).
 RULES = [
-    ("Apache-2.0", ",(apache2grant|apache2the),(apache2not,)?(apache2copy,)?(apache2asis,)?(apache2see,)?"),
-    ("BSD-3-Clause", ",bsdgrant,bsdsource,bsdbinary,bsdendorse,"),
-    ("BSD-2-Clause", ",bsdgrant,bsdsource,bsdbinary,"),
-    ("BSD", ",bsdlicensed,"),
-    ("MIT", ",((mitname|mitname2|mitreleased|mitlicensed),)?mitgrant,(mitnotice,)?(mitasis,)?"),
-    ("MIT", ",(mitreleased|mitlicensed|mitname|mitname2),"),
-    ("GPL-3.0-or-later", ",(gplfree,)?gpl3later,"),
-    ("GPL-2.0-or-later", ",(gplfree,)?gpl2later,"),
-    ("GPL-3.0", ",(gpl3|gpl3short),"),
-    ("GPL-2.0", ",gpl2,"),
+    ("Apache-2.0", ",(apache2grant|apache2the|apache2title),(apache2not,)?(apache2copy,)?(apache2asis,)?(apache2see,)?"),
+    ("BSD-3-Clause", ",bsdgrant,bsdsource,bsdbinary,bsdendorse,(bsdasis,)?(bsdliable,)?(bsdloss,)?(bsdhowever,)?"),
+    ("BSD-2-Clause", ",bsdgrant,bsdsource,bsdbinary,(bsdasis,)?(bsdliable,)?(bsdloss,)?(bsdhowever,)?"),
+    ("BSD", ",(bsdlicensed|bsdstyle|bsdstylegoverned),"),
+    ("MIT", ",((mitname|mitname2|mitreleased|mitlicensed),)?mitgrant,(mitnotice,)?(mitasis,)?(mitliable,)?"),
+    ("MIT", ",(mitreleased|mitlicensed|mitname|mitname2|mitstyle),"),
+    ("ISC", ",((iscname,)?iscgrant|iscname),(iscasis,)?(iscliable,)?"),
+    ("Zlib", ",(zlibasis,)?(zlibliable,)?zlibgrant,"),
+    ("Unlicense", ",unlicensefree,(unlicenseanyone,)?"),
+    ("BSL-1.0", ",boostgrant,"),
+    ("WTFPL", ",wtfpl,"),
+    ("LGPL-2.1-or-later", ",((lgplfree|gplfree),)?(lgpl21grant|lgplterms,either21),((lgplhope|gplhope),)?(gpleven,)?(lgplsee,)?(lgplcopy,)?"),
+    ("LGPL-3.0-or-later", ",((lgplfree|gplfree),)?(lgpl3grant|lgplterms,either3),((lgplhope|gplhope),)?(gpleven,)?(lgplsee,)?(lgplcopy,)?"),
+    ("LGPL-2.0-or-later", ",((lgplfree|gplfree),)?(lgpl2grant|lgplterms,either2),((lgplhope|gplhope),)?(gpleven,)?"),
+    ("AGPL-3.0-or-later", ",(gplfree,)?(agpl3grant|agplterms,either3),(gplhope,)?(gpleven,)?(agplsee,)?(agplcopy,)?"),
+    ("GPL-3.0-or-later", ",(gplfree,)?(gpl3later|gplterms,either3),(gplhope,)?(gpleven,)?(gplsee,)?(gplcopy,)?"),
+    ("GPL-2.0-or-later", ",(gplfree,)?(gpl2later|gplterms,either2),(gplhope,)?(gpleven,)?(gplsee,)?(gplcopy,)?"),
+    ("LGPL-3.0", ",lgpl3title,"),
+    ("LGPL-2.1", ",lgpl21title,"),
+    ("AGPL-3.0", ",agpl3title,"),
+    ("GPL-3.0", ",(gpl3|gpl3short|gpl3title|gpl3titleshort|(gplfree,)?gpl3onlygrant),"),
+    ("GPL-2.0", ",(gpl2|gpl2title|(gplfree,)?gpl2onlygrant),"),
     ("LGPL", ",lgplgrant,"),
-    ("MPL-2.0", ",(mpl2grant|mpl2),"),
+    ("MPL-2.0", ",((mpl2grant|mpl2),(mpl2copy,)?|mpl2title,)"),
+    ("EPL-2.0", ",(epl2grant|epl2title),"),
+    ("EPL-1.0", ",epl1grant,"),
     ("CC-BY-SA-4.0", ",ccbysa,"),
     ("CC-BY-4.0", ",(ccby|ccbythis|ccbyshort),"),
     ("CC0-1.0", ",cc0,"),
