@@ -68,8 +68,30 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(languages, logs)
 
 
+def _proportions(like: np.ndarray, words: np.ndarray, start: np.ndarray, rounds: int) -> np.ndarray:
+    """Proportions of each text after rounds of expectation-maximisation; what starts at 0 stays there. ``words`` counts each text's rows of ``like``."""
+    cuts, owner = np.cumsum(words) - words, np.repeat(np.arange(len(words)), words)
+    for _ in range(rounds):
+        part = like * start[owner]
+        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
+        start = np.add.reduceat(part, cuts, axis=0) / words[:, None]
+    return start
+
+
+def _likelihood(like: np.ndarray, words: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Log likelihood of each text."""
+    each = np.log(np.maximum((like * share[np.repeat(np.arange(len(words)), words)]).sum(axis=1), 1e-300))
+    return np.add.reduceat(each, np.cumsum(words) - words)
+
+
 def mixture(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Proportions of the languages in each text's set (0 outside), how many there are in the set, and the text's words."""
+    """Proportions of the languages in each text's set (0 outside), how many there are in the set, and the text's words.
+
+    Sets are tried from one language on, each with one more of the languages in
+    the order of their share of all. A text is done when no larger set can win:
+    the likelihood of any proportions is at most that of all languages' and a
+    term that tells how far these are from the best, and the penalty grows.
+    """
     grams, first, owner, words = word_grams(texts)
     n, k = len(texts), len(model.languages)
     share, chosen = np.full((n, k), 1.0 / k), np.ones(n, np.int64)
@@ -78,29 +100,30 @@ def mixture(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.
     like = np.add.reduceat(model.logs[grams], first, axis=0).astype(np.float64)
     like = np.exp(like - like.max(axis=1, keepdims=True))  # up to a factor for each word, which no comparison needs
     have = np.flatnonzero(words)
-    cuts = np.concatenate([[0], np.cumsum(words[have])[:-1]])
-
-    def fitted(start: np.ndarray, rounds: int) -> np.ndarray:
-        """Proportions after rounds of expectation-maximisation; what starts at 0 stays there."""
-        for _ in range(rounds):
-            part = like * start[owner]
-            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-            start[have] = np.add.reduceat(part, cuts, axis=0) / words[have][:, None]
-        return start
-
-    full = np.maximum(fitted(share.copy(), EM_ROUNDS), 1e-12)
+    count = words[have]
+    full = _proportions(like, count, share[have], EM_ROUNDS)
+    mixed = np.maximum((like * full[np.repeat(np.arange(len(have)), count)]).sum(axis=1, keepdims=True), 1e-300)
+    slope = np.add.reduceat(like / mixed, np.cumsum(count) - count, axis=0) / count[:, None]
+    most = np.add.reduceat(np.log(mixed[:, 0]), np.cumsum(count) - count) + count * np.log(np.maximum(slope.max(axis=1), 1.0))
+    penalty = PENALTY * np.log(count + 1.0)
+    full = np.maximum(full, 1e-12)
     order = np.argsort(-full, axis=1, kind="stable")
-    best = np.full(n, -np.inf)
+    best, own_share, size_of = np.full(len(have), -np.inf), np.zeros((len(have), k)), np.ones(len(have), np.int64)
     for size in range(1, k + 1):
-        start = np.zeros((n, k))
-        np.put_along_axis(start, order[:, :size], np.take_along_axis(full, order[:, :size], axis=1), axis=1)
+        open_ = np.flatnonzero(most - (size - 1) * penalty > best - 1e-6)
+        if not len(open_):
+            break
+        mine = np.repeat(np.isin(np.arange(len(have)), open_), count)
+        start, top = np.zeros((len(open_), k)), order[open_, :size]
+        np.put_along_axis(start, top, np.take_along_axis(full[open_], top, axis=1), axis=1)
         start /= start.sum(axis=1, keepdims=True)
-        own = fitted(start, EM_ROUNDS if 1 < size < k else 0)  # one language has all; of all, these are the proportions
-        each = np.log(np.maximum((like * own[owner]).sum(axis=1), 1e-300))
-        value = np.full(n, -np.inf)
-        value[have] = np.add.reduceat(each, cuts) - (size - 1) * PENALTY * np.log(words[have] + 1.0)
-        better = value > best
-        chosen, share, best = np.where(better, size, chosen), np.where(better[:, None], own, share), np.maximum(best, value)
+        # one language has all; of all languages, these are the proportions
+        own = _proportions(like[mine], count[open_], start, EM_ROUNDS if 1 < size < k else 0)
+        value = _likelihood(like[mine], count[open_], own) - (size - 1) * penalty[open_]
+        better = value > best[open_]
+        won = open_[better]
+        best[won], own_share[won], size_of[won] = value[better], own[better], size
+    share[have], chosen[have] = own_share, size_of
     return share, chosen, words
 
 
