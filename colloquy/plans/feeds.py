@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import lifecycle as L
 from colloquy.operators import messages as M
 from colloquy.sources import contracts as C
-from colloquy.sources import io
+from colloquy.sources import io, validate
 from colloquy.streaming import feeds as S
 from colloquy.streaming import state
 
@@ -90,13 +90,14 @@ def sink_twice(s, d):
 
 
 def ingest(s, d):
-    """The feed as a stream with lost and unknown rows in it, run twice on one checkpoint; then all of it once more on another."""
+    """The feed as a stream with lost and unknown rows in it, a third of it delivered twice, run twice on one checkpoint."""
     rows = feed(s, d)
     spoilt = rows.withColumn("kind", F.when(F.col("seq") % 43 == 0, "poke").otherwise(F.col("kind"))).withColumn("ts", F.when(F.col("seq") % 41 != 0, F.col("ts")))
-    path, schema = laid_out(s, spoilt.repartition(3), "feed")
+    path, schema = laid_out(s, spoilt.union(spoilt.where("seq % 3 = 0")).repartition(2, "seq"), "feed")
     target, refused, checkpoint = place(s, "store"), place(s, "refused"), place(s, "offsets")
-    for offsets in (checkpoint, checkpoint, place(s, "offsets")):
-        S.stream_ingest(S.source(s, path, schema, 2), *feed_consent(s, d), target, refused, offsets)
+    consent_ = consent_tables(s, d)
+    for _ in range(2):
+        S.stream_ingest(S.source(s, path, schema, 1), *consent_, target, refused, checkpoint)
     good = s.read.parquet(target).select("event_type", "event_key", F.md5("event").alias("event_md5"), F.lit("").alias("errors"))
     none = F.lit(None).cast("string")
     return good.unionByName(s.read.parquet(refused).select(none.alias("event_type"), F.concat_ws("|", "seq", "message_id").alias("event_key"), none.alias("event_md5"), "errors"))
@@ -108,12 +109,22 @@ def backfill(s, d):
     first, rest = (rows.where(f"seq % 2 = {i}") for i in (0, 1))
     path, schema = laid_out(s, first, "history")
     target, refused, checkpoint = place(s, "store"), place(s, "refused"), place(s, "offsets")
-    S.stream_ingest(S.source(s, path, schema), *feed_consent(s, d), target, refused, checkpoint)
+    consent_ = consent_tables(s, d)
+    S.stream_ingest(S.source(s, path, schema), *consent_, target, refused, checkpoint)
     rest.write.mode("append").parquet(path)
-    S.stream_ingest(S.source(s, path, schema), *feed_consent(s, d), target, refused, checkpoint)
+    S.stream_ingest(S.source(s, path, schema), *consent_, target, refused, checkpoint)
     return s.read.parquet(target).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_key").alias("keys"))
 
 
+def consent_tables(s, d):
+    """feed_consent() as tables of their own, which every micro-batch reads."""
+    out = []
+    for name, df in zip(("channels", "optout"), feed_consent(s, d), strict=True):
+        path, schema = laid_out(s, df.coalesce(1), name)
+        out.append(s.read.schema(schema).parquet(path))
+    return out
+
+
 def appended(s, stream, name):
     """The rows that a stream appends to a table, from a run over what is there."""
     target = place(s, name)

@@ -212,21 +212,27 @@ def parsed(c: Contract, v: Column, place: str = "$") -> Column:
     return parsed(c.of, v, place)
 
 
-def written(c: Contract, x: Column) -> Column:
-    """JSON text of a typed value, keys in order; a null Maybe has no key, a null Nullable is null."""
+def _json(c: Contract, x: str, depth: int = 0) -> str:
+    """SQL of the JSON text of a typed value; null for a null one, but for a Nullable."""
     match c:
         case Text() | Choice():
-            listed = F.to_json(F.array(x))
-            return F.when(x.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+            return f"CASE WHEN {x} IS NOT NULL THEN substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2) END"
         case Moment():
-            return F.concat(F.lit('"'), F.date_format(F.to_utc_timestamp(x.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('"'))
+            pattern = r"yyyy-MM-dd\'T\'HH:mm:ss.SSS\'Z\'"
+            return f"""concat('"', date_format(to_utc_timestamp(cast({x} AS timestamp), current_timezone()), '{pattern}'), '"')"""
         case Whole() | Truth():
-            return x.cast("string")
+            return f"cast({x} AS string)"
         case Listed():
-            return F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: written(c.of, e)), ","), F.lit("]"))
+            e = f"e{depth}"
+            return f"concat('[', array_join(transform({x}, {e} -> {_json(c.of, e, depth + 1)}), ','), ']')"
         case Nullable():
-            return F.coalesce(written(c.of, x), F.lit("null"))
+            return f"coalesce({_json(c.of, x, depth)}, 'null')"
         case Maybe():
-            return written(c.of, x)
-    parts = [F.concat(F.lit(f'"{c.key(n)}":'), written(of, x[n])) for n, of in c.fields.items()]
-    return F.when(x.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+            return _json(c.of, x, depth)
+    parts = ", ".join(f"""concat('"{c.key(n)}":', {_json(of, f'{x}.{n}', depth)})""" for n, of in c.fields.items())
+    return f"CASE WHEN {x} IS NOT NULL THEN concat('{{', concat_ws(',', {parts}), '}}') END"
+
+
+def written(c: Contract, x: Column) -> Column:
+    """JSON text of a typed value, keys in order; a null Maybe has no key, a null Nullable is null."""
+    return F.element_at(F.call_function("transform", F.array(x), F.expr("rec -> " + _json(c, "rec"))), 1)

@@ -159,16 +159,21 @@ def sink_events_idempotent(events: DataFrame, path: str, order: list[str], key:
     spark = events.sparkSession
     w = Window.partitionBy(key).orderBy(*order)
     fresh = events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    if within:
+        fresh = fresh.persist()  # looked at for its partitions, then written
+    new = fresh
     try:
         stored = spark.read.schema(events.schema).parquet(path)
         if within:
-            stored = stored.where(F.col(within).isin([r[0] for r in events.select(within).distinct().collect()]))  # one value a partition
-        fresh = fresh.join(stored.select(key), key, "left_anti").select(*events.columns)
+            stored = stored.where(F.col(within).isin([r[0] for r in fresh.select(within).distinct().collect()]))  # one value a partition
+        new = fresh.join(stored.select(key), key, "left_anti").select(*events.columns)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    writer = fresh.write.mode("append")
+    writer = new.write.mode("append")
     (writer.partitionBy(within) if within else writer).parquet(path)
+    if within:
+        fresh.unpersist()
 
 
 def apply_purge(index: DataFrame, purge: DataFrame, kind: str) -> DataFrame:

@@ -56,7 +56,7 @@ def late_users(spark, tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["member_events", "union_events", "stream_ingest", "stream_backfill"])
+@pytest.mark.parametrize("name", ["member_events", "ingest", "stream_backfill"])
 def test_consent_holds_for_every_user_id(spark, late_users, name):
     path, con = late_users
     got, want = registry.QUERIES[name](spark, path).toPandas(), con.sql(registry.SQL[name]).df()
