@@ -103,8 +103,9 @@ def tombstone_events(deletes: DataFrame, region: str = REGION) -> DataFrame:
     return deletes.select(F.lit("tombstone-request").alias("event_type"), source_ref().alias("source_ref"), F.lit(region).alias("region"), "ts", "message_id")
 
 
-#: What an event's keys are called in envelopes, where that differs; what a deleted message is forgotten for.
+#: What an event's keys are called in envelopes, where that differs.
 ENVELOPE = {"type": "event_type", "timestamp": "ts", "target": "source_ref", "member_id": "author_id", "display_name": "author_name"}
+# Fixed value: what a deleted message is forgotten for.
 DELETED = "discord message deleted"
 
 

@@ -87,6 +87,7 @@ class Record:
 
 Contract = Text | Moment | Whole | Truth | Choice | Listed | Maybe | Nullable | Record
 
+# The fields of documents and events.
 TRACK = Record({"user_id": Text(1), "display_name": Text(1), "path": Text(1), "start_offset_ms": Whole(0)})
 VIDEO = Record({"path": Text(1), "started_at": Moment(), "start_offset_ms": Whole()})
 MANIFEST = Record({"call_id": Text(1), "guild_id": Text(1), "channel_id": Text(1), "started_at": Moment(), "ended_at": Nullable(Moment()), "tracks": Listed(TRACK), "video": Maybe(VIDEO)})

@@ -16,7 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from . import contracts as C
 from . import validate
 
-#: File names of a call's documents.
+# File names of a call's documents and texts.
 MANIFEST_FILE, STATUS_FILE, TRANSCRIPT_FILE, SUMMARY_FILE = "manifest.json", "status.json", "transcript.json", "summary.json"
 MARKDOWN_FILE, TIMECODED_FILE = "summary.md", "transcript.timecoded.md"
 
