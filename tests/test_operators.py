@@ -116,17 +116,6 @@ def test_history_goes_on_from_its_cursors(spark):
     assert sorted((r["channel_id"], r["seq"]) for r in top.collect()) == [("a", 23), ("a", 24), ("b", 1), ("b", 2)]
 
 
-def test_a_second_reclaim_is_acted_upon(spark, tmp_path):
-    from colloquy.streaming import feeds
-
-    one = lambda at: spark.sql(f"SELECT 'x' AS call_id, 'transcribing' AS status, timestamp_ntz'{at}' AS updated_at, timestamp_ntz'{at}' AS started_at, CAST(NULL AS timestamp_ntz) AS ended_at, CAST(NULL AS string) AS thread_id, CAST(NULL AS timestamp_ntz) AS emailed_at, FALSE AS has_video")
-    path, target, offsets = (str(tmp_path / x) for x in ("in", "out", "offsets"))
-    for at in ("2024-01-01 00:00:00", "2024-01-01 02:00:00", "2024-01-01 02:00:00"):
-        one(at).write.mode("append").parquet(path)
-        feeds.stream_queue(feeds.source(spark, path, spark.read.parquet(path).schema), target, offsets, "2024-01-01 12:00:00", 15, 900)
-    assert spark.read.parquet(target).where("action = 'reclaim'").count() == 2
-
-
 def test_bursts_equal_a_loop(spark):
     rng = random.Random(4)
     data, at = [], 0

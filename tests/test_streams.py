@@ -68,6 +68,14 @@ def test_a_write_before_its_deadline_calls_it_off_however_it_comes(spark, tmp_pa
     assert feed.run() == [("a", "process", hours(0), hours(0)), ("a", "process", hours(2.5), hours(2.5)), ("a", "reclaim", hours(1.5), hours(2.5))]
 
 
+def test_a_second_reclaim_is_acted_upon_and_a_repeated_write_is_not(spark, tmp_path):
+    feed = Feed(spark, tmp_path, STATUS, lambda s: S.stream_queue(s, 15, -1, -1, "0 seconds"))
+    for h in (0, 2, 2):
+        feed.put([("x", 1, "transcribing", hours(h), T0, None, False)])
+    feed.put([("", 0, "recording", hours(9), T0, None, False)])
+    assert [(since, due) for _, action, since, due in feed.run() if action == "reclaim"] == [(hours(0), hours(0.25)), (hours(2), hours(2.25))]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_shuffled_voice_events_give_the_sessions_of_the_log(spark, tmp_path, seed):
     rng = random.Random(seed)
