@@ -354,6 +354,13 @@ def test_issues_line(spark):
     assert got == "a: x; c: z"
 
 
+def test_no_running_value_looks_at_the_rest_of_its_slice_for_every_row(spark):
+    rows = spark.range(9).selectExpr("id % 2 AS k", "id", "0 AS _slice")
+    plan = scan.running(rows, ["k"], ["id"], {"s": ("sum", F.col("id")), "b": ("before", F.col("id")), "n": ("next", F.col("id"))})
+    assert "unboundedfollowing" not in plan._jdf.queryExecution().toString().lower()
+    assert sorted((r.id, r.n) for r in plan.collect()) == [(i, i + 2 if i < 7 else None) for i in range(9)]
+
+
 def test_running_values_are_the_same_in_any_number_of_slices(spark):
     from pyspark.sql import Window
 
