@@ -349,12 +349,31 @@ def test_neighbourhood_and_fused_recall(spark):
     assert got.count() > 0 and set(got.columns) >= {"graph_censored", "termination_reason", "score"}
 
 
+@pytest.mark.parametrize("region", [False, True])
+def test_recall_in_chunks_and_blocks_equals_scores_of_all_pairs(spark, monkeypatch, region):
+    """Equal scores, copies, vectors of another length and null ones: the ranking is that of every pair scored in SQL."""
+    monkeypatch.setattr(R, "QUERY_CHUNK", 7)
+    monkeypatch.setattr(R, "MEMORY_BLOCK", 60)
+    rng = random.Random(4)
+    data = [(i, [float(rng.randint(-2, 2)) for _ in range(3)] if i % 3 else [1.0, 2.0, 3.0], rng.choice("xyz")) for i in range(400)]
+    data = [(i, [*v[:2], 9.0] if not any(v) else v, r) for i, v, r in data] + [(400, None, "x"), (401, [1.0, None, 2.0], "y"), (402, [1.0, 2.0], "x"), (403, [float("nan"), 1.0, 1.0], "z")]
+    mem = spark.createDataFrame(data, "memory_id bigint, embedding array<float>, region string")
+    queries = mem.where("memory_id % 20 = 0 OR memory_id > 400")
+    want = R.top(R._scored(queries, mem, region), 5)
+    shown = lambda df: sorted(map(str, df.select("query", "rank", "memory_id", "score").collect()))
+    assert shown(R.recall_vector(queries, mem, 5, region)) == shown(want)
+    plan = R.recall_vector(queries.where("memory_id < 400"), mem.where("memory_id < 400"), 5, region)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_issues_line(spark):
     got = spark.range(1).select(validate.format_issues(validate.issues(("a", F.lit(True), "x"), ("b", F.lit(None).cast("boolean"), "y"), ("c", F.lit(True), "z"))).alias("e")).first()["e"]
     assert got == "a: x; c: z"
 
 
 def test_no_running_value_looks_at_the_rest_of_its_slice_for_every_row(spark):
+    from colloquy.operators import scan
+
     rows = spark.range(9).selectExpr("id % 2 AS k", "id", "0 AS _slice")
     plan = scan.running(rows, ["k"], ["id"], {"s": ("sum", F.col("id")), "b": ("before", F.col("id")), "n": ("next", F.col("id"))})
     assert "unboundedfollowing" not in plan._jdf.queryExecution().toString().lower()
