@@ -106,3 +106,25 @@ def test_late_bursts_are_counted(spark, tmp_path):
     base = int((T0 - datetime(1970, 1, 1)).total_seconds() * 1000)
     assert sorted(((a - base) // 1000, (b - base) / 1000, n) for _, a, b, n in got) == [(0, 0.5, 1), (50, 110.5, 5)]
     assert feed.late == 2
+
+
+def test_state_is_held_by_group_and_not_by_key(spark, tmp_path):
+    """Hundreds of calls to the state store would take longer than all else: many calls share a value of it."""
+    feed = Feed(spark, tmp_path, STATUS, lambda s: S.stream_queue(s, 60, 2, 1, "0 seconds"))
+    feed.put([(f"c{i}", 1, "transcribing", hours(i % 7), hours(0), None, False) for i in range(3000)])
+    with state.store(spark):
+        query = feed.build(S.source(spark, feed.path, spark.createDataFrame([], STATUS).schema)).writeStream.format("memory").queryName("grouped").option("checkpointLocation", feed.offsets).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) <= 10 * state.BUCKETS
+
+
+def test_a_room_with_many_members_is_not_listed_for_every_event():
+    room, now = state.VoiceRoom(["u1"], []), None
+    now = room.fresh()
+    for i in range(20_000):
+        now, out = room.step(("v",), now, {"action": "join", "user_id": f"u{i}", "is_bot": False, "role_id": "r", "at_us": i})
+    assert len(now["present"]) == 20_000 and now["triggers"] == 1
+    now, _ = room.step(("v",), now, {"action": "arm", "user_id": "x", "is_bot": False, "role_id": "r", "at_us": 20_000})
+    assert now["started"] == 20_000
+    now, out = room.step(("v",), now, {"action": "disarm", "user_id": "x", "is_bot": False, "role_id": "r", "at_us": 20_001})
+    assert [tuple(r) for r in out] == [("v", 20_000, 20_001)]
