@@ -47,24 +47,39 @@ def words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
+def _pairs(ws: Column) -> Column:
+    """Neighbouring words, joined by a space."""
+    return F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def phrase_keys(docs: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ref, text) of the texts as words(), and (ref, phrase, w) of the texts that share a phrase's key.
+
+    Texts are joined to phrases of a word by that, to longer ones by a pair of
+    neighbouring words, of each phrase the pair that the fewest texts have.
+    """
+    split = F.split(F.trim("w"), " ")
+    wanted = phrases.select("phrase", words(F.col("phrase")).alias("w")).where(F.trim("w") != "").distinct()
+    parts = wanted.select("phrase", "w", F.explode(F.array_distinct(F.when(F.size(split) == 1, split).otherwise(_pairs(split)))).alias("key"))
+    known = docs.select("ref", words(F.col("text")).alias("text"))
+    of = F.split(F.trim("text"), " ")
+    tokens = known.select("ref", F.explode(F.array_distinct(F.concat(of, _pairs(of)))).alias("key")).join(parts.select("key").distinct(), "key", "left_semi")
+    spread = tokens.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = parts.join(spread, "key", "left").groupBy("phrase", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k")).select("phrase", "w", F.col("k.key").alias("key"))
+    return known, tokens.join(rarest, "key").select("ref", "phrase", "w")
+
+
 def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """Distinct (ref, phrase) of the texts (ref, text) that have a phrase (phrase) as whole words, in any case.
 
-    Texts are joined to phrases by one word, of each phrase the word that the
-    fewest texts have; only the pairs that share it are verified in full. Phrases
+    Only phrases of three words and more are verified beyond their key. Phrases
     without a word match nothing.
     """
-    wanted = phrases.select("phrase", words(F.col("phrase")).alias("w")).where(F.trim("w") != "").distinct()
-    parts = wanted.select("phrase", "w", F.explode(F.array_distinct(F.split(F.trim("w"), " "))).alias("word"))
-    known = docs.select("ref", words(F.col("text")).alias("text"))
-    tokens = known.select("ref", F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("word")).join(parts.select("word").distinct(), "word", "left_semi")
-    spread = tokens.groupBy("word").agg(F.count("*").alias("n"))
-    rarest = parts.join(spread, "word", "left").groupBy("phrase", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("k")).select("phrase", "w", F.col("k.word").alias("word"))
-    pairs = tokens.join(rarest, "word").select("ref", "phrase", "w")
-    single = F.size(F.split(F.trim("w"), " ")) == 1
-    # a phrase of one word is verified by the join
-    longer = pairs.where(~single).join(known, "ref").where(F.contains("text", F.col("w"))).select("ref", "phrase")
-    return pairs.where(single).select("ref", "phrase").unionByName(longer).distinct()
+    known, pairs = phrase_keys(docs, phrases)
+    whole = F.size(F.split(F.trim("w"), " ")) <= 2
+    # a phrase of one or two words is verified by the join
+    longer = pairs.where(~whole).join(known, "ref").where(F.contains("text", F.col("w"))).select("ref", "phrase")
+    return pairs.where(whole).select("ref", "phrase").unionByName(longer).distinct()
 
 
 def _ref(kind: str, *cols) -> Column:

@@ -429,6 +429,18 @@ def test_notes_by_a_maker_that_fails_now_and_then(spark):
     assert C.make_notes(texts).where("call_id = 'a' and note_idx = 0").first().note == "x" * 800
 
 
+def test_phrases_of_common_words_are_joined_by_pairs_of_words(spark):
+    """Every text has every word, each phrase one neighbour pair that a text has: no rows beyond the matches come out of the join."""
+    n = 30
+    docs = spark.createDataFrame([(str(i), " ".join(f"w{(i + 1) * j % 31}" for j in range(1, n + 1)) + " w0") for i in range(n)], "ref string, text string")
+    phrases = spark.createDataFrame([(f"w{a} w{b}",) for a in range(31) for b in range(31) if a != b] + [("w1 w2 w3",), ("w3 w1 w2",)], "phrase string")
+    texts, wanted = {r.ref: f" {r.text} " for r in docs.collect()}, [r.phrase for r in phrases.collect()]
+    got = G.phrase_matches(docs, phrases)
+    assert rows(got) == sorted((d, p) for d, t in texts.items() for p in wanted if f" {p} " in t)
+    joined = G.phrase_keys(docs, phrases)[1]
+    assert joined.where(F.size(F.split(F.trim("w"), " ")) == 2).count() == sum(f" {p} " in t for t in texts.values() for p in wanted if p.count(" ") == 1)
+
+
 def test_phrases_are_found_as_whole_words(spark):
     docs = spark.createDataFrame([("a", "The New-York office, NEW YORK!"), ("b", "newyork new yorker"), ("c", "a new york"), ("d", ""), ("e", None), ("f", "été à Genève")], "ref string, text string")
     phrases = spark.createDataFrame([("New York",), ("office",), ("york new",), (" !! ",), ("ÉTÉ",), (None,)], "phrase string")
