@@ -73,3 +73,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_a_feed_delivered_twice_is_laid_out_by_as_many_tasks_as_read_it(spark):
+    from colloquy.plans import feeds
+
+    rows = spark.range(0, 9000, 1, 20).withColumnRenamed("id", "seq")
+    path, schema, files = feeds.delivered_twice(spark, rows, "seq % 3 = 0", "twice")
+    stored = spark.read.schema(schema).parquet(path)
+    assert len(stored.inputFiles()) >= 40 and files == 14 and stored.count() == 12_000 and stored.distinct().count() == 9000
