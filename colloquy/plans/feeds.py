@@ -103,11 +103,11 @@ def ingest(s, d):
     """The feed as a stream with lost and unknown rows in it, a third of it delivered twice, run twice on one checkpoint."""
     rows = feed(s, d)
     spoilt = rows.withColumn("kind", F.when(F.col("seq") % 43 == 0, "poke").otherwise(F.col("kind"))).withColumn("ts", F.when(F.col("seq") % 41 != 0, F.col("ts")))
-    path, schema = laid_out(s, spoilt.union(spoilt.where("seq % 3 = 0")).repartition(2, "seq"), "feed")
+    path, schema, files = delivered_twice(s, spoilt, "seq % 3 = 0", "feed")
     target, refused, checkpoint = place(s, "store"), place(s, "refused"), place(s, "offsets")
     consent_ = consent_tables(s, d)
     for _ in range(2):
-        S.stream_ingest(S.source(s, path, schema, 1), *consent_, target, refused, checkpoint)
+        S.stream_ingest(S.source(s, path, schema, files), *consent_, target, refused, checkpoint)
     good = s.read.parquet(target).select("event_type", "event_key", F.md5("event").alias("event_md5"), F.lit("").alias("errors"))
     none = F.lit(None).cast("string")
     return good.unionByName(s.read.parquet(refused).select(none.alias("event_type"), F.concat_ws("|", "seq", "message_id").alias("event_key"), none.alias("event_md5"), "errors"))

@@ -82,3 +82,13 @@ def test_a_feed_delivered_twice_is_laid_out_by_as_many_tasks_as_read_it(spark):
     path, schema, files = feeds.delivered_twice(spark, rows, "seq % 3 = 0", "twice")
     stored = spark.read.schema(schema).parquet(path)
     assert len(stored.inputFiles()) >= 40 and files == 14 and stored.count() == 12_000 and stored.distinct().count() == 9000
+
+
+def test_a_partition_of_a_sink_gets_one_file_a_call(spark, tmp_path):
+    from colloquy.sources import io
+
+    path = str(tmp_path / "sink")
+    rows = spark.range(0, 4000, 1, 8).selectExpr("CAST(id AS STRING) AS event_key", "id AS at", "id % 5 AS slot")
+    for part in ("at < 3000", "at >= 1000"):
+        io.sink_events_idempotent(rows.where(part), path, ["at"], within="slot")
+    assert spark.read.parquet(path).count() == 4000 and len(spark.read.parquet(path).inputFiles()) == 10
