@@ -47,13 +47,16 @@ def delivered_twice(s, df, again, name):
 
 
 def scan_status(s, d):
-    """Status documents as JSON text, read back and split."""
+    """Status documents as JSON text, read back and checked in one pass."""
     path = place(s, "status")
     documents_of_status(s, d).select("value").write.text(path)
-    good, bad = io.scan_status(s, path, lines=True)
-    none = F.lit(None).cast("string")
-    valid = good.select("call_id", "status", F.unix_millis("updated_at").alias("updated_ms"), F.unix_millis("emailed_at").alias("emailed_ms"), F.lit("").alias("errors"))
-    return valid.unionByName(bad.select(F.get_json_object("value", "$.callId").alias("call_id"), none.alias("status"), none.cast("long").alias("updated_ms"), none.cast("long").alias("emailed_ms"), "errors"))
+    rows = io.checked_documents(s, path, C.STATUS)
+    return rows.select(_call_id(), F.col("d.status").alias("status"), F.unix_millis("d.updated_at").alias("updated_ms"), F.unix_millis("d.emailed_at").alias("emailed_ms"), "errors")
+
+
+def _call_id():
+    """The call that a document names, be it valid or not."""
+    return F.coalesce("d.call_id", F.get_json_object("value", "$.callId")).alias("call_id")
 
 
 def manifest_documents(s, d):
@@ -70,15 +73,12 @@ def manifest_documents(s, d):
 
 
 def scan_calls(s, d):
-    """Manifests as JSON text, read back and split; of the valid ones how long the call was and the tracks."""
+    """Manifests as JSON text, read back and checked in one pass; of the valid ones how long the call was and the tracks."""
     path = place(s, "calls")
     manifest_documents(s, d).select("value").write.text(path)
-    good, bad = io.scan_calls(s, path, lines=True)
-    tracks = F.array_join(F.transform("tracks", lambda t: F.concat_ws(":", t["user_id"], t["display_name"], t["start_offset_ms"])), ",")
-    none = F.lit(None).cast("string")
-    valid = good.select("call_id", F.unix_millis("started_at").alias("started_ms"), F.unix_millis("ended_at").alias("ended_ms"), tracks.alias("tracks"), F.col("video.path").alias("video"), F.lit("").alias("errors"))
-    lost = bad.select(F.get_json_object("value", "$.callId").alias("call_id"), none.cast("long").alias("started_ms"), none.cast("long").alias("ended_ms"), none.alias("tracks"), none.alias("video"), "errors")
-    return valid.unionByName(lost)
+    rows = io.checked_documents(s, path, C.MANIFEST)
+    tracks = F.array_join(F.transform("d.tracks", lambda t: F.concat_ws(":", t["user_id"], t["display_name"], t["start_offset_ms"])), ",")
+    return rows.select(_call_id(), F.unix_millis("d.started_at").alias("started_ms"), F.unix_millis("d.ended_at").alias("ended_ms"), tracks.alias("tracks"), F.col("d.video.path").alias("video"), "errors")
 
 
 def artifacts(s, d):

@@ -129,10 +129,6 @@ def ddl(c: Contract) -> str:
     return "string"
 
 
-def _at(v: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(v, path, kind)
-
-
 def _say(path: str, message: str) -> str:
     return f"array(named_struct('path', {path}, 'message', '{message}'))"
 
@@ -142,75 +138,100 @@ def _under(path: str, key: str) -> str:
     return key if path == "''" else f"concat({path}, '.', {key})"
 
 
-def _checks(c: Contract, v: str, place: str, path: str, depth: int = 0) -> str:
-    """SQL of the issues of the value at ``place`` in the variant ``v``; ``path`` is SQL of how it is called in them."""
-    at = lambda kind: f"try_variant_get({v}, '{place}', '{kind}')"
-    kind, none = f"coalesce(schema_of_variant({at('variant')}), 'ABSENT')", f"cast(array() AS {ISSUES})"
+def _members(c: Record) -> str:
+    """The type that an object is cast to at once: its fields as variants, null where absent."""
+    return "struct<" + ",".join(f"`{c.key(n)}`:variant" for n in c.fields) + ">"
+
+
+def _checks(c: Contract, x: str, path: str, depth: int = 0) -> str:
+    """SQL of the issues of the variant ``x``, null where absent; ``path`` is SQL of how it is called in them.
+
+    Objects and arrays are taken apart once, from the outside in, so that the
+    work of a document is in proportion to its size.
+    """
+    none, say = f"cast(array() AS {ISSUES})", lambda message: _say(path, message)
     if isinstance(c, Maybe):
-        return f"CASE WHEN {kind} = 'ABSENT' THEN {none} ELSE {_checks(c.of, v, place, path, depth)} END"
+        return f"CASE WHEN {x} IS NULL THEN {none} ELSE {_checks(c.of, x, path, depth)} END"
     if isinstance(c, Nullable):
-        return f"CASE WHEN {kind} = 'VOID' THEN {none} ELSE {_checks(c.of, v, place, path, depth)} END"
-    say = lambda message: _say(path, message)
-    text = at("string")
+        return f"CASE WHEN is_variant_null({x}) THEN {none} ELSE {_checks(c.of, x, path, depth)} END"
+    at = lambda kind: f"try_variant_get({x}, '$', '{kind}')"
+    kind, text = f"schema_of_variant({x})", at("string")
     match c:
         case Text():
-            right, name = f"{kind} = 'STRING'", "string"
-            inner = f"CASE WHEN length({text}) < {c.least} THEN {say('empty' if c.least == 1 else f'shorter than {c.least}')} ELSE {none} END"
+            small = f"WHEN length({text}) < {c.least} THEN {say('empty' if c.least == 1 else f'shorter than {c.least}')}" if c.least else ""
+            rest = f"WHEN {kind} <> 'STRING' THEN {say('not a string')} {small} ELSE {none}"
         case Moment():
-            right, name = f"{kind} = 'STRING'", "string"
-            inner = f"CASE WHEN {text} RLIKE r'{ISO_Z}' AND try_cast({text} AS timestamp) IS NOT NULL THEN {none} ELSE {say('not an ISO time in UTC')} END"
+            rest = f"WHEN {kind} <> 'STRING' THEN {say('not a string')} WHEN {text} RLIKE r'{ISO_Z}' AND try_cast({text} AS timestamp) IS NOT NULL THEN {none} ELSE {say('not an ISO time in UTC')}"
         case Choice():
-            right, name = f"{kind} = 'STRING'", "string"
-            listed = ", ".join(f"'{x}'" for x in c.values)
-            inner = f"CASE WHEN {text} IN ({listed}) THEN {none} ELSE {say('not one of ' + ', '.join(c.values))} END"
+            listed = ", ".join(f"'{v}'" for v in c.values)
+            rest = f"WHEN {kind} <> 'STRING' THEN {say('not a string')} WHEN {text} IN ({listed}) THEN {none} ELSE {say('not one of ' + ', '.join(c.values))}"
         case Truth():
-            right, name, inner = f"{kind} = 'BOOLEAN'", "boolean", none
+            rest = f"WHEN {kind} <> 'BOOLEAN' THEN {say('not a boolean')} ELSE {none}"
         case Whole():
             number = at("double")
-            right, name = f"{kind} RLIKE '^(BIGINT|DECIMAL|DOUBLE)'", "number"
             small = f"WHEN {number} < {c.least} THEN {say('negative' if c.least == 0 else f'less than {c.least}')}" if c.least is not None else ""
-            inner = f"CASE WHEN {number} <> floor({number}) THEN {say('not a whole number')} {small} ELSE {none} END"
+            rest = f"WHEN NOT {kind} RLIKE '^(BIGINT|DECIMAL|DOUBLE)' THEN {say('not a number')} WHEN {number} <> floor({number}) THEN {say('not a whole number')} {small} ELSE {none}"
         case Listed():
-            right, name = f"startswith({kind}, 'ARRAY<')", "array"
-            x, i = f"x{depth}", f"i{depth}"
-            each = _checks(c.of, x, "$", _under(path, f"cast({i} AS string)"), depth + 1)
-            inner = f"flatten(transform({at('array<variant>')}, ({x}, {i}) -> {each}))"
+            v, i = f"x{depth}", f"i{depth}"
+            under = _under(path, f"cast({i} AS string)")
+            if isinstance(c.of, Record):  # taken apart with the array; what isn't an object is null
+                kind, each = f"array<{_members(c.of)}>", _member_checks(c.of, v, under, depth + 1)
+            else:
+                kind, each = "array<variant>", _checks(c.of, v, under, depth + 1)
+            rest = f"ELSE coalesce(flatten(transform({at(kind)}, ({v}, {i}) -> {each})), {say('not an array')})"
         case Record():
-            right, name = f"startswith({kind}, 'OBJECT<')", "object"
-            fields = ", ".join(_checks(x, v, f"{place}.{c.key(n)}", _under(path, f"'{c.key(n)}'"), depth) for n, x in c.fields.items())
-            inner = f"concat({fields})"
-            for late, early, message in c.rules:
-                values = [f"try_variant_get({v}, '{place}.{c.key(n)}', 'double')" for n in (late, early)]
-                found = f"f{depth}"
-                broken = f"CASE WHEN size({found}) = 0 AND {values[0]} < {values[1]} THEN {_say(_under(path, repr(c.key(late))), message)} ELSE {found} END"
-                inner = f"element_at(transform(array({inner}), {found} -> {broken}), 1)"
-    article = "an" if name[0] in "ao" else "a"
-    return f"CASE WHEN {kind} = 'ABSENT' THEN {say('missing')} WHEN NOT {right} THEN {say(f'not {article} {name}')} ELSE {inner} END"
+            o = f"o{depth}"
+            rest = f"ELSE element_at(transform(array({at(_members(c))}), {o} -> {_member_checks(c, o, path, depth + 1)}), 1)"
+    return f"CASE WHEN {x} IS NULL THEN {say('missing')} {rest} END"
+
+
+def _member_checks(c: Record, o: str, path: str, depth: int) -> str:
+    """SQL of the issues of an object that was cast to _members(); null if it isn't one."""
+    found = f"f{depth}"
+    inner = "concat(" + ", ".join(_checks(of, f"{o}.`{c.key(n)}`", _under(path, f"'{c.key(n)}'"), depth) for n, of in c.fields.items()) + ")"
+    for late, early, message in c.rules:
+        values = [f"try_variant_get({o}.`{c.key(n)}`, '$', 'double')" for n in (late, early)]
+        broken = f"CASE WHEN size({found}) = 0 AND {values[0]} < {values[1]} THEN {_say(_under(path, repr(c.key(late))), message)} ELSE {found} END"
+        inner = f"element_at(transform(array({inner}), {found} -> {broken}), 1)"
+    return f"CASE WHEN {o} IS NULL THEN {_say(path, 'not an object')} ELSE {inner} END"
 
 
 def problems(c: Contract, v: Column) -> Column:
     """Issues of a variant, those of a record in the order of its fields; an empty array if there are none."""
-    each = F.expr("doc -> cast(" + _checks(c, "doc", "$", "''") + f" AS {ISSUES})")
+    each = F.expr("doc -> cast(" + _checks(c, "doc", "''") + f" AS {ISSUES})")
     return F.element_at(F.call_function("transform", F.array(v), each), 1)
 
 
-def parsed(c: Contract, v: Column, place: str = "$") -> Column:
-    """The typed value at ``place`` in a variant that has no problems; what is absent is null."""
+def _raw(c: Contract) -> str:
+    """The type that a valid document is cast to at once: the document's own keys, times as text."""
     match c:
-        case Text() | Choice():
-            return _at(v, place, "string")
         case Moment():
-            return _at(v, place, "string").try_cast("timestamp")
-        case Whole():
-            return _at(v, place, "bigint")
-        case Truth():
-            return _at(v, place, "boolean")
+            return "string"
         case Listed():
-            return F.transform(_at(v, place, "array<variant>"), lambda x: parsed(c.of, x))
+            return f"array<{_raw(c.of)}>"
+        case Maybe() | Nullable():
+            return _raw(c.of)
+        case Record():
+            return "struct<" + ",".join(f"`{c.key(n)}`:{_raw(x)}" for n, x in c.fields.items()) + ">"
+    return ddl(c)
+
+
+def _typed(c: Contract, x: Column) -> Column:
+    match c:
+        case Moment():
+            return x.try_cast("timestamp")
+        case Listed():
+            return F.transform(x, lambda y: _typed(c.of, y))
+        case Maybe() | Nullable():
+            return _typed(c.of, x)
         case Record():
-            typed = F.struct(*(parsed(x, v, f"{place}.{c.key(n)}").alias(n) for n, x in c.fields.items()))
-            return F.when(F.schema_of_variant(_at(v, place)).startswith("OBJECT<"), typed)
-    return parsed(c.of, v, place)
+            return F.when(x.isNotNull(), F.struct(*(_typed(of, x[c.key(n)]).alias(n) for n, of in c.fields.items())))
+    return x
+
+
+def parsed(c: Contract, v: Column) -> Column:
+    """The typed value of a variant that has no problems; what is absent is null."""
+    return F.element_at(F.transform(F.array(F.try_variant_get(v, "$", _raw(c))), lambda x: _typed(c, x)), 1)
 
 
 def _json(c: Contract, x: str, depth: int = 0) -> str:

@@ -92,3 +92,18 @@ def test_a_partition_of_a_sink_gets_one_file_a_call(spark, tmp_path):
     for part in ("at < 3000", "at >= 1000"):
         io.sink_events_idempotent(rows.where(part), path, ["at"], within="slot")
     assert spark.read.parquet(path).count() == 4000 and len(spark.read.parquet(path).inputFiles()) == 10
+
+
+@pytest.mark.parametrize("name", ["scan_calls", "scan_status"])
+def test_documents_are_read_parsed_and_checked_once(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and plan.count("parseJson") == 1 and plan.count("[[callId,missing]]") == 1
+
+
+def test_either_half_of_a_scan_parses_a_document_once(spark, tmp_path):
+    from colloquy.sources import io
+
+    (tmp_path / "x").write_text("{}\n[]\n{ half\n")
+    for half in io.scan_calls(spark, str(tmp_path), lines=True):
+        assert half._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1
+    assert half.count() == 3
