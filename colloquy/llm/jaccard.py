@@ -15,7 +15,7 @@ that differ by one element at most, by its whole part and its own deletions).
 By the pigeonhole principle a linked set is met if the units come to H + 1 at
 least: it can't differ by as much as was spent in every segment. Which units
 are spent is decided by their cost: a part is as common as its rarest shingle
-in a bounded sample, and asking for deletions costs as many look-ups as the
+among all documents, and asking for deletions costs as many look-ups as the
 part has elements. So parts of a passage that many documents share are asked for
 only by sets that have too little else. A set asks in its own band and, if
 three quarters of its size are below that, in the one below.
@@ -50,10 +50,13 @@ from pyspark.sql import functions as F
 from .common import kept, small_batches, table
 
 WORDS = 5
-#: Sample that shingle costs come from: documents at most about, and shingles that are kept, seen in at least so many.
-SAMPLE_DOCS = 10_000
-COMMON_SHINGLES = 200_000
+#: Shingles are common that are in at least so many documents, or, where that is more, in half as many again as a cell has shingles on average.
 COMMON_FROM = 3
+#: Cells in which all shingles are counted to tell which may be common, a power of two; and the rows in which a task's counts travel.
+CELLS = 1 << 21
+CELL_ROWS = 1 << 9
+#: Costs are in documents of so many.
+COST_DOCS = 10_000
 #: Classes of equal sets, or candidates, up to which they are broadcast; beyond, they are joined.
 BROADCAST_ROWS = 400_000
 #: Members of a block: small groups share one, larger ones are cut up.
@@ -227,7 +230,7 @@ def filed_keys(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray]) ->
 
 
 def costs(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """How often each shingle was seen in the sample, 0 where it isn't common."""
+    """In how many documents of COST_DOCS each shingle is, 0 where it isn't common."""
     shingles, counts = common
     if not len(shingles):
         return np.zeros(len(s), np.int64)
@@ -292,29 +295,75 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
 
 
-def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles of a sample of documents, and in how many of them they are. They order tokens, and decide no link."""
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
+def cell(shingles: np.ndarray, cells: int) -> np.ndarray:
+    return (shingles & _U(cells - 1)).astype(np.int64)
+
+
+def crowded_cells(docs: DataFrame, least: int, cells: int) -> np.ndarray:
+    """Of each cell, whether ``least`` shingles or more of all documents fall into it; one that is in so many documents is in such a cell.
+
+    A task counts in a table of all cells and gives it in CELL_ROWS rows, as
+    narrow as they may be; only the answers, a bit a cell, are collected.
+    """
+    width = cells // CELL_ROWS
+
+    def run(batches):
+        counts = np.zeros(cells, np.uint32)
+        for batch in batches:
+            for _, part in slices(batch.column(0)):
+                for s in shingle_sets(part):
+                    np.add.at(counts, cell(s, cells), np.uint32(1))
+        table_ = counts.reshape(-1, width)
+        rows = np.flatnonzero(table_.any(axis=1))
+        narrow = [table_[i].astype(np.min_scalar_type(table_[i].max())).tobytes() for i in rows]
+        for lo in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[lo : lo + 64], pa.int32()), pa.array(narrow[lo : lo + 64], pa.binary())], names=["row", "counts"])
+
+    def crowded(pdf):
+        import pandas as pd
+
+        total = np.zeros(width, np.int64)
+        for counts in pdf["counts"]:
+            total += np.frombuffer(counts, f"u{len(counts) // width}")
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "crowded": [np.packbits(total >= least).tobytes()]})
+
+    summed = docs.select("text").mapInArrow(run, "row int, counts binary").groupBy("row").applyInPandas(crowded, "row int, crowded binary")
+    out = np.zeros((CELL_ROWS, width), bool)
+    for r in summed.collect():  # a bit a cell
+        out[r["row"]] = np.unpackbits(np.frombuffer(r["crowded"], np.uint8), count=width).astype(bool)
+    return out.reshape(-1)
+
+
+def common_shingles(docs: DataFrame, described_: DataFrame, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles and in how many documents of COST_DOCS they are, counted over all documents. They price parts, and decide no link.
+
+    All shingles are counted in cells first; then those in crowded cells are
+    counted one by one. No more than two in three cells can have half as many
+    again as there are on average, so all that are common fit the driver.
+    """
+    size = described_.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")).first()
+    least = max(COMMON_FROM, -(-3 * size["shingles"] // (2 * cells)))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(crowded_cells(docs, least, cells)))
 
     def run(batches):
+        crowded = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for _, part in slices(batch.column(0)):
-                sets = [s for s in shingle_sets(part) if len(s)]
-                if sets:
-                    keys, counts = np.unique(np.concatenate(sets), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(counts)], names=["shingle", "n"])
-
-    rows = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("text")
-    counted = rows.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
-    got = counted.orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).toPandas()
+                flat = np.concatenate([*shingle_sets(part), np.zeros(0, _U)])
+                keys, counts = np.unique(flat[crowded[cell(flat, cells)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(counts, pa.int64())], names=["shingle", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    got = counted.toPandas()
     keys = got["shingle"].to_numpy(np.int64).view(_U)
     order = np.argsort(keys)
-    return keys[order], got["n"].to_numpy(np.int64)[order]
+    share = min(1.0, COST_DOCS / max(1, size["docs"]))
+    return keys[order], np.maximum(1, np.rint(got["n"].to_numpy(np.int64)[order] * share)).astype(np.int64)
 
 
 def filed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n, the set's hashes, its keys and whether it has too few units, of every document with a set of three or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_SHINGLES pairs of numbers
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # fewer than CELLS pairs of numbers
 
     def run(batches):
         for batch in batches:
@@ -618,7 +667,7 @@ def similar_components(docs: DataFrame, described_: DataFrame) -> DataFrame:
     classes = kept(same.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "jaccard-classes")
     copies = same.select("doc_id", "h1", "h2").join(hinted(classes), ["h1", "h2"]).select("rep", "doc_id")
 
-    common = common_shingles(docs, described_.count())
+    common = common_shingles(docs, described_)
     rows = filed(docs, common).join(hinted(classes), ["h1", "h2"], "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
     rows = rows.select("doc_id", "n", F.explode(F.when(F.col("short"), F.concat("keys", F.array(F.lit(0).cast("long")))).otherwise(F.col("keys"))).alias("key"))
     rows = rows.select(F.shiftrightunsigned("key", 4).alias("key"), "doc_id", "n", F.col("key").bitwiseAND(F.lit(15)).cast("int").alias("role"))

@@ -372,3 +372,15 @@ def test_parity_distance_is_a_lower_bound():
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**64, m, dtype=np.uint64)]))
         assert jaccard.parity_distance(jaccard.parity_sketch(a), jaccard.parity_sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_costs_of_shingles_come_from_all_documents(spark):
+    passages = {times: " ".join(f"w{times}x{i}" for i in range(7)) for times in (200, 300, 3000)}  # three shingles each
+    texts = [" ".join([f"only{i} {i} of {i} here"] + [p for times, p in passages.items() if i % (12_000 // times) == 0]) for i in range(12_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    shingles, costs = jaccard.common_shingles(docs, jaccard.described(docs), 1 << 10)
+    got = {s: c for s, c in zip(shingles.tolist(), costs.tolist(), strict=True)}
+    counts = Counter(s for t in texts for s in jaccard.shingle_sets([t])[0].tolist())
+    least = max(jaccard.COMMON_FROM, -(-3 * sum(counts.values()) // (2 << 10)))
+    want = {s: max(1, round(n * 10_000 / 12_000)) for s, n in counts.items() if n >= least}
+    assert got == want and {250, 2500} <= set(want.values()) and all(s in got for times in passages for s in jaccard.shingle_sets([passages[times]])[0].tolist())
