@@ -24,7 +24,7 @@ three quarters of its size are below that, in the one below.
 * Sizes 6 to 23: every shingle is a segment of its own.
 * Larger sizes, in bands by twos: about an eighth more segments than units are
   needed. A set that has too few non-empty ones nevertheless (about one in ten
-  million) is held against all documents, in blocks of such sets.
+  million) is held against the sketches of all documents, in blocks of such sets.
 
 Texts with equal sets form a class that is represented once. What is filed
 under one key is a group, of which somebody must ask. Each member meets the one
@@ -42,6 +42,8 @@ to its size: the members of its main component meet only those outside it.
 
 from __future__ import annotations
 
+from itertools import batched
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,6 +68,11 @@ STEP_PAIRS = 1 << 19
 STEP_WORDS = 1 << 20
 #: Cells of the longest sketch; with fewer than four an element it lets more pairs through.
 MOST_CELLS = 1 << 16
+#: Bytes of texts that are hashed at once (their arrays fit a core's cache), and characters whose sets are looked at together.
+HASHED_BYTES = 200_000
+SLICE_CHARS = 1_000_000
+#: Arrow batches of keys that are looked at together.
+NEIGHBOUR_BATCHES = 16
 #: Sets that are held against all documents at once.
 SHORT_SETS = 500
 #: What a row under a key is: filed whole, asking for whole parts, asking for deletions, filed as a deletion.
@@ -88,24 +95,47 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def powers(n: int, made: list[np.ndarray] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """The first ``n`` powers of the base and of its inverse; a worker keeps them."""
+    if not made or len(made[0]) < n:
+        made.clear()
+        for base in (_BASE, _U(pow(int(_BASE), -1, 2**64))):
+            x = np.full(n, base, _U)
+            x[0] = 1
+            made.append(np.cumprod(x, out=x))
+    return made[0][:n], made[1][:n]
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each value once."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer than five words make one shingle, none makes an empty set."""
-    raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+    out: list[np.ndarray] = []
+    raw, size = [], 0
+    for i, t in enumerate(texts):
+        raw.append((t or "").encode("utf-8", "replace").lower())
+        size += len(raw[-1])
+        if size >= HASHED_BYTES or i + 1 == len(texts):
+            out += _shingle_sets(raw)
+            raw, size = [], 0
+    return out
+
+
+def _shingle_sets(raw: list[bytes]) -> list[np.ndarray]:
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     limits = np.cumsum([len(r) + 1 for r in raw])
     space = SPACES[data]
-    begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    powers = np.empty(len(data), _U)
-    powers[0], powers[1:] = 1, _BASE
-    np.cumprod(powers, out=powers)
-    run = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[data] * powers, dtype=_U)])
-    inverse = _U(pow(int(_BASE), -1, 2**64))
-    back = np.empty(len(data), _U)
-    back[0], back[1:] = 1, inverse
-    np.cumprod(back, out=back)
+    edges = np.flatnonzero(np.concatenate([[not space[0]], space[1:] != space[:-1]]))
+    begins, ends = edges[::2], edges[1::2]
+    up, back = powers(len(data))
+    run = np.zeros(len(data) + 1, _U)
+    np.cumsum(_BYTE[data] * up, out=run[1:])
     words = mixed((run[ends] - run[begins]) * back[begins] + (ends - begins).astype(_U), 1)
-    cuts = np.searchsorted(begins, np.concatenate([[0], limits]))
+    cuts = np.searchsorted(begins, np.concatenate([[0], limits])).tolist()
     out = []
     full = np.zeros(max(0, len(words) - WORDS + 1), _U)
     for j in range(WORDS):
@@ -114,7 +144,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     full = mixed(full, 2)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b - a >= WORDS:
-            out.append(np.unique(full[a : b - WORDS + 1]))
+            out.append(distinct(full[a : b - WORDS + 1]))
         elif b > a:
             out.append(mixed(np.array([(words[a:b] * _PLACE[: b - a]).sum() + _U(b - a)], _U), 3))
         else:
@@ -164,7 +194,7 @@ def keys(flat: np.ndarray, owner: np.ndarray, cost: np.ndarray, k: int, units: n
         order = first
     else:
         where = (mixed(flat, 6 + k) % _U(count)).astype(np.int64)
-        order = np.argsort(((owner * count + where) << 20) | cost, kind="stable")
+        order = np.argsort(((owner * count + where) << 20) | cost)
         place = (owner * count + where)[order]
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(place)))
@@ -181,7 +211,7 @@ def keys(flat: np.ndarray, owner: np.ndarray, cost: np.ndarray, k: int, units: n
     price = np.minimum(price, (1 << 21) - 1) * 8 + np.concatenate([7 - np.minimum(size, 7), np.full(len(both), 7)])
     at = np.concatenate([np.arange(len(who)), both])
     tie = (mixed(total, 3)[at] >> _U(44)).astype(np.int64)
-    by = np.lexsort(((price << 20) | tie, who[at]))
+    by = np.argsort((who[at] << 44) | (price << 20) | tie)  # a slice's sets stay below 2**19
     have = np.bincount(who[at], minlength=len(units))
     begin = np.cumsum(have) - have
     taken = np.zeros(len(at), bool)
@@ -210,16 +240,19 @@ def filed_keys(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray]) ->
     """The keys of each set in its own band's scheme and, where its partners may be there, in the one below; which sets lack units."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     bands, short, rows = band(n), np.zeros(len(sets), bool), []
+    every = np.concatenate([*sets, np.zeros(0, _U)])
+    cost, whose = costs(every, common), np.repeat(np.arange(len(sets)), n)
     for k in range(int(bands.max(initial=-1)) + 1):
         for files in (True, False):
             least = lowest(k + 1)
-            mine = np.flatnonzero(bands == k) if files else np.flatnonzero((bands == k + 1) & (3 * n <= 4 * (least - 1)))
+            chosen = bands == k if files else (bands == k + 1) & (3 * n <= 4 * (least - 1))
+            mine = np.flatnonzero(chosen)
             if not len(mine):
                 continue
-            flat = np.concatenate([sets[i] for i in mine])
+            inside = np.flatnonzero(chosen[whose])
             owner = np.repeat(np.arange(len(mine)), n[mine])
             largest = n[mine] if files else np.minimum(n[mine], least - 1)
-            who, key, few = keys(flat, owner, costs(flat, common), k, (n[mine] + largest) // 7 + 1, files)
+            who, key, few = keys(every[inside], owner, cost[inside], k, (n[mine] + largest) // 7 + 1, files)
             rows.append((mine[who], key))
             short[mine[few]] = True
     if not rows:
@@ -258,7 +291,7 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
-def slices(column: pa.Array, most: int = 500_000):
+def slices(column: pa.Array, most: int = SLICE_CHARS):
     """(first, texts) of slices of about ``most`` characters."""
     lo, chars, part = 0, 0, []
     for i in range(len(column)):
@@ -281,43 +314,83 @@ def set_hashes(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(signed(per_set(mixed(flat, salt), owner, len(sets))), mask=n == 0) for salt in (20, 21)]
 
 
+DESCRIBED = "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"
+
+
+def description(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
+    return [ids, pa.array([len(s) for s in sets], pa.int64()), *set_hashes(sets), pa.array([parity_sketch(s) for s in sets], pa.binary())]
+
+
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set (null for an empty one) and its parity sketch."""
     def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for lo, part in slices(texts):
+                yield pa.RecordBatch.from_arrays(description(ids.slice(lo, len(part)), shingle_sets(part)), names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DESCRIBED)
+
+
+def described_and_counted(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """described() and counted_cells() from one pass over the texts; kept."""
+    def run(batches):
+        counts = np.zeros(CELLS, np.uint32)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for lo, part in slices(texts):
                 sets = shingle_sets(part)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, len(part)), pa.array([len(s) for s in sets], pa.int64()), *set_hashes(sets), pa.array([parity_sketch(s) for s in sets], pa.binary())],
-                    names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
+                count(sets, counts)
+                none = [pa.nulls(len(part), x) for x in (pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*description(ids.slice(lo, len(part)), sets), *none], names=names)
+        for part in narrow(counts):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part[0]), x) for x in (*[pa.int64()] * 4, pa.binary())), *part], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
+    names = ["doc_id", "n_shingles", "h1", "h2", "sketch", "row", "counts"]
+    both = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{DESCRIBED}, {COUNTED}"), name)
+    return both.where(F.col("row").isNull()).drop("row", "counts"), both.where(F.col("row").isNotNull()).select("row", "counts")
 
 
 def cell(shingles: np.ndarray, cells: int) -> np.ndarray:
     return (shingles & _U(cells - 1)).astype(np.int64)
 
 
-def crowded_cells(docs: DataFrame, least: int, cells: int) -> np.ndarray:
-    """Of each cell, whether ``least`` shingles or more of all documents fall into it; one that is in so many documents is in such a cell.
+COUNTED = "row int, counts binary"
 
-    A task counts in a table of all cells and gives it in CELL_ROWS rows, as
-    narrow as they may be; only the answers, a bit a cell, are collected.
-    """
-    width = cells // CELL_ROWS
 
+def count(sets: list[np.ndarray], counts: np.ndarray) -> None:
+    """Adds the shingles of ``sets`` to those of each cell."""
+    np.add.at(counts, cell(np.concatenate([*sets, np.zeros(0, _U)]), len(counts)), np.uint32(1))
+
+
+def narrow(counts: np.ndarray):
+    """(row, counts) columns of a table of cells in CELL_ROWS rows, as narrow as they may be; rows of zeros are left out."""
+    table_ = counts.reshape(CELL_ROWS, -1)
+    rows = np.flatnonzero(table_.any(axis=1))
+    for lo in range(0, len(rows), 64):
+        part = rows[lo : lo + 64]
+        yield [pa.array(part, pa.int32()), pa.array([table_[i].astype(np.min_scalar_type(table_[i].max())).tobytes() for i in part], pa.binary())]
+
+
+def counted_cells(docs: DataFrame, cells: int) -> DataFrame:
+    """row and counts: how many shingles of a task's documents fall into each cell."""
     def run(batches):
         counts = np.zeros(cells, np.uint32)
         for batch in batches:
             for _, part in slices(batch.column(0)):
-                for s in shingle_sets(part):
-                    np.add.at(counts, cell(s, cells), np.uint32(1))
-        table_ = counts.reshape(-1, width)
-        rows = np.flatnonzero(table_.any(axis=1))
-        narrow = [table_[i].astype(np.min_scalar_type(table_[i].max())).tobytes() for i in rows]
-        for lo in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[lo : lo + 64], pa.int32()), pa.array(narrow[lo : lo + 64], pa.binary())], names=["row", "counts"])
+                count(shingle_sets(part), counts)
+        for part in narrow(counts):
+            yield pa.RecordBatch.from_arrays(part, names=["row", "counts"])
+
+    return docs.select("text").mapInArrow(run, COUNTED)
+
+
+def crowded_cells(counted: DataFrame, least: int, cells: int) -> np.ndarray:
+    """Of each cell, whether ``least`` shingles or more of all documents fall into it; one that is in so many documents is in such a cell.
+
+    Only the answers, a bit a cell, are collected.
+    """
+    width = cells // CELL_ROWS
 
     def crowded(pdf):
         import pandas as pd
@@ -327,23 +400,23 @@ def crowded_cells(docs: DataFrame, least: int, cells: int) -> np.ndarray:
             total += np.frombuffer(counts, f"u{len(counts) // width}")
         return pd.DataFrame({"row": pdf["row"].iloc[:1], "crowded": [np.packbits(total >= least).tobytes()]})
 
-    summed = docs.select("text").mapInArrow(run, "row int, counts binary").groupBy("row").applyInPandas(crowded, "row int, crowded binary")
     out = np.zeros((CELL_ROWS, width), bool)
-    for r in summed.collect():  # a bit a cell
+    for r in counted.groupBy("row").applyInPandas(crowded, "row int, crowded binary").collect():  # a bit a cell
         out[r["row"]] = np.unpackbits(np.frombuffer(r["crowded"], np.uint8), count=width).astype(bool)
     return out.reshape(-1)
 
 
-def common_shingles(docs: DataFrame, described_: DataFrame, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, described_: DataFrame, cells: int = CELLS, counted: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The common shingles and in how many documents of COST_DOCS they are, counted over all documents. They price parts, and decide no link.
 
-    All shingles are counted in cells first; then those in crowded cells are
+    All shingles are counted in cells first (``counted``, if that has been done); then those in crowded cells are
     counted one by one. No more than two in three cells can have half as many
     again as there are on average, so all that are common fit the driver.
     """
     size = described_.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")).first()
     least = max(COMMON_FROM, -(-3 * size["shingles"] // (2 * cells)))
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(crowded_cells(docs, least, cells)))
+    counted = counted_cells(docs, cells) if counted is None else counted
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(crowded_cells(counted, least, cells)))
 
     def run(batches):
         crowded = np.unpackbits(shared.value).astype(bool)
@@ -400,10 +473,17 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         carry = None  # the last row, which may have a neighbour in the next batch: key, doc, n, role, then those of the row before and of the first of its key
-        for batch in batches:
-            fresh = [np.asarray(batch.column(x)).astype(np.int64) for x in ("key", "doc_id", "n", "role")]
-            if not len(fresh[0]):
+        for several in batched(batches, NEIGHBOUR_BATCHES):
+            key, doc, marked = (np.concatenate([np.asarray(batch.column(x)) for batch in several]) for x in ("key", "doc_id", "marked"))
+            if not len(key):
                 continue
+            some = (marked & 15) == 0
+            some[0] = some[-1] = True  # their key may go on beyond these batches
+            twice = key[1:] == key[:-1]
+            some[1:] |= twice
+            some[:-1] |= twice
+            marked = marked[some].astype(np.int64)
+            fresh = [key[some], doc[some], marked >> 4, marked & 15]
             by = np.lexsort((fresh[1], fresh[2], fresh[0]))
             fresh = [x[by] for x in fresh]
             key, doc, n, role = fresh if carry is None else (np.concatenate([[c], f]) for c, f in zip(carry[:4], fresh, strict=True))
@@ -435,7 +515,8 @@ def neighbours(rows: DataFrame) -> DataFrame:
         before[0] = np.where(same, before[0], doc)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(role.astype(np.int32)), met(doc, n, role, *before), met(doc, n, role, *least)], names=["key", "doc_id", "n", "role", "before", "least"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, doc_id long, n int, role int, before long, least long")
+    marked = F.shiftleft("n", 4).bitwiseOR(F.col("role")).alias("marked")  # one column less to move
+    return rows.select("key", "doc_id", marked).repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, doc_id long, n int, role int, before long, least long")
 
 
 def near_enough(n: Column, m: Column) -> Column:
@@ -491,37 +572,40 @@ def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     return kept(both.select("a", "b", "ta", "tb").mapInArrow(judge, "a long, b long").distinct(), f"{name}-links")
 
 
-def links_of_short(short: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Links (a, b) of the documents ``short`` (doc_id), which are held against all of ``docs`` in blocks of SHORT_SETS; None if there are none."""
+def pairs_of_short(short: DataFrame, described_: DataFrame) -> DataFrame | None:
+    """Likely pairs (a, b, bits) of the documents ``short`` (doc_id) with all others, except equal sets; None if there are none.
+
+    Blocks of SHORT_SETS are held against the sketches of all documents.
+    """
     short = kept(short.distinct(), "jaccard-short")
     blocks = -(-short.count() // SHORT_SETS)
+    rows = described_.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select("doc_id", "n_shingles", "h1", "h2", "sketch")
     out = None
     for i in range(blocks):
         mine = short.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == i)
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        held = [(r["doc_id"], shingle_sets([r["text"]])[0]) for r in rows.join(F.broadcast(mine), "doc_id").toLocalIterator()]  # a bounded block of sets
-        if not held:
-            continue
-        flat = np.concatenate([x for _, x in held])
-        order = np.argsort(flat, kind="stable")
-        owner = np.repeat(np.arange(len(held)), [len(x) for _, x in held])[order]
-        shared = docs.sparkSession.sparkContext.broadcast(([d for d, _ in held], np.array([len(x) for _, x in held]), flat[order], owner))
+        held = rows.join(F.broadcast(mine), "doc_id").collect()  # a bounded block of sketches
+        shared = described_.sparkSession.sparkContext.broadcast([tuple(r) for r in held])
 
         def meet(batches, shared=shared):
-            ids, n, shingles, owner = shared.value
             for batch in batches:
-                docs_, pairs = batch.column(0).to_pylist(), []
-                for lo, part in slices(batch.column(1)):
-                    for j, r in enumerate(shingle_sets(part)):
-                        a, b = np.searchsorted(shingles, r), np.searchsorted(shingles, r, side="right")
-                        hit = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-                        both = np.bincount(owner[hit], minlength=len(ids))
-                        good = np.flatnonzero((both > 0) & (100 * both >= 75 * (n + len(r) - both)))
-                        pairs += [(ids[g], docs_[lo + j]) for g in good if docs_[lo + j] is not None and ids[g] != docs_[lo + j]]
-                yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in pairs], pa.int64()) for x in (0, 1)], names=["a", "b"])
-
-        links = kept(rows.mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-short-links")
-        out = links if out is None else out.unionByName(links)
+                ids, n, h1, h2 = (np.asarray(batch.column(x)) for x in range(4))
+                sketches = batch.column(4).to_pylist()
+                words = np.array([len(x) // 8 for x in sketches], np.int64)
+                matrices, found = {}, []
+                for doc, m, g1, g2, sketch in shared.value:
+                    fits = (4 * n >= 3 * m) & (4 * m >= 3 * n) & (ids != doc) & ~((h1 == g1) & (h2 == g2))
+                    for length in np.unique(np.minimum(words[fits], len(sketch) // 8)).tolist():  # the smaller sketch's
+                        if length not in matrices:
+                            matrices[length] = folded([x if len(x) >= 8 * length else b"" for x in sketches], length)
+                        at = np.flatnonzero(fits & (np.minimum(words, len(sketch) // 8) == length))
+                        bits = np.bitwise_count(matrices[length][at] ^ folded([sketch], length)).sum(axis=1, dtype=np.int64)
+                        good = bits <= (n[at] + m) // 7
+                        found += [(doc, j, d) for j, d in zip(ids[at[good]].tolist(), bits[good].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[x] for f in found], pa.int64()) for x in range(3)], names=["a", "b", "bits"])
+
+        pairs = rows.mapInArrow(meet, "a long, b long, bits long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits")
+        pairs = kept(pairs.groupBy("a", "b").agg(F.min("bits").alias("bits")), "jaccard-short-pairs")
+        out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
@@ -661,13 +745,13 @@ def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def similar_components(docs: DataFrame, described_: DataFrame) -> DataFrame:
-    """doc_id and component of the documents that have a link or an equal; ``described_`` is from described(), kept."""
+def similar_components(docs: DataFrame, described_: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """doc_id and component of the documents that have a link or an equal; ``described_`` is from described(), kept, and ``counted`` from counted_cells()."""
     same = described_.where(F.col("h1").isNotNull() & F.col("doc_id").isNotNull())
     classes = kept(same.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "jaccard-classes")
     copies = same.select("doc_id", "h1", "h2").join(hinted(classes), ["h1", "h2"]).select("rep", "doc_id")
 
-    common = common_shingles(docs, described_)
+    common = common_shingles(docs, described_, counted=counted)
     rows = filed(docs, common).join(hinted(classes), ["h1", "h2"], "left").where(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
     rows = rows.select("doc_id", "n", F.explode(F.when(F.col("short"), F.concat("keys", F.array(F.lit(0).cast("long")))).otherwise(F.col("keys"))).alias("key"))
     rows = rows.select(F.shiftrightunsigned("key", 4).alias("key"), "doc_id", "n", F.col("key").bitwiseAND(F.lit(15)).cast("int").alias("role"))
@@ -701,9 +785,12 @@ def similar_components(docs: DataFrame, described_: DataFrame) -> DataFrame:
             links, joined = more(links, new, "jaccard-more")
             tried = tried.select("a", "b").unionByName(new)
         third = third.select("key", "doc_id", "n", "role")
-    held = links_of_short(short, docs)
+    held = pairs_of_short(short, described_)
     if held is not None:
-        links = links.unionByName(held)
+        for some in (nearest, lambda pairs: pairs.select("a", "b")):
+            left = kept(apart(held, joined), "jaccard-short-apart")
+            if not left.isEmpty():
+                links, joined = more(links, some(left), "jaccard-short")
     links = links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     return components(links).select(F.col("node").alias("doc_id"), "component")
 
@@ -718,8 +805,8 @@ def clustered(docs: DataFrame) -> DataFrame:
     null component. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    info = kept(described(docs), "jaccard-described")
-    found = kept(similar_components(docs, info), "jaccard-found")
+    info, counted = described_and_counted(docs, "jaccard-described")
+    found = kept(similar_components(docs, info, counted), "jaccard-found")
     out = info.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -384,3 +384,39 @@ def test_costs_of_shingles_come_from_all_documents(spark):
     least = max(jaccard.COMMON_FROM, -(-3 * sum(counts.values()) // (2 << 10)))
     want = {s: max(1, round(n * 10_000 / 12_000)) for s, n in counts.items() if n >= least}
     assert got == want and {250, 2500} <= set(want.values()) and all(s in got for times in passages for s in jaccard.shingle_sets([passages[times]])[0].tolist())
+
+
+def test_one_pass_describes_and_counts(spark):
+    texts = [None, "", *(f"{i} of {i % 7} and so on and on {i % 3} times" for i in range(300)), "w " * 40, "One two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    info, counted = jaccard.described_and_counted(docs, "test-described")
+    assert sorted(map(tuple, info.collect()), key=str) == sorted(map(tuple, jaccard.described(docs).collect()), key=str)
+    counts = np.zeros(jaccard.CELLS, np.int64).reshape(jaccard.CELL_ROWS, -1)
+    for r in counted.collect():
+        counts[r["row"]] += np.frombuffer(r["counts"], f"u{len(r['counts']) // counts.shape[1]}")
+    every = np.concatenate(jaccard.shingle_sets(texts))
+    assert (counts.reshape(-1) == np.bincount(jaccard.cell(every, jaccard.CELLS), minlength=jaccard.CELLS)).all()
+
+
+def test_sets_without_enough_units_meet_all_others(spark, monkeypatch):
+    """By their sketches alone: every link of such a set is among the likely pairs, whatever the block; equal sets aren't."""
+    monkeypatch.setattr(jaccard, "SHORT_SETS", 7)
+    texts = family(6)
+    info, _ = jaccard.described_and_counted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-described")
+    sets = jaccard.shingle_sets(texts)
+    short = [i for i in range(0, len(texts), 3) if len(sets[i]) > 2]
+    got = jaccard.pairs_of_short(spark.createDataFrame([(i,) for i in short], "doc_id long"), info).collect()
+    pairs = {(r["a"], r["b"]) for r in got}
+    want = {(min(i, j), max(i, j)) for i in short for j in range(len(texts)) if i != j and jaccard.linked(sets[i], sets[j])}
+    same = {(a, b) for a, b in want if np.array_equal(sets[a], sets[b])}
+    assert want - same <= pairs and not same & pairs and len(want - same) > 50
+    assert all(len(np.setxor1d(sets[r["a"]], sets[r["b"]])) >= r["bits"] for r in got)
+    assert jaccard.pairs_of_short(spark.createDataFrame([], "doc_id long"), info) is None
+
+
+def test_sets_do_not_depend_on_what_is_hashed_with_them(monkeypatch):
+    texts = family(7) * 2
+    alone = [jaccard.shingle_sets([t])[0] for t in texts]
+    for at_once in (1, 500, 10**9):
+        monkeypatch.setattr(jaccard, "HASHED_BYTES", at_once)
+        assert all(np.array_equal(a, b) for a, b in zip(alone, jaccard.shingle_sets(texts), strict=True))
