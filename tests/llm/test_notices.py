@@ -33,3 +33,16 @@ def test_notices_name_their_licence_alone(found):
     assert {k: found[k][0] for k in NOTICES} == {k: [k] for k in NOTICES}
     assert all("unknown" not in found[k][1] for k in NOTICES if k != "Apache-2.0")
     assert found["none"][0] == found["empty"][0] == []
+
+
+def test_sentences_that_name_no_licence_are_marked_alone(spark):
+    """Each is all that its text has, wrapped and marked as a comment."""
+    texts = {
+        "LOSS OF USE, DATA, OR\n * PROFITS;": "bsdloss",
+        "In no event will the authors be held\n * liable for any damages arising from the use of this software.": "zlibliable",
+        "Anyone is\n * free to copy, modify, publish, use, compile, sell, or distribute this software, either in\n * source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any\n * means.": "unlicenseanyone",
+        "If a copy of the\n * MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": "mpl2copy",
+    }
+    docs = spark.createDataFrame([(i, f"/*\n * {t}\n */") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence_sentences"] for r in licenses.licensed(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [[x] for x in texts.values()]
