@@ -80,6 +80,16 @@ def joined(parts):
     return "\n\n".join(f"--- Notes {i + 1} ---\n{p}" for i, p in enumerate(parts))
 
 
+@pytest.mark.parametrize("over", [0, 1])
+def test_a_batch_costs_what_its_joined_text_does(spark, over):
+    """Ten notes joined to 640 characters, line breaks of their headers included, fit 160 tokens; with one more character they don't."""
+    notes = ["x" * 40] * 9
+    notes.append("x" * (640 + over - len(joined([*notes, ""]))))
+    df = spark.createDataFrame([("c", i, n) for i, n in enumerate(notes)], "call_id string, note_idx int, note string")
+    assert len(joined(notes)) == 640 + over
+    assert {r["note_idx"]: r["batch"] for r in C.batch_notes(df, 160).collect()} == {i: over * (i == 9) for i in range(10)}
+
+
 def test_fold_equals_a_loop(spark):
     rng = random.Random(5)
     calls = {f"c{k}": ["".join(rng.choices("abc ", k=rng.randint(1, 200))) for _ in range(k)] for k in (1, 3, 12, 60)}
