@@ -6,6 +6,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+from colloquy.plans import feeds
 from colloquy.streaming import state
 
 QUEUE = [*"recording ready-to-process transcribing summarizing delivered failed".split()]
@@ -116,3 +117,18 @@ def test_rows_travel_packed_and_a_late_one_is_dropped_from_among_its_part():
     assert late["late"].tolist() == [2] and list(late.columns) == [*watch._names(watch.given), "late"]
     handle.ms = 100
     assert sorted(pd.concat(watch.handleExpiredTimer((3,), handle, None))["since_us"]) == [31_000, 70_000, 90_000]
+
+
+def test_a_feed_in_slices_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(frames):
+        for x in frames:
+            seen.add(len(x))
+            yield x
+
+    rows = spark.range(1000).selectExpr("CAST(id AS STRING) AS channel_id", "CAST(TIMESTAMP_SECONDS(id) AS TIMESTAMP_NTZ) AS ts")
+    path, schema, delay, files = feeds.in_slices(spark, rows.mapInPandas(look, rows.schema), "ts", "2030-01-01", "once")
+    assert seen.value == 2000 and files == 1  # for its span of time, and to be dealt
+    assert spark.read.schema(schema).parquet(path).where("channel_id <> ''").distinct().count() == 1000
+    assert len(spark.read.schema(schema).parquet(path).inputFiles()) == feeds.SLICES + 3
