@@ -52,34 +52,54 @@ def _pairs(ws: Column) -> Column:
     return F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def phrase_keys(docs: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ref, text) of the texts as words(), and (ref, phrase, w) of the texts that share a phrase's key.
+#: Phrases that are broadcast at once, and refs that several texts have.
+BROADCAST = 200_000
+
+
+def phrase_keys(docs: DataFrame, phrases: DataFrame, most: int = BROADCAST) -> tuple[DataFrame, DataFrame]:
+    """(ref, text) of the texts as words(), and (ref, text, phrase, w) of the texts that share a phrase's key.
 
     Texts are joined to phrases of a word by that, to longer ones by a pair of
-    neighbouring words, of each phrase the pair that the fewest texts have.
+    neighbouring words, of each phrase the pair that the fewest texts have. Words
+    and pairs of texts stay in the task that reads them: ``most`` phrases are sent
+    to all tasks at a time, in as many passes over the texts as that takes.
     """
     split = F.split(F.trim("w"), " ")
     wanted = phrases.select("phrase", words(F.col("phrase")).alias("w")).where(F.trim("w") != "").distinct()
-    parts = wanted.select("phrase", "w", F.explode(F.array_distinct(F.when(F.size(split) == 1, split).otherwise(_pairs(split)))).alias("key"))
+    n, long = wanted.agg(F.count("*"), F.count_if(F.size(split) > 2)).first()
     known = docs.select("ref", words(F.col("text")).alias("text"))
-    of = F.split(F.trim("text"), " ")
-    tokens = known.select("ref", F.explode(F.array_distinct(F.concat(of, _pairs(of)))).alias("key")).join(parts.select("key").distinct(), "key", "left_semi")
-    spread = tokens.groupBy("key").agg(F.count("*").alias("n"))
-    rarest = parts.join(spread, "key", "left").groupBy("phrase", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k")).select("phrase", "w", F.col("k.key").alias("key"))
-    return known, tokens.join(rarest, "key").select("ref", "phrase", "w")
-
-
-def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    tokens = known.withColumn("_words", F.split(F.trim("text"), " ")).withColumn("_keys", F.array_distinct(F.concat("_words", _pairs(F.col("_words")))))
+    tokens = tokens.select("ref", "text", F.explode("_keys").alias("key"))
+    found, passes = None, max(1, -(-n // most))
+    for i in range(passes):
+        parts = wanted.where(F.pmod(F.xxhash64("w"), F.lit(passes)) == i).select("phrase", "w", F.explode(F.array_distinct(F.when(F.size(split) == 1, split).otherwise(_pairs(split)))).alias("key"))
+        rarest = parts
+        if long:  # others have a key only
+            spread = tokens.join(F.broadcast(parts.where(F.size(split) > 2).select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+            rarest = parts.join(spread, "key", "left").groupBy("phrase", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k")).select("phrase", "w", F.col("k.key").alias("key"))
+        one = tokens.join(F.broadcast(rarest), "key").select("ref", "text", "phrase", "w")
+        found = one if found is None else found.unionByName(one)
+    return known, found
+
+
+def phrase_matches(docs: DataFrame, phrases: DataFrame, most: int = BROADCAST) -> DataFrame:
     """Distinct (ref, phrase) of the texts (ref, text) that have a phrase (phrase) as whole words, in any case.
 
     Only phrases of three words and more are verified beyond their key. Phrases
-    without a word match nothing.
+    without a word match nothing. Only refs that several texts have can match
+    twice, so only their matches, which may be many more than texts, are shuffled.
     """
-    known, pairs = phrase_keys(docs, phrases)
-    whole = F.size(F.split(F.trim("w"), " ")) <= 2
+    pairs = phrase_keys(docs, phrases, most)[1]
     # a phrase of one or two words is verified by the join
-    longer = pairs.where(~whole).join(known, "ref").where(F.contains("text", F.col("w"))).select("ref", "phrase")
-    return pairs.where(whole).select("ref", "phrase").unionByName(longer).distinct()
+    found = pairs.where((F.size(F.split(F.trim("w"), " ")) <= 2) | F.contains("text", F.col("w"))).select("ref", "phrase")
+    repeated = docs.groupBy("ref").agg(F.count("*").alias("n")).where("n > 1").select(F.col("ref").alias("_ref"))
+    n = repeated.limit(most + 1).count()
+    if not n:
+        return found
+    if n > most:
+        return found.distinct()
+    same = F.col("ref").eqNullSafe(F.col("_ref"))
+    return found.join(F.broadcast(repeated), same, "left_anti").unionByName(found.join(F.broadcast(repeated), same, "left_semi").distinct())
 
 
 def _ref(kind: str, *cols) -> Column:
@@ -132,11 +152,12 @@ def community_edges(messages: DataFrame, refs: DataFrame, media: DataFrame, call
         edge(messages, _ref("member", "author_id"), "authored", message_ref()), edge(messages, message_ref(), "in_channel", _ref("channel", "channel_id")), message_links(messages, refs),
         edge(attached, _ref("media", "media_id"), "attached_to", F.col("ref")), edge(tracks, _ref("member", "user_id"), "spoke_in", call), edge(calls, call, "in_channel", _ref("channel", "channel_id")),
         edge(chunks, _ref("chunk", "call_id", "chunk"), "part_of_call", call), *(edge(facts.where(F.col("kind") == k), _ref(name, "call_id", "idx"), "part_of_call", call) for k, name in FACT_NODES.items()),
-        edge(told, call, "about", topic), edge(found, F.col("ref"), "about", _ref("topic", F.col("phrase")))]
+        edge(told, call, "about", topic)]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    # what messages and chunks are about is distinct already, and none of the other edges
+    return out.distinct().unionByName(edge(found, F.col("ref"), "about", _ref("topic", F.col("phrase"))))
 
 
 def supersede_chain(log: DataFrame) -> DataFrame:

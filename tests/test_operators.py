@@ -457,6 +457,18 @@ def test_phrases_are_found_as_whole_words(spark):
     assert rows(G.phrase_matches(docs, phrases)) == [("a", "New York"), ("a", "office"), ("c", "New York"), ("f", "ÉTÉ")]
 
 
+@pytest.mark.parametrize("most", [1, 2, 200_000])
+def test_words_of_texts_are_not_shuffled_to_phrases(spark, most):
+    """In any number of passes, with phrases of several lengths and refs that texts share, the matches are the same, and only refs and few matches go through a shuffle."""
+    docs = spark.createDataFrame([("a", "x y z"), ("a", "x y q"), ("b", "z x y z"), ("c", "y z"), (None, "x y"), (None, "y x y")], "ref string, text string")
+    phrases = spark.createDataFrame([("x y",), ("y z",), ("x y z",), ("q",), ("y z y",)], "phrase string")
+    got = G.phrase_matches(docs, phrases, most)
+    want = {(r.ref, p.phrase) for r in docs.collect() for p in phrases.collect() if f" {p.phrase} " in f" {r.text} "}
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    plan = G.phrase_matches(docs.where("ref in ('b', 'c')"), phrases.where("phrase <> 'x y z' and phrase <> 'y z y'"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("HashAggregate") == 2  # the distinct phrases
+
+
 def test_a_reader_between_the_writes_sees_the_old_version_whole(spark, tmp_path):
     path = str(tmp_path / "p")
     files = lambda v, *calls: spark.createDataFrame([(c, n, v) for c in calls for n in ("transcript.json", "summary.json", "summary.md")], "call_id string, name string, body string")
