@@ -205,9 +205,10 @@ def _top_products(rows: DataFrame, dim: int, k: int) -> DataFrame:
     q = q.drop("chunk").withColumn("needed", needed).repartitionByRange(chunks, "needed", "vec_id").withColumn("chunk", F.spark_partition_id())
     q = kept(q, "topk-bounded")
     pairs = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.col("block") != first)
-    pairs = pairs.join(longest, "block").where(F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("bound"))
-    live = kept(pairs.select("block", "chunk").distinct(), "topk-live")
-    rest = against(pairs.select("vec_id", "v", "chunk", "block", "bound"), cand.join(live, "block"))
+    # by their statistics queries look no more than they were before each was put to every block, so which side is broadcast is said here: a row a block
+    pairs = pairs.join(F.broadcast(longest), "block").where(F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("bound"))
+    live = kept(pairs.select("block", "chunk").distinct().groupBy("block").agg(F.collect_list("chunk").alias("chunks")), "topk-live")
+    rest = against(pairs.select("vec_id", "v", "chunk", "block", "bound"), cand.join(F.broadcast(live), "block").select("vec_id", "v", "length", "block", F.explode("chunks").alias("chunk")))
     return _top(head.unionByName(rest), k)
 
 

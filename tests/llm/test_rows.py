@@ -160,3 +160,20 @@ def test_every_document_reaches_every_shard_alike(spark):
     for seed in range(40):
         where.update((r["shard"], r["slot"] // 10) for r in sharding.sharded(docs, 3, seed).where("doc_id = 5").collect())
     assert sum(where.values()) == 40 and max(where.values()) < 20 and len(where) >= 4
+
+
+def test_queries_that_are_put_to_every_block_are_not_broadcast(spark):
+    """By the statistics they look as small as before, whatever the number of blocks."""
+    from colloquy.llm import topk
+
+    rows = spark.range(20_000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.xxhash64("id", i) % 1000 / 1000).cast("float")).alias("embedding"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20k")
+    try:
+        got = topk.top_products(rows, F.col("vec_id") % 2000 == 0, 3)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("BroadcastHashJoin [block") == 2 and plan.count("Inner, BuildRight") == 2 and "BuildLeft" not in plan
+    assert got.count() == 30
